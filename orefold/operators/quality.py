@@ -139,21 +139,21 @@ def type_errors(df: DataFrame, columns: Sequence[ColumnRole]) -> DataFrame:
 def quality_counters(
     df: DataFrame,
     columns: Sequence[ColumnRole],
-    ragged: Column | None = None,
+    ragged: str | None = None,
 ) -> DataFrame:
-    """All counters of the report in one row.
+    """All counters of the report in one row; ``ragged`` names a row flag column.
 
     The counters that need no grouping share one scan. Row and key duplicates come
     from their own pre-aggregated groupings, as scalar subqueries.
     """
     names = [c.name for c in columns if c.name in df.columns]
     cells = {name: V.text(df, name) for name in names}
-    data = [c for c in df.columns if c in names] or df.columns
+    data = [c for c in df.columns if c != ragged]
     empty_row = reduce(
         lambda a, b: a & b, [V.is_missing(V.text(df, name)) for name in data]
     )
     errors = [e for c in columns if c.name in names if (e := _type_error(df, c)) is not None]
-    inconsistent = F.count_if(ragged) if ragged is not None else F.lit(0).cast("bigint")
+    inconsistent = F.count_if(F.col(ragged)) if ragged else F.lit(0).cast("bigint")
     counters = df.agg(
         F.count("*").alias("row_count"),
         F.count_if(empty_row).alias("empty_rows"),

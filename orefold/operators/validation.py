@@ -100,23 +100,27 @@ def type_error_samples(
 def validation_verdict(
     df: DataFrame,
     columns: Sequence[ColumnRole],
-    ragged: Column | None = None,
+    ragged: str | None = None,
     primary_only: bool = False,
 ) -> DataFrame:
-    """One row with all findings and whether the table may pass."""
+    """One row with all findings and whether the table may pass.
+
+    ``ragged`` names a flag column of rows that did not fit the header.
+    """
+    actual = [c for c in df.columns if c != ragged]
     expected = [c.name for c in columns]
-    missing = [c for c in expected if c not in df.columns]
-    unexpected = [c for c in df.columns if c not in expected]
+    missing = [c for c in expected if c not in actual]
+    unexpected = [c for c in actual if c not in expected]
     invalid = [
         _invalid(V.text(df, c.name), c.type).cast("int") for c in _checkable(df, columns)
     ]
     errors = F.sum(reduce(lambda a, b: a + b, invalid)) if invalid else F.lit(0)
     blanks = reduce(
-        lambda a, b: a + b, [V.is_blank(V.text(df, c)).cast("int") for c in df.columns]
+        lambda a, b: a + b, [V.is_blank(V.text(df, c)).cast("int") for c in actual]
     )
-    key = key_column(columns, df.columns, primary_only)
+    key = key_column(columns, actual, primary_only)
     repeats = duplicate_keys(df, key).scalar() if key else F.lit(0).cast("bigint")
-    inconsistent = F.count_if(ragged) if ragged is not None else F.lit(0).cast("bigint")
+    inconsistent = F.count_if(F.col(ragged)) if ragged else F.lit(0).cast("bigint")
     findings = df.agg(
         F.count("*").alias("row_count"),
         F.lit(len(missing)).alias("missing_columns"),
