@@ -19,7 +19,7 @@ TOP_CONTRIBUTORS = 5
 def _amounts(df: DataFrame, keys: Mapping[str, str], metric: str) -> DataFrame:
     """Totals of the parseable metric per key; every missing key is a group too."""
     rows = df.select(
-        *[V.text(df, column).alias(name) for name, column in keys.items()],
+        *[V.present(V.text(df, column)).alias(name) for name, column in keys.items()],
         V.number(df, metric, lenient=False).alias("amount"),
     )
     return (
@@ -166,7 +166,7 @@ def dimension_contributions(
 ) -> DataFrame:
     """Totals of every value of several dimensions from one scan."""
     rows = df.select(
-        *[V.text(df, d).alias(d) for d in dimensions],
+        *[V.present(V.text(df, d)).alias(d) for d in dimensions],
         V.number(df, metric, lenient=False).alias("_amount"),
     ).filter(F.col("_amount").isNotNull())
     cells = rows.unpivot(["_amount"], list(dimensions), "dimension", "value")

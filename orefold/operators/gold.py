@@ -222,12 +222,12 @@ def _flag_ranks(gold: DataFrame, measures: Sequence[str], n: int) -> DataFrame:
     return gold.withColumns(flags)
 
 
-def _best(measure: str, columns: Sequence[str], absent: Column) -> Column:
+def _best(measure: str, columns: Sequence[str]) -> Column:
     """The group with the largest sum as a struct; ties go by ``columns``, ascending."""
     value = F.col(f"{measure}_sum")
     return F.min(
         F.struct(
-            (-F.coalesce(value, absent)).alias("_order"),
+            (-F.coalesce(value, F.lit(0.0))).alias("_order"),
             *[F.col(f"`{c}`") for c in columns],
             value.alias("_value"),
         )
@@ -237,7 +237,7 @@ def _best(measure: str, columns: Sequence[str], absent: Column) -> Column:
 def top_segment(gold: DataFrame, dimensions: Sequence[str], measure: str) -> DataFrame:
     """The dimension values of the group with the largest sum."""
     best = gold.filter(F.col(f"{measure}_sum").isNotNull()).agg(
-        _best(measure, dimensions, F.lit(0.0)).alias("best")
+        _best(measure, dimensions).alias("best")
     )
     return best.filter("best is not null").select(
         *[F.col("best")[d].alias(d) for d in dimensions],
@@ -254,7 +254,7 @@ def insights(
             *[
                 F.struct(
                     F.lit(m).alias("measure"),
-                    _best(m, dimensions, F.lit(0.0)).alias("best"),
+                    _best(m, dimensions).alias("best"),
                 )
                 for m in measures
             ]
