@@ -15,7 +15,7 @@ DIALECT = {"header": True, "mode": "PERMISSIVE", "encoding": "UTF-8", "escape":
 SOURCE_FILE = "_source_file"
 RAGGED = "_ragged"
 _RECORD = "_record"
-_BYTE_ORDER_MARK = "﻿"
+_BYTE_ORDER_MARK = chr(0xFEFF)
 
 
 def read_inferred(spark: SparkSession, path: str) -> DataFrame:
