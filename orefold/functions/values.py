@@ -32,6 +32,8 @@ BOOLEAN_WORDS = ("true", "false", "yes", "no")
 DIGITS = r"^[0-9]+$"
 INTEGER = r"^\s*[+-]?[0-9]+\s*$"
 FLOAT = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+ZERO_ONE = r"^\s*[01]\s*$"
+BOOLEAN = r"(?i)^\s*(true|false|yes|no)\s*$"
 FLOAT_WORD = r"(?i)^\s*[+-]?(nan|inf|infinity)\s*$"
 
 _ISO_TIMESTAMP = (

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orefold.functions import values as V
+from orefold.operators.joins import join_by
 from orefold.operators.ordered import exact_percentiles, with_position
 
 PERCENTILES = {"median": 0.5, "p25": 0.25, "p75": 0.75, "p95": 0.95}
@@ -74,9 +75,7 @@ def _attach(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame
     if not keys:
         row = right.select(F.struct(*added)).scalar()
         return left.withColumns({c: row[c] for c in added})
-    condition = reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
-    joined = left.join(right, condition, "left")
-    return joined.select(*[left[c] for c in left.columns], *[right[c] for c in added])
+    return join_by(left, right, keys, "left")
 
 
 def group_stats(
@@ -118,76 +117,104 @@ def group_stats(
     return result
 
 
-def add_percentage_share(gold: DataFrame, measures: Sequence[str]) -> DataFrame:
+@dataclass(frozen=True)
+class MeasureTotals:
+    """What one measure looks like over all groups."""
+
+    total: float | None
+    mean: float | None
+    std: float | None
+    averages: int
+
+
+@dataclass(frozen=True)
+class GoldTotals:
+    """The few numbers that shares, anomalies, KPIs and rank flags refer to."""
+
+    groups: int
+    measures: dict[str, MeasureTotals]
+
+
+def gold_totals(gold: DataFrame, measures: Sequence[str]) -> GoldTotals:
+    """One pass over a written analytics table; one row comes to the driver."""
+    row = gold.agg(
+        F.count("*").alias("groups"),
+        *[
+            F.struct(
+                F.sum(f"{m}_sum").alias("total"),
+                F.avg(f"{m}_avg").alias("mean"),
+                F.stddev_pop(f"{m}_avg").alias("std"),
+                F.count(f"{m}_avg").alias("averages"),
+            ).alias(f"of_{m}")
+            for m in measures
+        ],
+    ).first()
+    found = {m: MeasureTotals(**row[f"of_{m}"].asDict()) for m in measures}
+    return GoldTotals(row["groups"], found)
+
+
+def _share(value: Column, total: float | None) -> Column:
+    return value / total * 100 if total else F.lit(0.0)
+
+
+def add_percentage_share(
+    gold: DataFrame, measures: Sequence[str], totals: GoldTotals
+) -> DataFrame:
     """Share of the grand total in percent; a missing sum counts as 0."""
-    totals = gold.agg(
-        F.struct(*[F.coalesce(F.sum(f"{m}_sum"), F.lit(0.0)).alias(m) for m in measures])
-    ).scalar()
-    shares = {}
-    for measure in measures:
-        total = totals[measure]
-        value = F.coalesce(F.col(f"{measure}_sum"), F.lit(0.0))
-        shares[f"{measure}_percentage"] = F.when(total != 0, value / total * 100).otherwise(0.0)
-    return gold.withColumns(shares)
+    return gold.withColumns(
+        {
+            f"{m}_percentage": _share(
+                F.coalesce(F.col(f"{m}_sum"), F.lit(0.0)), totals.measures[m].total
+            )
+            for m in measures
+        }
+    )
 
 
-def add_kpis(gold: DataFrame, measures: Sequence[str]) -> DataFrame:
+def add_kpis(gold: DataFrame, measures: Sequence[str], totals: GoldTotals) -> DataFrame:
     """Share of the total where there is a sum, and HIGH or LOW performance.
 
     HIGH means at least the average group total; only groups with a positive average
     are labelled.
     """
-    totals = gold.agg(
-        F.struct(
-            F.count("*").alias("_groups"),
-            *[F.sum(f"{m}_sum").alias(m) for m in measures],
-        )
-    ).scalar()
     added = {}
     for measure in measures:
-        value, total = F.col(f"{measure}_sum"), totals[measure]
-        share = F.when(total != 0, value / total * 100).otherwise(0.0)
-        label = F.when(value >= total / totals["_groups"], "HIGH").otherwise("LOW")
-        added[f"{measure}_share_pct"] = F.when(value.isNotNull(), share)
+        value, total = F.col(f"{measure}_sum"), totals.measures[measure].total
+        fair_part = (total or 0.0) / max(totals.groups, 1)
+        label = F.when(value >= fair_part, "HIGH").otherwise("LOW")
+        added[f"{measure}_share_pct"] = F.when(value.isNotNull(), _share(value, total))
         added[f"{measure}_performance"] = F.when(
             value.isNotNull() & (F.col(f"{measure}_avg") > 0), label
         )
     return gold.withColumns(added)
 
 
-def add_anomaly_flags(gold: DataFrame, measures: Sequence[str]) -> DataFrame:
+def add_anomaly_flags(
+    gold: DataFrame, measures: Sequence[str], totals: GoldTotals
+) -> DataFrame:
     """Z-score of every group average against all group averages, flagged from 2.0.
 
     Needs at least three averages; below that both columns stay null.
     """
-    spread = gold.agg(
-        F.struct(
-            *[
-                F.struct(
-                    F.avg(f"{m}_avg").alias("mean"),
-                    F.stddev_pop(f"{m}_avg").alias("std"),
-                    F.count(f"{m}_avg").alias("groups"),
-                ).alias(m)
-                for m in measures
-            ]
-        )
-    ).scalar()
     added = {}
     for measure in measures:
-        value, stats = F.col(f"{measure}_avg"), spread[measure]
-        enough = stats["groups"] >= ANOMALY_MIN_GROUPS
-        z_score = F.when(
-            enough & (stats["std"] != 0), F.abs((value - stats["mean"]) / stats["std"])
-        )
+        spread = totals.measures[measure]
+        z_score, flag = F.lit(None).cast("double"), F.lit(None).cast("boolean")
+        if spread.averages >= ANOMALY_MIN_GROUPS:
+            if spread.std:
+                z_score = F.abs((F.col(f"{measure}_avg") - spread.mean) / spread.std)
+            flag = F.coalesce(z_score >= ANOMALY_Z_SCORE, F.lit(False))
         added[f"{measure}_z_score"] = z_score
-        added[f"{measure}_anomaly"] = F.when(
-            enough, F.coalesce(z_score >= ANOMALY_Z_SCORE, F.lit(False))
-        )
+        added[f"{measure}_anomaly"] = flag
     return gold.withColumns(added)
 
 
 def add_rankings(
-    gold: DataFrame, dimensions: Sequence[str], measures: Sequence[str], n: int = TOP_N
+    gold: DataFrame,
+    dimensions: Sequence[str],
+    measures: Sequence[str],
+    totals: GoldTotals,
+    n: int = TOP_N,
 ) -> DataFrame:
     """Rank 1..n by sum, largest first, with top-10 and bottom-10 flags.
 
@@ -196,7 +223,7 @@ def add_rankings(
     """
     if not dimensions:
         ranks = {f"{m}_rank": F.lit(1).cast("bigint") for m in measures}
-        return _flag_ranks(gold.withColumns(ranks), measures, n)
+        return _flag_ranks(gold.withColumns(ranks), measures, totals.groups, n)
     sums = gold.select(
         *dimensions,
         *[F.coalesce(F.col(f"{m}_sum"), F.lit(0.0)).alias(m) for m in measures],
@@ -209,11 +236,10 @@ def add_rankings(
             for m in measures
         ]
     )
-    return _flag_ranks(_attach(gold, wide, dimensions), measures, n)
+    return _flag_ranks(_attach(gold, wide, dimensions), measures, totals.groups, n)
 
 
-def _flag_ranks(gold: DataFrame, measures: Sequence[str], n: int) -> DataFrame:
-    groups = gold.agg(F.count("*")).scalar()
+def _flag_ranks(gold: DataFrame, measures: Sequence[str], groups: int, n: int) -> DataFrame:
     flags = {}
     for measure in measures:
         rank = F.col(f"{measure}_rank")

@@ -14,16 +14,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orefold.operators.joins import join_by
 from orefold.session import materialize
 
 # monotonically_increasing_id() keeps the partition number above this many bits.
 _ROW_BITS = 33
 
 
-def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
-
-
 def with_position(
     df: DataFrame, group: Sequence[str], order: Sequence[Column], name: str
 ) -> DataFrame:
@@ -47,9 +44,9 @@ def with_position(
     )
     pieces = pieces.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
     pieces = pieces.select(*group, "_part", "_first", "_before")
-    joined = written.join(pieces, _null_safe(written, pieces, [*group, "_part"]))
+    joined = join_by(written, pieces, [*group, "_part"])
     position = F.col("_before") + F.col("_row") - F.col("_first") + 1
-    return joined.select(*[written[c] for c in kept], position.alias(name))
+    return joined.select(*[F.col(f"`{c}`") for c in kept], position.alias(name))
 
 
 def exact_percentiles(
@@ -108,10 +105,7 @@ def exact_percentiles(
     # Only the pieces that hold a wanted position are counted through, each one no
     # larger than a range partition.
     join_keys = [*keys, "_part"]
-    joined = written.join(pieces, _null_safe(written, pieces, join_keys))
-    rows = joined.select(
-        *[written[k] for k in join_keys], "_value", "_copies", "_before", "_total"
-    )
+    rows = join_by(written, pieces, join_keys)
     running = (
         Window.partitionBy(*join_keys)
         .orderBy("_value")

@@ -40,28 +40,29 @@ _TYPE_RULES = {
 }
 
 
-def _text_kind(value: Column) -> Column:
-    numeric = (
-        F.when(value.isin("0", "1"), _ZERO_ONE)
-        .when(value.rlike(V.DIGITS), _DIGITS)
-        .when(V.strip(value).isin("0", "1"), _PADDED_ZERO_ONE)
-        .when(value.rlike(V.INTEGER), _INTEGER)
-        .when(value.contains("."), _DOTTED)
-        .otherwise(_NUMERIC)
-    )
-    return (
-        F.when(V.is_missing(value), 0)
-        .when(value.rlike(V.FLOAT), numeric)
-        .when(F.lower(V.strip(value)).isin(*V.BOOLEAN_WORDS), _BOOLEAN)
-        .when(value.rlike(V.FLOAT_WORD), _NUMERIC)
-        .otherwise(_OTHER)
-    )
+_TEXT_KIND = f"""
+    CASE WHEN {{0}} IS NULL OR {{0}} = '' THEN 0
+         WHEN {{0}} RLIKE r'{V.FLOAT}' THEN
+             CASE WHEN {{0}} IN ('0', '1') THEN {_ZERO_ONE}
+                  WHEN {{0}} RLIKE r'{V.DIGITS}' THEN {_DIGITS}
+                  WHEN {{0}} RLIKE r'{V.ZERO_ONE}' THEN {_PADDED_ZERO_ONE}
+                  WHEN {{0}} RLIKE r'{V.INTEGER}' THEN {_INTEGER}
+                  WHEN contains({{0}}, '.') THEN {_DOTTED}
+                  ELSE {_NUMERIC} END
+         WHEN {{0}} RLIKE r'{V.BOOLEAN}' THEN {_BOOLEAN}
+         WHEN {{0}} RLIKE r'{V.FLOAT_WORD}' THEN {_NUMERIC}
+         ELSE {_OTHER} END"""
+
+
+def _text_kind(name: str) -> Column:
+    # One SQL text instead of dozens of calls per column: tables can be wide.
+    return F.expr(_TEXT_KIND.replace("{0}", f"`{name}`"))
 
 
 def _cell_kind(df: DataFrame, name: str) -> Column:
     kind = df.schema[name].dataType
     if isinstance(kind, T.StringType):
-        return _text_kind(F.col(f"`{name}`"))
+        return _text_kind(name)
     if isinstance(kind, T.IntegralType):
         bit = _DIGITS
     elif isinstance(kind, T.NumericType):
@@ -100,19 +101,19 @@ def discover_schema(df: DataFrame, mode: str = "numeric") -> DataFrame:
 
     One scan with a single-row result; nothing is shuffled but partial aggregates.
     """
-    per_column = []
-    for position, name in enumerate(df.columns):
-        kind = _cell_kind(df, name)
-        per_column.append(
-            F.struct(
-                F.lit(position).alias("position"),
-                F.lit(name).alias("name"),
-                F.coalesce(F.bit_or(kind), F.lit(0)).alias("kinds"),
-                F.count_if(kind != 0).alias("non_null_count"),
-                F.count_if(kind == 0).alias("null_count"),
-            )
+    # Each cell is classed once, before its class is aggregated in three ways.
+    kinds = df.select(*[_cell_kind(df, c).alias(f"k{i}") for i, c in enumerate(df.columns)])
+    per_column = [
+        F.struct(
+            F.lit(i).alias("position"),
+            F.lit(name).alias("name"),
+            F.coalesce(F.bit_or(f"k{i}"), F.lit(0)).alias("kinds"),
+            F.count_if(F.col(f"k{i}") != 0).alias("non_null_count"),
+            F.count_if(F.col(f"k{i}") == 0).alias("null_count"),
         )
-    rows = df.agg(F.array(*per_column).alias("columns")).select(F.inline("columns"))
+        for i, name in enumerate(df.columns)
+    ]
+    rows = kinds.agg(F.array(*per_column).alias("columns")).select(F.inline("columns"))
     return rows.select(
         "position",
         "name",
@@ -165,7 +166,7 @@ def column_stats(df: DataFrame, mode: str = "numeric") -> DataFrame:
     distinct = cells.groupBy("position", "name", "value", "typed_kind").agg(
         F.count("*").alias("occurrences")
     )
-    kind = F.coalesce("typed_kind", _text_kind(F.col("value")))
+    kind = F.coalesce("typed_kind", _text_kind("value"))
     totals = distinct.groupBy("position", "name").agg(
         F.bit_or(kind).alias("kinds"),
         F.sum("occurrences").alias("row_count"),

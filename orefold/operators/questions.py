@@ -38,6 +38,9 @@ SERIES_WORDS = ("monthly", "over time", "trend")
 GROUPING_PHRASES = ("by {}", "per {}", "for each {}")
 # Up to this many distinct values the lookup table is sent to every task.
 BROADCAST_VALUES = 100_000
+# Beyond that it is shuffled, and a stretch that very many questions share is spread
+# over this many tasks.
+STRETCH_SALTS = 16
 
 
 def _first_hit(text: Column, choices: Sequence[tuple], default: object) -> Column:
@@ -107,22 +110,27 @@ def mentioned_values(
     lengths = sorted(row["_length"] for row in sizes)
     if not lengths:
         lengths = [1]
-    if sum(row["n"] for row in sizes) <= broadcast_values:
-        lookup = F.broadcast(lookup)
     text = F.lower(F.col(column))
-    starts = questions.select(
-        F.col(key),
-        text.alias("_text"),
-        F.explode(F.sequence(F.lit(1), F.length(text))).alias("_start"),
+    starts = (
+        questions.select(F.col(key), text.alias("_text"))
+        .filter(F.length("_text") > 0)
+        .select("*", F.explode(F.sequence(F.lit(1), F.length("_text"))).alias("_start"))
     )
     room = F.length("_text") - F.col("_start") + 1
     fitting = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= room)
-    stretches = starts.select(
-        key, "_text", "_start", F.explode(fitting).alias("_length")
-    ).select(key, F.substring("_text", F.col("_start"), F.col("_length")).alias("_stretch"))
-    return stretches.join(lookup.drop("_length"), "_stretch").select(
-        key, "dimension", "value"
-    ).distinct()
+    stretches = starts.select("*", F.explode(fitting).alias("_length")).select(
+        key,
+        F.substring("_text", F.col("_start"), F.col("_length")).alias("_stretch"),
+        F.pmod("_start", F.lit(STRETCH_SALTS)).alias("_salt"),
+    )
+    lookup = lookup.drop("_length")
+    if sum(row["n"] for row in sizes) <= broadcast_values:
+        found = stretches.join(F.broadcast(lookup), "_stretch")
+    else:
+        salts = F.sequence(F.lit(0), F.lit(STRETCH_SALTS - 1))
+        salted = lookup.withColumn("_salt", F.explode(salts))
+        found = stretches.join(salted, ["_stretch", "_salt"])
+    return found.select(key, "dimension", "value").distinct()
 
 
 def question_filters(

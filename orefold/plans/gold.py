@@ -49,10 +49,11 @@ def analytics(df: DataFrame, layout: GoldLayout) -> DataFrame:
     stats = G.group_stats(df, layout.dimensions, layout.measures, layout.attributes)
     gold = materialize(stats, "gold")
     if layout.measures:
-        gold = G.add_percentage_share(gold, layout.measures)
-        gold = G.add_rankings(gold, layout.dimensions, layout.measures)
-        gold = G.add_anomaly_flags(gold, layout.measures)
-        gold = G.add_kpis(gold, layout.measures)
+        totals = G.gold_totals(gold, layout.measures)
+        gold = G.add_percentage_share(gold, layout.measures, totals)
+        gold = G.add_rankings(gold, layout.dimensions, layout.measures, totals)
+        gold = G.add_anomaly_flags(gold, layout.measures, totals)
+        gold = G.add_kpis(gold, layout.measures, totals)
     date = date_column(df.columns)
     if date in layout.dimensions:
         gold = calendar_attributes(gold, date)

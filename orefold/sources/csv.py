@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,9 +44,9 @@ def file_headers(spark: SparkSession, folder: str, pattern: str = "*.csv") -> Da
         .text(folder)
         .select("value", "_metadata.file_path", "_metadata.file_block_start")
         .filter(F.col("file_block_start") == 0)
+        .withColumn("line", F.monotonically_increasing_id())
     )
-    first = F.min_by("value", F.monotonically_increasing_id())
-    return lines.groupBy("file_path").agg(first.alias("header"))
+    return lines.groupBy("file_path").agg(F.min_by("value", "line").alias("header"))
 
 
 def read_folder(spark: SparkSession, folder: str, pattern: str = "*.csv") -> DataFrame:
@@ -76,22 +77,22 @@ def _separators(record: Column) -> Column:
     return F.length(unquoted) - F.length(F.replace(unquoted, F.lit(","), F.lit("")))
 
 
-def read_with_ragged_flag(spark: SparkSession, path: str) -> DataFrame:
+def read_with_ragged_flag(
+    spark: SparkSession, path: str, columns: Sequence[str] | None = None
+) -> DataFrame:
     """All-text scan plus a flag on rows with more fields than the header.
 
     Rows with fewer fields are padded with nulls and count as consistent. Only
-    records that Spark reports as malformed are looked at twice.
+    records that Spark reports as malformed are looked at twice. Files without a
+    header are read with the given ``columns``.
     """
-    columns = read_strings(spark, path).columns
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, _RECORD]])
-    scanned = (
-        spark.read.options(**DIALECT, columnNameOfCorruptRecord=_RECORD)
-        .schema(schema)
-        .csv(path)
-    )
+    names = list(columns or read_strings(spark, path).columns)
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, _RECORD]])
+    options = {**DIALECT, "header": not columns, "columnNameOfCorruptRecord": _RECORD}
+    scanned = spark.read.options(**options).schema(schema).csv(path)
     record = F.col(_RECORD)
-    ragged = record.isNotNull() & (_separators(record) >= len(columns))
-    return scanned.select(*[F.col(f"`{c}`") for c in columns], ragged.alias(RAGGED))
+    ragged = record.isNotNull() & (_separators(record) >= len(names))
+    return scanned.select(*[F.col(f"`{c}`") for c in names], ragged.alias(RAGGED))
 
 
 def preview(df: DataFrame, order_by: list[str], rows: int = 10) -> DataFrame:
