@@ -58,9 +58,12 @@ def daily_series(
 ) -> DataFrame:
     """Row count, sums and averages per calendar day, for streams and tables alike.
 
-    On a stream the watermark lets finished days leave the state.
+    Days are those of the written, zone-free time. On a stream the watermark lets
+    finished days leave the state.
     """
-    rows = df.withWatermark(moment, lateness) if df.isStreaming else df
+    rows = df.withColumn(moment, V.timestamp(df, moment))
+    if df.isStreaming:
+        rows = rows.withWatermark(moment, lateness)
     statistics = [F.count("*").alias("row_count")]
     for measure in measures:
         value = V.number(df, measure)

@@ -87,7 +87,7 @@ def _breakdown(
     cut = f"LIMIT {limit}" if limit else ""
     return f"""
         SELECT row_number() OVER (ORDER BY s {order}, value) AS rank, value,
-               round(s, 4) AS amount, round(s / sum(s) OVER () * 100, 4) AS share_pct
+               round(s + 1e-8, 4) AS amount, round(s / sum(s) OVER () * 100 + 1e-8, 4) AS share_pct
         FROM (SELECT {dimension} AS value, sum({metric}) AS s FROM {view}
               WHERE {where} GROUP BY {dimension})
         ORDER BY s {order}, value {cut}"""
@@ -96,16 +96,16 @@ def _breakdown(
 def _cross(parent: str, child: str, metric: str, limit: int, where: str = "true") -> str:
     return f"""
         SELECT row_number() OVER (ORDER BY s DESC, parent, child) AS rank, parent, child,
-               round(s, 4) AS amount,
-               round(s / sum(s) OVER (PARTITION BY parent) * 100, 4) AS parent_share_pct
+               round(s + 1e-8, 4) AS amount,
+               round(s / sum(s) OVER (PARTITION BY parent) * 100 + 1e-8, 4) AS parent_share_pct
         FROM (SELECT {parent} AS parent, {child} AS child, sum({metric}) AS s
               FROM sales_lines WHERE {where} GROUP BY ALL)
         ORDER BY s DESC, parent, child LIMIT {limit}"""
 
 
 _WHERE = "lower(trim(category)) = 'a' AND lower(trim(region)) = 'f'"
-_SUMMARY = """count(*) AS row_count, round(sum(amount), 4) AS total, round(avg(amount), 4) AS average,
-              round(min(amount), 4) AS minimum, round(max(amount), 4) AS maximum"""
+_SUMMARY = """count(*) AS row_count, round(sum(amount) + 1e-8, 4) AS total, round(avg(amount) + 1e-8, 4) AS average,
+              round(min(amount) + 1e-8, 4) AS minimum, round(max(amount) + 1e-8, 4) AS maximum"""
 
 
 def contributions_sql(metric: str) -> str:
@@ -154,12 +154,12 @@ ORACLE = {
     ),
     "contribution": sql(_breakdown("sales_lines", "product", "amount", None), "sales_lines"),
     "dimension_contributions": sql(
-        "SELECT dimension, value, round(s, 4) AS amount FROM contributions",
+        "SELECT dimension, value, round(s + 1e-8, 4) AS amount FROM contributions",
         "sales_lines",
         contributions=contributions_sql("quantity"),
     ),
     "contributors": sql(
-        f"""SELECT dimension, value, round(s, 4) AS amount, round(share, 4) AS share_pct
+        f"""SELECT dimension, value, round(s + 1e-8, 4) AS amount, round(share + 1e-8, 4) AS share_pct
             FROM ({CONTRIBUTORS})""",
         "sales_lines",
         contributions=contributions_sql("amount"),

@@ -153,15 +153,15 @@ QUERIES = {
 
 
 def _statistics(measure: str, stddev: bool = True) -> str:
-    spread = f"round(stddev_pop({measure}), 4) AS {measure}_stddev," if stddev else ""
+    spread = f"round(stddev_pop({measure}) + 1e-8, 4) AS {measure}_stddev," if stddev else ""
     return f"""
-        round(sum({measure}), 4) AS {measure}_sum, round(avg({measure}), 4) AS {measure}_avg,
-        round(min({measure}), 4) AS {measure}_min, round(max({measure}), 4) AS {measure}_max,
+        round(sum({measure}) + 1e-8, 4) AS {measure}_sum, round(avg({measure}) + 1e-8, 4) AS {measure}_avg,
+        round(min({measure}) + 1e-8, 4) AS {measure}_min, round(max({measure}) + 1e-8, 4) AS {measure}_max,
         {spread}
-        round(median({measure}), 4) AS {measure}_median,
-        round(quantile_cont({measure}, 0.25), 4) AS {measure}_p25,
-        round(quantile_cont({measure}, 0.75), 4) AS {measure}_p75,
-        round(quantile_cont({measure}, 0.95), 4) AS {measure}_p95"""
+        round(median({measure}) + 1e-8, 4) AS {measure}_median,
+        round(quantile_cont({measure}, 0.25) + 1e-8, 4) AS {measure}_p25,
+        round(quantile_cont({measure}, 0.75) + 1e-8, 4) AS {measure}_p75,
+        round(quantile_cont({measure}, 0.95) + 1e-8, 4) AS {measure}_p95"""
 
 
 _GROUP_STATS = sql(
@@ -204,8 +204,8 @@ _MONTHS = """
 
 ORACLE = {
     "simple_aggregate": """
-        SELECT c_mktsegment, count(*) AS row_count, round(sum(c_acctbal), 4) AS c_acctbal_sum,
-               round(avg(c_acctbal), 4) AS c_acctbal_avg FROM customer GROUP BY c_mktsegment""",
+        SELECT c_mktsegment, count(*) AS row_count, round(sum(c_acctbal) + 1e-8, 4) AS c_acctbal_sum,
+               round(avg(c_acctbal) + 1e-8, 4) AS c_acctbal_avg FROM customer GROUP BY c_mktsegment""",
     "gold_group_stats": _GROUP_STATS,
     "gold_group_stats_spread": _GROUP_STATS,
     "gold_group_stats_by_product": sql(
@@ -239,29 +239,29 @@ ORACLE = {
     ),
     "percentage_share": sql(
         """SELECT product,
-                  round(amount_sum / sum(amount_sum) OVER () * 100, 4) AS amount_percentage,
-                  round(quantity_sum / sum(quantity_sum) OVER () * 100, 4) AS quantity_percentage
+                  round(amount_sum / sum(amount_sum) OVER () * 100 + 1e-8, 4) AS amount_percentage,
+                  round(quantity_sum / sum(quantity_sum) OVER () * 100 + 1e-8, 4) AS quantity_percentage
            FROM by_product""",
         "sales_lines",
         by_product=_BY_PRODUCT,
     ),
     "kpi_performance": sql(
-        """SELECT product, round(share, 4) AS amount_share_pct, label AS amount_performance
+        """SELECT product, round(share + 1e-8, 4) AS amount_share_pct, label AS amount_performance
            FROM labelled""",
         "sales_lines",
         by_product=_BY_PRODUCT,
         labelled=_LABELLED,
     ),
     "anomaly_flags": sql(
-        """SELECT product, round(z, 4) AS amount_z_score, z >= 2.0 AS amount_anomaly
+        """SELECT product, round(z + 1e-8, 4) AS amount_z_score, z >= 2.0 AS amount_anomaly
            FROM (SELECT product, abs((amount_avg - avg(amount_avg) OVER ())
                         / stddev_pop(amount_avg) OVER ()) AS z FROM by_product)""",
         "sales_lines",
         by_product=_BY_PRODUCT,
     ),
     "ranking": sql(
-        """SELECT product, category, row_count, round(amount_sum, 4) AS amount_sum,
-                  round(quantity_sum, 4) AS quantity_sum, amount_rank, quantity_rank,
+        """SELECT product, category, row_count, round(amount_sum + 1e-8, 4) AS amount_sum,
+                  round(quantity_sum + 1e-8, 4) AS quantity_sum, amount_rank, quantity_rank,
                   amount_rank <= 10 AS amount_top_10, amount_rank > n - 10 AS amount_bottom_10,
                   quantity_rank <= 10 AS quantity_top_10,
                   quantity_rank > n - 10 AS quantity_bottom_10 FROM ranks""",
@@ -276,7 +276,7 @@ ORACLE = {
         labelled=_LABELLED,
     ),
     "top_segment": sql(
-        """SELECT category, region, round(sum(amount), 4) AS amount_sum FROM sales_lines
+        """SELECT category, region, round(sum(amount) + 1e-8, 4) AS amount_sum FROM sales_lines
            GROUP BY category, region ORDER BY sum(amount) DESC, category, region LIMIT 1""",
         "sales_lines",
     ),
@@ -287,16 +287,16 @@ ORACLE = {
     ),
     "gold_kpis": sql(
         """SELECT count(DISTINCT (category, region)) AS groups, count(*) AS row_count,
-                  round(sum(amount), 4) AS total_amount, round(sum(quantity), 4) AS total_quantity,
+                  round(sum(amount) + 1e-8, 4) AS total_amount, round(sum(quantity) + 1e-8, 4) AS total_quantity,
                   'PASS' AS quality, 'PASS' AS reconciliation FROM sales_lines""",
         "sales_lines",
     ),
     "gold_analytics": sql(
-        """SELECT * EXCLUDE (s, a, n, z), round(s / total * 100, 4) AS amount_percentage,
-                  round(s / total * 100, 4) AS amount_share_pct,
+        """SELECT * EXCLUDE (s, a, n, z), round(s / total * 100 + 1e-8, 4) AS amount_percentage,
+                  round(s / total * 100 + 1e-8, 4) AS amount_share_pct,
                   CASE WHEN s >= total / n THEN 'HIGH' ELSE 'LOW' END AS amount_performance,
                   amount_rank <= 10 AS amount_top_10, amount_rank > n - 10 AS amount_bottom_10,
-                  round(z, 4) AS amount_z_score, z >= 2.0 AS amount_anomaly
+                  round(z + 1e-8, 4) AS amount_z_score, z >= 2.0 AS amount_anomaly
            FROM (SELECT * EXCLUDE (total), total FROM (
                    SELECT *, sum(s) OVER () AS total, count(*) OVER () AS n,
                           row_number() OVER (ORDER BY s DESC, status, category) AS amount_rank,

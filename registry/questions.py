@@ -198,18 +198,18 @@ ORACLE = {
     # The question names part 10 first by length and alphabet, and the letters a, r, f
     # and o of its words are values of the short dimensions.
     "question_answer": sql(
-        """SELECT 'filtered_summary' AS part, NULL AS label, round(sum(amount), 4) AS amount
+        """SELECT 'filtered_summary' AS part, NULL AS label, round(sum(amount) + 1e-8, 4) AS amount
            FROM sales_lines WHERE product = 'part 10' AND category = 'A' AND region = 'F'
            UNION ALL
-           SELECT 'region_breakdown', region, round(sum(amount), 4) FROM sales_lines
+           SELECT 'region_breakdown', region, round(sum(amount) + 1e-8, 4) FROM sales_lines
            WHERE product = 'part 10' AND category = 'A' GROUP BY region
            UNION ALL
-           SELECT 'comparison', product, round(sum(amount), 4) FROM sales_lines
+           SELECT 'comparison', product, round(sum(amount) + 1e-8, 4) FROM sales_lines
            WHERE product IN ('part 10', 'part 11', 'part 1') GROUP BY product
            UNION ALL
            SELECT * FROM (
              SELECT 'detail_time_series', strftime(transaction_date, '%Y-%m'),
-                    round(sum(amount), 4) FROM sales_lines
+                    round(sum(amount) + 1e-8, 4) FROM sales_lines
              WHERE product = 'part 10' AND category = 'A' AND region = 'F'
              GROUP BY ALL ORDER BY 2 DESC LIMIT 24)""",
         "sales_lines",

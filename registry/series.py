@@ -80,23 +80,23 @@ _SUMMARY = """
 ORACLE = {
     "monthly_series": sql(
         """SELECT period, CAST(period[1:4] AS INTEGER) AS year, CAST(period[6:7] AS INTEGER) AS month,
-                  row_count, round(amount_sum, 4) AS amount_sum, round(amount_avg, 4) AS amount_avg,
-                  round(quantity_sum, 4) AS quantity_sum, round(quantity_avg, 4) AS quantity_avg
+                  row_count, round(amount_sum + 1e-8, 4) AS amount_sum, round(amount_avg + 1e-8, 4) AS amount_avg,
+                  round(quantity_sum + 1e-8, 4) AS quantity_sum, round(quantity_avg + 1e-8, 4) AS quantity_avg
            FROM months""",
         "sales_lines",
         months=MONTHS,
     ),
     "growth_trend": sql(
-        f"""SELECT period, round(amount_growth, 4) AS amount_growth_pct,
+        f"""SELECT period, round(amount_growth + 1e-8, 4) AS amount_growth_pct,
                    {TREND.format("amount")} AS amount_trend,
-                   round(quantity_growth, 4) AS quantity_growth_pct,
+                   round(quantity_growth + 1e-8, 4) AS quantity_growth_pct,
                    {TREND.format("quantity")} AS quantity_trend FROM grown""",
         "sales_lines",
         months=MONTHS,
         grown=GROWN,
     ),
     "yoy_growth": sql(
-        """SELECT m.period, CASE WHEN y.s <> 0 THEN round((m.s - y.s) / abs(y.s) * 100, 4) END
+        """SELECT m.period, CASE WHEN y.s <> 0 THEN round((m.s - y.s) / abs(y.s) * 100 + 1e-8, 4) END
                   AS amount_yoy_growth_pct
            FROM months m LEFT JOIN months y ON y.d = m.d - INTERVAL 1 YEAR""",
         "sales_orders",
@@ -111,7 +111,7 @@ ORACLE = {
         grown=GROWN,
     ),
     "filtered_series": sql(
-        """SELECT period, round(s, 4) AS metric,
+        """SELECT period, round(s + 1e-8, 4) AS metric,
                   CASE WHEN p <> 0 THEN round((s - p) / p * 100, 2) END AS growth_pct
            FROM (SELECT *, lag(s) OVER (ORDER BY period) AS p FROM
                  (SELECT strftime(transaction_date, '%Y-%m') AS period, sum(quantity) AS s
@@ -120,7 +120,7 @@ ORACLE = {
         "sales_lines",
     ),
     "latest_period": sql(
-        f"""SELECT period, row_count, round(amount_growth, 4) AS amount_growth_pct,
+        f"""SELECT period, row_count, round(amount_growth + 1e-8, 4) AS amount_growth_pct,
                    {TREND.format("amount")} AS amount_trend
             FROM grown ORDER BY period DESC LIMIT 1""",
         "sales_lines",

@@ -128,7 +128,7 @@ ORACLE = {
     ),
     "signals": _found(
         """SELECT CAST(row_number() OVER (ORDER BY n) - 1 AS INTEGER) AS position, type, severity,
-                  title, round(value, 4) AS value, state, message FROM found"""
+                  title, round(value + 1e-8, 4) AS value, state, message FROM found"""
     ),
     "signal_actions": _found(
         """SELECT action FROM (SELECT action, min(n) AS n FROM found WHERE action IS NOT NULL

@@ -204,13 +204,13 @@ ORACLE = {
         SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, c_mktsegment FROM customer""",
     "silver_write": sql("SELECT * FROM dirty_orders", "dirty_orders"),
     "gold_detail_roundtrip": sql(
-        """SELECT 'detail' AS product, count(*) AS row_count, round(sum(amount), 4) AS amount
+        """SELECT 'detail' AS product, count(*) AS row_count, round(sum(amount) + 1e-8, 4) AS amount
            FROM sales_lines
            UNION ALL
-           SELECT 'analytics', count(*), round(sum(s), 4)
+           SELECT 'analytics', count(*), round(sum(s) + 1e-8, 4)
            FROM (SELECT sum(amount) AS s FROM sales_lines GROUP BY category, region)
            UNION ALL
-           SELECT 'time_series', count(*), round(sum(s), 4)
+           SELECT 'time_series', count(*), round(sum(s) + 1e-8, 4)
            FROM (SELECT sum(amount) AS s FROM sales_lines
                  GROUP BY strftime(transaction_date, '%Y-%m'))""",
         "sales_lines",

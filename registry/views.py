@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DECIMALS = 4
+NUDGE = 1e-8
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -102,9 +103,12 @@ def union_all(parts: Sequence[str]) -> str:
 
 
 def rounded(df: DataFrame, decimals: int = DECIMALS) -> DataFrame:
-    """Doubles to a fixed number of decimals, as their sums depend on row order."""
+    """Doubles to a fixed number of decimals, as the last bits of a sum depend on the
+    order of its rows. An average of cents often lies exactly half-way between two
+    rounded values; the nudge, far above those bits, makes it go the same way always.
+    The SQL adds the same nudge."""
     doubles = {
-        f.name: F.round(f.name, decimals)
+        f.name: F.round(F.col(f.name) + NUDGE, decimals)
         for f in df.schema.fields
         if f.dataType.simpleString() == "double"
     }

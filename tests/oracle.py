@@ -1,6 +1,6 @@
 """Compare registered queries with their SQL in DuckDB.
 
-Usage: python -m tests.oracle [--sf DIR] [name ...]
+Usage: python -m tests.oracle [--sf DIR] [--zone ZONE] [--partitions N] [name ...]
 """
 
 from __future__ import annotations
@@ -20,17 +20,17 @@ TABLES = (
 ).split()
 
 
-def session(cpus: str = "8") -> SparkSession:
+def session(cpus: str = "8", zone: str = "UTC", partitions: str = "8") -> SparkSession:
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("orefold-tests")
         .config("spark.ui.enabled", "false")
-        .config("spark.sql.shuffle.partitions", "8")
-        .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.shuffle.partitions", partitions)
+        .config("spark.sql.session.timeZone", zone)
         .config("spark.driver.memory", "8g")
         .getOrCreate()
     )
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     return spark
 
 
@@ -87,9 +87,12 @@ def main() -> int:
 
     parser = argparse.ArgumentParser()
     parser.add_argument("--sf", default="/root/testdata/sf0.01")
+    parser.add_argument("--zone", default="UTC")
+    parser.add_argument("--partitions", default="8")
     parser.add_argument("names", nargs="*")
     args = parser.parse_args()
-    spark, connection = session(), oracle(args.sf)
+    spark = session(zone=args.zone, partitions=args.partitions)
+    connection = oracle(args.sf)
     bad = 0
     for name in args.names or QUERIES:
         start = time.time()
