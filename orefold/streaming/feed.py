@@ -61,7 +61,10 @@ def daily_series(
     Days are those of the written, zone-free time. On a stream the watermark lets
     finished days leave the state.
     """
-    rows = df.withColumn(moment, V.timestamp(df, moment))
+    # Time windows are cut at UTC midnight, so the clock is shifted there and back.
+    zone = F.current_timezone()
+    written = V.timestamp(df, moment).cast("timestamp")
+    rows = df.withColumn(moment, F.from_utc_timestamp(written, zone))
     if df.isStreaming:
         rows = rows.withWatermark(moment, lateness)
     statistics = [F.count("*").alias("row_count")]
@@ -73,7 +76,7 @@ def daily_series(
         ]
     days = rows.groupBy(F.window(moment, "1 day"), *keys).agg(*statistics)
     return days.select(
-        F.date_format("window.start", "yyyy-MM-dd").alias("period"),
+        F.date_format(F.to_utc_timestamp("window.start", zone), "yyyy-MM-dd").alias("period"),
         *[c for c in days.columns if c != "window"],
     )
 
