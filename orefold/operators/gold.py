@@ -13,9 +13,10 @@ from orefold.operators.joins import join_by
 from orefold.operators.ordered import exact_percentiles, with_position
 
 PERCENTILES = {"median": 0.5, "p25": 0.25, "p75": 0.75, "p95": 0.95}
-# Up to this many rows in the largest group, the built-in percentile's table of
-# distinct values per group surely fits in a task; larger groups are spread out.
-SMALL_GROUP_ROWS = 1_000_000
+# The built-in percentile keeps a table of distinct values per group, and a task holds
+# those of up to 128 groups at a time. With at most this many rows in the largest group
+# that is about a gigabyte at worst; larger groups are spread over the cluster.
+SMALL_GROUP_ROWS = 100_000
 ANOMALY_Z_SCORE = 2.0
 ANOMALY_MIN_GROUPS = 3
 TOP_N = 10

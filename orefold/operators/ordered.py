@@ -43,7 +43,9 @@ def with_position(
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     pieces = pieces.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
-    pieces = pieces.select(*group, "_part", "_first", "_before")
+    # Written, its true size is known to the planner: it is broadcast when small, and
+    # joined by partition and group, both spread evenly, when it is not.
+    pieces = materialize(pieces.select(*group, "_part", "_first", "_before"), "pieces")
     joined = join_by(written, pieces, [*group, "_part"])
     position = F.col("_before") + F.col("_row") - F.col("_first") + 1
     return joined.select(*[F.col(f"`{c}`") for c in kept], position.alias(name))
@@ -100,7 +102,7 @@ def exact_percentiles(
             for position in (low, high)
         ],
     )
-    pieces = pieces.filter(piece_holds_one).drop("_rows")
+    pieces = materialize(pieces.filter(piece_holds_one).drop("_rows"), "pieces")
 
     # Only the pieces that hold a wanted position are counted through, each one no
     # larger than a range partition.

@@ -35,18 +35,21 @@ CHECK_NAMES = (
 FAILED_STATES = ("FAIL", "FAILED", "ERROR")
 
 
-def _total(conditions: Sequence[Column]) -> Column:
-    """How many cells meet their condition, over all columns and rows."""
+def _weighted(conditions: Sequence[Column]) -> Column:
+    """How many cells meet their condition, over distinct rows with their copies."""
     if not conditions:
         return F.lit(0).cast("bigint")
-    per_row = reduce(lambda a, b: a + b, [c.cast("int") for c in conditions])
-    return F.coalesce(F.sum(per_row), F.lit(0)).cast("bigint")
+    per_row = reduce(lambda a, b: a + b, [c.cast("bigint") for c in conditions])
+    return F.coalesce(F.sum(per_row * F.col("copies")), F.lit(0))
 
 
-def _repeats(groups: DataFrame, size: str = "copies") -> Column:
-    """Rows beyond the first of every group, as one number."""
-    counted = groups.agg(F.coalesce(F.sum(F.col(size) - 1), F.lit(0)).alias("repeats"))
-    return counted.scalar()
+def _rows() -> Column:
+    return F.coalesce(F.sum("copies"), F.lit(0))
+
+
+def _repeats() -> Column:
+    """Rows beyond the first of every group."""
+    return F.coalesce(F.sum(F.col("copies") - 1), F.lit(0))
 
 
 def duplicate_groups(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -61,19 +64,19 @@ def duplicate_groups(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
 
 def duplicate_row_count(df: DataFrame) -> DataFrame:
     """Rows beyond the first copy."""
-    return duplicate_groups(df).agg(
-        F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("duplicate_rows")
-    )
+    return duplicate_groups(df).agg(_repeats().alias("duplicate_rows"))
 
 
-def _key_groups(df: DataFrame, name: str) -> DataFrame:
-    key = V.text(df, name)
-    return (
-        df.select(key.alias("raw"))
-        .filter(~V.is_missing(F.col("raw")))
-        .groupBy(V.strip(F.col("raw")).alias("key"))
-        .agg(F.count("*").alias("copies"))
-    )
+def _key_duplicates(groups: DataFrame, name: str) -> Column:
+    """Repeats of a key's trimmed values, from row groups, as one number.
+
+    Missing keys are passed over after the grouping: a filter before it would change
+    the shuffle below, which then could not be shared.
+    """
+    key = V.strip(V.present(V.text(groups, name)))
+    keys = groups.groupBy(key.alias("key")).agg(F.sum("copies").alias("copies"))
+    repeats = F.sum(F.when(F.col("key").isNotNull(), F.col("copies") - 1))
+    return keys.agg(F.coalesce(repeats, F.lit(0))).scalar()
 
 
 def key_uniqueness(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -143,30 +146,29 @@ def quality_counters(
 ) -> DataFrame:
     """All counters of the report in one row; ``ragged`` names a row flag column.
 
-    The counters that need no grouping share one scan. Row and key duplicates come
-    from their own pre-aggregated groupings, as scalar subqueries.
+    The rows are read once and grouped into distinct rows with their copies, which the
+    duplicate check needs anyway. All other counters weigh these groups by copies; the
+    key counters, as scalar subqueries, reuse the same shuffle.
     """
+    groups = duplicate_groups(df)
     names = [c.name for c in columns if c.name in df.columns]
-    cells = {name: V.text(df, name) for name in names}
     data = [c for c in df.columns if c != ragged]
-    empty_row = reduce(
-        lambda a, b: a & b, [V.is_missing(V.text(df, name)) for name in data]
-    )
+    missing = {c: V.is_missing(V.text(df, c)) for c in data}
     errors = [e for c in columns if c.name in names if (e := _type_error(df, c)) is not None]
-    inconsistent = F.count_if(F.col(ragged)) if ragged else F.lit(0).cast("bigint")
-    counters = df.agg(
-        F.count("*").alias("row_count"),
-        F.count_if(empty_row).alias("empty_rows"),
-        _total([V.is_missing(v) for v in cells.values()]).alias("null_values"),
-        _total(errors).alias("type_errors"),
-        inconsistent.alias("inconsistent_rows"),
+    counters = groups.agg(
+        _rows().alias("row_count"),
+        _weighted([reduce(lambda a, b: a & b, missing.values())]).alias("empty_rows"),
+        _weighted([missing[c] for c in names]).alias("null_values"),
+        _weighted(errors).alias("type_errors"),
+        _weighted([F.col(ragged)] if ragged else []).alias("inconsistent_rows"),
+        _repeats().alias("duplicate_rows"),
     )
     keys = [c.name for c in columns if c.role == "KEY" and c.name in names]
     flagged = [c.name for c in columns if c.key_type == "PRIMARY" and c.name in keys]
     strong = [k for k in keys if k.lower() in STRONG_KEY_NAMES]
     primary = flagged or strong
     if primary:
-        duplicates = [_repeats(_key_groups(df, k)) for k in primary]
+        duplicates = [_key_duplicates(groups, k) for k in primary]
         key_duplicates = reduce(lambda a, b: a + b, duplicates)
         key_found = F.lit(True)
     elif keys:
@@ -186,10 +188,7 @@ def quality_counters(
         key_duplicates = F.lit(0).cast("bigint")
         key_found = F.lit(False)
     return counters.select(
-        "*",
-        _repeats(duplicate_groups(df, data)).alias("duplicate_rows"),
-        key_duplicates.alias("duplicate_ids"),
-        key_found.alias("key_found"),
+        "*", key_duplicates.alias("duplicate_ids"), key_found.alias("key_found")
     )
 
 
@@ -238,10 +237,11 @@ def quality_score(report: DataFrame) -> DataFrame:
 
 def quality_check(df: DataFrame) -> DataFrame:
     """Rows, nulls and duplicate rows with a FAIL, CHECK or PASS verdict."""
-    counted = df.agg(
-        F.count("*").alias("row_count"),
-        _total([F.col(f"`{c}`").isNull() for c in df.columns]).alias("null_values"),
-    ).select("*", _repeats(duplicate_groups(df)).alias("duplicate_rows"))
+    counted = duplicate_groups(df).agg(
+        _rows().alias("row_count"),
+        _weighted([F.col(f"`{c}`").isNull() for c in df.columns]).alias("null_values"),
+        _repeats().alias("duplicate_rows"),
+    )
     verdict = (
         F.when(F.col("row_count") == 0, "FAIL")
         .when((F.col("null_values") > 0) | (F.col("duplicate_rows") > 0), "CHECK")
@@ -252,10 +252,11 @@ def quality_check(df: DataFrame) -> DataFrame:
 
 def weighted_score(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """70 % completeness plus 30 % freedom from duplicates; PASS from 80 points."""
-    counted = df.agg(
-        F.count("*").alias("row_count"),
-        _total([V.is_missing(V.text(df, c)) for c in columns]).alias("null_values"),
-    ).select("*", _repeats(duplicate_groups(df, columns)).alias("duplicate_rows"))
+    counted = duplicate_groups(df, columns).agg(
+        _rows().alias("row_count"),
+        _weighted([V.is_missing(V.text(df, c)) for c in columns]).alias("null_values"),
+        _repeats().alias("duplicate_rows"),
+    )
     rows = F.col("row_count")
     cells = rows * len(columns)
     completeness = F.when(cells > 0, (cells - F.col("null_values")) / cells * 100).otherwise(
@@ -281,11 +282,12 @@ def gold_quality(gold: DataFrame) -> DataFrame:
     totals = [c for c in gold.columns if c.endswith(suffixes)]
     empty = reduce(lambda a, b: a & b, [V.is_missing(V.text(gold, c)) for c in gold.columns])
     negatives = [F.coalesce(V.number(gold, c) < 0, F.lit(False)) for c in totals]
-    counted = gold.agg(
-        F.count("*").alias("row_count"),
-        F.count_if(empty).alias("empty_rows"),
-        _total(negatives).alias("negative_metric_values"),
-    ).select("*", _repeats(duplicate_groups(gold)).alias("duplicate_rows"))
+    counted = duplicate_groups(gold).agg(
+        _rows().alias("row_count"),
+        _weighted([empty]).alias("empty_rows"),
+        _weighted(negatives).alias("negative_metric_values"),
+        _repeats().alias("duplicate_rows"),
+    )
     findings = [
         (F.col(c) > 0).cast("int")
         for c in ("empty_rows", "duplicate_rows", "negative_metric_values")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from orefold.functions import values as V
 from orefold.functions.columns import QUESTION_DIMENSIONS
+from orefold.session import materialize
 
 # Words that set the number of rows, tried in this order.
 LIMIT_WORDS = (
@@ -104,7 +105,8 @@ def mentioned_values(
     lookup = values.select(
         "dimension", "value", F.lower("value").alias("_stretch")
     ).distinct()
-    lookup = lookup.withColumn("_length", F.length("_stretch"))
+    # Written once, as the values may come from a scan of a whole detail table.
+    lookup = materialize(lookup.withColumn("_length", F.length("_stretch")), "values")
     # At most as many lengths as the longest value has characters.
     sizes = lookup.groupBy("_length").agg(F.count("*").alias("n")).collect()
     lengths = sorted(row["_length"] for row in sizes)

@@ -14,7 +14,7 @@ from orefold.operators.profile import column_stats
 from orefold.operators.signals import decisions
 from orefold.plans.gold import GoldLayout, checked_analytics, time_series
 from orefold.sources.csv import RAGGED, read_with_ragged_flag
-from orefold.sources.sinks import write_gold, write_silver
+from orefold.sources.sinks import write_gold, write_silver, write_table
 
 
 @dataclass(frozen=True)
@@ -76,8 +76,13 @@ def run_table(raw: DataFrame, target: str, gates: Gates = Gates()) -> MedallionR
 def run_file(
     spark: SparkSession, path: str, target: str, gates: Gates = Gates()
 ) -> MedallionRun:
-    """Run one CSV file or folder of equal files."""
-    return run_table(read_with_ragged_flag(spark, path), target, gates)
+    """Run one CSV file or folder of equal files.
+
+    The text is parsed once, into a columnar bronze table that every later pass reads.
+    """
+    bronze = f"{target}/bronze"
+    write_table(read_with_ragged_flag(spark, path), bronze)
+    return run_table(spark.read.parquet(bronze), target, gates)
 
 
 def gold_decisions(gold: DataFrame, layout: GoldLayout) -> DataFrame:

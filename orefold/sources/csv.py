@@ -82,16 +82,23 @@ def read_with_ragged_flag(
 ) -> DataFrame:
     """All-text scan plus a flag on rows with more fields than the header.
 
-    Rows with fewer fields are padded with nulls and count as consistent. Only
-    records that Spark reports as malformed are looked at twice. Files without a
-    header are read with the given ``columns``.
+    Rows with fewer fields are padded with nulls and count as consistent, so a
+    malformed record is too long if its last column is filled; only otherwise its
+    separators are counted. Files without a header are read with the given
+    ``columns``. The parser must see whole records even if few columns are wanted.
     """
     names = list(columns or read_strings(spark, path).columns)
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, _RECORD]])
-    options = {**DIALECT, "header": not columns, "columnNameOfCorruptRecord": _RECORD}
+    options = {
+        **DIALECT,
+        "header": not columns,
+        "columnNameOfCorruptRecord": _RECORD,
+        "columnPruning": False,
+    }
     scanned = spark.read.options(**options).schema(schema).csv(path)
     record = F.col(_RECORD)
-    ragged = record.isNotNull() & (_separators(record) >= len(names))
+    too_long = F.col(f"`{names[-1]}`").isNotNull() | (_separators(record) >= len(names))
+    ragged = F.coalesce(record.isNotNull() & too_long, F.lit(False))
     return scanned.select(*[F.col(f"`{c}`") for c in names], ragged.alias(RAGGED))
 
 

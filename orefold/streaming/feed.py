@@ -10,7 +10,9 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from orefold.functions import values as V
+from orefold.plans.medallion import Gates, run_table
 from orefold.sources.csv import DIALECT, SOURCE_FILE
+from orefold.sources.sinks import write_table
 
 BatchHandler = Callable[[DataFrame, int], None]
 
@@ -49,6 +51,30 @@ def ignore_existing(stream: DataFrame, checkpoint: str) -> None:
     start_feed(stream, lambda batch, batch_id: None, checkpoint).awaitTermination()
 
 
+def refine_new_files(
+    spark: SparkSession,
+    folder: str,
+    schema: T.StructType,
+    target: str,
+    checkpoint: str,
+    gates: Gates = Gates(),
+    interval: str | None = None,
+) -> StreamingQuery:
+    """Take every new file of a folder through bronze, silver and gold.
+
+    Each file becomes a run of its own below ``target``. A run that is repeated after
+    a failure overwrites its own tables.
+    """
+
+    def refine(batch: DataFrame, batch_id: int) -> None:
+        run = f"{target}/run_id={batch_id}"
+        write_table(batch.drop(SOURCE_FILE), f"{run}/bronze")
+        run_table(spark.read.parquet(f"{run}/bronze"), run, gates)
+
+    stream = new_files(spark, folder, schema, files_per_batch=1)
+    return start_feed(stream, refine, checkpoint, interval)
+
+
 def daily_series(
     df: DataFrame,
     moment: str,

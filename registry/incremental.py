@@ -110,6 +110,18 @@ def stream_new_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(result).select("id", "name")
 
 
+def stream_medallion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw orders arrive as two files; the silver rows of both runs."""
+    folder, target = scratch_path(spark, "arrivals"), scratch_path(spark, "runs")
+    dirty = dirty_orders(spark, sf_dir)
+    write_table(dirty.repartition(2), folder, format="csv")
+    feed.refine_new_files(
+        spark, folder, dirty.schema, target, scratch_path(spark, "state")
+    ).awaitTermination()
+    first, second = [spark.read.parquet(f"{target}/run_id={run}/silver") for run in (0, 1)]
+    return first.unionByName(second)
+
+
 def _stream(spark: SparkSession, df: DataFrame) -> DataFrame:
     folder = scratch_path(spark, "stream")
     write_table(df.repartition(6), folder, format="csv")
@@ -144,6 +156,7 @@ QUERIES = {
     "incremental_tail_sequence": incremental_tail_sequence,
     "incremental_new_rows": incremental_new_rows,
     "stream_new_files": stream_new_files,
+    "stream_medallion": stream_medallion,
     "stream_series": stream_series,
     "stream_daily_series": stream_daily_series,
 }
@@ -203,6 +216,11 @@ ORACLE = {
         "dirty_orders",
     ),
     "stream_new_files": "SELECT s_suppkey AS id, s_name AS name FROM supplier",
+    "stream_medallion": sql(
+        """SELECT CAST(order_id AS BIGINT) AS order_id, CAST(customer_id AS BIGINT) AS customer_id,
+                  nullif(trim(category), '') AS category, amount, order_date FROM dirty_orders""",
+        "dirty_orders",
+    ),
     "stream_series": sql(
         """SELECT strftime(transaction_date, '%Y-%m') AS period,
                   CAST(year(transaction_date) AS INTEGER) AS year,
