@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,9 +47,18 @@ _DAY_FIRST = r"^(\d{1,2})([-/])(\d{1,2})\2(\d{4})$"
 _COMPACT = r"^(\d{4})(\d{2})(\d{2})$"
 
 
+def col(name: str) -> Column:
+    """The column of exactly this name, which may hold dots and spaces."""
+    return F.col(f"`{name}`")
+
+
+def cols(names: Iterable[str]) -> list[Column]:
+    return [col(name) for name in names]
+
+
 def text(df: DataFrame, name: str) -> Column:
     """A column as text, whatever its type."""
-    column = F.col(f"`{name}`")
+    column = col(name)
     if isinstance(df.schema[name].dataType, T.StringType):
         return column
     return column.cast("string")
@@ -115,7 +126,7 @@ def coerce_number(value: Column) -> Column:
 
 def number(df: DataFrame, name: str, lenient: bool = True) -> Column:
     """A measure column as double; typed columns pass through, NaN counts as null."""
-    column = F.col(f"`{name}`")
+    column = col(name)
     kind = df.schema[name].dataType
     if isinstance(kind, T.StringType):
         return to_number(column) if lenient else coerce_number(column)
@@ -145,7 +156,7 @@ def parse_date(value: Column) -> Column:
 
 def timestamp(df: DataFrame, name: str) -> Column:
     """A date column as a zone-free timestamp, parsed only when it is text."""
-    column = F.col(f"`{name}`")
+    column = col(name)
     kind = df.schema[name].dataType
     if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         return column.cast("timestamp_ntz")

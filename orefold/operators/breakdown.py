@@ -50,7 +50,7 @@ def breakdown(
     order = [F.asc("amount") if bottom else F.desc("amount"), F.asc("value")]
     rows = amounts.withColumn("share_pct", _share(F.col("amount"), total))
     rows = rows.orderBy(*order).limit(limit)
-    rank = F.row_number().over(Window.orderBy(*order))
+    rank = F.row_number().over(Window.orderBy(*order)).cast("bigint")
     return rows.select(rank.alias("rank"), "value", "amount", "share_pct")
 
 
@@ -76,7 +76,7 @@ def cross_breakdown(
     )
     # At most `limit` rows are broadcast.
     rows = totals.join(F.broadcast(top), F.col("total_of").eqNullSafe(F.col("parent")))
-    rank = F.row_number().over(Window.orderBy(*order))
+    rank = F.row_number().over(Window.orderBy(*order)).cast("bigint")
     return rows.select(
         rank.alias("rank"),
         "parent",
@@ -169,7 +169,7 @@ def dimension_contributions(
         *[V.present(V.text(df, d)).alias(d) for d in dimensions],
         V.number(df, metric, lenient=False).alias("_amount"),
     ).filter(F.col("_amount").isNotNull())
-    cells = rows.unpivot(["_amount"], list(dimensions), "dimension", "value")
+    cells = rows.unpivot(["_amount"], V.cols(dimensions), "dimension", "value")
     return cells.groupBy("dimension", "value").agg(F.sum("_amount").alias("amount"))
 
 

@@ -20,9 +20,9 @@ def clean_strings(df: DataFrame) -> DataFrame:
     return df.select(
         *[
             (
-                F.trim(F.col(f"`{f.name}`")).alias(f.name)
+                F.trim(V.col(f.name)).alias(f.name)
                 if isinstance(f.dataType, T.StringType)
-                else F.col(f"`{f.name}`")
+                else V.col(f.name)
             )
             for f in df.schema.fields
         ]
@@ -110,7 +110,7 @@ def calendar_attributes(df: DataFrame, column: str, prefix: str = "date") -> Dat
         "year_quarter": F.concat_ws("-", F.year(day).cast("string"), quarter),
     }
     return staged.select(
-        *[F.col(f"`{c}`") for c in df.columns],
+        *V.cols(df.columns),
         *[F.when(day.isNotNull(), part).alias(f"{prefix}_{name}") for name, part in parts.items()],
     )
 

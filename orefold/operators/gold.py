@@ -27,15 +27,15 @@ def simple_aggregate(df: DataFrame, group: str, measure: str) -> DataFrame:
     for name in (group, measure):
         if name not in df.columns:
             raise ValueError(f"no such column: {name}")
-    return df.groupBy(group).agg(
+    return df.groupBy(V.col(group)).agg(
         F.count("*").alias("row_count"),
-        F.sum(measure).alias(f"{measure}_sum"),
-        F.avg(measure).alias(f"{measure}_avg"),
+        F.sum(V.col(measure)).alias(f"{measure}_sum"),
+        F.avg(V.col(measure)).alias(f"{measure}_avg"),
     )
 
 
 def _basic(measure: str) -> list[Column]:
-    value = F.col(f"`{measure}`")
+    value = V.col(measure)
     return [
         F.sum(value).alias(f"{measure}_sum"),
         F.avg(value).alias(f"{measure}_avg"),
@@ -52,7 +52,7 @@ def _statistic_names(measures: Sequence[str]) -> list[str]:
 
 def _numbers(df: DataFrame, keep: Sequence[str], measures: Sequence[str]) -> DataFrame:
     return df.select(
-        *[F.col(f"`{c}`") for c in keep], *[V.number(df, m).alias(m) for m in measures]
+        *V.cols(keep), *[V.number(df, m).alias(m) for m in measures]
     )
 
 
@@ -64,7 +64,7 @@ def distinct_counts(
     counts = [
         F.count_distinct(V.present(V.text(df, a))).alias(f"{a}_{suffix}") for a in attributes
     ]
-    return df.groupBy(*dimensions).agg(*counts)
+    return df.groupBy(*V.cols(dimensions)).agg(*counts)
 
 
 def _attach(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -74,7 +74,7 @@ def _attach(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame
     """
     added = [c for c in right.columns if c not in keys]
     if not keys:
-        row = right.select(F.struct(*added)).scalar()
+        row = right.select(F.struct(*V.cols(added))).scalar()
         return left.withColumns({c: row[c] for c in added})
     return join_by(left, right, keys, "left")
 
@@ -94,17 +94,17 @@ def group_stats(
     group are spread over the cluster.
     """
     numbers = _numbers(df, dimensions, measures)
-    grouped = numbers.groupBy(*dimensions)
+    grouped = numbers.groupBy(*V.cols(dimensions))
     statistics = [F.count("*").alias("row_count"), *[e for m in measures for e in _basic(m)]]
-    sizes = df.groupBy(*dimensions).agg(F.count("*").alias("rows"))
+    sizes = df.groupBy(*V.cols(dimensions)).agg(F.count("*").alias("rows"))
     largest = sizes.agg(F.max("rows")).first()[0] or 0
     if largest <= small_group_rows:
         fractions = F.array(*[F.lit(p) for p in PERCENTILES.values()])
         for measure in measures:
-            statistics.append(F.percentile(measure, fractions).alias(f"{measure}_all"))
+            statistics.append(F.percentile(V.col(measure), fractions).alias(f"{measure}_all"))
         result = grouped.agg(*statistics).withColumns(
             {
-                f"{m}_{label}": F.col(f"{m}_all")[i]
+                f"{m}_{label}": V.col(f"{m}_all")[i]
                 for m in measures
                 for i, label in enumerate(PERCENTILES)
             }
@@ -112,7 +112,7 @@ def group_stats(
     else:
         spread = exact_percentiles(numbers, dimensions, measures, PERCENTILES)
         result = _attach(grouped.agg(*statistics), spread, dimensions)
-    result = result.select(*dimensions, "row_count", *_statistic_names(measures))
+    result = result.select(*V.cols([*dimensions, "row_count", *_statistic_names(measures)]))
     if attributes:
         result = _attach(result, distinct_counts(df, dimensions, attributes), dimensions)
     return result
@@ -142,10 +142,10 @@ def gold_totals(gold: DataFrame, measures: Sequence[str]) -> GoldTotals:
         F.count("*").alias("groups"),
         *[
             F.struct(
-                F.sum(f"{m}_sum").alias("total"),
-                F.avg(f"{m}_avg").alias("mean"),
-                F.stddev_pop(f"{m}_avg").alias("std"),
-                F.count(f"{m}_avg").alias("averages"),
+                F.sum(V.col(f"{m}_sum")).alias("total"),
+                F.avg(V.col(f"{m}_avg")).alias("mean"),
+                F.stddev_pop(V.col(f"{m}_avg")).alias("std"),
+                F.count(V.col(f"{m}_avg")).alias("averages"),
             ).alias(f"of_{m}")
             for m in measures
         ],
@@ -165,7 +165,7 @@ def add_percentage_share(
     return gold.withColumns(
         {
             f"{m}_percentage": _share(
-                F.coalesce(F.col(f"{m}_sum"), F.lit(0.0)), totals.measures[m].total
+                F.coalesce(V.col(f"{m}_sum"), F.lit(0.0)), totals.measures[m].total
             )
             for m in measures
         }
@@ -180,12 +180,12 @@ def add_kpis(gold: DataFrame, measures: Sequence[str], totals: GoldTotals) -> Da
     """
     added = {}
     for measure in measures:
-        value, total = F.col(f"{measure}_sum"), totals.measures[measure].total
+        value, total = V.col(f"{measure}_sum"), totals.measures[measure].total
         fair_part = (total or 0.0) / max(totals.groups, 1)
         label = F.when(value >= fair_part, "HIGH").otherwise("LOW")
         added[f"{measure}_share_pct"] = F.when(value.isNotNull(), _share(value, total))
         added[f"{measure}_performance"] = F.when(
-            value.isNotNull() & (F.col(f"{measure}_avg") > 0), label
+            value.isNotNull() & (V.col(f"{measure}_avg") > 0), label
         )
     return gold.withColumns(added)
 
@@ -203,7 +203,7 @@ def add_anomaly_flags(
         z_score, flag = F.lit(None).cast("double"), F.lit(None).cast("boolean")
         if spread.averages >= ANOMALY_MIN_GROUPS:
             if spread.std:
-                z_score = F.abs((F.col(f"{measure}_avg") - spread.mean) / spread.std)
+                z_score = F.abs((V.col(f"{measure}_avg") - spread.mean) / spread.std)
             flag = F.coalesce(z_score >= ANOMALY_Z_SCORE, F.lit(False))
         added[f"{measure}_z_score"] = z_score
         added[f"{measure}_anomaly"] = flag
@@ -226,12 +226,12 @@ def add_rankings(
         ranks = {f"{m}_rank": F.lit(1).cast("bigint") for m in measures}
         return _flag_ranks(gold.withColumns(ranks), measures, totals.groups, n)
     sums = gold.select(
-        *dimensions,
-        *[F.coalesce(F.col(f"{m}_sum"), F.lit(0.0)).alias(m) for m in measures],
-    ).unpivot(list(dimensions), list(measures), "_measure", "_sum")
-    order = [F.desc("_sum"), *[F.asc(d) for d in dimensions]]
+        *V.cols(dimensions),
+        *[F.coalesce(V.col(f"{m}_sum"), F.lit(0.0)).alias(m) for m in measures],
+    ).unpivot(V.cols(dimensions), V.cols(measures), "_measure", "_sum")
+    order = [F.desc("_sum"), *[V.col(d).asc() for d in dimensions]]
     ranked = with_position(sums, ["_measure"], order, "_rank")
-    wide = ranked.groupBy(*dimensions).agg(
+    wide = ranked.groupBy(*V.cols(dimensions)).agg(
         *[
             F.max(F.when(F.col("_measure") == m, F.col("_rank"))).alias(f"{m}_rank")
             for m in measures
@@ -243,7 +243,7 @@ def add_rankings(
 def _flag_ranks(gold: DataFrame, measures: Sequence[str], groups: int, n: int) -> DataFrame:
     flags = {}
     for measure in measures:
-        rank = F.col(f"{measure}_rank")
+        rank = V.col(f"{measure}_rank")
         flags[f"{measure}_top_{n}"] = rank <= n
         flags[f"{measure}_bottom_{n}"] = rank > groups - n
     return gold.withColumns(flags)
@@ -251,11 +251,11 @@ def _flag_ranks(gold: DataFrame, measures: Sequence[str], groups: int, n: int) -
 
 def _best(measure: str, columns: Sequence[str]) -> Column:
     """The group with the largest sum as a struct; ties go by ``columns``, ascending."""
-    value = F.col(f"{measure}_sum")
+    value = V.col(f"{measure}_sum")
     return F.min(
         F.struct(
             (-F.coalesce(value, F.lit(0.0))).alias("_order"),
-            *[F.col(f"`{c}`") for c in columns],
+            *V.cols(columns),
             value.alias("_value"),
         )
     )
@@ -263,7 +263,7 @@ def _best(measure: str, columns: Sequence[str]) -> Column:
 
 def top_segment(gold: DataFrame, dimensions: Sequence[str], measure: str) -> DataFrame:
     """The dimension values of the group with the largest sum."""
-    best = gold.filter(F.col(f"{measure}_sum").isNotNull()).agg(
+    best = gold.filter(V.col(f"{measure}_sum").isNotNull()).agg(
         _best(measure, dimensions).alias("best")
     )
     return best.filter("best is not null").select(
@@ -325,7 +325,7 @@ def gold_kpis(gold: DataFrame, amount: str = "amount", quantity: str = "quantity
 
 def performance_counts(gold: DataFrame, measure: str) -> DataFrame:
     """How many groups carry each performance label."""
-    label = F.col(f"{measure}_performance")
+    label = V.col(f"{measure}_performance")
     return gold.filter(label.isNotNull()).groupBy(label.alias("performance")).agg(
         F.count("*").alias("groups")
     )

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orefold.functions import values as V
 from orefold.operators.ledger import CHECKPOINT_SCHEMA, SKIPPED
 from orefold.operators.ordered import with_position
 
@@ -73,12 +74,12 @@ def tail_rows(df: DataFrame, order: Sequence[Column], start_row: int) -> DataFra
 
 def tail_after(df: DataFrame, sequence: str, last: object) -> DataFrame:
     """The rows beyond the last processed sequence value; a filter the scan can use."""
-    return df.filter(F.col(f"`{sequence}`") > F.lit(last))
+    return df.filter(V.col(sequence) > F.lit(last))
 
 
 def new_rows(df: DataFrame, processed: DataFrame) -> DataFrame:
     """The rows that were not there before, counting copies."""
-    return df.exceptAll(processed.select(*df.columns))
+    return df.exceptAll(processed.select(*V.cols(df.columns)))
 
 
 def commit_checkpoints(status: DataFrame, execution_id: str, path: str) -> None:

@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orefold.functions import values as V
 from orefold.operators.joins import join_by
 from orefold.session import materialize
 
@@ -29,26 +30,26 @@ def with_position(
     ``order`` should be total, so that the positions are determined.
     """
     kept = df.columns
-    spread = df.orderBy(*group, *order).withColumn("_row", F.monotonically_increasing_id())
+    spread = df.orderBy(*V.cols(group), *order).withColumn("_row", F.monotonically_increasing_id())
     written = materialize(spread, "positions")
     part = F.shiftrightunsigned(F.col("_row"), _ROW_BITS)
     written = written.withColumn("_part", part)
     # One record per partition and group met there: partitions + groups in number.
-    pieces = written.groupBy(*group, "_part").agg(
+    pieces = written.groupBy(*V.cols(group), "_part").agg(
         F.count("*").alias("_rows"), F.min("_row").alias("_first")
     )
     earlier = (
-        Window.partitionBy(*group)
+        Window.partitionBy(*V.cols(group))
         .orderBy("_part")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     pieces = pieces.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
     # Written, its true size is known to the planner: it is broadcast when small, and
     # joined by partition and group, both spread evenly, when it is not.
-    pieces = materialize(pieces.select(*group, "_part", "_first", "_before"), "pieces")
+    pieces = materialize(pieces.select(*V.cols(group), "_part", "_first", "_before"), "pieces")
     joined = join_by(written, pieces, [*group, "_part"])
     position = F.col("_before") + F.col("_row") - F.col("_first") + 1
-    return joined.select(*[F.col(f"`{c}`") for c in kept], position.alias(name))
+    return joined.select(*V.cols(kept), position.alias(name))
 
 
 def exact_percentiles(
@@ -62,10 +63,11 @@ def exact_percentiles(
     Nulls are left out; a group without any value gets no row. Equal values are
     combined first, so the sort handles distinct values only.
     """
-    cells = df.select(*dimensions, *measures).unpivot(
-        list(dimensions), list(measures), "_measure", "_value"
+    cells = df.select(*V.cols([*dimensions, *measures])).unpivot(
+        V.cols(dimensions), V.cols(measures), "_measure", "_value"
     )
-    keys = [*dimensions, "_measure"]
+    names = [*dimensions, "_measure"]
+    keys = V.cols(names)
     counts = (
         cells.filter(F.col("_value").isNotNull())
         .groupBy(*keys, "_value")
@@ -106,10 +108,9 @@ def exact_percentiles(
 
     # Only the pieces that hold a wanted position are counted through, each one no
     # larger than a range partition.
-    join_keys = [*keys, "_part"]
-    rows = join_by(written, pieces, join_keys)
+    rows = join_by(written, pieces, [*names, "_part"])
     running = (
-        Window.partitionBy(*join_keys)
+        Window.partitionBy(*keys, "_part")
         .orderBy("_value")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
@@ -133,7 +134,8 @@ def exact_percentiles(
                 value_at(measure, high).alias(f"{name}_high"),
                 F.max(F.when(F.col("_measure") == measure, weight)).alias(f"{name}_weight"),
             ]
-            low_value, high_value = F.col(f"{name}_low"), F.col(f"{name}_high")
-            step = (high_value - low_value) * F.col(f"{name}_weight")
+            low_value, high_value = V.col(f"{name}_low"), V.col(f"{name}_high")
+            step = (high_value - low_value) * V.col(f"{name}_weight")
             results.append((low_value + step).alias(name))
-    return rows.groupBy(*dimensions).agg(*parts).select(*dimensions, *results)
+    groups = V.cols(dimensions)
+    return rows.groupBy(*groups).agg(*parts).select(*groups, *results)

@@ -71,7 +71,7 @@ def _cell_kind(df: DataFrame, name: str) -> Column:
         bit = _BOOLEAN
     else:
         bit = _OTHER
-    return F.when(F.col(f"`{name}`").isNull(), 0).otherwise(bit)
+    return F.when(V.col(name).isNull(), 0).otherwise(bit)
 
 
 def _type_name(kinds: Column, mode: str) -> Column:
@@ -91,9 +91,9 @@ def profile_counts(df: DataFrame) -> DataFrame:
 def null_profile(df: DataFrame) -> DataFrame:
     """Nulls per column, all columns in one aggregation."""
     counted = df.agg(
-        *[F.count_if(F.col(f"`{c}`").isNull()).alias(c) for c in df.columns]
+        *[F.count_if(V.col(c).isNull()).alias(c) for c in df.columns]
     )
-    return counted.unpivot([], df.columns, "name", "null_count")
+    return counted.unpivot([], V.cols(df.columns), "name", "null_count")
 
 
 def discover_schema(df: DataFrame, mode: str = "numeric") -> DataFrame:
@@ -132,7 +132,7 @@ def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     """
     columns = list(columns or df.columns)
     as_text = df.select(*[V.text(df, c).alias(c) for c in columns])
-    cells = as_text.unpivot([], columns, "name", "value")
+    cells = as_text.unpivot([], V.cols(columns), "name", "value")
     return cells.groupBy("name", "value").agg(F.count("*").alias("occurrences"))
 
 
@@ -199,10 +199,10 @@ def numeric_summary(df: DataFrame) -> DataFrame:
     per_column = [
         F.struct(
             F.lit(c).alias("name"),
-            F.min(f"`{c}`").alias("min"),
-            F.max(f"`{c}`").alias("max"),
-            F.round(F.avg(f"`{c}`"), 2).alias("avg"),
-            F.count(f"`{c}`").alias("count"),
+            F.min(V.col(c)).alias("min"),
+            F.max(V.col(c)).alias("max"),
+            F.round(F.avg(V.col(c)), 2).alias("avg"),
+            F.count(V.col(c)).alias("count"),
         )
         for c in df.columns
     ]
@@ -213,7 +213,7 @@ def numeric_summary(df: DataFrame) -> DataFrame:
 def dimension_values(df: DataFrame, dimensions: Sequence[str]) -> DataFrame:
     """Distinct trimmed values of every dimension; sort by length for longest first."""
     cleaned = df.select(*[V.strip(V.text(df, d)).alias(d) for d in dimensions])
-    cells = cleaned.unpivot([], list(dimensions), "dimension", "value")
+    cells = cleaned.unpivot([], V.cols(dimensions), "dimension", "value")
     return (
         cells.filter(F.col("value") != "")
         .groupBy("dimension", "value")

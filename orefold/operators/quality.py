@@ -58,7 +58,7 @@ def duplicate_groups(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
     Copies are combined before the shuffle, so a row repeated very often costs one
     record per input task.
     """
-    keys = [F.col(f"`{c}`") for c in (columns or df.columns)]
+    keys = V.cols(columns or df.columns)
     return df.groupBy(*keys).agg(F.count("*").alias("copies"))
 
 
@@ -82,7 +82,7 @@ def _key_duplicates(groups: DataFrame, name: str) -> Column:
 def key_uniqueness(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Per key column: non-missing values, distinct trimmed values, duplicates."""
     as_text = df.select(*[V.text(df, k).alias(k) for k in keys])
-    cells = as_text.unpivot([], list(keys), "name", "raw")
+    cells = as_text.unpivot([], V.cols(keys), "name", "raw")
     distinct = (
         cells.filter(~V.is_missing(F.col("raw")))
         .groupBy("name", V.strip(F.col("raw")).alias("key"))
@@ -104,7 +104,7 @@ def infer_primary_key(df: DataFrame, columns: Sequence[ColumnRole]) -> DataFrame
     keys = [c.name for c in columns if c.role == "KEY"]
     strong = [k for k in keys if k.lower() in STRONG_KEY_NAMES]
     as_text = df.select(*[V.text(df, k).alias(k) for k in keys])
-    cells = as_text.unpivot([], keys, "name", "value")
+    cells = as_text.unpivot([], V.cols(keys), "name", "value")
     distinct = (
         cells.filter(~V.is_missing(F.col("value")))
         .groupBy("name", "value")
@@ -136,7 +136,7 @@ def type_errors(df: DataFrame, columns: Sequence[ColumnRole]) -> DataFrame:
     errors = {c.name: _type_error(df, c) for c in columns}
     checked = {name: e for name, e in errors.items() if e is not None}
     counted = df.agg(*[F.count_if(e).alias(name) for name, e in checked.items()])
-    return counted.unpivot([], list(checked), "name", "type_errors")
+    return counted.unpivot([], V.cols(checked), "name", "type_errors")
 
 
 def quality_counters(
@@ -239,7 +239,7 @@ def quality_check(df: DataFrame) -> DataFrame:
     """Rows, nulls and duplicate rows with a FAIL, CHECK or PASS verdict."""
     counted = duplicate_groups(df).agg(
         _rows().alias("row_count"),
-        _weighted([F.col(f"`{c}`").isNull() for c in df.columns]).alias("null_values"),
+        _weighted([V.col(c).isNull() for c in df.columns]).alias("null_values"),
         _repeats().alias("duplicate_rows"),
     )
     verdict = (

@@ -42,15 +42,15 @@ def monthly_series(df: DataFrame, date: str, measures: Sequence[str]) -> DataFra
     statistics = []
     for measure in measures:
         statistics += [
-            F.sum(measure).alias(f"{measure}_sum"),
-            F.avg(measure).alias(f"{measure}_avg"),
+            F.sum(V.col(measure)).alias(f"{measure}_sum"),
+            F.avg(V.col(measure)).alias(f"{measure}_avg"),
         ]
     months = rows.groupBy("_month").agg(F.count("*").alias("row_count"), *statistics)
     return months.select(
         _period(F.col("_month")).alias("period"),
         F.floor(F.col("_month") / 12).cast("int").alias("year"),
         (F.pmod("_month", F.lit(12)) + 1).cast("int").alias("month"),
-        *[c for c in months.columns if c != "_month"],
+        *V.cols(c for c in months.columns if c != "_month"),
     )
 
 
@@ -59,7 +59,7 @@ def add_growth(series: DataFrame, measures: Sequence[str]) -> DataFrame:
     by_period = Window.orderBy("period")
     added = {}
     for measure in measures:
-        current = F.col(f"{measure}_sum")
+        current = V.col(f"{measure}_sum")
         previous = F.lag(current).over(by_period)
         known = current.isNotNull() & (previous != 0)
         growth = F.when(known, (current - previous) / F.abs(previous) * 100)
@@ -81,7 +81,7 @@ def add_year_over_year(series: DataFrame, measures: Sequence[str]) -> DataFrame:
     ).rangeBetween(-12, -12)
     added = {}
     for measure in measures:
-        current = F.col(f"{measure}_sum")
+        current = V.col(f"{measure}_sum")
         previous = F.first(current).over(same_month_last_year)
         added[f"{measure}_yoy_growth_pct"] = F.when(
             previous != 0, (current - previous) / F.abs(previous) * 100
@@ -96,9 +96,9 @@ def trend_summary(series: DataFrame, measures: Sequence[str]) -> DataFrame:
             *[
                 F.struct(
                     F.lit(m).alias("measure"),
-                    F.count_if(F.col(f"{m}_growth_pct") > 0).alias("rising"),
-                    F.count_if(F.col(f"{m}_growth_pct") < 0).alias("falling"),
-                    F.count(f"{m}_growth_pct").alias("known"),
+                    F.count_if(V.col(f"{m}_growth_pct") > 0).alias("rising"),
+                    F.count_if(V.col(f"{m}_growth_pct") < 0).alias("falling"),
+                    F.count(V.col(f"{m}_growth_pct")).alias("known"),
                 )
                 for m in measures
             ]

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orefold.functions import values as V
 from orefold.operators.series import latest_period
 
 # Thresholds in percent, and the average that counts as high.
@@ -42,7 +43,7 @@ def decisions(
     """HIGH or NORMAL per measure average and the action text, for every group."""
     labels, actions = [], []
     for measure in measures:
-        average = F.col(f"{measure}_avg")
+        average = V.col(f"{measure}_avg")
         label = F.when(average >= threshold, f"HIGH {measure.upper()}").otherwise(
             f"NORMAL {measure.upper()}"
         )
@@ -57,7 +58,7 @@ def decisions(
         decision = F.lit("ANALYTICS GENERATED")
         action = F.lit("Review generated analytics")
     return gold.select(
-        *dimensions, "row_count", decision.alias("decision"), action.alias("action")
+        *V.cols(dimensions), "row_count", decision.alias("decision"), action.alias("action")
     )
 
 
@@ -98,7 +99,7 @@ def signals(
     """
     found = []
     if f"{amount}_growth_pct" in series.columns:
-        growth = F.col(f"{amount}_growth_pct")
+        growth = V.col(f"{amount}_growth_pct")
         message = F.format_string("Latest amount growth is %.2f%%.", growth)
         found.append(
             _signal(
@@ -121,7 +122,7 @@ def signals(
             )
         )
     if f"{amount}_trend" in series.columns:
-        trend = F.upper(f"{amount}_trend")
+        trend = F.upper(V.col(f"{amount}_trend"))
         found.append(
             _signal(
                 trend.isin("UP", "DOWN"),
@@ -133,7 +134,7 @@ def signals(
             )
         )
     if f"{quantity}_growth_pct" in series.columns:
-        growth = F.col(f"{quantity}_growth_pct")
+        growth = V.col(f"{quantity}_growth_pct")
         found.append(
             _signal(
                 F.abs(growth) >= VOLUME_MOVE,

@@ -91,7 +91,7 @@ def type_error_samples(
         for c in _checkable(df, columns)
     ]
     found = df.select(
-        F.col(f"`{row_key}`").alias("row_key"),
+        V.col(row_key).alias("row_key"),
         F.inline(F.array_compact(F.array(*offenders))),
     )
     return found.orderBy("row_key", "column", "value").limit(limit)

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from orefold.functions import values as V
+
 
 # Quotes inside a quoted field are doubled, as in the usual CSV dialect.
 DIALECT = {"header": True, "mode": "PERMISSIVE", "encoding": "UTF-8", "escape": '"'}
@@ -65,7 +67,7 @@ def read_folder(spark: SparkSession, folder: str, pattern: str = "*.csv") -> Dat
     for header in sorted(by_header):
         scanned = read_strings(spark, sorted(by_header[header]))
         name = F.col("_metadata.file_name").alias(SOURCE_FILE)
-        parts.append(scanned.select(*[F.col(f"`{c}`") for c in scanned.columns], name))
+        parts.append(scanned.select(*V.cols(scanned.columns), name))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
@@ -97,23 +99,23 @@ def read_with_ragged_flag(
     }
     scanned = spark.read.options(**options).schema(schema).csv(path)
     record = F.col(_RECORD)
-    too_long = F.col(f"`{names[-1]}`").isNotNull() | (_separators(record) >= len(names))
+    too_long = V.col(names[-1]).isNotNull() | (_separators(record) >= len(names))
     ragged = F.coalesce(record.isNotNull() & too_long, F.lit(False))
-    return scanned.select(*[F.col(f"`{c}`") for c in names], ragged.alias(RAGGED))
+    return scanned.select(*V.cols(names), ragged.alias(RAGGED))
 
 
 def preview(df: DataFrame, order_by: list[str], rows: int = 10) -> DataFrame:
     """The first rows in a stated order."""
-    return df.orderBy(*order_by).limit(rows)
+    return df.orderBy(*V.cols(order_by)).limit(rows)
 
 
 def dataset_reference(df: DataFrame, order_by: list[str], rows: int = 5) -> DataFrame:
     """A small stand-in for a table: its row count and a few sample rows as JSON."""
-    names = df.columns
+    keys, names = V.cols(order_by), V.cols(df.columns)
     sample = (
-        df.orderBy(*order_by)
+        df.orderBy(*keys)
         .limit(rows)
-        .select(F.struct(*order_by).alias("position"), F.to_json(F.struct(*names)).alias("row"))
+        .select(F.struct(*keys).alias("position"), F.to_json(F.struct(*names)).alias("row"))
         .agg(F.array_sort(F.collect_list(F.struct("position", "row"))).alias("rows"))
         .select(F.transform("rows", lambda r: r["row"]).alias("rows"))
     )

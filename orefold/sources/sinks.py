@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
+from orefold.functions import values as V
+
 # Doubled quotes, and outer spaces kept as they are.
 CSV_OPTIONS = {
     "header": True,
@@ -36,7 +38,7 @@ def silver_layout(df: DataFrame, schema_columns: Sequence[str]) -> DataFrame:
     """Schema columns first, then whatever else the table has."""
     known = [c for c in schema_columns if c in df.columns]
     extra = [c for c in df.columns if c not in known]
-    return df.select(*[f"`{c}`" for c in known + extra])
+    return df.select(*V.cols(known + extra))
 
 
 def write_silver(

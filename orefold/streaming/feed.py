@@ -100,10 +100,10 @@ def daily_series(
             F.sum(value).alias(f"{measure}_sum"),
             F.avg(value).alias(f"{measure}_avg"),
         ]
-    days = rows.groupBy(F.window(moment, "1 day"), *keys).agg(*statistics)
+    days = rows.groupBy(F.window(V.col(moment), "1 day"), *V.cols(keys)).agg(*statistics)
     return days.select(
         F.date_format(F.to_utc_timestamp("window.start", zone), "yyyy-MM-dd").alias("period"),
-        *[c for c in days.columns if c != "window"],
+        *V.cols(c for c in days.columns if c != "window"),
     )
 
 

@@ -251,3 +251,16 @@ def test_step_states(spark):
         "SOURCE": "COMPLETE",
         "GOLD": "RUNNING",
     }
+
+
+def test_column_names_with_dots_and_spaces(spark, tmp_path):
+    path = tmp_path / "names.csv"
+    path.write_text(
+        "order id,unit.price,home city,sale.kind,order_date\n"
+        + "".join(f"{i},{i}.5,c{i % 2},k{i % 3},2026-0{i % 3 + 1}-01\n" for i in range(12))
+    )
+    run = run_file(spark, str(path), scratch_path(spark, "names"))
+    gold = spark.read.parquet(run.gold["analytics"])
+    assert gold.count() == 6
+    assert gold.agg(F.sum("`unit.price_sum`")).first()[0] == sum(i + 0.5 for i in range(12))
+    assert spark.read.parquet(run.gold["time_series"]).count() == 3
