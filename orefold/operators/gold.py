@@ -13,10 +13,11 @@ from orefold.operators.joins import join_by
 from orefold.operators.ordered import exact_percentiles, with_position
 
 PERCENTILES = {"median": 0.5, "p25": 0.25, "p75": 0.75, "p95": 0.95}
-# The built-in percentile keeps a table of distinct values per group, and a task holds
-# those of up to 128 groups at a time. With at most this many rows in the largest group
-# that is about a gigabyte at worst; larger groups are spread over the cluster.
-SMALL_GROUP_ROWS = 100_000
+# The built-in percentile keeps a table of distinct values per group and measure, and a
+# task holds those of up to 128 groups at a time. It runs only if that many values, at
+# worst half a gigabyte per task, are the most it can hold; else groups are spread.
+GROUPS_IN_A_TASK = 128
+MAX_HELD_VALUES = 8_000_000
 ANOMALY_Z_SCORE = 2.0
 ANOMALY_MIN_GROUPS = 3
 TOP_N = 10
@@ -84,21 +85,22 @@ def group_stats(
     dimensions: Sequence[str],
     measures: Sequence[str],
     attributes: Sequence[str] = (),
-    small_group_rows: int = SMALL_GROUP_ROWS,
+    max_held_values: int = MAX_HELD_VALUES,
 ) -> DataFrame:
     """Nine statistics per measure and distinct counts per attribute, by group.
 
     Without dimensions the result is one global row. The percentiles are exact. The
-    group sizes are counted first, from the dimension columns alone; only if the
-    largest group is small does the built-in percentile run, else the values of every
-    group are spread over the cluster.
+    groups are counted first, from the dimension columns alone; only if the largest
+    ones surely fit in a task does the built-in percentile run, else the values of
+    every group are spread over the cluster.
     """
     numbers = _numbers(df, dimensions, measures)
     grouped = numbers.groupBy(*V.cols(dimensions))
     statistics = [F.count("*").alias("row_count"), *[e for m in measures for e in _basic(m)]]
     sizes = df.groupBy(*V.cols(dimensions)).agg(F.count("*").alias("rows"))
-    largest = sizes.agg(F.max("rows")).first()[0] or 0
-    if largest <= small_group_rows:
+    largest, groups = sizes.agg(F.max("rows"), F.count("*")).first()
+    held = (largest or 0) * min(groups, GROUPS_IN_A_TASK) * len(measures)
+    if held <= max_held_values:
         fractions = F.array(*[F.lit(p) for p in PERCENTILES.values()])
         for measure in measures:
             statistics.append(F.percentile(V.col(measure), fractions).alias(f"{measure}_all"))

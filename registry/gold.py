@@ -29,12 +29,12 @@ def gold_group_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gold_group_stats_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same statistics on the path for groups too large for one task."""
     lines = sales_lines(spark, sf_dir)
-    return rounded(G.group_stats(lines, SEGMENT, MEASURES, small_group_rows=0))
+    return rounded(G.group_stats(lines, SEGMENT, MEASURES, max_held_values=0))
 
 
 def gold_group_stats_by_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = sales_lines(spark, sf_dir)
-    stats = G.group_stats(lines, ["product"], ["quantity"], small_group_rows=0)
+    stats = G.group_stats(lines, ["product"], ["quantity"], max_held_values=0)
     return rounded(stats.drop("quantity_stddev"))
 
 

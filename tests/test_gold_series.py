@@ -26,10 +26,10 @@ def close(value):
     return pytest.approx(value, abs=5e-5)
 
 
-@pytest.mark.parametrize("small_group_rows", [0, 1000])
-def test_group_statistics(read, small_group_rows):
+@pytest.mark.parametrize("max_held_values", [0, 1000])
+def test_group_statistics(read, max_held_values):
     stats = G.group_stats(
-        read("employees"), ["city"], ["salary"], ["name"], small_group_rows=small_group_rows
+        read("employees"), ["city"], ["salary"], ["name"], max_held_values=max_held_values
     )
     rows = by(stats.collect(), "city")
     top = rows["Bangalore"].asDict()
@@ -81,19 +81,19 @@ def test_two_groups_have_no_anomaly_columns_filled(read):
 def test_global_statistics_on_both_paths(read):
     sales = read("sales")
     rows = [
-        G.group_stats(sales, [], ["amount"], ["city"], small_group_rows=n).first().asDict()
+        G.group_stats(sales, [], ["amount"], ["city"], max_held_values=n).first().asDict()
         for n in (0, 1000)
     ]
     assert rows[0] == pytest.approx(rows[1])
     assert rows[0]["amount_sum"] == 1064000 and rows[0]["city_distinct_total"] == 3
 
 
-@pytest.mark.parametrize("small_group_rows", [0, 1000])
-def test_missing_measures_and_dimensions(spark, small_group_rows):
+@pytest.mark.parametrize("max_held_values", [0, 1000])
+def test_missing_measures_and_dimensions(spark, max_held_values):
     df = spark.createDataFrame(
         [("a", "1"), ("a", "x"), (None, "4"), (None, "2"), ("b", None)], "d string, m string"
     )
-    stats = G.group_stats(df, ["d"], ["m"], small_group_rows=small_group_rows)
+    stats = G.group_stats(df, ["d"], ["m"], max_held_values=max_held_values)
     rows = {r.d: (r.row_count, r.m_sum, r.m_median) for r in stats.collect()}
     assert rows == {"a": (2, 1.0, 1.0), None: (2, 6.0, 3.0), "b": (1, None, None)}
 

@@ -72,7 +72,7 @@ def test_built_in_percentile_only_for_small_groups(spark):
 
     lines = table(spark, SF_DIR, "lineitem")
     small = executed(group_stats(lines, ["l_returnflag"], ["l_quantity"]))
-    spread = executed(group_stats(lines, ["l_returnflag"], ["l_quantity"], small_group_rows=10))
+    spread = executed(group_stats(lines, ["l_returnflag"], ["l_quantity"], max_held_values=10))
     assert "percentile" in small and "percentile(" not in spread.replace("percentiles", "")
 
 
