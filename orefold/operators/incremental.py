@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,8 +17,16 @@ CHANGED = "CHANGED_NOT_APPENDED"
 
 
 def read_checkpoints(spark: SparkSession, path: str) -> DataFrame:
-    """The newest checkpoint of every source from an append-only table."""
-    history = spark.read.schema(CHECKPOINT_SCHEMA).json(path)
+    """The newest checkpoint of every source from an append-only table.
+
+    Before the first commit there is no table yet; then there are no checkpoints.
+    """
+    try:
+        history = spark.read.schema(CHECKPOINT_SCHEMA).json(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], CHECKPOINT_SCHEMA)
     newest = F.max_by(
         F.struct(*[c for c in history.columns if c != "source"]),
         F.struct("updated_at", "execution_id"),
@@ -83,8 +92,11 @@ def new_rows(df: DataFrame, processed: DataFrame) -> DataFrame:
 
 
 def commit_checkpoints(status: DataFrame, execution_id: str, path: str) -> None:
-    """Append a checkpoint for every source that was looked at."""
-    committed = status.select(
+    """Append a checkpoint for every source that was run or skipped.
+
+    Changed content that was not run keeps its old checkpoint, so it is reported again.
+    """
+    committed = status.filter(F.col("status") != CHANGED).select(
         "source",
         "fingerprint",
         F.col("source_row_count").alias("processed_row_count"),

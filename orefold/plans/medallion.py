@@ -2,18 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from orefold.functions import values as V
 from orefold.operators import quality as Q
 from orefold.operators import validation as C
 from orefold.operators.clean import role_transform
+from orefold.operators.incremental import (
+    READY,
+    commit_checkpoints,
+    incremental_status,
+    read_checkpoints,
+    tail_rows,
+)
 from orefold.operators.roles import ColumnRole, classify, collect_roles
 from orefold.operators.profile import column_stats
 from orefold.operators.signals import decisions
 from orefold.plans.gold import GoldLayout, checked_analytics, time_series
+from orefold.session import materialize
 from orefold.sources.csv import RAGGED, read_with_ragged_flag
+from orefold.sources.files import ingestion_audit, table_fingerprint
 from orefold.sources.sinks import write_gold, write_silver, write_table
 
 
@@ -85,6 +97,50 @@ def run_file(
     return run_table(spark.read.parquet(bronze), target, gates)
 
 
+def run_folder(
+    spark: SparkSession, folder: str, target: str, gates: Gates = Gates()
+) -> dict[str, MedallionRun]:
+    """Run every CSV file of a folder by itself; each run is spread over the cluster."""
+    names = [row["file_name"] for row in ingestion_audit(spark, folder, "FOLDER").collect()]
+    return {
+        name: run_file(spark, f"{folder}/{name}", f"{target}/{name.removesuffix('.csv')}", gates)
+        for name in sorted(names)
+    }
+
+
+def run_incremental(
+    raw: DataFrame,
+    source: str,
+    order: Sequence[str],
+    target: str,
+    checkpoints: str,
+    execution_id: str,
+    gates: Gates = Gates(),
+    force: bool = False,
+) -> tuple[str, MedallionRun | None]:
+    """Run the rows that came to an append-only table since its last checkpoint.
+
+    ``order`` names the columns that put the rows in their order of arrival. The
+    checkpoint is written after the run; a run that a gate stopped leaves none, so its
+    rows come again. Returns the incremental status and the run, if there was one.
+    """
+    spark = raw.sparkSession
+    current = table_fingerprint(raw).withColumn("source", F.lit(source))
+    known = read_checkpoints(spark, checkpoints)
+    status = materialize(incremental_status(current, known, force), "status")
+    found = status.first()
+    if found["status"] != READY:
+        commit_checkpoints(status, execution_id, checkpoints)
+        return found["status"], None
+    batch = raw
+    if found["start_row"]:
+        batch = tail_rows(raw, V.cols(order), found["start_row"])
+    run = run_table(batch, f"{target}/{execution_id}", gates)
+    if run.stopped_by is None:
+        commit_checkpoints(status, execution_id, checkpoints)
+    return READY, run
+
+
 def gold_decisions(gold: DataFrame, layout: GoldLayout) -> DataFrame:
     """Decisions and actions for every group of an analytics table."""
     return decisions(gold, layout.dimensions, layout.measures)

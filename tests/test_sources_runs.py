@@ -13,7 +13,7 @@ from orefold.operators import ledger as L
 from orefold.operators import questions as N
 from orefold.operators.profile import dimension_values
 from orefold.operators.series import monthly_series
-from orefold.plans.medallion import Gates, run_file
+from orefold.plans.medallion import Gates, run_file, run_folder, run_incremental
 from orefold.plans.questions import gold_query, plan_question
 from orefold.session import scratch_path, shared_dir
 from orefold.sources import csv as C
@@ -264,3 +264,35 @@ def test_column_names_with_dots_and_spaces(spark, tmp_path):
     assert gold.count() == 6
     assert gold.agg(F.sum("`unit.price_sum`")).first()[0] == sum(i + 0.5 for i in range(12))
     assert spark.read.parquet(run.gold["time_series"]).count() == 3
+
+
+def test_folder_of_tables(spark, samples, tmp_path):
+    folder = samples["sales"].rsplit("/", 1)[0]
+    runs = run_folder(spark, folder, scratch_path(spark, "folder"))
+    assert set(runs) == {f"{name}.csv" for name in samples}
+    assert spark.read.parquet(runs["products.csv"].gold["analytics"]).count() == 2
+    assert "time_series" not in runs["products.csv"].gold
+
+
+def test_incremental_runs(spark, read):
+    sales = read("sales").withColumn("transaction_id", F.lpad("transaction_id", 3, "0"))
+    target, checkpoints = scratch_path(spark, "runs"), scratch_path(spark, "checkpoints")
+
+    def run(table, name, **more):
+        return run_incremental(
+            table, "sales.csv", ["transaction_id"], target, checkpoints, name, **more
+        )
+
+    first = sales.filter("transaction_id <= '008'")
+    status, done = run(first, "E1")
+    assert status == "READY" and spark.read.parquet(done.silver).count() == 8
+    assert run(first, "E2") == ("SKIPPED_IDEMPOTENT", None)
+    status, done = run(sales, "E3")
+    assert status == "READY"
+    silver = spark.read.parquet(done.silver)
+    assert {r.transaction_id for r in silver.collect()} == {9, 10, 11, 12}
+    edited = sales.withColumn("amount", F.lit("1"))
+    for name in ("E4", "E4b"):
+        assert run(edited, name)[0] == "CHANGED_NOT_APPENDED"
+    status, done = run(edited, "E5", force=True)
+    assert spark.read.parquet(done.silver).count() == 12
