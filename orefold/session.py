@@ -7,25 +7,31 @@ the size statistics that adaptive execution uses to choose joins.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_CHECKPOINT_CONF = "spark.checkpoint.dir"
+FOLDER_CONFS = ("spark.checkpoint.dir", "orefold.scratch.dir")
+"""Where the folder is looked up, in this order. The first is fixed when a session
+starts; the second can be set at any time on a session without the first."""
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of this application."""
-    root = spark.conf.get(_CHECKPOINT_CONF, None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError(
-                f"set {_CHECKPOINT_CONF} to a folder that all executors can reach"
-            )
-        root = tempfile.mkdtemp(prefix="orefold-")
-        spark.conf.set(_CHECKPOINT_CONF, root)
-    return f"{root.rstrip('/')}/orefold/{spark.sparkContext.applicationId}"
+    """This session's own folder within the shared one.
+
+    No folder is made up: one that only this machine sees would lose rows on a cluster.
+    """
+    for conf in FOLDER_CONFS:
+        root = spark.conf.get(conf, None)
+        if root:
+            break
+    else:
+        raise RuntimeError(
+            "intermediate tables need a folder that the driver and all executors share: "
+            f"set {' or '.join(FOLDER_CONFS)}"
+        )
+    application = spark.conf.get("spark.app.id", "session")
+    return f"{root.rstrip('/')}/orefold/{application}"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -38,3 +44,15 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove_scratch(spark: SparkSession) -> None:
+    """Delete the tables that this session has written to the shared folder.
+
+    To be called when no DataFrame that reads them is needed any more. The folder's file
+    system deletes them, whatever store it is.
+    """
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    folder.getFileSystem(hadoop).delete(folder, True)

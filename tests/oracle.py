@@ -8,6 +8,7 @@ from __future__ import annotations
 import argparse
 import math
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -28,6 +29,7 @@ def session(cpus: str = "8", zone: str = "UTC", partitions: str = "8") -> SparkS
         .config("spark.sql.shuffle.partitions", partitions)
         .config("spark.sql.session.timeZone", zone)
         .config("spark.driver.memory", "8g")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="orefold-tests-"))
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
