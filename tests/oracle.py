@@ -26,6 +26,7 @@ def session(cpus: str = "8", zone: str = "UTC", partitions: str = "8") -> SparkS
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("orefold-tests")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", partitions)
         .config("spark.sql.session.timeZone", zone)
         .config("spark.driver.memory", "8g")
