@@ -3,30 +3,79 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from orefold.llm import host_rules, simhash
-from orefold.llm.sql import HOST_RULES
+from orefold.llm import (
+    decontaminate,
+    host_rules,
+    langid,
+    line_crf,
+    mixing,
+    simhash,
+    token_count,
+    toxicity,
+)
+from orefold.llm.sql import DECONTAMINATION, HOST_RULES
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every use of every document in the mixture, with its place in the order."""
+    return mixing.mixed(_table(spark, sf_dir, "documents"))
+
+
 def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document from its lines."""
+    return line_crf.classify(
+        _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    )
+
+
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base metrics of every document and the verdict of its host; the source is the host."""
     return host_rules.judge(_table(spark, sf_dir, "documents"))
 
 
+def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in a window of a benchmark item."""
+    return decontaminate.contamination(
+        _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    )
+
+
+def toxic_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    return toxicity.detect(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram token count of every document."""
+    return token_count.token_counts(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op3_mix_sources": mix_sources,
     "op4_simhash_near_dedup": simhash_near_dedup,
+    "op5_quality_classifier": quality_classifier,
     "op6_quality_rules": quality_rules,
+    "op7_benchmark_decontamination": benchmark_decontamination,
+    "op8_toxicity": toxic_documents,
+    "op9_language_id": language_id,
+    "op10_token_counts": token_counts,
 }
 ORACLE = {
     "op6_quality_rules": HOST_RULES,
+    "op7_benchmark_decontamination": DECONTAMINATION,
 }

@@ -44,3 +44,39 @@ SELECT doc_id, judged.host, n_words, word_chars, n_symbols, n_dup_lines, n_repea
   base_failed, round(rate, 6) AS host_rate, NOT base_failed AND NOT rate > 0.8 AS kept
 FROM judged JOIN verdicts ON judged.host IS NOT DISTINCT FROM verdicts.host
 """
+
+DECONTAMINATION = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+items AS (
+  SELECT item_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, array_to_string(w[i:i + 9], ' ') AS s, least(len(w), 10) AS n
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i
+        FROM items WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM windows),
+places AS (
+  SELECT r, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM texts, sizes WHERE len(w) >= n),
+hits AS (
+  SELECT r, i, p.n, item_id
+  FROM (SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS s FROM places) p
+  JOIN windows ON p.s = windows.s AND p.n = windows.n),
+covered AS (
+  SELECT r, count(DISTINCT p) AS n_hit
+  FROM (SELECT r, unnest(range(i, i + n)) AS p FROM hits) GROUP BY r),
+listed AS (
+  SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+  FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM hits
+        WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words,
+  CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM texts LEFT JOIN covered USING (r) LEFT JOIN listed USING (r)
+"""
