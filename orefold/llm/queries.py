@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from orefold.llm import (
     decontaminate,
     host_rules,
+    html_extract,
     langid,
     line_crf,
     mixing,
@@ -21,6 +22,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
 def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every use of every document in the mixture, with its place in the order."""
     return mixing.mixed(_table(spark, sf_dir, "documents"))
@@ -66,6 +72,7 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html_extraction": html_extraction,
     "op3_mix_sources": mix_sources,
     "op4_simhash_near_dedup": simhash_near_dedup,
     "op5_quality_classifier": quality_classifier,
