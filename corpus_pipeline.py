@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orefold.llm import host_rules, simhash
+from orefold.llm import decontaminate, host_rules, mixing, simhash, suffix_dedup
 from orefold.session import materialize
 
 
@@ -20,9 +20,29 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return simhash.keep_first(docs)
 
 
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 100 bytes or more that occur earlier are cut; every document stays,
+    with its new length."""
+    return suffix_dedup.remove_repeats(docs, length="n_chars")
+
+
+def contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.keep_clean(docs, benchmark)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each use of a document in the mixture, with its place in the order."""
+    return mixing.mixed(docs, keep=docs.columns)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality_rules", quality),
     ("simhash_near_dedup", near_duplicates),
+    ("suffix_array_dedup", repeated_passages),
+    ("benchmark_decontamination", contaminated),
+    ("mix_sources", mixture),
 ]
 ORACLE_SQL = None
 """SQL cannot express the stages; the tests run them against brute force."""

@@ -12,6 +12,7 @@ from orefold.llm import (
     line_crf,
     mixing,
     simhash,
+    suffix_dedup,
     token_count,
     toxicity,
 )
@@ -27,6 +28,11 @@ def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(_table(spark, sf_dir, "pages"))
 
 
+def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What exact repeats of 100 bytes leave of every document."""
+    return suffix_dedup.removals(_table(spark, sf_dir, "documents"))
+
+
 def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every use of every document in the mixture, with its place in the order."""
     return mixing.mixed(_table(spark, sf_dir, "documents"))
@@ -73,6 +79,7 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_html_extraction": html_extraction,
+    "op2_suffix_array_dedup": suffix_array_dedup,
     "op3_mix_sources": mix_sources,
     "op4_simhash_near_dedup": simhash_near_dedup,
     "op5_quality_classifier": quality_classifier,
