@@ -13,9 +13,19 @@ SLICE_BYTES = 4 << 20
 """Text bytes a task works on at once; a longer text is worked on alone."""
 
 
+def packed(rows: DataFrame, **columns: Column) -> DataFrame:
+    """All columns of the rows as one struct ``row`` beside the given ones, so that no
+    name of theirs can clash; ``select("row.*")`` brings them back."""
+    return rows.select(
+        F.struct("*").alias("row"), *(value.alias(name) for name, value in columns.items())
+    )
+
+
 def text_array(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
-    """The column as strings with 32-bit offsets; null becomes the empty text."""
+    """A column, or with a dot a field of a struct column; null becomes the empty text."""
+    column, _, field = column.partition(".")
     found = batch.column(batch.schema.get_field_index(column))
+    found = found.field(field) if field else found
     return found.fill_null("") if found.null_count else found
 
 

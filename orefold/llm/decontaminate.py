@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orefold.llm.common import packed
 from orefold.session import materialize
 
 WINDOW = 10
@@ -227,8 +228,10 @@ def keep_clean(
     text: str = "text",
     **columns: str,
 ) -> DataFrame:
-    """The documents, with all their columns, that hold no window of any item. Rows with
-    a null id are judged by their text like any other."""
+    """The documents, with all their columns, that hold no window of any item. If rows
+    share an id, null included, one contaminated text removes them all."""
     found = contamination(documents, benchmark, doc_id, text, **columns)
-    bad = found.where("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
-    return documents.join(bad, F.col(f"`{doc_id}`").eqNullSafe(F.col("__bad")), "left_anti")
+    bad = found.where("contaminated").select(F.col("doc_id").alias("bad")).distinct()
+    rows = packed(documents, key=F.col(f"`{doc_id}`"))
+    same = F.col("key").eqNullSafe(F.col("bad"))
+    return rows.join(bad, same, "left_anti").select("row.*")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orefold.llm.common import text_array, text_slices
+from orefold.llm.common import packed, text_array, text_slices
 from orefold.session import materialize
 
 SYMBOLS = b"#*$%&|<>"
@@ -64,8 +64,9 @@ def measure(text: bytes) -> tuple[int, int, int, int, int]:
     return len(words), chars, symbols, len(lines) - len(set(lines)), repeated
 
 
-def with_metrics(rows: DataFrame, text: str, keep_text: bool) -> DataFrame:
-    """``rows`` with the five metrics of the column ``text`` as ``__n_words`` and so on."""
+def with_metrics(rows: DataFrame, text: str) -> DataFrame:
+    """``rows`` with the five metrics of ``text`` as ``__n_words`` and so on. ``text`` is
+    a column, which is left out of the result, or a field of a struct, which stays."""
 
     def measured(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, text):
@@ -73,16 +74,14 @@ def with_metrics(rows: DataFrame, text: str, keep_text: bool) -> DataFrame:
                 measure(value.as_buffer().to_pybytes()) for value in text_array(batch, text)
             ]
             columns = {
-                name: batch.column(i)
-                for i, name in enumerate(batch.schema.names)
-                if keep_text or name != text
+                name: batch.column(i) for i, name in enumerate(batch.schema.names) if name != text
             }
             for name, values in zip(METRICS, zip(*found)):
                 columns[f"__{name}"] = pa.array(values, pa.int64())
             yield pa.RecordBatch.from_pydict(columns)
 
     schema = T.StructType(
-        [field for field in rows.schema if keep_text or field.name != text]
+        [field for field in rows.schema if field.name != text]
         + [T.StructField(f"__{name}", T.LongType()) for name in METRICS]
     )
     return rows.mapInArrow(measured, schema)
@@ -154,7 +153,7 @@ def judge(
         F.col(f"`{host}`").alias("__host"),
         F.col(f"`{text}`").alias("__text"),
     )
-    measured = materialize(with_metrics(rows, "__text", keep_text=False), "rule-metrics")
+    measured = materialize(with_metrics(rows, "__text"), "rule-metrics")
     base, _ = _failed(rules)
     joined = measured.alias("d").join(
         host_verdicts(measured, rules).alias("h"),
@@ -187,10 +186,11 @@ def keep_documents(
         F.col(f"`{host}`").alias("__host"), F.col(f"`{text}`").alias("__text")
     )
     verdicts = host_verdicts(
-        materialize(with_metrics(narrow, "__text", keep_text=False), "rule-metrics"), rules
+        materialize(with_metrics(narrow, "__text"), "rule-metrics"), rules
     )
     base, _ = _failed(rules)
     rejected = verdicts.where("__host_rejected").select(F.col("__host").alias("__bad"))
-    passed = with_metrics(documents, text, keep_text=True).where(~base)
-    kept = passed.join(rejected, F.col(f"`{host}`").eqNullSafe(F.col("__bad")), "left_anti")
-    return kept.select(*(F.col(f"`{name}`") for name in documents.columns))
+    rows = packed(documents, __host=F.col(f"`{host}`"))
+    passed = with_metrics(rows, f"row.{text}").where(~base)
+    kept = passed.join(rejected, F.col("__host").eqNullSafe(F.col("__bad")), "left_anti")
+    return kept.select("row.*")

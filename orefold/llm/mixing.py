@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 
 from orefold.session import materialize
 
+COLUMNS = ("mix_tokens", "mix_weight", "mix_epoch", "mix_place", "mix_order")
 _SECTIONS = 32
 _ROUNDS = 8
 
@@ -162,7 +163,7 @@ def mixed(
     (its words), ``mix_weight`` (the source's weight), ``mix_epoch``, ``mix_place`` (the
     place of its block in that epoch's permutation of the source) and ``mix_order`` (a
     hash that orders documents within the block). Reading by epoch, place and order
-    gives the shuffled corpus.
+    gives the shuffled corpus. A column of ``keep`` with one of these names is replaced.
 
     Null texts have no tokens; a null source is a source of its own; null ids and
     repeated rows are used like any other row. A source without any token is used once.
@@ -170,6 +171,7 @@ def mixed(
     small for a whole epoch.
     """
     keep = [doc_id, source] if keep is None else keep
+    keep = [name for name in keep if name not in COLUMNS]
     tokens = count_words(F.col(f"`{text}`"))
     block = F.pmod(
         F.xxhash64(F.lit(mix.seed), F.col(f"`{doc_id}`").cast("string")), F.lit(mix.blocks)
@@ -190,16 +192,18 @@ def mixed(
         F.col("place").alias("mix_place"),
         F.col("weight").alias("mix_weight"),
     )
+    kept = F.struct(*(F.col(f"`{name}`") for name in keep))
+    order = F.xxhash64(F.lit(mix.seed + 1), F.col(f"`{doc_id}`").cast("string"))
     rows = documents.select(
-        *(F.col(f"`{name}`") for name in keep),
+        kept.alias("row"),
         tokens.alias("mix_tokens"),
+        order.alias("mix_order"),
         F.col(f"`{source}`").alias("__of"),
         block.alias("__in"),
-        F.xxhash64(F.lit(mix.seed + 1), F.col(f"`{doc_id}`").cast("string")).alias("mix_order"),
     )
     same = F.col("__of").eqNullSafe(F.col("__source")) & (F.col("__in") == F.col("__block"))
     return rows.join(used, same).select(
-        *(F.col(f"`{name}`") for name in keep),
+        "row.*",
         "mix_tokens",
         F.round("mix_weight", 9).alias("mix_weight"),
         "mix_epoch",

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orefold.llm.common import text_array, text_slices
+from orefold.llm.common import packed, text_array, text_slices
 from orefold.llm.components import connected
 from orefold.session import materialize
 
@@ -245,7 +245,8 @@ def keep_first(
     found = near_duplicates(documents, doc_id, text, radius)
     dropped = (
         found.where(F.col("doc_id") != F.col("component_id"))
-        .select(F.col("doc_id").alias("__dropped"))
+        .select(F.col("doc_id").alias("key"))
         .distinct()
     )
-    return documents.join(dropped, F.col(f"`{doc_id}`") == F.col("__dropped"), "left_anti")
+    rows = packed(documents, key=F.col(f"`{doc_id}`").cast("long"))
+    return rows.join(dropped, "key", "left_anti").select("row.*")

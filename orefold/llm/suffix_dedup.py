@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orefold.llm.common import buffer_of, text_array, text_slices
+from orefold.llm.common import buffer_of, packed, text_array, text_slices
 from orefold.session import materialize
 
 LENGTH = 100
@@ -248,10 +248,10 @@ def _contexts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in text_slices(batches, "__text", _SLICE):
         right, left, docs, spans = [], [], [], []
         ids = batch.column(0).to_pylist()
-        packed = batch.column(2).to_pylist()
+        wanted = batch.column(2).to_pylist()
         for row, value in enumerate(text_array(batch, "__text")):
             text = value.as_buffer().to_pybytes()
-            span = np.unique(np.array(packed[row], np.int64))
+            span = np.unique(np.array(wanted[row], np.int64))
             low, anchor, high, _ = _unpack(span)
             for a, b, c in zip(low.tolist(), anchor.tolist(), high.tolist()):
                 right.append(text[b : c + LENGTH])
@@ -458,23 +458,22 @@ def merge_ranges(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def _with_ranges(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """All columns of the documents and ``__ranges``, packed start and length, or null."""
+    """The documents as a struct ``row`` and their ranges, packed start and length."""
     doc, version = _keys(doc_id, text)
-    packed = F.shiftleft("start", 31) + (F.col("stop") - F.col("start"))
+    bounds = F.shiftleft("start", 31) + (F.col("stop") - F.col("start"))
     ranges = (
         repeated_ranges(documents, doc_id, text)
         .groupBy("doc", "version")
-        .agg(F.collect_list(packed).alias("__ranges"))
-        .select(F.col("doc").alias("__doc"), F.col("version").alias("__version"), "__ranges")
+        .agg(F.collect_list(bounds).alias("ranges"))
     )
-    same = (doc == F.col("__doc")) & (version == F.col("__version"))
-    return documents.join(ranges, same, "left").drop("__doc", "__version")
+    rows = packed(documents, doc=doc, version=version)
+    return rows.join(ranges, ["doc", "version"], "left").select("row", "ranges")
 
 
-def _runs(packed: list[int] | None) -> tuple[np.ndarray, np.ndarray]:
-    if not packed:
+def _runs(ranges: list[int] | None) -> tuple[np.ndarray, np.ndarray]:
+    if not ranges:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    values = np.array(packed, np.int64)
+    values = np.array(ranges, np.int64)
     starts = values >> 31
     return merge_ranges(starts, starts + (values & ((1 << 31) - 1)))
 
@@ -493,12 +492,12 @@ def removals(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     """
 
     def summed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, "__text"):
+        for batch in text_slices(batches, "row.text"):
             out: list[tuple] = []
-            packed = batch.column(2).to_pylist()
-            for row, value in enumerate(text_array(batch, "__text")):
+            ranges = batch.column(1).to_pylist()
+            for row, value in enumerate(text_array(batch, "row.text")):
                 text = value.as_buffer().to_pybytes()
-                starts, stops = _runs(packed[row])
+                starts, stops = _runs(ranges[row])
                 digest, at = hashlib.sha256(), 0
                 for a, b in zip(starts.tolist(), stops.tolist()):
                     digest.update(text[at:a])
@@ -509,7 +508,7 @@ def removals(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -
             columns = list(zip(*out))
             yield pa.RecordBatch.from_pydict(
                 {
-                    "doc_id": batch.column(0),
+                    "doc_id": batch.column(0).field("doc_id"),
                     "n_bytes": pa.array(columns[0], pa.int64()),
                     "n_removed": pa.array(columns[1], pa.int64()),
                     "n_spans": pa.array(columns[2], pa.int64()),
@@ -518,16 +517,11 @@ def removals(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -
             )
 
     rows = documents.select(
-        F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("__text")
+        F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")
     )
-    return (
-        _with_ranges(rows, "doc_id", "__text")
-        .select("doc_id", "__text", "__ranges")
-        .mapInArrow(
-            summed,
-            "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, "
-            "kept_sha256 string",
-        )
+    return _with_ranges(rows, "doc_id", "text").mapInArrow(
+        summed,
+        "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string",
     )
 
 
@@ -554,24 +548,23 @@ def remove_repeats(
     number of characters. A null text stays null; a text that is all repeats becomes
     empty. Otherwise as in :func:`removals`.
     """
-    names = documents.columns
-    schema = T.StructType(list(documents.schema))
+    schema = T.StructType([T.StructField("row", documents.schema)])
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, text):
-            packed = batch.column(batch.num_columns - 1).to_pylist()
-            values = batch.column(names.index(text))
+        for batch in text_slices(batches, f"row.{text}"):
+            rows, ranges = batch.column(0), batch.column(1).to_pylist()
             kept = []
-            for row, value in enumerate(values):
-                if packed[row] and value.is_valid:
-                    kept.append(cut_text(value.as_buffer().to_pybytes(), *_runs(packed[row])))
+            for row, value in enumerate(rows.field(text)):
+                if ranges[row] and value.is_valid:
+                    kept.append(cut_text(value.as_buffer().to_pybytes(), *_runs(ranges[row])))
                 else:
                     kept.append(value.as_py())
-            columns = dict(zip(names, batch.columns))
-            columns[text] = pa.array(kept, pa.string())
+            columns = {field.name: rows.field(field.name) for field in rows.type}
+            columns[text] = pa.array(kept, columns[text].type)
             if length:
                 sizes = [None if one is None else len(one) for one in kept]
                 columns[length] = pa.array(sizes, columns[length].type)
-            yield pa.RecordBatch.from_pydict(columns)
+            made = pa.StructArray.from_arrays(list(columns.values()), list(columns))
+            yield pa.RecordBatch.from_arrays([made], ["row"])
 
-    return _with_ranges(documents, doc_id, text).mapInArrow(cut, schema)
+    return _with_ranges(documents, doc_id, text).mapInArrow(cut, schema).select("row.*")
