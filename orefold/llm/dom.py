@@ -346,6 +346,8 @@ def decode(page: Page, logits: np.ndarray) -> np.ndarray:
     all its element holds votes with the mean of both. The best value of a subtree is found from the leaves up, then choices are made from the root down.
     """
     n = len(page.parent)
+    if not n:
+        return np.zeros(0, bool)
     lengths = np.array([len(text) for text in page.text], float)
     sole = np.array(
         [up >= 0 and page.end[up] - up == 2 for up in page.parent], bool

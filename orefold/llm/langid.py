@@ -59,7 +59,7 @@ def subwords(
         for i in range(length):
             code |= wide[i : i + len(code)] << np.uint32(8 * i)
         bucket = (code * _MULTIPLIER) >> np.uint32(32 - bits)
-        starts = bounds[:-1]
+        starts = np.minimum(bounds[:-1], len(code))
         yield bucket.astype(np.int64) + (k << bits), starts, np.maximum(
             starts, np.minimum(bounds[1:] - length + 1, len(code))
         )
