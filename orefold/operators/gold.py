@@ -13,11 +13,6 @@ from orefold.operators.joins import join_by
 from orefold.operators.ordered import exact_percentiles, with_position
 
 PERCENTILES = {"median": 0.5, "p25": 0.25, "p75": 0.75, "p95": 0.95}
-# The built-in percentile keeps a table of distinct values per group and measure, and a
-# task holds those of up to 128 groups at a time. It runs only if that many values, at
-# worst half a gigabyte per task, are the most it can hold; else groups are spread.
-GROUPS_IN_A_TASK = 128
-MAX_HELD_VALUES = 8_000_000
 ANOMALY_Z_SCORE = 2.0
 ANOMALY_MIN_GROUPS = 3
 TOP_N = 10
@@ -58,13 +53,16 @@ def _numbers(df: DataFrame, keep: Sequence[str], measures: Sequence[str]) -> Dat
 
 
 def distinct_counts(
-    df: DataFrame, dimensions: Sequence[str], attributes: Sequence[str]
+    df: DataFrame,
+    dimensions: Sequence[str],
+    attributes: Sequence[str],
+    approximate: bool = False,
 ) -> DataFrame:
-    """Distinct non-missing values of every attribute, per group or in total."""
+    """Distinct non-missing values of every attribute, per group or in total; exact, or
+    from sketches of two percent if ``approximate`` asks for it."""
     suffix = "distinct_count" if dimensions else "distinct_total"
-    counts = [
-        F.count_distinct(V.present(V.text(df, a))).alias(f"{a}_{suffix}") for a in attributes
-    ]
+    count = (lambda c: F.approx_count_distinct(c, 0.02)) if approximate else F.count_distinct
+    counts = [count(V.present(V.text(df, a))).alias(f"{a}_{suffix}") for a in attributes]
     return df.groupBy(*V.cols(dimensions)).agg(*counts)
 
 
@@ -85,38 +83,34 @@ def group_stats(
     dimensions: Sequence[str],
     measures: Sequence[str],
     attributes: Sequence[str] = (),
-    max_held_values: int = MAX_HELD_VALUES,
+    approximate: bool = False,
 ) -> DataFrame:
     """Nine statistics per measure and distinct counts per attribute, by group.
 
-    Without dimensions the result is one global row. The percentiles are exact. The
-    groups are counted first, from the dimension columns alone; only if the largest
-    ones surely fit in a task does the built-in percentile run, else the values of
-    every group are spread over the cluster.
+    Without dimensions the result is one global row. The percentiles are exact, and the
+    values of every group are spread over the cluster. ``approximate`` asks for
+    percentiles and distinct counts from sketches instead, in one pass; percentiles are
+    then values of the group, not interpolated.
     """
     numbers = _numbers(df, dimensions, measures)
     grouped = numbers.groupBy(*V.cols(dimensions))
     statistics = [F.count("*").alias("row_count"), *[e for m in measures for e in _basic(m)]]
-    sizes = df.groupBy(*V.cols(dimensions)).agg(F.count("*").alias("rows"))
-    largest, groups = sizes.agg(F.max("rows"), F.count("*")).first()
-    held = (largest or 0) * min(groups, GROUPS_IN_A_TASK) * len(measures)
-    if held <= max_held_values:
-        fractions = F.array(*[F.lit(p) for p in PERCENTILES.values()])
+    if approximate:
         for measure in measures:
-            statistics.append(F.percentile(V.col(measure), fractions).alias(f"{measure}_all"))
-        result = grouped.agg(*statistics).withColumns(
-            {
-                f"{m}_{label}": V.col(f"{m}_all")[i]
-                for m in measures
-                for i, label in enumerate(PERCENTILES)
-            }
-        )
+            statistics += [
+                F.approx_percentile(V.col(measure), p).alias(f"{measure}_{label}")
+                for label, p in PERCENTILES.items()
+            ]
+        result = grouped.agg(*statistics)
+    elif not measures:
+        result = grouped.agg(*statistics)
     else:
         spread = exact_percentiles(numbers, dimensions, measures, PERCENTILES)
         result = _attach(grouped.agg(*statistics), spread, dimensions)
     result = result.select(*V.cols([*dimensions, "row_count", *_statistic_names(measures)]))
     if attributes:
-        result = _attach(result, distinct_counts(df, dimensions, attributes), dimensions)
+        counts = distinct_counts(df, dimensions, attributes, approximate)
+        result = _attach(result, counts, dimensions)
     return result
 
 

@@ -135,7 +135,11 @@ def exact_percentiles(
                 F.max(F.when(F.col("_measure") == measure, weight)).alias(f"{name}_weight"),
             ]
             low_value, high_value = V.col(f"{name}_low"), V.col(f"{name}_high")
-            step = (high_value - low_value) * V.col(f"{name}_weight")
-            results.append((low_value + step).alias(name))
+            weight = V.col(f"{name}_weight")
+            # Between equal values, or at one exactly, nothing is interpolated: the
+            # difference of infinities would be no number.
+            exact = (weight == 0) | (low_value == high_value)
+            between = low_value + (high_value - low_value) * weight
+            results.append(F.when(exact, low_value).otherwise(between).alias(name))
     groups = V.cols(dimensions)
     return rows.groupBy(*groups).agg(*parts).select(*groups, *results)

@@ -27,15 +27,28 @@ def gold_group_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gold_group_stats_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same statistics on the path for groups too large for one task."""
-    lines = sales_lines(spark, sf_dir)
-    return rounded(G.group_stats(lines, SEGMENT, MEASURES, max_held_values=0))
+    """The same statistics however the rows lie in partitions."""
+    lines = sales_lines(spark, sf_dir).repartition(16)
+    return rounded(G.group_stats(lines, SEGMENT, MEASURES))
+
+
+def gold_group_stats_infinite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of a measure with ties and with infinities at both ends."""
+    number = F.col("l_linenumber")
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.col("l_returnflag").alias("mode"),
+        F.when(number == 1, float("inf"))
+        .when((number == 2) & (F.col("l_quantity") > 25), float("-inf"))
+        .otherwise(F.col("l_quantity"))
+        .alias("value"),
+    )
+    stats = G.group_stats(lines, ["mode"], ["value"])
+    return rounded(stats.drop("value_sum", "value_avg", "value_stddev"))
 
 
 def gold_group_stats_by_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = sales_lines(spark, sf_dir)
-    stats = G.group_stats(lines, ["product"], ["quantity"], max_held_values=0)
-    return rounded(stats.drop("quantity_stddev"))
+    return rounded(G.group_stats(lines, ["product"], ["quantity"]))
 
 
 def gold_group_stats_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,7 +134,7 @@ def gold_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gold_analytics(spark: SparkSession, sf_dir: str) -> DataFrame:
     layout = plan.GoldLayout(("status", "category"), ("amount",), ("customer_id",))
     gold = plan.analytics(sales_orders(spark, sf_dir), layout)
-    return rounded(gold.drop("amount_stddev"))
+    return rounded(gold)
 
 
 def medallion_run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,6 +147,7 @@ QUERIES = {
     "simple_aggregate": simple_aggregate,
     "gold_group_stats": gold_group_stats,
     "gold_group_stats_spread": gold_group_stats_spread,
+    "gold_group_stats_infinite": gold_group_stats_infinite,
     "gold_group_stats_by_product": gold_group_stats_by_product,
     "gold_group_stats_dirty": gold_group_stats_dirty,
     "gold_global_stats": gold_global_stats,
@@ -152,12 +166,11 @@ QUERIES = {
 }
 
 
-def _statistics(measure: str, stddev: bool = True) -> str:
-    spread = f"round(stddev_pop({measure}) + 1e-8, 4) AS {measure}_stddev," if stddev else ""
+def _statistics(measure: str) -> str:
     return f"""
         round(sum({measure}) + 1e-8, 4) AS {measure}_sum, round(avg({measure}) + 1e-8, 4) AS {measure}_avg,
         round(min({measure}) + 1e-8, 4) AS {measure}_min, round(max({measure}) + 1e-8, 4) AS {measure}_max,
-        {spread}
+        round(stddev_pop({measure}) + 1e-8, 4) AS {measure}_stddev,
         round(median({measure}) + 1e-8, 4) AS {measure}_median,
         round(quantile_cont({measure}, 0.25) + 1e-8, 4) AS {measure}_p25,
         round(quantile_cont({measure}, 0.75) + 1e-8, 4) AS {measure}_p75,
@@ -169,6 +182,23 @@ _GROUP_STATS = sql(
                {_statistics("quantity")} FROM sales_lines GROUP BY category, region""",
     "sales_lines",
 )
+_INFINITE = """
+    SELECT l_returnflag AS mode, CASE WHEN l_linenumber = 1 THEN CAST('inf' AS DOUBLE)
+      WHEN l_linenumber = 2 AND l_quantity > 25 THEN CAST('-inf' AS DOUBLE) ELSE l_quantity END AS x
+    FROM lineitem"""
+_PLACED = """
+    SELECT mode, x, row_number() OVER (PARTITION BY mode ORDER BY x) - 1 AS r,
+           count(*) OVER (PARTITION BY mode) - 1 AS n FROM infinite"""
+
+
+def _percentile(p: float, name: str) -> str:
+    low = f"max(CASE WHEN r = floor(n * {p}) THEN x END)"
+    high = f"max(CASE WHEN r = ceil(n * {p}) THEN x END)"
+    weight = f"(max(n) * {p} - floor(max(n) * {p}))"
+    return f"""round(CASE WHEN {low} = {high} THEN {low}
+        ELSE {low} + ({high} - {low}) * {weight} END + 1e-8, 4) AS value_{name}"""
+
+
 _BY_PRODUCT = """
     SELECT product, count(*) AS row_count, sum(amount) AS amount_sum, avg(amount) AS amount_avg,
            sum(quantity) AS quantity_sum FROM sales_lines GROUP BY product"""
@@ -191,7 +221,7 @@ _INSIGHT = """
     FROM sales_lines GROUP BY product, region ORDER BY sum({0}) DESC, product, region LIMIT 1"""
 _ORDER_GROUPS = f"""
     SELECT status, category, count(*) AS row_count, sum(amount) AS s, avg(amount) AS a,
-           count(DISTINCT customer_id) AS customer_id_distinct_count, {_statistics("amount", False)}
+           count(DISTINCT customer_id) AS customer_id_distinct_count, {_statistics("amount")}
     FROM sales_orders GROUP BY status, category"""
 _MONTHS = """
     SELECT strftime(d, '%Y-%m') AS period, CAST(year(d) AS INTEGER) AS year,
@@ -208,8 +238,16 @@ ORACLE = {
                round(avg(c_acctbal) + 1e-8, 4) AS c_acctbal_avg FROM customer GROUP BY c_mktsegment""",
     "gold_group_stats": _GROUP_STATS,
     "gold_group_stats_spread": _GROUP_STATS,
+    "gold_group_stats_infinite": sql(
+        f"""SELECT mode, count(*) AS row_count, min(x) AS value_min, max(x) AS value_max,
+                   {_percentile(0.5, "median")}, {_percentile(0.25, "p25")},
+                   {_percentile(0.75, "p75")}, {_percentile(0.95, "p95")}
+            FROM placed GROUP BY mode""",
+        infinite=_INFINITE,
+        placed=_PLACED,
+    ),
     "gold_group_stats_by_product": sql(
-        f"""SELECT product, count(*) AS row_count, {_statistics("quantity", False)}
+        f"""SELECT product, count(*) AS row_count, {_statistics("quantity")}
             FROM sales_lines GROUP BY product""",
         "sales_lines",
     ),

@@ -26,11 +26,8 @@ def close(value):
     return pytest.approx(value, abs=5e-5)
 
 
-@pytest.mark.parametrize("max_held_values", [0, 1000])
-def test_group_statistics(read, max_held_values):
-    stats = G.group_stats(
-        read("employees"), ["city"], ["salary"], ["name"], max_held_values=max_held_values
-    )
+def test_group_statistics(read):
+    stats = G.group_stats(read("employees"), ["city"], ["salary"], ["name"])
     rows = by(stats.collect(), "city")
     top = rows["Bangalore"].asDict()
     expected = {
@@ -78,22 +75,32 @@ def test_two_groups_have_no_anomaly_columns_filled(read):
     assert rows["Furniture"].price_anomaly is None and rows["Furniture"].price_z_score is None
 
 
-def test_global_statistics_on_both_paths(read):
-    sales = read("sales")
-    rows = [
-        G.group_stats(sales, [], ["amount"], ["city"], max_held_values=n).first().asDict()
-        for n in (0, 1000)
-    ]
-    assert rows[0] == pytest.approx(rows[1])
-    assert rows[0]["amount_sum"] == 1064000 and rows[0]["city_distinct_total"] == 3
+def test_global_statistics(read):
+    row = G.group_stats(read("sales"), [], ["amount"], ["city"]).first().asDict()
+    assert row["amount_sum"] == 1064000 and row["city_distinct_total"] == 3
+
+
+def test_percentiles_between_infinities(spark):
+    inf = float("inf")
+    rows = [("a", v) for v in (1.0, 2.0, inf)] + [("b", v) for v in (-inf, inf, inf, inf)]
+    df = spark.createDataFrame(rows, "d string, m double").repartition(5)
+    found = {r.d: (r.m_median, r.m_p25, r.m_p95) for r in G.group_stats(df, ["d"], ["m"]).collect()}
+    assert found == {"a": (2.0, 1.5, inf), "b": (inf, inf, inf)}
+
+
+def test_sketches_only_when_asked_for(spark):
+    df = spark.createDataFrame([("a", float(i), str(i)) for i in range(1000)], "d string, m double, t string")
+    exact = G.group_stats(df, ["d"], ["m"], ["t"]).first()
+    rough = G.group_stats(df, ["d"], ["m"], ["t"], approximate=True).first()
+    assert exact.m_median == 499.5 and exact.t_distinct_count == 1000
+    assert abs(rough.m_median - 499.5) < 20 and abs(rough.t_distinct_count - 1000) < 100
 
 
-@pytest.mark.parametrize("max_held_values", [0, 1000])
-def test_missing_measures_and_dimensions(spark, max_held_values):
+def test_missing_measures_and_dimensions(spark):
     df = spark.createDataFrame(
         [("a", "1"), ("a", "x"), (None, "4"), (None, "2"), ("b", None)], "d string, m string"
     )
-    stats = G.group_stats(df, ["d"], ["m"], max_held_values=max_held_values)
+    stats = G.group_stats(df, ["d"], ["m"])
     rows = {r.d: (r.row_count, r.m_sum, r.m_median) for r in stats.collect()}
     assert rows == {"a": (2, 1.0, 1.0), None: (2, 6.0, 3.0), "b": (1, None, None)}
 
