@@ -40,6 +40,9 @@ _TYPE_RULES = {
 }
 
 
+SHORT_CELL = 32
+"""Characters of a cell that are shuffled as they are; longer cells become digests."""
+
 _TEXT_KIND = f"""
     CASE WHEN {{0}} IS NULL OR {{0}} = '' THEN 0
          WHEN {{0}} RLIKE r'{V.FLOAT}' THEN
@@ -56,7 +59,7 @@ _TEXT_KIND = f"""
 
 def _text_kind(name: str) -> Column:
     # One SQL text instead of dozens of calls per column: tables can be wide.
-    return F.expr(_TEXT_KIND.replace("{0}", f"`{name}`"))
+    return F.expr(_TEXT_KIND.replace("{0}", V.quoted(name)))
 
 
 def _cell_kind(df: DataFrame, name: str) -> Column:
@@ -136,45 +139,69 @@ def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     return cells.groupBy("name", "value").agg(F.count("*").alias("occurrences"))
 
 
-def column_stats(df: DataFrame, mode: str = "numeric") -> DataFrame:
+def column_stats(
+    df: DataFrame, mode: str = "numeric", approximate: bool = False
+) -> DataFrame:
     """Types plus cardinality, unique ratio and null rate, one row per column.
 
-    Cells are first counted per distinct value, so types are found on distinct
-    values only and the exact cardinality is a plain count afterwards.
+    Cells are counted per distinct value, so types of short texts are found on distinct
+    values only and the exact cardinality is a plain count afterwards. A cell longer than
+    ``SHORT_CELL`` characters is classed where it is read and goes on as a digest, so
+    what is shuffled has a bounded width. ``approximate`` asks for a cardinality from
+    sketches of two percent, with nothing but partial aggregates shuffled.
     """
-    kinds = {c: _cell_kind(df, c) for c in df.columns}
-    positions = {c: i for i, c in enumerate(df.columns)}
-    cells = df.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(positions[c]).alias("position"),
-                        F.lit(c).alias("name"),
-                        V.present(V.text(df, c)).alias("value"),
-                        (
-                            F.lit(None).cast("int")
-                            if isinstance(df.schema[c].dataType, T.StringType)
-                            else kinds[c]
-                        ).alias("typed_kind"),
-                    )
-                    for c in df.columns
-                ]
+    if approximate:
+        return _stats_columns(_sketched_totals(df), mode)
+    cells = []
+    for position, name in enumerate(df.columns):
+        value = V.present(V.text(df, name))
+        is_text = isinstance(df.schema[name].dataType, T.StringType)
+        long = F.length(value) > SHORT_CELL
+        kind = F.when(long, _cell_kind(df, name)) if is_text else _cell_kind(df, name)
+        cells.append(
+            F.struct(
+                F.lit(position).alias("position"),
+                F.lit(name).alias("name"),
+                F.when(long, None).otherwise(value).alias("value"),
+                F.when(long, V.digest(value)).alias("digest"),
+                kind.alias("typed_kind"),
             )
         )
-    )
-    distinct = cells.groupBy("position", "name", "value", "typed_kind").agg(
-        F.count("*").alias("occurrences")
+    distinct = (
+        df.select(F.inline(F.array(*cells)))
+        .groupBy("position", "name", "value", "digest", "typed_kind")
+        .agg(F.count("*").alias("occurrences"))
     )
     kind = F.coalesce("typed_kind", _text_kind("value"))
+    found = F.col("value").isNotNull() | F.col("digest").isNotNull()
     totals = distinct.groupBy("position", "name").agg(
         F.bit_or(kind).alias("kinds"),
         F.sum("occurrences").alias("row_count"),
-        F.coalesce(
-            F.sum(F.when(F.col("value").isNotNull(), F.col("occurrences"))), F.lit(0)
-        ).alias("non_null_count"),
-        F.count("value").alias("cardinality"),
+        F.coalesce(F.sum(F.when(found, F.col("occurrences"))), F.lit(0)).alias(
+            "non_null_count"
+        ),
+        F.count_if(found).alias("cardinality"),
     )
+    return _stats_columns(totals, mode)
+
+
+def _sketched_totals(df: DataFrame) -> DataFrame:
+    per_column = [
+        F.struct(
+            F.lit(position).alias("position"),
+            F.lit(name).alias("name"),
+            F.coalesce(F.bit_or(_cell_kind(df, name)), F.lit(0)).alias("kinds"),
+            F.count("*").alias("row_count"),
+            F.count(V.present(V.text(df, name))).alias("non_null_count"),
+            F.approx_count_distinct(V.present(V.text(df, name)), 0.02).alias("cardinality"),
+        )
+        for position, name in enumerate(df.columns)
+    ]
+    totals = df.agg(F.array(*per_column).alias("columns")).select(F.inline("columns"))
+    return totals.where("row_count > 0")
+
+
+def _stats_columns(totals: DataFrame, mode: str) -> DataFrame:
     missing = F.col("row_count") - F.col("non_null_count")
     return totals.select(
         "position",

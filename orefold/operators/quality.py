@@ -35,12 +35,9 @@ CHECK_NAMES = (
 FAILED_STATES = ("FAIL", "FAILED", "ERROR")
 
 
-def _weighted(conditions: Sequence[Column]) -> Column:
-    """How many cells meet their condition, over distinct rows with their copies."""
-    if not conditions:
-        return F.lit(0).cast("bigint")
-    per_row = reduce(lambda a, b: a + b, [c.cast("bigint") for c in conditions])
-    return F.coalesce(F.sum(per_row * F.col("copies")), F.lit(0))
+def _weighted(name: str) -> Column:
+    """The sum of a row's number over all copies."""
+    return F.coalesce(F.sum(F.col(name) * F.col("copies")), F.lit(0)).alias(name)
 
 
 def _rows() -> Column:
@@ -52,29 +49,46 @@ def _repeats() -> Column:
     return F.coalesce(F.sum(F.col("copies") - 1), F.lit(0))
 
 
-def duplicate_groups(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Row groups with their size. Nulls are equal to each other.
+def row_groups(
+    df: DataFrame, columns: Sequence[str] | None = None, **known: Column
+) -> DataFrame:
+    """Distinct rows as ``row``, a digest, with ``copies`` and what is known of each.
 
-    Copies are combined before the shuffle, so a row repeated very often costs one
-    record per input task.
+    Nulls are equal to each other. A row is shuffled as its digest and a few numbers,
+    however wide it is; copies are combined before, so a row repeated very often costs
+    one record per input task. What ``known`` says must follow from the row.
     """
-    keys = V.cols(columns or df.columns)
-    return df.groupBy(*keys).agg(F.count("*").alias("copies"))
+    rows = df.select(
+        V.row_digest(df, columns or df.columns).alias("row"),
+        *[value.alias(name) for name, value in known.items()],
+    )
+    return rows.groupBy("row", *known).agg(F.count("*").alias("copies"))
+
+
+def _count(conditions: Sequence[Column]) -> Column:
+    """How many conditions a row meets."""
+    if not conditions:
+        return F.lit(0)
+    return reduce(lambda a, b: a + b, [c.cast("int") for c in conditions])
 
 
 def duplicate_row_count(df: DataFrame) -> DataFrame:
     """Rows beyond the first copy."""
-    return duplicate_groups(df).agg(_repeats().alias("duplicate_rows"))
+    return row_groups(df).agg(_repeats().alias("duplicate_rows"))
+
+
+def key_digest(df: DataFrame, name: str) -> Column:
+    """A key's trimmed value as a digest; null where the key is missing."""
+    return V.digest(V.strip(V.present(V.text(df, name))))
 
 
 def _key_duplicates(groups: DataFrame, name: str) -> Column:
-    """Repeats of a key's trimmed values, from row groups, as one number.
+    """Repeats of a key digest, from row groups, as one number.
 
     Missing keys are passed over after the grouping: a filter before it would change
     the shuffle below, which then could not be shared.
     """
-    key = V.strip(V.present(V.text(groups, name)))
-    keys = groups.groupBy(key.alias("key")).agg(F.sum("copies").alias("copies"))
+    keys = groups.groupBy(F.col(name).alias("key")).agg(F.sum("copies").alias("copies"))
     repeats = F.sum(F.when(F.col("key").isNotNull(), F.col("copies") - 1))
     return keys.agg(F.coalesce(repeats, F.lit(0))).scalar()
 
@@ -146,44 +160,55 @@ def quality_counters(
 ) -> DataFrame:
     """All counters of the report in one row; ``ragged`` names a row flag column.
 
-    The rows are read once and grouped into distinct rows with their copies, which the
-    duplicate check needs anyway. All other counters weigh these groups by copies; the
-    key counters, as scalar subqueries, reuse the same shuffle.
+    The rows are read once. Each row's findings are counted where it is read; then rows
+    meet by their digests, which the duplicate check needs, with those small numbers and
+    the digests of keys. The key counters, as scalar subqueries, reuse the same shuffle.
     """
-    groups = duplicate_groups(df)
     names = [c.name for c in columns if c.name in df.columns]
     data = [c for c in df.columns if c != ragged]
     missing = {c: V.is_missing(V.text(df, c)) for c in data}
     errors = [e for c in columns if c.name in names if (e := _type_error(df, c)) is not None]
+    keys = [c.name for c in columns if c.role == "KEY" and c.name in names]
+    flagged = [c.name for c in columns if c.key_type == "PRIMARY" and c.name in keys]
+    strong = [k for k in keys if k.lower() in STRONG_KEY_NAMES]
+    primary = flagged or strong or keys
+    digests = {f"key_{i}": key_digest(df, k) for i, k in enumerate(primary)}
+    if not (flagged or strong):
+        # Whether a key column identifies rows is judged by its values as they are.
+        digests |= {f"raw_{i}": V.digest(V.present(V.text(df, k))) for i, k in enumerate(keys)}
+    groups = row_groups(
+        df,
+        empty_rows=_count([reduce(lambda a, b: a & b, missing.values())]),
+        null_values=_count([missing[c] for c in names]),
+        type_errors=_count([F.coalesce(e, F.lit(False)) for e in errors]),
+        inconsistent_rows=_count([F.col(ragged)] if ragged else []),
+        **digests,
+    )
     counters = groups.agg(
         _rows().alias("row_count"),
-        _weighted([reduce(lambda a, b: a & b, missing.values())]).alias("empty_rows"),
-        _weighted([missing[c] for c in names]).alias("null_values"),
-        _weighted(errors).alias("type_errors"),
-        _weighted([F.col(ragged)] if ragged else []).alias("inconsistent_rows"),
+        _weighted("empty_rows"),
+        _weighted("null_values"),
+        _weighted("type_errors"),
+        _weighted("inconsistent_rows"),
         _repeats().alias("duplicate_rows"),
     )
-    keys = [c.name for c in columns if c.role == "KEY" and c.name in names]
-    flagged = [c.name for c in columns if c.key_type == "PRIMARY" and c.name in keys]
-    strong = [k for k in keys if k.lower() in STRONG_KEY_NAMES]
-    primary = flagged or strong
-    if primary:
-        duplicates = [_key_duplicates(groups, k) for k in primary]
-        key_duplicates = reduce(lambda a, b: a + b, duplicates)
+    repeats = [_key_duplicates(groups, f"key_{i}") for i in range(len(primary))]
+    if flagged or strong:
+        key_duplicates = reduce(lambda a, b: a + b, repeats)
         key_found = F.lit(True)
     elif keys:
-        # No primary key is known by flag or name: a key column counts as one only
-        # if its raw values are all distinct.
-        inferred = infer_primary_key(df, columns).filter("is_primary_key")
-        trimmed = key_uniqueness(df, keys)
-        verdict = inferred.join(trimmed.select("name", "duplicates"), "name").agg(
-            F.struct(
-                F.count("*").alias("found"),
-                F.coalesce(F.sum("duplicates"), F.lit(0)).alias("repeats"),
-            )
+        # No primary key is known by flag or name: a key column counts as one only if
+        # its raw values are all distinct.
+        unique = [_key_duplicates(groups, f"raw_{i}") == 0 for i in range(len(keys))]
+        filled = [
+            groups.agg(F.count_if(F.col(f"raw_{i}").isNotNull())).scalar() > 0
+            for i in range(len(keys))
+        ]
+        serves = [a & b for a, b in zip(unique, filled)]
+        key_duplicates = reduce(
+            lambda a, b: a + b, [F.when(s, r).otherwise(0) for s, r in zip(serves, repeats)]
         )
-        key_duplicates = verdict.scalar()["repeats"]
-        key_found = verdict.scalar()["found"] > 0
+        key_found = reduce(lambda a, b: a | b, serves)
     else:
         key_duplicates = F.lit(0).cast("bigint")
         key_found = F.lit(False)
@@ -237,9 +262,10 @@ def quality_score(report: DataFrame) -> DataFrame:
 
 def quality_check(df: DataFrame) -> DataFrame:
     """Rows, nulls and duplicate rows with a FAIL, CHECK or PASS verdict."""
-    counted = duplicate_groups(df).agg(
+    groups = row_groups(df, null_values=_count([V.col(c).isNull() for c in df.columns]))
+    counted = groups.agg(
         _rows().alias("row_count"),
-        _weighted([V.col(c).isNull() for c in df.columns]).alias("null_values"),
+        _weighted("null_values"),
         _repeats().alias("duplicate_rows"),
     )
     verdict = (
@@ -252,9 +278,10 @@ def quality_check(df: DataFrame) -> DataFrame:
 
 def weighted_score(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """70 % completeness plus 30 % freedom from duplicates; PASS from 80 points."""
-    counted = duplicate_groups(df, columns).agg(
+    missing = [V.is_missing(V.text(df, c)) for c in columns]
+    counted = row_groups(df, columns, null_values=_count(missing)).agg(
         _rows().alias("row_count"),
-        _weighted([V.is_missing(V.text(df, c)) for c in columns]).alias("null_values"),
+        _weighted("null_values"),
         _repeats().alias("duplicate_rows"),
     )
     rows = F.col("row_count")
@@ -282,10 +309,13 @@ def gold_quality(gold: DataFrame) -> DataFrame:
     totals = [c for c in gold.columns if c.endswith(suffixes)]
     empty = reduce(lambda a, b: a & b, [V.is_missing(V.text(gold, c)) for c in gold.columns])
     negatives = [F.coalesce(V.number(gold, c) < 0, F.lit(False)) for c in totals]
-    counted = duplicate_groups(gold).agg(
+    groups = row_groups(
+        gold, empty_rows=_count([empty]), negative_metric_values=_count(negatives)
+    )
+    counted = groups.agg(
         _rows().alias("row_count"),
-        _weighted([empty]).alias("empty_rows"),
-        _weighted(negatives).alias("negative_metric_values"),
+        _weighted("empty_rows"),
+        _weighted("negative_metric_values"),
         _repeats().alias("duplicate_rows"),
     )
     findings = [

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orefold.functions import values as V
-from orefold.operators.quality import duplicate_groups
+from orefold.operators.quality import row_groups
 from orefold.operators.roles import ColumnRole
 
 
@@ -54,7 +54,7 @@ def key_column(
 
 def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
     """Rows whose key was seen before; missing keys count as one value."""
-    return duplicate_groups(df, [key]).agg(
+    return row_groups(df, [key]).agg(
         F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("duplicate_keys")
     )
 

@@ -9,10 +9,6 @@ from pyspark.sql import functions as F
 
 from orefold.functions import values as V
 
-# Separates columns and stands for null inside the hashed text of a row.
-_UNIT, _NULL = "\x1f", "\x00"
-
-
 def ingestion_audit(
     spark: SparkSession, folder: str, source: str, pattern: str = "*.csv"
 ) -> DataFrame:
@@ -37,10 +33,10 @@ def ingestion_audit(
     )
 
 
-def _row_hash(texts: Sequence[Column]) -> Column:
+def _row_hash(df: DataFrame, names: Sequence[str]) -> Column:
     """The first 60 bits of the SHA-256 of a row as a number."""
-    joined = F.concat_ws(_UNIT, *[F.coalesce(t, F.lit(_NULL)) for t in texts])
-    return F.conv(F.substring(F.sha2(joined, 256), 1, 15), 16, 10).cast("decimal(20,0)")
+    first = F.substring(F.hex(V.row_digest(df, names)), 1, 15)
+    return F.conv(first, 16, 10).cast("decimal(20,0)")
 
 
 def _fingerprint(row_hash: Column) -> list[Column]:
@@ -51,25 +47,30 @@ def _fingerprint(row_hash: Column) -> list[Column]:
 def table_fingerprint(df: DataFrame) -> DataFrame:
     """Row count and a content hash that does not depend on row order or file layout.
 
-    The row hashes are added up, so the work is one scan with partial sums.
+    The row hashes are added up, so the work is one scan with partial sums. Column names
+    and types are part of it.
     """
-    texts = [V.text(df, c) for c in df.columns]
-    return df.agg(*_fingerprint(_row_hash(texts)))
+    rows, content = _fingerprint(_row_hash(df, df.columns))
+    shape = F.sha2(F.lit(df.schema.simpleString()), 256)
+    return df.agg(rows, content).withColumn(
+        "fingerprint", F.concat("fingerprint", F.lit("-"), F.substring(shape, 1, 12))
+    )
 
 
 def file_fingerprints(
     spark: SparkSession, folder: str, pattern: str = "*.csv"
 ) -> DataFrame:
-    """Row count and content hash per file; large files are read by many tasks.
+    """Row count and content hash per file below the folder, by its full path; large
+    files are read by many tasks.
 
     A header line is part of the hash but not of the row count.
     """
     lines = (
-        spark.read.option("pathGlobFilter", pattern)
+        spark.read.options(pathGlobFilter=pattern, recursiveFileLookup=True)
         .text(folder)
-        .select("value", F.col("_metadata.file_name").alias("source"))
+        .select("value", F.col("_metadata.file_path").alias("source"))
     )
-    counted = lines.groupBy("source").agg(*_fingerprint(_row_hash([F.col("value")])))
+    counted = lines.groupBy("source").agg(*_fingerprint(_row_hash(lines, ["value"])))
     return counted.select(
         "source", F.greatest(F.col("row_count") - 1, F.lit(0)).alias("row_count"), "fingerprint"
     )

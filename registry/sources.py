@@ -15,6 +15,9 @@ from orefold.sources import files, sinks
 from registry.views import dirty_orders, rounded, sales_lines, sales_orders, sql, table
 
 
+FILES = 16
+
+
 def scan_csv_inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "inferred")
     sinks.write_table(sales_orders(spark, sf_dir), path, format="csv")
@@ -67,10 +70,21 @@ def ragged_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sink_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "roundtrip")
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
-    sinks.write_table(customers, path, format="csv", single_file=True)
+    sinks.write_table(customers, path, format="csv")
     return C.read_strings(spark, path)
 
 
+def sink_csv_single_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report of a few rows as one file."""
+    path = scratch_path(spark, "report")
+    segments = table(spark, sf_dir, "customer").groupBy("c_mktsegment").count()
+    sinks.write_table(segments, path, format="csv", single_file=True)
+    rows = C.read_strings(spark, path)
+    one_file = F.count_distinct(F.col("_metadata.file_path")) == 1
+    files_read = spark.read.text(path).agg(one_file.alias("one_file")).first()["one_file"]
+    return rows.withColumn("one_file", F.lit(files_read))
+
+
 def silver_write(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "silver")
     sinks.write_silver(dirty_orders(spark, sf_dir), path, ["order_date", "order_id"])
@@ -107,10 +121,8 @@ def gold_summary_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ingest_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "ingest")
-    customers = table(spark, sf_dir, "customer")
-    sinks.write_table(
-        customers, path, format="csv", partition_by=["c_mktsegment"], single_file=True
-    )
+    customers = table(spark, sf_dir, "customer").repartition("c_mktsegment")
+    sinks.write_table(customers, path, format="csv", partition_by=["c_mktsegment"])
     audit = files.ingestion_audit(spark, path, "RAW_UPLOAD")
     return audit.select(
         F.regexp_extract("raw_path", "c_mktsegment=([^/]+)/", 1).alias("segment"),
@@ -127,18 +139,19 @@ def table_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def file_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in one file for each remainder of their ids, each in a folder."""
     path = scratch_path(spark, "prints")
-    documents = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     line = F.concat_ws("|", "doc_id", F.regexp_replace("text", "[\\r\\n]", " "))
-    documents.select("lang", line.alias("line")).coalesce(1).write.partitionBy("lang").text(path)
-    prints = [
-        files.file_fingerprints(spark, f"{path}/lang={lang}", "*.txt").select(
-            F.lit(lang).alias("lang"), "row_count", "fingerprint"
-        )
-        for lang in ("en", "fr", "de", "es")
-    ]
-    first, second, third, fourth = prints
-    return first.unionByName(second).unionByName(third).unionByName(fourth)
+    part = F.pmod("doc_id", F.lit(FILES)).alias("part")
+    lines = documents.select(part, line.alias("line")).repartition("part")
+    lines.write.partitionBy("part").text(path)
+    prints = files.file_fingerprints(spark, path, "*.txt")
+    return prints.select(
+        F.regexp_extract("source", r"/part=(\d+)/", 1).cast("bigint").alias("part"),
+        "row_count",
+        "fingerprint",
+    )
 
 
 def preview(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,6 +170,7 @@ QUERIES = {
     "scan_folder": scan_folder,
     "ragged_rows": ragged_rows,
     "sink_csv_roundtrip": sink_csv_roundtrip,
+    "sink_csv_single_file": sink_csv_single_file,
     "silver_write": silver_write,
     "gold_detail_roundtrip": gold_detail_roundtrip,
     "gold_summary_json": gold_summary_json,
@@ -168,9 +182,11 @@ QUERIES = {
 }
 
 _HASH = "CAST(CAST('0x' || substr(sha256({}), 1, 15) AS BIGINT) AS HUGEINT)"
-_DIRTY_ROW = " || chr(31) || ".join(
-    f"coalesce({c}, chr(0))" for c in ("order_id", "customer_id", "category", "amount", "order_date")
+_DIRTY_NAMES = ("order_id", "customer_id", "category", "amount", "order_date")
+_DIRTY_ROW = " || ".join(
+    f"coalesce(strlen({c}) || ':' || {c}, '-')" for c in _DIRTY_NAMES
 )
+_DIRTY_SHAPE = "struct<" + ",".join(f"{c}:string" for c in _DIRTY_NAMES) + ">"
 _SUMMARY = """
 SELECT '{0}' AS name, CAST(min({0}) AS DOUBLE) AS min, CAST(max({0}) AS DOUBLE) AS max,
        round(avg({0}), 2) AS avg, count({0}) AS count FROM sales_lines"""
@@ -202,6 +218,9 @@ ORACLE = {
         FROM orders""",
     "sink_csv_roundtrip": """
         SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, c_mktsegment FROM customer""",
+    "sink_csv_single_file": """
+        SELECT c_mktsegment, CAST(count(*) AS VARCHAR) AS "count", true AS one_file
+        FROM customer GROUP BY c_mktsegment""",
     "silver_write": sql("SELECT * FROM dirty_orders", "dirty_orders"),
     "gold_detail_roundtrip": sql(
         """SELECT 'detail' AS product, count(*) AS row_count, round(sum(amount) + 1e-8, 4) AS amount
@@ -227,16 +246,17 @@ ORACLE = {
         FROM customer""",
     "table_fingerprint": sql(
         f"""SELECT count(*) AS row_count,
-                   CAST(sum({_HASH.format(_DIRTY_ROW)}) AS VARCHAR) AS fingerprint
+                   CAST(sum({_HASH.format(_DIRTY_ROW)}) AS VARCHAR) || '-'
+                     || substr(sha256('{_DIRTY_SHAPE}'), 1, 12) AS fingerprint
             FROM dirty_orders""",
         "dirty_orders",
     ),
     "file_fingerprints": f"""
-        SELECT lang, greatest(count(*) - 1, 0) AS row_count,
-               CAST(sum({_HASH.format("line")}) AS VARCHAR) AS fingerprint
-        FROM (SELECT lang, CAST(doc_id AS VARCHAR) || '|'
+        SELECT part, greatest(count(*) - 1, 0) AS row_count,
+               CAST(sum({_HASH.format("strlen(line) || ':' || line")}) AS VARCHAR) AS fingerprint
+        FROM (SELECT doc_id % {FILES} AS part, CAST(doc_id AS VARCHAR) || '|'
                      || regexp_replace(text, '[\\r\\n]', ' ', 'g') AS line FROM documents)
-        GROUP BY lang""",
+        GROUP BY part""",
     "preview": "SELECT * FROM customer ORDER BY c_custkey LIMIT 10",
     "dataset_reference": """
         SELECT (SELECT count(*) FROM customer) AS row_count,

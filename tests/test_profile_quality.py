@@ -126,7 +126,7 @@ def test_null_and_empty_are_different_copies(spark):
 
 def test_duplicates_are_group_sizes_less_one(read):
     customers = read("customers")
-    groups = Q.duplicate_groups(customers).collect()
+    groups = Q.row_groups(customers).collect()
     assert sum(g.copies - 1 for g in groups) == Q.duplicate_row_count(customers).first()[0]
 
 
@@ -182,3 +182,37 @@ def test_rules_ask_for_review_when_unsure(spark):
         "b": ["TRIM", "DATE_TIME_NORMALIZATION"],
         "c": ["TRIM"],
     }
+
+
+def test_digests_tell_rows_apart_as_grouping_does(spark):
+    rows = [("a", "bc"), ("ab", "c"), ("a1:", "b"), ("a", "1:b"), (None, "-"), ("-", None), ("", None)]
+    df = spark.createDataFrame(rows + rows[:2], "x string, y string")
+    assert Q.duplicate_row_count(df).first()[0] == 2
+    numbers = spark.createDataFrame(
+        [(0.0, 1), (-0.0, 1), (float("nan"), 1), (float("nan"), 1), (None, 1)], "v double, n int"
+    )
+    assert Q.duplicate_row_count(numbers).first()[0] == 2
+
+
+def test_no_exchange_carries_long_text(spark):
+    df = spark.createDataFrame([(str(i), "long text " * 50) for i in range(20)], "id string, body string")
+    for result in (
+        Q.quality_counters(df, [R.ColumnRole("id", "integer", "KEY")]),
+        P.column_stats(df),
+        Q.quality_check(df),
+        Q.weighted_score(df, df.columns),
+    ):
+        result.collect()
+        plan = result._jdf.queryExecution().executedPlan().toString()
+        for line in plan.split("Final Plan")[-1].split("Initial Plan")[0].splitlines():
+            assert "Exchange" not in line or "body" not in line
+    row = {r.name: r for r in P.column_stats(df).collect()}["body"]
+    assert (row.cardinality, row.type) == (1, "string")
+    rough = {r.name: r.cardinality for r in P.column_stats(df, approximate=True).collect()}
+    assert rough == {"id": 20, "body": 1}
+
+
+def test_names_may_hold_backticks(spark):
+    df = spark.createDataFrame([("1", "x")], ["a`b", "c.d"])
+    assert {r.name: r.type for r in P.discover_schema(df).collect()} == {"a`b": "integer", "c.d": "string"}
+    assert P.column_stats(df).count() == 2 and Q.quality_check(df).first().status == "PASS"
