@@ -35,14 +35,80 @@ def read_checkpoints(spark: SparkSession, path: str) -> DataFrame:
     return latest.select("source", "checkpoint.*")
 
 
+Order = Sequence[str | Column]
+
+
+def _order_columns(order: Order) -> list[Column]:
+    return [V.col(key) if isinstance(key, str) else key for key in order]
+
+
+def high_water_values(df: DataFrame, order: Order, stored: str | None) -> list | None:
+    """The stored values of the last processed row, in the types of the order."""
+    if stored is None:
+        return None
+    keys = df.select(F.struct(*_named(order)).alias("keys")).schema["keys"].dataType
+    row = df.sparkSession.range(1).select(F.from_json(F.lit(stored), keys).alias("keys"))
+    return list(row.first()["keys"])
+
+
+def _named(order: Order) -> list[Column]:
+    return [key.alias(f"k{i}") for i, key in enumerate(_order_columns(order))]
+
+
+def beyond(order: Order, last: Sequence) -> Column:
+    """Whether a row comes after the last values; a comparison that a scan can use.
+
+    The order is that of the columns' types, so numbers read as text need a cast. A row
+    without a value in the order does not come after anything: the result is then not true.
+    """
+    condition, same = F.lit(False), F.lit(True)
+    for key, value in zip(_order_columns(order), last):
+        condition = condition | (same & (key > F.lit(value)))
+        same = same & (key == F.lit(value))
+    return condition
+
+
+def source_state(
+    df: DataFrame, source: str, order: Order, stored_high_water: str | None = None
+) -> DataFrame:
+    """One row on a source, from one scan: its rows, content and highest place in the
+    order, and the rows and content up to the place that was processed last."""
+    last = high_water_values(df, order, stored_high_water)
+    before = F.lit(True)
+    if last is not None:
+        before = ~F.coalesce(beyond(order, last), F.lit(False))
+    digest = V.row_digest(df, df.columns)
+    number = F.conv(F.substring(F.hex(digest), 1, 15), 16, 10).cast("decimal(20,0)")
+    rows = df.select(
+        number.alias("number"), before.alias("before"), F.struct(*_named(order)).alias("place")
+    )
+    shape = F.concat(F.lit("-"), F.substring(F.sha2(F.lit(df.schema.simpleString()), 256), 1, 12))
+    zero = F.lit(0).cast("decimal(20,0)")
+
+    def content(chosen: Column) -> Column:
+        total = F.coalesce(F.sum(F.when(chosen, F.col("number"))), zero)
+        return F.concat(total.cast("string"), shape)
+
+    return rows.agg(
+        F.lit(source).alias("source"),
+        F.count("*").alias("row_count"),
+        content(F.lit(True)).alias("fingerprint"),
+        F.to_json(F.max("place")).alias("high_water"),
+        F.count_if("before").alias("prefix_row_count"),
+        content(F.col("before")).alias("prefix_fingerprint"),
+    )
+
+
 def incremental_status(
     current: DataFrame, checkpoints: DataFrame, force: bool = False
 ) -> DataFrame:
     """Per source, whether to run and from which row.
 
     ``current`` holds source, row_count and fingerprint. Same content means skip; more
-    rows than before means run from the first new one. Changed content without new
-    rows is reported, so that the caller can force a full run.
+    rows than before means run from the first new one. If ``current`` also says what the
+    processed part looks like now (:func:`source_state`), rows are only taken as new if
+    that part is unchanged; a late or edited row is reported as a change. Changed content
+    without new rows is reported, so that the caller can force a full run.
     """
     previous = checkpoints.select(
         "source",
@@ -54,16 +120,22 @@ def incremental_status(
     same = (F.col("fingerprint") == F.col("previous_fingerprint")) & (
         F.col("row_count") == before
     )
+    grown = F.col("row_count") > before
+    if "prefix_fingerprint" in current.columns:
+        grown &= (F.col("prefix_row_count") == before) & (
+            F.col("prefix_fingerprint") == F.col("previous_fingerprint")
+        )
     if force:
         status, start = F.lit(READY), F.lit(0).cast("bigint")
     else:
         status = (
             F.when(same, SKIPPED)
-            .when(F.col("previous_rows").isNull() | (F.col("row_count") > before), READY)
+            .when(F.col("previous_rows").isNull() | grown, READY)
             .otherwise(CHANGED)
         )
         start = F.least(before, F.col("row_count"))
     rows = F.when(status == READY, F.col("row_count") - start).otherwise(0)
+    kept = ["high_water"] if "high_water" in current.columns else []
     return joined.select(
         "source",
         "fingerprint",
@@ -72,6 +144,7 @@ def incremental_status(
         status.alias("status"),
         start.alias("start_row"),
         rows.alias("rows_to_process"),
+        *kept,
     )
 
 
@@ -95,7 +168,10 @@ def commit_checkpoints(status: DataFrame, execution_id: str, path: str) -> None:
     """Append a checkpoint for every source that was run or skipped.
 
     Changed content that was not run keeps its old checkpoint, so it is reported again.
+    The highest place in the order is kept where the status has it.
     """
+    known = "high_water" in status.columns
+    high_water = F.col("high_water") if known else F.lit(None).cast("string")
     committed = status.filter(F.col("status") != CHANGED).select(
         "source",
         "fingerprint",
@@ -105,5 +181,6 @@ def commit_checkpoints(status: DataFrame, execution_id: str, path: str) -> None:
         F.lit(execution_id).alias("execution_id"),
         F.when(F.col("status") == READY, "SUCCESS").otherwise(F.col("status")).alias("status"),
         F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss.SSS").alias("updated_at"),
+        high_water.alias("high_water"),
     )
     committed.write.mode("append").json(path)

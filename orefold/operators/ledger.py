@@ -52,6 +52,7 @@ CHECKPOINT_SCHEMA = T.StructType(
         T.StructField("execution_id", T.StringType()),
         T.StructField("status", T.StringType()),
         T.StructField("updated_at", T.StringType()),
+        T.StructField("high_water", T.StringType()),
     ]
 )
 

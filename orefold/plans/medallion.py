@@ -2,30 +2,36 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import time
+import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orefold.functions import values as V
 from orefold.operators import quality as Q
 from orefold.operators import validation as C
 from orefold.operators.clean import role_transform
 from orefold.operators.incremental import (
     READY,
+    Order,
+    beyond,
     commit_checkpoints,
+    high_water_values,
     incremental_status,
     read_checkpoints,
-    tail_rows,
+    source_state,
 )
+from orefold.operators.ledger import FAILED, REPORT_SCHEMA, SUCCESS, append_reports
 from orefold.operators.roles import ColumnRole, classify, collect_roles
 from orefold.operators.profile import column_stats
 from orefold.operators.signals import decisions
 from orefold.plans.gold import GoldLayout, checked_analytics, time_series
 from orefold.session import materialize
 from orefold.sources.csv import RAGGED, read_with_ragged_flag
-from orefold.sources.files import ingestion_audit, table_fingerprint
+from orefold.sources.files import ingestion_audit, listed_files
 from orefold.sources.sinks import write_gold, write_silver, write_table
 
 
@@ -50,6 +56,17 @@ class MedallionRun:
     gold: dict[str, str] = field(default_factory=dict)
 
 
+@dataclass(frozen=True)
+class FileRun:
+    """How the run of one file of a folder ended."""
+
+    state: str
+    run: MedallionRun | None
+    message: str | None
+    started: float
+    ended: float
+
+
 def run_table(raw: DataFrame, target: str, gates: Gates = Gates()) -> MedallionRun:
     """Profile, check, clean and aggregate one table of raw text rows.
 
@@ -60,8 +77,9 @@ def run_table(raw: DataFrame, target: str, gates: Gates = Gates()) -> MedallionR
     ragged = RAGGED if flagged else None
     data = raw.drop(RAGGED)
     roles = collect_roles(classify(column_stats(data)))
-    report = Q.quality_report(Q.quality_counters(raw, roles, ragged))
-    quality = Q.quality_score(report).first().asDict()
+    counters = materialize(Q.quality_counters(raw, roles, ragged), "counters")
+    quality = Q.quality_score(Q.quality_report(counters)).first().asDict()
+    quality["row_count"] = counters.first()["row_count"]
     verdict = C.validation_verdict(raw, roles, ragged, gates.primary_only).first().asDict()
     stopped_by = None
     if gates.stop_on_quality_failure and not Q.quality_gate(
@@ -97,21 +115,75 @@ def run_file(
     return run_table(spark.read.parquet(bronze), target, gates)
 
 
+def _run_name(path: str, folder: str) -> str:
+    """A file's path below the folder, as a name for its run."""
+    below = path.split(folder.rstrip("/").split(":")[-1] + "/", 1)[-1]
+    return below.removesuffix(".csv").replace("/", "__")
+
+
 def run_folder(
-    spark: SparkSession, folder: str, target: str, gates: Gates = Gates()
-) -> dict[str, MedallionRun]:
-    """Run every CSV file of a folder by itself; each run is spread over the cluster."""
-    names = [row["file_name"] for row in ingestion_audit(spark, folder, "FOLDER").collect()]
-    return {
-        name: run_file(spark, f"{folder}/{name}", f"{target}/{name.removesuffix('.csv')}", gates)
-        for name in sorted(names)
-    }
+    spark: SparkSession,
+    folder: str,
+    target: str,
+    gates: Gates = Gates(),
+    ledger: str | None = None,
+    at_once: int = 4,
+) -> dict[str, FileRun]:
+    """Run every CSV file below a folder by itself, several at a time.
+
+    Every listed file is in the result under its full path, with a state: SUCCESS,
+    STOPPED by a gate, EMPTY, or FAILED with the error, which does not stop the others.
+    Each run is spread over the cluster; the driver only keeps one record per file. With
+    a ``ledger`` the runs are appended to it as reports.
+    """
+    audit = ingestion_audit(spark, folder, "FOLDER")
+    filled = {row["raw_path"] for row in audit.select("raw_path").toLocalIterator()}
+    execution = uuid.uuid4().hex[:12]
+
+    def one(path: str) -> FileRun:
+        started = time.time()
+        if path not in filled:
+            return FileRun("EMPTY", None, "no content", started, time.time())
+        try:
+            run = run_file(spark, path, f"{target}/{_run_name(path, folder)}", gates)
+        except Exception as error:  # noqa: BLE001 - any fault of one file is its own
+            return FileRun("FAILED", None, str(error).split("\n")[0], started, time.time())
+        state = "STOPPED" if run.stopped_by else "SUCCESS"
+        return FileRun(state, run, run.stopped_by, started, time.time())
+
+    found: dict[str, FileRun] = {}
+    with ThreadPoolExecutor(at_once) as pool:
+        pending = {path: pool.submit(one, path) for path in listed_files(spark, folder)}
+        for path, future in pending.items():
+            found[path] = future.result()
+    if ledger:
+        append_reports(_reports(spark, found, execution), ledger)
+    return found
+
+
+def _reports(spark: SparkSession, runs: dict[str, FileRun], execution: str) -> DataFrame:
+    """The runs as ledger reports; a file that did not run to its end counts as failed."""
+    rows = []
+    for i, (path, run) in enumerate(runs.items()):
+        done = run.state == "SUCCESS"
+        rows_out = run.run.quality.get("row_count", 0) if run.run else 0
+        times = [datetime.fromtimestamp(t).isoformat(sep=" ") for t in (run.started, run.ended)]
+        seconds = round(run.ended - run.started, 3)
+        state = SUCCESS if done else FAILED
+        step = ("MEDALLION", state, 1, seconds, None, rows_out, run.run.silver if run.run else None)
+        errors = [] if done else [("MEDALLION", 1, run.state, run.message, times[1])]
+        artifacts = sorted(run.run.gold.values()) if run.run else []
+        rows.append(
+            (f"{execution}_{i}", "medallion", path, state, *times, seconds, [step], artifacts,
+             errors, 0, rows_out)
+        )
+    return spark.createDataFrame(rows, REPORT_SCHEMA)
 
 
 def run_incremental(
     raw: DataFrame,
     source: str,
-    order: Sequence[str],
+    order: Order,
     target: str,
     checkpoints: str,
     execution_id: str,
@@ -120,13 +192,19 @@ def run_incremental(
 ) -> tuple[str, MedallionRun | None]:
     """Run the rows that came to an append-only table since its last checkpoint.
 
-    ``order`` names the columns that put the rows in their order of arrival. The
+    ``order`` names the columns, or gives the expressions, that put rows in their order
+    of arrival; numbers that were read as text need a cast. The checkpoint holds the
+    highest place that was processed and a fingerprint of all rows up to it. New rows are
+    taken by a filter on that place, and only if the rows up to it are still the same: a
+    row that comes late, or an edited one, is reported as ``CHANGED_NOT_APPENDED``. The
     checkpoint is written after the run; a run that a gate stopped leaves none, so its
     rows come again. Returns the incremental status and the run, if there was one.
     """
     spark = raw.sparkSession
-    current = table_fingerprint(raw).withColumn("source", F.lit(source))
-    known = read_checkpoints(spark, checkpoints)
+    known = read_checkpoints(spark, checkpoints).where(F.col("source") == source)
+    last = known.select("high_water").first()
+    stored = last["high_water"] if last else None
+    current = source_state(raw, source, order, stored)
     status = materialize(incremental_status(current, known, force), "status")
     found = status.first()
     if found["status"] != READY:
@@ -134,8 +212,11 @@ def run_incremental(
         return found["status"], None
     batch = raw
     if found["start_row"]:
-        batch = tail_rows(raw, V.cols(order), found["start_row"])
-    run = run_table(batch, f"{target}/{execution_id}", gates)
+        batch = raw.where(beyond(order, high_water_values(raw, order, stored)))
+    # Written once: the later passes read the batch, not the source again.
+    bronze = f"{target}/{execution_id}/bronze"
+    write_table(batch, bronze)
+    run = run_table(spark.read.parquet(bronze), f"{target}/{execution_id}", gates)
     if run.stopped_by is None:
         commit_checkpoints(status, execution_id, checkpoints)
     return READY, run

@@ -3,12 +3,27 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orefold.functions import values as V
 
+def listed_files(spark: SparkSession, folder: str, pattern: str = "*.csv") -> list[str]:
+    """Paths of all files below the folder, empty ones included, in order.
+
+    This is Spark's own file listing, which the driver holds anyway.
+    """
+    files = (
+        spark.read.format("binaryFile")
+        .options(pathGlobFilter=pattern, recursiveFileLookup=True)
+        .load(folder)
+        .inputFiles()
+    )
+    return sorted(unquote(path).replace("file:///", "file:/") for path in files)
+
+
 def ingestion_audit(
     spark: SparkSession, folder: str, source: str, pattern: str = "*.csv"
 ) -> DataFrame:

@@ -269,21 +269,22 @@ def test_column_names_with_dots_and_spaces(spark, tmp_path):
 def test_folder_of_tables(spark, samples, tmp_path):
     folder = samples["sales"].rsplit("/", 1)[0]
     runs = run_folder(spark, folder, scratch_path(spark, "folder"))
+    runs = {path.rsplit("/", 1)[1]: found.run for path, found in runs.items()}
     assert set(runs) == {f"{name}.csv" for name in samples}
     assert spark.read.parquet(runs["products.csv"].gold["analytics"]).count() == 2
     assert "time_series" not in runs["products.csv"].gold
 
 
 def test_incremental_runs(spark, read):
-    sales = read("sales").withColumn("transaction_id", F.lpad("transaction_id", 3, "0"))
+    sales = read("sales")
     target, checkpoints = scratch_path(spark, "runs"), scratch_path(spark, "checkpoints")
 
     def run(table, name, **more):
         return run_incremental(
-            table, "sales.csv", ["transaction_id"], target, checkpoints, name, **more
+            table, "sales.csv", [F.col("transaction_id").cast("int")], target, checkpoints, name, **more
         )
 
-    first = sales.filter("transaction_id <= '008'")
+    first = sales.filter("int(transaction_id) <= 8")
     status, done = run(first, "E1")
     assert status == "READY" and spark.read.parquet(done.silver).count() == 8
     assert run(first, "E2") == ("SKIPPED_IDEMPOTENT", None)
@@ -296,3 +297,55 @@ def test_incremental_runs(spark, read):
         assert run(edited, name)[0] == "CHANGED_NOT_APPENDED"
     status, done = run(edited, "E5", force=True)
     assert spark.read.parquet(done.silver).count() == 12
+
+
+def test_late_and_edited_rows_are_never_passed_over(spark, read):
+    sales = read("sales")
+    number = F.col("transaction_id").cast("int")
+    target, checkpoints = scratch_path(spark, "runs"), scratch_path(spark, "checkpoints")
+    run = lambda table, name: run_incremental(
+        table, "s", [number, "customer_id"], target, checkpoints, name
+    )
+    assert run(sales.where(number.isin(2, 3, 9)), "E1")[0] == "READY"
+    assert run(sales.where(number.isin(1, 2, 3, 9, 10)), "E2") == ("CHANGED_NOT_APPENDED", None)
+    edited = sales.withColumn("amount", F.when(number == 3, "7").otherwise(F.col("amount")))
+    assert run(edited.where(number.isin(2, 3, 9, 10)), "E3")[0] == "CHANGED_NOT_APPENDED"
+    status, done = run(sales.where(number.isin(2, 3, 9, 10, 11)), "E4")
+    assert status == "READY"
+    assert {r[0] for r in spark.read.parquet(done.silver).select("transaction_id").collect()} == {10, 11}
+
+
+def test_increment_is_a_filter_that_the_scan_uses(spark):
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    last = I.high_water_values(orders, ["o_orderkey"], '{"k0":100}')
+    batch = orders.where(I.beyond(["o_orderkey"], last))
+    plan = batch._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(o_orderkey,100)" in plan and "Sort" not in plan and "Exchange" not in plan
+
+
+def test_folder_with_bad_and_empty_files(spark, tmp_path):
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    good = "region,amount\n" + "".join(f"r{i % 2},{i}.5\n" for i in range(8))
+    (tmp_path / "in" / "a.csv").write_text(good)
+    (tmp_path / "in" / "deep" / "a.csv").write_text(good.replace("r1", "r9"))
+    (tmp_path / "in" / "deep" / "empty.csv").write_text("")
+    (tmp_path / "in" / "bad.csv").write_text("\n\n\n")
+    ledger = str(tmp_path / "ledger")
+    runs = run_folder(spark, str(tmp_path / "in"), str(tmp_path / "out"), ledger=ledger)
+    states = {path.split("/in/")[1]: found.state for path, found in runs.items()}
+    assert states == {
+        "a.csv": "SUCCESS", "deep/a.csv": "SUCCESS", "deep/empty.csv": "EMPTY", "bad.csv": "FAILED"
+    }
+    totals = L.folder_run_totals(L.read_reports(spark, ledger)).first()
+    assert (totals.files, totals.failed_files, totals.total_rows) == (4, 2, 16)
+
+
+def test_without_a_shared_folder_there_is_a_clear_error(spark, monkeypatch):
+    from orefold import session
+
+    monkeypatch.setattr(session, "FOLDER_CONFS", ("orefold.none",))
+    with pytest.raises(RuntimeError, match="orefold.none"):
+        session.scratch_path(spark, "x")
+    spark.conf.set("orefold.none", "/shared")
+    assert session.scratch_path(spark, "x").startswith("/shared/orefold/")
+    spark.conf.unset("orefold.none")
