@@ -38,8 +38,8 @@ def test_roles_of_samples(read):
 def test_column_stats(read):
     stats = by(P.column_stats(read("customers")).collect(), "name")
     email, city = stats["email"], stats["city"]
-    assert (email.cardinality, email.unique_ratio, email.null_rate) == (9, 0.8182, 0.0909)
-    assert (city.cardinality, city.unique_ratio) == (7, 0.6364)
+    assert (email.cardinality, email.unique_ratio, email.null_rate) == (7, 0.7778, 0.1111)
+    assert (city.cardinality, city.unique_ratio) == (5, 0.5556)
     assert email.nullable and not city.nullable
 
 
@@ -83,7 +83,7 @@ def test_quality_of_samples(read):
     score = Q.quality_score(Q.quality_report(counters)).first()
     assert (score.score, score.status) == (71.43, "FAIL")
     weighted = Q.weighted_score(customers, customers.columns).first()
-    assert (weighted.score, weighted.status) == (96.21, "PASS")
+    assert (weighted.score, weighted.status) == (95.37, "PASS")
 
 
 def test_keys_found_by_their_values(read):

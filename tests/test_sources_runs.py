@@ -94,7 +94,7 @@ def test_medallion_flow(spark, samples):
     run = run_file(spark, samples["sales"], scratch_path(spark, "run"))
     assert run.stopped_by is None and run.quality["status"] == "PASS" and run.validation["valid"]
     gold = spark.read.parquet(run.gold["analytics"])
-    assert gold.count() == 3
+    assert gold.count() == 9
     assert {r._reconciliation_status for r in gold.collect()} == {"PASS"}
     assert spark.read.parquet(run.gold["time_series"]).count() == 6
     assert spark.read.parquet(run.silver).columns[0] == "transaction_id"
@@ -111,17 +111,17 @@ def test_gates_stop_before_anything_is_written(spark, samples):
 
 def test_question_end_to_end(spark, read):
     sales = read("sales")
-    query = plan_question(sales, "Compare Laptop vs Phone quantity by product for each city in Electronics")
-    assert query.compare == ("product", ("Laptop", "Phone"))
+    query = plan_question(sales, "Compare Spade vs Rake quantity by product for each city in Garden")
+    assert query.compare == ("product", ("Spade", "Rake"))
     assert (query.metric, query.mode, query.child) == ("quantity", "COMPARE", "product")
-    assert query.filters == {"product": "Laptop", "category": "Electronics"}
+    assert query.filters == {"product": "Spade", "category": "Garden"}
     answer = gold_query(sales, query)
     assert {r.value: r.total for r in answer["comparison"].collect()} == {
-        "laptop": 12.0,
-        "phone": 18.0,
+        "spade": 7.0,
+        "rake": 11.0,
     }
-    assert {r.value for r in answer["product_breakdown"].collect()} == {"Laptop", "Phone"}
-    assert answer["detail_size"].first().row_count == 12
+    assert {r.value for r in answer["product_breakdown"].collect()} == {"Spade", "Rake"}
+    assert answer["detail_size"].first().row_count == 13
     plain = plan_question(sales, "what happened")
     assert plain.dimensions == ("product", "category", "city") and not plain.filters
 
@@ -190,18 +190,18 @@ def test_feed_sees_only_new_files_and_series_match(spark, tmp_path):
     batches = []
     handle = lambda batch, _: batches.extend(batch.select("transaction_id", C.SOURCE_FILE).collect())
     feed.start_feed(stream, handle, seen).awaitTermination()
-    assert {r[C.SOURCE_FILE] for r in batches} == {"new.csv"} and len(batches) == 8
+    assert {r[C.SOURCE_FILE] for r in batches} == {"new.csv"} and len(batches) == 9
 
     result = str(tmp_path / "series")
     for _ in range(2):
         series = monthly_series(stream, "transaction_date", ["amount"])
         feed.keep_result(series, result, str(tmp_path / "state")).awaitTermination()
-        (folder / "late.csv").write_text(f"{lines[0]}\n99,C9,Desk,Furniture,Pune,1,5,2026-01-31\n")
+        (folder / "late.csv").write_text(f"{lines[0]}\n99,K9,Pot,Kitchen,Faro,1,5,2025-03-31\n")
     streamed = feed.latest_result(spark, result).orderBy("period").collect()
     table = C.read_strings(spark, str(folder / "*.csv"))
     expected = monthly_series(table, "transaction_date", ["amount"]).orderBy("period").collect()
     assert [tuple(r) for r in streamed] == [tuple(r) for r in expected]
-    assert streamed[0].amount_sum == 160005
+    assert streamed[0].amount_sum == 170.5
 
 
 def test_finished_days_leave_a_stream(spark, tmp_path):
@@ -291,12 +291,12 @@ def test_incremental_runs(spark, read):
     status, done = run(sales, "E3")
     assert status == "READY"
     silver = spark.read.parquet(done.silver)
-    assert {r.transaction_id for r in silver.collect()} == {9, 10, 11, 12}
+    assert {r.transaction_id for r in silver.collect()} == {9, 10, 11, 12, 13}
     edited = sales.withColumn("amount", F.lit("1"))
     for name in ("E4", "E4b"):
         assert run(edited, name)[0] == "CHANGED_NOT_APPENDED"
     status, done = run(edited, "E5", force=True)
-    assert spark.read.parquet(done.silver).count() == 12
+    assert spark.read.parquet(done.silver).count() == 13
 
 
 def test_late_and_edited_rows_are_never_passed_over(spark, read):
