@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from orefold.operators import quality as Q
 from orefold.operators import validation as C
 from orefold.operators.clean import role_transform
+from orefold.operators.gold import insights
 from orefold.operators.incremental import (
     READY,
     Order,
@@ -27,12 +28,13 @@ from orefold.operators.incremental import (
 from orefold.operators.ledger import FAILED, REPORT_SCHEMA, SUCCESS, append_reports
 from orefold.operators.roles import ColumnRole, classify, collect_roles
 from orefold.operators.profile import column_stats
+from orefold.operators.series import trend_summary
 from orefold.operators.signals import decisions
 from orefold.plans.gold import GoldLayout, checked_analytics, time_series
 from orefold.session import materialize
 from orefold.sources.csv import RAGGED, read_with_ragged_flag
 from orefold.sources.files import ingestion_audit, listed_files
-from orefold.sources.sinks import write_gold, write_silver, write_table
+from orefold.sources.sinks import write_silver, write_table
 
 
 @dataclass(frozen=True)
@@ -96,13 +98,41 @@ def run_table(raw: DataFrame, target: str, gates: Gates = Gates()) -> MedallionR
     silver = spark.read.parquet(silver_path)
 
     layout = GoldLayout.from_roles(roles)
-    gold, _, _ = checked_analytics(data, silver, layout)
-    written = write_gold(
-        f"{target}/gold", silver, gold, time_series(silver, layout.measures)
-    )
+    written = _gold_products(data, silver, layout, f"{target}/gold")
     return MedallionRun(roles, quality, verdict, None, silver_path, written)
 
 
+def _gold_products(
+    source: DataFrame, silver: DataFrame, layout: GoldLayout, path: str
+) -> dict[str, str]:
+    """Write the gold products of a run and say where each one is.
+
+    The detail is written first and read back: analytics, series and reconciliation see
+    the rows that are in storage, so a detail that lost rows is noticed. Insights, trends
+    and decisions are drawn from the written analytics and series.
+    """
+    spark = source.sparkSession
+    written: dict[str, str] = {}
+
+    def write(name: str, table: DataFrame) -> DataFrame:
+        written[name] = f"{path}/{name}"
+        write_table(table, written[name])
+        return spark.read.parquet(written[name])
+
+    detail = write("detail", silver)
+    checked, _, _ = checked_analytics(source, detail, layout)
+    gold = write("analytics", checked)
+    series = time_series(detail, layout.measures)
+    if series is not None:
+        series = write("time_series", series)
+    if layout.measures:
+        write("insights", insights(gold, layout.dimensions, layout.measures))
+        if series is not None:
+            write("trends", trend_summary(series, layout.measures))
+    write("decisions", decisions(gold, layout.dimensions, layout.measures))
+    return written
+
+
 def run_file(
     spark: SparkSession, path: str, target: str, gates: Gates = Gates()
 ) -> MedallionRun:
@@ -221,7 +251,3 @@ def run_incremental(
         commit_checkpoints(status, execution_id, checkpoints)
     return READY, run
 
-
-def gold_decisions(gold: DataFrame, layout: GoldLayout) -> DataFrame:
-    """Decisions and actions for every group of an analytics table."""
-    return decisions(gold, layout.dimensions, layout.measures)

@@ -6,6 +6,7 @@ from registry import (
     gold,
     incremental,
     ledger,
+    medallion,
     profiling,
     quality,
     questions,
@@ -26,6 +27,7 @@ SECTIONS = (
     signals,
     incremental,
     ledger,
+    medallion,
 )
 QUERIES = {name: query for section in SECTIONS for name, query in section.QUERIES.items()}
 ORACLE = {name: sql for section in SECTIONS for name, sql in section.ORACLE.items()}

@@ -64,7 +64,36 @@ def dirty_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def priced_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders as raw text whose numbers are numbers: padded, some of them empty."""
+    key, category = F.col("o_orderkey"), F.col("o_orderpriority")
+    money = F.col("o_totalprice").cast("decimal(18,2)").cast("string")
+    moment = F.col("o_orderdate").cast("timestamp") + F.make_dt_interval(secs=key % 86400)
+    return table(spark, sf_dir, "orders").select(
+        key.cast("string").alias("order_id"),
+        F.col("o_custkey").cast("string").alias("customer_id"),
+        F.col("o_orderstatus").alias("status"),
+        F.when(key % 13 == 0, F.lit(None))
+        .when(key % 11 == 0, F.lit(""))
+        .when(key % 7 == 0, F.concat(F.lit("  "), category, F.lit(" ")))
+        .otherwise(category)
+        .alias("category"),
+        F.when(key % 17 == 0, "").otherwise(F.lpad(money, 14, " ")).alias("amount"),
+        (key % 9 + 1).cast("string").alias("quantity"),
+        F.concat(F.lit(" "), F.date_format(moment, "yyyy-MM-dd HH:mm:ss")).alias("order_date"),
+    )
+
+
 SQL_VIEWS = {
+    "priced_orders": """
+        SELECT o_orderkey AS order_id, o_custkey AS customer_id, o_orderstatus AS status,
+               CASE WHEN o_orderkey % 13 <> 0 AND o_orderkey % 11 <> 0 THEN o_orderpriority
+               END AS category,
+               CASE WHEN o_orderkey % 17 <> 0 THEN
+                 CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) END AS amount,
+               o_orderkey % 9 + 1 AS quantity,
+               CAST(o_orderdate AS TIMESTAMP) + to_seconds(o_orderkey % 86400) AS moment
+        FROM orders""",
     "sales_orders": """
         SELECT o_orderkey AS order_id, o_custkey AS customer_id, o_orderstatus AS status,
                o_orderpriority AS category, o_totalprice AS amount, o_orderdate AS order_date

@@ -61,7 +61,7 @@ def test_analytics_of_employees(read):
     assert all(r.salary_top_10 and r.salary_bottom_10 for r in rows.values())
     quality = Q.gold_quality(gold).first()
     assert (quality.score, quality.status) == (100.0, "PASS")
-    decided = by(J.decisions(gold, ["city"], ["salary"]).collect(), "city")
+    decided = by(J.decisions(gold, ["city"], ["salary"], threshold=4000).collect(), "city")
     assert decided["Oslo"].decision == "HIGH SALARY"
     assert decided["Riga"].action == "No immediate action for salary"
 
