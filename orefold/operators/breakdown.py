@@ -59,10 +59,11 @@ def cross_breakdown(
     parent: str,
     child: str,
     metric: str,
-    limit: int = TOP_PAIRS,
+    limit: int | None = TOP_PAIRS,
     filters: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """The largest parent and child pairs with the share within their parent.
+    """The largest parent and child pairs, or all with no limit, with the share within
+    their parent.
 
     The pairs of the report are picked first; the parent totals are joined to those
     few rows only, so no parent's children are gathered in one task.
@@ -70,15 +71,17 @@ def cross_breakdown(
     filtered = filter_rows(df, filters)
     amounts = _amounts(filtered, {"parent": parent, "child": child}, metric)
     order = [F.desc("amount"), F.asc("parent"), F.asc("child")]
-    top = amounts.orderBy(*order).limit(limit)
+    top = amounts if limit is None else amounts.orderBy(*order).limit(limit)
     totals = amounts.groupBy(F.col("parent").alias("total_of")).agg(
         F.sum("amount").alias("parent_total")
     )
-    # At most `limit` rows are broadcast.
-    rows = totals.join(F.broadcast(top), F.col("total_of").eqNullSafe(F.col("parent")))
-    rank = F.row_number().over(Window.orderBy(*order)).cast("bigint")
+    rows = totals.join(top, F.col("total_of").eqNullSafe(F.col("parent")))
+    if limit is None:
+        rows = with_position(rows, [], order, "rank")
+    else:
+        rows = rows.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
     return rows.select(
-        rank.alias("rank"),
+        F.col("rank").cast("bigint").alias("rank"),
         "parent",
         "child",
         "amount",

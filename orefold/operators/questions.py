@@ -37,11 +37,8 @@ DEFAULT_MODE = "BREAKDOWN"
 BOTTOM_WORDS = ("bottom", "lowest", "least")
 SERIES_WORDS = ("monthly", "over time", "trend")
 GROUPING_PHRASES = ("by {}", "per {}", "for each {}")
-# Up to this many distinct values the lookup table is sent to every task.
-BROADCAST_VALUES = 100_000
-# Beyond that it is shuffled, and a stretch that very many questions share is spread
-# over this many tasks.
-STRETCH_SALTS = 16
+# Values are found by their first characters, at most this many.
+PREFIX = 8
 
 
 def _first_hit(text: Column, choices: Sequence[tuple], default: object) -> Column:
@@ -90,60 +87,49 @@ def question_intent(questions: DataFrame, column: str) -> DataFrame:
 
 
 def mentioned_values(
-    questions: DataFrame,
-    key: str,
-    column: str,
-    values: DataFrame,
-    broadcast_values: int = BROADCAST_VALUES,
+    questions: DataFrame, key: str, column: str, values: DataFrame
 ) -> DataFrame:
     """Every dimension value that occurs anywhere inside a question's text.
 
-    ``values`` has dimension and value. A value occurs if it equals some stretch of
-    the lower-cased text, so the stretches of the lengths that values have are
-    equi-joined with the values: work grows with the text, not with text times values.
+    ``values`` has dimension and value. At each place of the lower-cased text the next
+    characters, up to the length of a prefix, are looked up among the values' first
+    characters: an equi-join whose work grows with the text, not with text times values
+    or with the number of different lengths. What is longer than a prefix is then
+    compared in full, against the question's own text. Joins are left to the planner,
+    which knows the written lookup's size and splits stretches that are very frequent.
     """
-    lookup = values.select(
-        "dimension", "value", F.lower("value").alias("_stretch")
-    ).distinct()
+    lookup = values.select("dimension", "value", F.lower("value").alias("_whole")).distinct()
+    lookup = lookup.filter(F.length("_whole") > 0).withColumn(
+        "_stretch", F.substring("_whole", 1, PREFIX)
+    )
     # Written once, as the values may come from a scan of a whole detail table.
-    lookup = materialize(lookup.withColumn("_length", F.length("_stretch")), "values")
-    # At most as many lengths as the longest value has characters.
-    sizes = lookup.groupBy("_length").agg(F.count("*").alias("n")).collect()
-    lengths = sorted(row["_length"] for row in sizes)
-    if not lengths:
-        lengths = [1]
+    lookup = materialize(lookup, "values")
+    # As many lengths as a prefix has characters, however many values there are.
+    lengths = [row[0] for row in lookup.select(F.length("_stretch")).distinct().collect()]
     text = F.lower(F.col(column))
-    starts = (
-        questions.select(F.col(key), text.alias("_text"))
-        .filter(F.length("_text") > 0)
-        .select("*", F.explode(F.sequence(F.lit(1), F.length("_text"))).alias("_start"))
-    )
-    room = F.length("_text") - F.col("_start") + 1
-    fitting = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= room)
-    stretches = starts.select("*", F.explode(fitting).alias("_length")).select(
-        key,
-        F.substring("_text", F.col("_start"), F.col("_length")).alias("_stretch"),
-        F.pmod("_start", F.lit(STRETCH_SALTS)).alias("_salt"),
+    asked = questions.select(F.col(key), text.alias("_text")).filter(F.length("_text") > 0)
+    places = asked.select(
+        key, F.posexplode(F.transform(F.sequence(F.lit(1), F.length("_text")),
+                                      lambda at: F.substring("_text", at, F.lit(PREFIX))))
+    ).select(key, F.col("col").alias("_next"))
+    sizes = F.array(*[F.lit(n) for n in sorted(lengths) or [1]])
+    stretches = (
+        places.select(key, "_next", F.explode(sizes).alias("_size"))
+        .filter(F.length("_next") >= F.col("_size"))
+        .select(key, F.substring("_next", F.lit(1), F.col("_size")).alias("_stretch"))
     )
-    lookup = lookup.drop("_length")
-    if sum(row["n"] for row in sizes) <= broadcast_values:
-        found = stretches.join(F.broadcast(lookup), "_stretch")
-    else:
-        salts = F.sequence(F.lit(0), F.lit(STRETCH_SALTS - 1))
-        salted = lookup.withColumn("_salt", F.explode(salts))
-        found = stretches.join(salted, ["_stretch", "_salt"])
-    return found.select(key, "dimension", "value").distinct()
+    found = stretches.join(lookup, "_stretch").select(key, "dimension", "value", "_whole")
+    short = found.filter(F.length("_whole") <= PREFIX).select(key, "dimension", "value")
+    candidates = found.filter(F.length("_whole") > PREFIX).distinct()
+    long = candidates.join(asked, key).filter(F.contains("_text", "_whole"))
+    return short.union(long.select(key, "dimension", "value")).distinct()
 
 
 def question_filters(
-    questions: DataFrame,
-    key: str,
-    column: str,
-    values: DataFrame,
-    broadcast_values: int = BROADCAST_VALUES,
+    questions: DataFrame, key: str, column: str, values: DataFrame
 ) -> DataFrame:
     """Per question and dimension, the longest value mentioned."""
-    found = mentioned_values(questions, key, column, values, broadcast_values)
+    found = mentioned_values(questions, key, column, values)
     longest = F.min(
         F.struct(
             (-F.length("value")).alias("order"), F.lower("value").alias("folded"), F.col("value")

@@ -117,9 +117,10 @@ def filtered_series(
     df: DataFrame,
     filters: Mapping[str, str] | None = None,
     metric: str = "amount",
-    limit: int = SERIES_LIMIT,
+    limit: int | None = SERIES_LIMIT,
 ) -> DataFrame:
-    """Monthly totals of one metric over the filtered rows, the last periods only.
+    """Monthly totals of one metric over the filtered rows; the last periods, or all
+    with no limit.
 
     Growth is against the previous period with its sign, rounded to 2 decimals.
     """
@@ -134,16 +135,14 @@ def filtered_series(
     months = rows.groupBy("_month").agg(F.sum("metric").alias("metric"))
     previous = F.lag("metric").over(Window.orderBy("_month"))
     growth = F.when(previous != 0, (F.col("metric") - previous) / previous * 100)
-    return (
-        months.select(
-            _period(F.col("_month")).alias("period"),
-            "metric",
-            F.round(growth, 2).alias("growth_pct"),
-        )
-        .orderBy(F.desc("period"))
-        .limit(limit)
-        .orderBy("period")
+    rows = months.select(
+        _period(F.col("_month")).alias("period"),
+        "metric",
+        F.round(growth, 2).alias("growth_pct"),
     )
+    if limit is not None:
+        rows = rows.orderBy(F.desc("period")).limit(limit)
+    return rows.orderBy("period")
 
 
 def latest_period(series: DataFrame) -> DataFrame:

@@ -162,8 +162,9 @@ def signals(
     return rows.select("position", "signal.*")
 
 
-def signal_actions(found: DataFrame, limit: int = MAX_ACTIONS) -> DataFrame:
-    """The action of every signal in signal order, each text once, at most four.
+def signal_actions(found: DataFrame, limit: int | None = MAX_ACTIONS) -> DataFrame:
+    """The action of every signal in signal order, each text once; ``limit`` rows, or
+    all with None.
 
     A series has at most one signal of each kind, so the list is short.
     """
@@ -182,7 +183,8 @@ def signal_actions(found: DataFrame, limit: int = MAX_ACTIONS) -> DataFrame:
         .groupBy("action")
         .agg(F.min("position").alias("position"))
     )
-    return first_seen.orderBy("position").limit(limit).select("position", "action")
+    ordered = first_seen.orderBy("position").select("position", "action")
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def signal_state(found: DataFrame) -> DataFrame:

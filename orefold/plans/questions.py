@@ -11,16 +11,16 @@ from orefold.functions.columns import QUESTION_DIMENSIONS, date_column, metric_c
 from orefold.operators import breakdown as B
 from orefold.operators import questions as I
 from orefold.operators.profile import dimension_values
-from orefold.operators.series import filtered_series
+from orefold.operators.series import SERIES_LIMIT, filtered_series
 
-COMPARED_VALUES = 10
 CROSS_ROWS = 50
 DEFAULT_BREAKDOWNS = ("product", "category", "city")
 
 
 @dataclass(frozen=True)
 class GoldQuery:
-    """A request against a detail table."""
+    """A request against a detail table. ``cross_rows`` and ``series_rows`` limit two of
+    the tables; None means all rows."""
 
     metric: str = "amount"
     mode: str = I.DEFAULT_MODE
@@ -32,6 +32,9 @@ class GoldQuery:
     child: str | None = None
     filters: dict[str, str] = field(default_factory=dict)
     compare: tuple[str, tuple[str, ...]] | None = None
+    also_compare: tuple[tuple[str, tuple[str, ...]], ...] = ()
+    cross_rows: int | None = CROSS_ROWS
+    series_rows: int | None = SERIES_LIMIT
 
 
 def plan_question(df: DataFrame, question: str) -> GoldQuery:
@@ -39,7 +42,7 @@ def plan_question(df: DataFrame, question: str) -> GoldQuery:
     asked = df.sparkSession.createDataFrame([(0, question)], "id long, question string")
     intent = I.question_intent(asked, "question").first()
     dimensions = [d for d in QUESTION_DIMENSIONS if d in df.columns]
-    filters, compare = {}, None
+    filters, several = {}, []
     if dimensions:
         values = dimension_values(df, dimensions).select("dimension", "value")
         mentioned = I.mentioned_values(asked, "id", "question", values)
@@ -50,8 +53,6 @@ def plan_question(df: DataFrame, question: str) -> GoldQuery:
             found[row["dimension"]].append(row["value"])
         filters = {d: names[0] for d, names in found.items() if names}
         several = [(d, tuple(names)) for d, names in found.items() if len(names) > 1]
-        if several:
-            compare = (several[0][0], several[0][1][:COMPARED_VALUES])
     requested = tuple(intent["mentioned"])
     if not requested:
         requested = ("city",) if intent["mentions_location"] else DEFAULT_BREAKDOWNS
@@ -65,7 +66,8 @@ def plan_question(df: DataFrame, question: str) -> GoldQuery:
         parent=intent["parent_dimension"],
         child=intent["child_dimension"],
         filters=filters,
-        compare=compare,
+        compare=several[0] if several else None,
+        also_compare=tuple(several[1:]),
     )
 
 
@@ -87,6 +89,8 @@ def gold_query(df: DataFrame, query: GoldQuery) -> dict[str, DataFrame]:
     if query.compare:
         dimension, values = query.compare
         answer["comparison"] = B.compare_values(df, dimension, values, metric)
+    for dimension, values in query.also_compare:
+        answer[f"{dimension}_comparison"] = B.compare_values(df, dimension, values, metric)
     for dimension in query.dimensions:
         if dimension in df.columns:
             answer[f"{dimension}_breakdown"] = B.breakdown(
@@ -95,10 +99,12 @@ def gold_query(df: DataFrame, query: GoldQuery) -> dict[str, DataFrame]:
     pair = (query.parent, query.child)
     if all(name in df.columns for name in pair):
         answer[f"{query.parent}_by_{query.child}"] = B.cross_breakdown(
-            df, query.parent, query.child, metric, CROSS_ROWS, without(*pair)
+            df, query.parent, query.child, metric, query.cross_rows, without(*pair)
         )
     if query.series and date_column(df.columns):
-        answer["detail_time_series"] = filtered_series(df, query.filters, query.metric)
+        answer["detail_time_series"] = filtered_series(
+            df, query.filters, query.metric, query.series_rows
+        )
     answer["detail_size"] = df.agg(F.count("*").alias("row_count")).withColumn(
         "column_count", F.lit(len(df.columns))
     )

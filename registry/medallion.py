@@ -118,7 +118,7 @@ def _best(m: str) -> str:
 
 
 def _decided(m: str, high: str, low: str) -> str:
-    return f"CASE WHEN {m}_a >= 50000 THEN {high} ELSE {low} END"
+    return f"CASE WHEN {m}_a >= 60000 THEN {high} ELSE {low} END"
 
 
 ORACLE = {

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,11 +67,23 @@ def question_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def question_filters_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same links on the path for value tables too large to broadcast."""
+    """The same links however questions and values lie in partitions."""
     values = dimension_values(sales_lines(spark, sf_dir), ["product", "category", "region"])
-    return Q.question_filters(
-        question_table(spark, sf_dir), "question_id", "question", values, broadcast_values=0
+    questions = question_table(spark, sf_dir).repartition(16)
+    return Q.question_filters(questions, "question_id", "question", values.repartition(5))
+
+
+def question_filters_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long texts and values of many lengths: the longest benchmark item and the longest
+    item's head that each document quotes."""
+    items = table(spark, sf_dir, "benchmark")
+    whole = items.select(F.lit("item").alias("dimension"), F.col("text").alias("value"))
+    size = F.greatest(F.lit(12), (F.col("item_id") % 40).cast("int"))
+    heads = items.select(
+        F.lit("head").alias("dimension"), F.substring("text", F.lit(1), size).alias("value")
     )
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return Q.question_filters(documents, "doc_id", "text", whole.union(heads))
 
 
 def question_filters_of_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +116,20 @@ def question_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     series = answer["detail_time_series"].select(
         F.lit("detail_time_series").alias("part"), F.col("period").alias("label"), F.col("metric")
     )
-    return rounded(summary.union(regions).union(compared).union(series))
+    size = answer["detail_size"].select(
+        F.lit("detail_size").alias("part"),
+        F.col("column_count").cast("string").alias("label"),
+        F.col("row_count").cast("double").alias("amount"),
+    )
+    return rounded(summary.union(regions).union(compared).union(series).union(size))
+
+
+def question_answer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cross breakdown of a question that names two dimensions, all pairs."""
+    lines = sales_lines(spark, sf_dir)
+    asked = plan_question(lines, "quantity of each category by product")
+    answer = gold_query(lines, replace(asked, filters={}, cross_rows=None))
+    return rounded(answer["category_by_product"])
 
 
 QUERIES = {
@@ -111,7 +138,9 @@ QUERIES = {
     "question_filters": question_filters,
     "question_filters_spread": question_filters_spread,
     "question_filters_of_turns": question_filters_of_turns,
+    "question_filters_of_documents": question_filters_of_documents,
     "question_answer": question_answer,
+    "question_answer_pairs": question_answer_pairs,
 }
 
 _QUESTIONS = """
@@ -195,8 +224,21 @@ ORACLE = {
     "question_filters_of_turns": sql(
         _links("turns", "turn_id", "text"), turns=_TURNS, values_=_DOCUMENT_VALUES
     ),
+    "question_filters_of_documents": sql(
+        _links("documents", "doc_id", "text"),
+        values_="""
+            SELECT 'item' AS dimension, text AS value FROM benchmark UNION ALL
+            SELECT 'head', substr(text, 1, greatest(12, item_id % 40)) FROM benchmark""",
+    ),
     # The question names part 10 first by length and alphabet, and the letters a, r, f
     # and o of its words are values of the short dimensions.
+    "question_answer_pairs": sql(
+        """SELECT row_number() OVER (ORDER BY s DESC, category, product) AS "rank",
+                  category AS parent, product AS child, round(s + 1e-8, 4) AS amount,
+                  round(s / sum(s) OVER (PARTITION BY category) * 100 + 1e-8, 4) AS parent_share_pct
+           FROM (SELECT category, product, sum(quantity) AS s FROM sales_lines GROUP BY ALL)""",
+        "sales_lines",
+    ),
     "question_answer": sql(
         """SELECT 'filtered_summary' AS part, NULL AS label, round(sum(amount) + 1e-8, 4) AS amount
            FROM sales_lines WHERE product = 'part 10' AND category = 'A' AND region = 'F'
@@ -211,7 +253,9 @@ ORACLE = {
              SELECT 'detail_time_series', strftime(transaction_date, '%Y-%m'),
                     round(sum(amount) + 1e-8, 4) FROM sales_lines
              WHERE product = 'part 10' AND category = 'A' AND region = 'F'
-             GROUP BY ALL ORDER BY 2 DESC LIMIT 24)""",
+             GROUP BY ALL ORDER BY 2 DESC LIMIT 24)
+           UNION ALL
+           SELECT 'detail_size', '8', count(*) FROM sales_lines""",
         "sales_lines",
     ),
 }

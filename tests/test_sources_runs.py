@@ -126,15 +126,16 @@ def test_question_end_to_end(spark, read):
     assert plain.dimensions == ("product", "category", "city") and not plain.filters
 
 
-@pytest.mark.parametrize("broadcast_values", [0, 1000])
-def test_value_links_match_brute_force(spark, broadcast_values):
+@pytest.mark.parametrize("prefix", [1, 2, 8])
+def test_value_links_match_brute_force(spark, prefix, monkeypatch):
+    monkeypatch.setattr(N, "PREFIX", prefix)
     rng = random.Random(3)
     texts = ["".join(rng.choice("abC ") for _ in range(rng.randrange(0, 30))) for _ in range(80)]
     names = sorted({"".join(rng.choice("ABc ") for _ in range(rng.randrange(1, 6))) for _ in range(60)})
     names = [n for n in names if n.strip()]
     questions = spark.createDataFrame(list(enumerate(texts + [None])), "id int, q string")
     values = spark.createDataFrame([(f"d{i % 2}", n) for i, n in enumerate(names)], "dimension string, value string")
-    found = N.mentioned_values(questions, "id", "q", values, broadcast_values).collect()
+    found = N.mentioned_values(questions, "id", "q", values).collect()
     expected = {
         (i, f"d{n % 2}", name)
         for i, text in enumerate(texts)
