@@ -134,7 +134,8 @@ def infer_primary_key(df: DataFrame, columns: Sequence[ColumnRole]) -> DataFrame
     return counted.withColumn("is_primary_key", verdict)
 
 
-def _type_error(df: DataFrame, column: ColumnRole) -> Column | None:
+def type_error(df: DataFrame, column: ColumnRole) -> Column | None:
+    """Whether a cell does not parse as its declared number; None if it need not."""
     value = V.text(df, column.name)
     if column.type == "integer":
         valid = V.is_integer_text(value)
@@ -147,7 +148,7 @@ def _type_error(df: DataFrame, column: ColumnRole) -> Column | None:
 
 def type_errors(df: DataFrame, columns: Sequence[ColumnRole]) -> DataFrame:
     """Per declared integer or float column, the cells that do not parse."""
-    errors = {c.name: _type_error(df, c) for c in columns}
+    errors = {c.name: type_error(df, c) for c in columns}
     checked = {name: e for name, e in errors.items() if e is not None}
     counted = df.agg(*[F.count_if(e).alias(name) for name, e in checked.items()])
     return counted.unpivot([], V.cols(checked), "name", "type_errors")
@@ -167,7 +168,7 @@ def quality_counters(
     names = [c.name for c in columns if c.name in df.columns]
     data = [c for c in df.columns if c != ragged]
     missing = {c: V.is_missing(V.text(df, c)) for c in data}
-    errors = [e for c in columns if c.name in names if (e := _type_error(df, c)) is not None]
+    errors = [e for c in columns if c.name in names if (e := type_error(df, c)) is not None]
     keys = [c.name for c in columns if c.role == "KEY" and c.name in names]
     flagged = [c.name for c in columns if c.key_type == "PRIMARY" and c.name in keys]
     strong = [k for k in keys if k.lower() in STRONG_KEY_NAMES]

@@ -49,10 +49,14 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
 def remove_scratch(spark: SparkSession) -> None:
     """Delete the tables that this session has written to the shared folder.
 
-    To be called when no DataFrame that reads them is needed any more. The folder's file
-    system deletes them, whatever store it is.
+    To be called when no DataFrame that reads them is needed any more.
     """
+    remove_folder(spark, shared_dir(spark))
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder, in whatever store it is; one that is not there is no error."""
     jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    folder = jvm.org.apache.hadoop.fs.Path(path)
     hadoop = spark.sparkContext._jsc.hadoopConfiguration()
     folder.getFileSystem(hadoop).delete(folder, True)

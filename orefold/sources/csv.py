@@ -17,7 +17,7 @@ from orefold.functions import values as V
 DIALECT = {"header": True, "mode": "PERMISSIVE", "encoding": "UTF-8", "escape": '"'}
 SOURCE_FILE = "_source_file"
 RAGGED = "_ragged"
-_RECORD = "_record"
+RECORD = "_record"
 _BYTE_ORDER_MARK = chr(0xFEFF)
 
 
@@ -40,7 +40,10 @@ def read_strings(spark: SparkSession, path: str, multi_line: bool = False) -> Da
 
 
 def file_headers(spark: SparkSession, folder: str, pattern: str = "*.csv") -> DataFrame:
-    """The first line of every file: only the first block of each file is looked at."""
+    """The first line of every file of a folder.
+
+    A text scan of the files, of which only first lines leave the tasks.
+    """
     lines = (
         spark.read.option("pathGlobFilter", pattern)
         .text(folder)
@@ -90,18 +93,22 @@ def read_with_ragged_flag(
     ``columns``. The parser must see whole records even if few columns are wanted.
     """
     names = list(columns or read_strings(spark, path).columns)
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, _RECORD]])
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, RECORD]])
     options = {
         **DIALECT,
         "header": not columns,
-        "columnNameOfCorruptRecord": _RECORD,
+        "columnNameOfCorruptRecord": RECORD,
         "columnPruning": False,
     }
     scanned = spark.read.options(**options).schema(schema).csv(path)
-    record = F.col(_RECORD)
+    return scanned.select(*V.cols(names), is_ragged(names).alias(RAGGED))
+
+
+def is_ragged(names: Sequence[str]) -> Column:
+    """Whether a scanned record has more fields than names."""
+    record = F.col(RECORD)
     too_long = V.col(names[-1]).isNotNull() | (_separators(record) >= len(names))
-    ragged = F.coalesce(record.isNotNull() & too_long, F.lit(False))
-    return scanned.select(*V.cols(names), ragged.alias(RAGGED))
+    return F.coalesce(record.isNotNull() & too_long, F.lit(False))
 
 
 def preview(df: DataFrame, order_by: list[str], rows: int = 10) -> DataFrame:

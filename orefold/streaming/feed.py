@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from orefold.functions import values as V
+from orefold.operators.quality import type_error
+from orefold.operators.roles import ColumnRole
 from orefold.plans.medallion import Gates, run_table
-from orefold.sources.csv import DIALECT, SOURCE_FILE
+from orefold.session import remove_folder
+from orefold.sources.csv import DIALECT, RAGGED, RECORD, SOURCE_FILE, is_ragged
 from orefold.sources.sinks import write_table
 
 BatchHandler = Callable[[DataFrame, int], None]
@@ -23,13 +28,22 @@ def new_files(
     schema: T.StructType,
     pattern: str = "*.csv",
     files_per_batch: int | None = None,
+    flag_ragged: bool = False,
 ) -> DataFrame:
-    """A stream over the CSV files of a folder, each row with its file name."""
-    reader = spark.readStream.options(**DIALECT, pathGlobFilter=pattern).schema(schema)
+    """A stream over the CSV files of a folder, each row with its file name, and if
+    asked for with a flag on rows that have more fields than the schema."""
+    options = {**DIALECT, "pathGlobFilter": pattern}
     if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    rows = reader.csv(folder)
-    return rows.select("*", F.col("_metadata.file_name").alias(SOURCE_FILE))
+        options["maxFilesPerTrigger"] = files_per_batch
+    if flag_ragged:
+        options |= {"columnNameOfCorruptRecord": RECORD, "columnPruning": False}
+        schema = T.StructType([*schema, T.StructField(RECORD, T.StringType())])
+    rows = spark.readStream.options(**options).schema(schema).csv(folder)
+    names = [name for name in schema.names if name != RECORD]
+    flag = [is_ragged(names).alias(RAGGED)] if flag_ragged else []
+    return rows.select(
+        *V.cols(names), *flag, F.col("_metadata.file_name").alias(SOURCE_FILE)
+    )
 
 
 def start_feed(
@@ -59,22 +73,65 @@ def refine_new_files(
     checkpoint: str,
     gates: Gates = Gates(),
     interval: str | None = None,
+    files_per_batch: int = 16,
+    at_once: int = 4,
 ) -> StreamingQuery:
     """Take every new file of a folder through bronze, silver and gold.
 
-    Each file becomes a run of its own below ``target``. A run that is repeated after
-    a failure overwrites its own tables.
+    The files of a batch are written to bronze together, then each becomes a run of its
+    own below ``target``, several at a time. A batch that is repeated after a failure
+    overwrites its own tables. Rows with too many fields are flagged for the checks.
     """
 
     def refine(batch: DataFrame, batch_id: int) -> None:
         run = f"{target}/run_id={batch_id}"
-        write_table(batch.drop(SOURCE_FILE), f"{run}/bronze")
-        run_table(spark.read.parquet(f"{run}/bronze"), run, gates)
-
-    stream = new_files(spark, folder, schema, files_per_batch=1)
+        write_table(batch, f"{run}/bronze", partition_by=[SOURCE_FILE])
+        bronze = spark.read.schema(batch.schema).parquet(f"{run}/bronze")
+        # As many names as the batch has files, which its size limits.
+        names = [row[0] for row in bronze.select(SOURCE_FILE).distinct().collect()]
+        with ThreadPoolExecutor(at_once) as pool:
+            runs = [
+                pool.submit(
+                    run_table,
+                    bronze.where(F.col(SOURCE_FILE) == name).drop(SOURCE_FILE),
+                    f"{run}/file={name}",
+                    gates,
+                )
+                for name in sorted(names)
+            ]
+            for one in runs:
+                one.result()
+
+    stream = new_files(spark, folder, schema, files_per_batch=files_per_batch, flag_ragged=True)
     return start_feed(stream, refine, checkpoint, interval)
 
 
+def quality_counts(df: DataFrame, columns: Sequence[ColumnRole]) -> DataFrame:
+    """The counters that add up row by row, for streams and tables alike: rows, empty
+    rows, missing cells, type errors and rows that do not fit. On a stream they are one
+    row of state. Duplicates need every row that was ever seen and are left to tables."""
+    data = [c for c in df.columns if c not in (RAGGED, SOURCE_FILE)]
+    missing = [V.is_missing(V.text(df, c)) for c in data]
+    errors = [
+        F.coalesce(e, F.lit(False))
+        for c in columns
+        if c.name in data and (e := type_error(df, c)) is not None
+    ]
+    ragged = F.col(RAGGED) if RAGGED in df.columns else F.lit(False)
+
+    def total(conditions: Sequence[Column]) -> Column:
+        found = reduce(lambda a, b: a + b, [c.cast("bigint") for c in conditions], F.lit(0))
+        return F.coalesce(F.sum(found), F.lit(0))
+
+    return df.agg(
+        F.count("*").alias("row_count"),
+        F.count_if(reduce(lambda a, b: a & b, missing)).alias("empty_rows"),
+        total(missing).alias("null_values"),
+        total(errors).alias("type_errors"),
+        F.count_if(ragged).alias("inconsistent_rows"),
+    )
+
+
 def daily_series(
     df: DataFrame,
     moment: str,
@@ -112,14 +169,36 @@ def keep_result(result: DataFrame, path: str, checkpoint: str) -> StreamingQuery
 
     Meant for results whose size does not grow with the stream, such as a monthly
     series. Every batch gets a folder of its own, so a repeated batch overwrites only
-    itself; ``latest_result`` reads the newest.
+    itself; ``latest_result`` reads the newest, and older ones are deleted.
     """
+    spark = result.sparkSession
 
     def save(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        if batch_id >= 2:
+            remove_folder(spark, f"{path}/batch_id={batch_id - 2}")
+
+    return _started(result, save, "complete", checkpoint)
+
+
+def keep_updates(result: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Write the rows of a streaming aggregation that a batch has changed.
+
+    State that the watermark has passed is freed, and a batch writes no more than it
+    changed. ``current_rows`` reads the newest row of each key.
+    """
 
+    def save(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return _started(result, save, "update", checkpoint)
+
+
+def _started(
+    result: DataFrame, save: BatchHandler, mode: str, checkpoint: str
+) -> StreamingQuery:
     return (
-        result.writeStream.outputMode("complete")
+        result.writeStream.outputMode(mode)
         .foreachBatch(save)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
@@ -132,3 +211,11 @@ def latest_result(spark: SparkSession, path: str) -> DataFrame:
     batches = spark.read.parquet(path)
     newest = batches.agg(F.max("batch_id")).scalar()
     return batches.filter(F.col("batch_id") == newest).drop("batch_id")
+
+
+def current_rows(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
+    """The newest row of each key among the written updates."""
+    batches = spark.read.parquet(path)
+    values = [c for c in batches.columns if c not in (*keys, "batch_id")]
+    newest = F.max_by(F.struct(*V.cols(values)), "batch_id").alias("newest")
+    return batches.groupBy(*V.cols(keys)).agg(newest).select(*V.cols(keys), "newest.*")

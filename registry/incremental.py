@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from orefold.operators import incremental as I
 from orefold.operators.ledger import checkpoint_summary, checkpoint_table
+from orefold.operators.roles import ColumnRole
 from orefold.operators.series import monthly_series
 from orefold.session import scratch_path
 from orefold.sources.files import table_fingerprint
@@ -111,15 +112,14 @@ def stream_new_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_medallion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The raw orders arrive as two files; the silver rows of both runs."""
+    """The raw orders arrive in many files; the silver rows of all runs."""
     folder, target = scratch_path(spark, "arrivals"), scratch_path(spark, "runs")
     dirty = dirty_orders(spark, sf_dir)
-    write_table(dirty.repartition(2), folder, format="csv")
+    write_table(dirty.repartition(3), folder, format="csv")
     feed.refine_new_files(
-        spark, folder, dirty.schema, target, scratch_path(spark, "state")
+        spark, folder, dirty.schema, target, scratch_path(spark, "state"), files_per_batch=2
     ).awaitTermination()
-    first, second = [spark.read.parquet(f"{target}/run_id={run}/silver") for run in (0, 1)]
-    return first.unionByName(second)
+    return spark.read.parquet(f"{target}/run_id=*/file=*/silver")
 
 
 def _stream(spark: SparkSession, df: DataFrame) -> DataFrame:
@@ -140,11 +140,79 @@ def stream_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_daily_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events per day and type from a stream with a watermark."""
     events = table(spark, sf_dir, "events").select("event_type", "ts", "value")
-    daily = feed.daily_series(_stream(spark, events), "ts", ["value"], ["event_type"])
+    daily = feed.daily_series(
+        _stream(spark, events), "ts", ["value"], ["event_type"], lateness="100 days"
+    )
     path = scratch_path(spark, "daily")
-    feed.keep_result(daily, path, scratch_path(spark, "state")).awaitTermination()
-    # The average of few cents can lie on a rounding edge; count and sum fix it anyway.
-    return rounded(feed.latest_result(spark, path).drop("value_avg"))
+    feed.keep_updates(daily, path, scratch_path(spark, "state")).awaitTermination()
+    return rounded(feed.current_rows(spark, path, ["period", "event_type"]))
+
+
+COUNTED = [ColumnRole("order_id", "integer", "KEY"), ColumnRole("amount", "float", "MEASURE")]
+
+
+def stream_quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality counters of the raw orders, kept up to date over several batches."""
+    counts = feed.quality_counts(_stream(spark, dirty_orders(spark, sf_dir)), COUNTED)
+    path = scratch_path(spark, "counts")
+    feed.keep_result(counts, path, scratch_path(spark, "state")).awaitTermination()
+    return feed.latest_result(spark, path)
+
+
+def _processed(spark: SparkSession, sf_dir: str, first: DataFrame, later: DataFrame) -> DataFrame:
+    """Commit the state of ``first``; the status and the new rows when ``later`` is found."""
+    path, order = scratch_path(spark, "water"), [F.col("order_id").cast("bigint")]
+    none = I.read_checkpoints(spark, path)
+    I.commit_checkpoints(
+        I.incremental_status(I.source_state(first, "orders", order), none), "EXEC_1", path
+    )
+    known = I.read_checkpoints(spark, path)
+    stored = known.first()["high_water"]
+    status = I.incremental_status(I.source_state(later, "orders", order, stored), known)
+    last = I.high_water_values(later, order, stored)
+    beyond = later.where(I.beyond(order, last))
+    return status.select(
+        "status", "start_row", "rows_to_process",
+        beyond.agg(F.count("*")).scalar().alias("rows_beyond"),
+        beyond.agg(F.sum(F.col("order_id").cast("bigint"))).scalar().alias("keys_beyond"),
+    )
+
+
+def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders whose keys are numbers read as text."""
+    return sales_orders(spark, sf_dir).select(
+        F.col("order_id").cast("string").alias("order_id"), "status",
+        F.col("amount").cast("decimal(18,2)").alias("amount"),
+    )
+
+
+def _half(spark: SparkSession, sf_dir: str) -> int:
+    return table(spark, sf_dir, "customer").agg(F.max("c_custkey")).first()[0]
+
+
+def incremental_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys up to a number were processed, then the others arrive."""
+    orders, half = _keyed(spark, sf_dir), _half(spark, sf_dir)
+    first = orders.where(F.col("order_id").cast("bigint") <= half)
+    return _processed(spark, sf_dir, first, orders)
+
+
+def incremental_late_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beside new rows, rows arrive that belong before the last processed one."""
+    orders, half = _keyed(spark, sf_dir), _half(spark, sf_dir)
+    key = F.col("order_id").cast("bigint")
+    first = orders.where((key <= half) & (key % 10 != 3))
+    return _processed(spark, sf_dir, first, orders)
+
+
+def incremental_edited_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beside new rows, processed rows have changed."""
+    orders, half = _keyed(spark, sf_dir), _half(spark, sf_dir)
+    key = F.col("order_id").cast("bigint")
+    first = orders.where(key <= half).withColumn(
+        "status", F.when(key % 10 == 3, "?").otherwise(F.col("status"))
+    )
+    return _processed(spark, sf_dir, first, orders)
 
 
 QUERIES = {
@@ -159,6 +227,10 @@ QUERIES = {
     "stream_medallion": stream_medallion,
     "stream_series": stream_series,
     "stream_daily_series": stream_daily_series,
+    "stream_quality_counts": stream_quality_counts,
+    "incremental_appended": incremental_appended,
+    "incremental_late_row": incremental_late_row,
+    "incremental_edited_prefix": incremental_edited_prefix,
 }
 
 _COUNTS = " UNION ALL ".join(
@@ -168,6 +240,11 @@ _SEEN = """
     SELECT source, n, CASE source WHEN 'raw/supplier.csv' THEN 0
                                   WHEN 'raw/customer.csv' THEN n * 2 // 3 ELSE n END AS seen
     FROM counts"""
+_BEYOND = """
+    SELECT {} AS status, CAST({} AS BIGINT) AS start_row, CAST({} AS BIGINT) AS rows_to_process,
+           count(*) FILTER (WHERE k > half) AS rows_beyond,
+           CAST(sum(k) FILTER (WHERE k > half) AS BIGINT) AS keys_beyond
+    FROM (SELECT o_orderkey AS k FROM orders), (SELECT max(c_custkey) AS half FROM customer)"""
 
 ORACLE = {
     "incremental_status": sql(
@@ -232,5 +309,20 @@ ORACLE = {
     ),
     "stream_daily_series": """
         SELECT strftime(ts, '%Y-%m-%d') AS period, event_type, count(*) AS row_count,
-               round(sum(value) + 1e-8, 4) AS value_sum FROM events GROUP BY ALL""",
+               round(sum(value) + 1e-8, 4) AS value_sum,
+               round(avg(value) + 1e-8, 4) AS value_avg FROM events GROUP BY ALL""",
+    "stream_quality_counts": sql(
+        """SELECT count(*) AS row_count, CAST(0 AS BIGINT) AS empty_rows,
+                  CAST(sum((coalesce(category, '') = '')::INT) AS BIGINT) AS null_values,
+                  CAST(sum((amount = 'n/a')::INT) AS BIGINT) AS type_errors,
+                  CAST(0 AS BIGINT) AS inconsistent_rows FROM dirty_orders""",
+        "dirty_orders",
+    ),
+    "incremental_appended": _BEYOND.format("'READY'", "count(*) FILTER (WHERE k <= half)", "count(*) FILTER (WHERE k > half)"),
+    "incremental_late_row": _BEYOND.format(
+        "'CHANGED_NOT_APPENDED'", "count(*) FILTER (WHERE k <= half AND k % 10 <> 3)", "0"
+    ),
+    "incremental_edited_prefix": _BEYOND.format(
+        "'CHANGED_NOT_APPENDED'", "count(*) FILTER (WHERE k <= half)", "0"
+    ),
 }

@@ -12,6 +12,7 @@ from orefold.operators import incremental as I
 from orefold.operators import ledger as L
 from orefold.operators import questions as N
 from orefold.operators.profile import dimension_values
+from orefold.operators.roles import ColumnRole
 from orefold.operators.series import monthly_series
 from orefold.plans.medallion import Gates, run_file, run_folder, run_incremental
 from orefold.plans.questions import gold_query, plan_question
@@ -350,3 +351,37 @@ def test_without_a_shared_folder_there_is_a_clear_error(spark, monkeypatch):
     spark.conf.set("orefold.none", "/shared")
     assert session.scratch_path(spark, "x").startswith("/shared/orefold/")
     spark.conf.unset("orefold.none")
+
+
+def test_counters_of_a_stream_equal_those_of_the_table(spark, tmp_path):
+    folder = tmp_path / "rows"
+    folder.mkdir()
+    (folder / "a.csv").write_text("id,v\n1,2\n,\n2,x\n")
+    (folder / "b.csv").write_text("id,v\n3,4,5\n4,\n")
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in ("id", "v")])
+    columns = [ColumnRole("v", "float")]
+    stream = feed.new_files(spark, str(folder), schema, files_per_batch=1, flag_ragged=True)
+    path = str(tmp_path / "out")
+    feed.keep_result(
+        feed.quality_counts(stream, columns), path, str(tmp_path / "state")
+    ).awaitTermination()
+    assert tuple(feed.latest_result(spark, path).first()) == (5, 1, 3, 1, 1)
+    table = C.read_with_ragged_flag(spark, str(folder))
+    assert tuple(feed.quality_counts(table, columns).first()) == (5, 1, 3, 1, 1)
+
+
+def test_updates_keep_the_newest_row_and_free_state(spark, tmp_path):
+    folder = tmp_path / "days"
+    folder.mkdir()
+    schema = T.StructType([T.StructField("ts", T.TimestampType()), T.StructField("v", T.DoubleType())])
+    state, path = str(tmp_path / "state"), str(tmp_path / "daily")
+    for i, lines in enumerate(("2026-01-01 10:00:00,1", "2026-01-01 11:00:00,2\n2026-01-20 00:00:00,5",
+                               "2026-01-20 01:00:00,6")):
+        (folder / f"{i}.csv").write_text(f"ts,v\n{lines}\n")
+        daily = feed.daily_series(feed.new_files(spark, str(folder), schema), "ts", ["v"])
+        query = feed.keep_updates(daily, path, state)
+        query.awaitTermination()
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert held[-1] == 1
+    found = {r.period: r.v_sum for r in feed.current_rows(spark, path, ["period"]).collect()}
+    assert found == {"2026-01-01": 3.0, "2026-01-20": 11.0}
