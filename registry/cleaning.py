@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from orefold.functions import values as V
 from orefold.operators import clean as C
+from orefold.operators.roles import ColumnRole
 from orefold.operators import roles as R
 from registry.quality import DECLARED
-from registry.views import dirty_orders, rounded, sales_orders, sql, table
+from registry.views import dirty_orders, priced_orders, rounded, sales_orders, sql, table
 
 
 def clean_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +53,19 @@ def role_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(C.role_transform(dirty_orders(spark, sf_dir), DECLARED), 2)
 
 
+def role_transform_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Padded moments stripped as TIME, and counts truncated as an integer MEASURE."""
+    roles = [
+        ColumnRole("order_id", "integer", "KEY"),
+        ColumnRole("order_date", "string", "TIME"),
+        ColumnRole("quantity", "integer", "MEASURE"),
+    ]
+    orders = priced_orders(spark, sf_dir).withColumn(
+        "quantity", F.concat("quantity", F.when(F.col("order_id") % 3 == 0, ".9").otherwise(""))
+    )
+    return C.role_transform(orders, roles)
+
+
 def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     normal = V.normalize_text(F.col("text"))
     return table(spark, sf_dir, "documents").select(
@@ -91,6 +105,7 @@ QUERIES = {
     "standard_transform": standard_transform,
     "transform_rules": transform_rules,
     "role_transform": role_transform,
+    "role_transform_time": role_transform_time,
     "normalize_text": normalize_text,
     "to_number": to_number,
     "parse_dates": parse_dates,
@@ -154,6 +169,11 @@ ORACLE = {
                  FROM dirty_orders)""",
         "dirty_orders",
     ),
+    "role_transform_time": sql(
+        """SELECT order_id, strftime(moment, '%Y-%m-%d %H:%M:%S') AS order_date, quantity
+           FROM priced_orders""",
+        "priced_orders",
+    ),
     "role_transform": sql(
         """SELECT try_cast(order_id AS BIGINT) AS order_id,
                   try_cast(customer_id AS BIGINT) AS customer_id,

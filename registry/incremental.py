@@ -71,6 +71,16 @@ def checkpoint_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def checkpoint_totals_later(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """After a second run: orders are skipped, parts stay reported, suppliers are new."""
+    path = scratch_path(spark, "later")
+    known = _checkpoints(spark, sf_dir)
+    I.commit_checkpoints(I.incremental_status(_current(spark, sf_dir), known), "EXEC_2", path)
+    return checkpoint_summary(I.read_checkpoints(spark, path)).withColumn(
+        "updated_at", F.col("updated_at").isNotNull()
+    )
+
+
 def incremental_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The orders after as many rows as there are customers, in date and key order."""
     processed = table(spark, sf_dir, "customer").count()
@@ -220,6 +230,7 @@ QUERIES = {
     "incremental_forced": incremental_forced,
     "checkpoint_report": checkpoint_report,
     "checkpoint_totals": checkpoint_totals,
+    "checkpoint_totals_later": checkpoint_totals_later,
     "incremental_tail": incremental_tail,
     "incremental_tail_sequence": incremental_tail_sequence,
     "incremental_new_rows": incremental_new_rows,
@@ -271,6 +282,10 @@ ORACLE = {
         counts=_COUNTS,
         seen_=_SEEN,
     ),
+    "checkpoint_totals_later": """
+        SELECT CAST(3 AS BIGINT) AS checkpoints, 'supplier.csv' AS latest_source,
+               'SUCCESS' AS latest_status, count(*) AS processed_rows, true AS updated_at,
+               true AS any_skipped FROM supplier""",
     "checkpoint_totals": sql(
         """SELECT count(*) AS checkpoints, false AS any_skipped, true AS dated
            FROM seen_ WHERE source <> 'raw/supplier.csv'""",

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from orefold.operators import quality as Q
 from orefold.operators import validation as V
 from orefold.operators.roles import ColumnRole
 from orefold.plans.gold import GoldLayout, analytics
 from orefold.session import scratch_path
+from orefold.sources.csv import RAGGED, read_with_ragged_flag
 from orefold.sources.sinks import write_gold
 from registry.profiling import CELLS, DIRTY_COLUMNS
 from registry.views import dirty_orders, sales_lines, sql, table
@@ -54,6 +56,36 @@ def dq_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.quality_report(Q.quality_counters(dirty_orders(spark, sf_dir), DECLARED))
 
 
+def dq_report_raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report on text lines of which some are empty and some have too many fields."""
+    key = F.col("o_orderkey")
+    whole = F.concat_ws(",", key.cast("string"), "o_orderpriority", F.col("o_custkey").cast("string"))
+    line = F.when(key % 15 == 0, ",,").when(key % 10 == 1, F.concat(whole, F.lit(",x"))).otherwise(whole)
+    path = scratch_path(spark, "lines")
+    table(spark, sf_dir, "orders").select(line).write.text(path)
+    raw = read_with_ragged_flag(spark, path, ["order_id", "priority", "customer_id"])
+    columns = [ColumnRole("order_id", "integer", "KEY", 0.99, "PRIMARY"), ColumnRole("priority"),
+               ColumnRole("customer_id", "integer", "KEY", 0.99, "REFERENCE")]
+    return Q.quality_report(Q.quality_counters(raw, columns, RAGGED)).select("name", "status", "value")
+
+
+def quality_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For tables of differing quality, whether later steps may run."""
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    half = customers.select(
+        *[F.when(F.col("c_custkey") % 4 == 0, F.col(c)).alias(c) for c in customers.columns]
+    )
+    rows = []
+    for name, df in (("whole", customers), ("mostly empty", half), ("none", customers.limit(0))):
+        found = Q.weighted_score(df, df.columns).first()
+        checked = Q.quality_check(df).first()["status"]
+        rows.append((name, found["status"], checked, Q.quality_gate(found["status"], found["score"]),
+                     Q.quality_gate(checked)))
+    return spark.createDataFrame(
+        rows, "name string, scored string, checked string, by_score boolean, by_check boolean"
+    )
+
+
 def dq_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.quality_score(dq_report(spark, sf_dir))
 
@@ -113,6 +145,8 @@ QUERIES = {
     "dq_type_errors": dq_type_errors,
     "dq_report": dq_report,
     "dq_score": dq_score,
+    "dq_report_raw_lines": dq_report_raw_lines,
+    "quality_gates": quality_gates,
     "quality_check": quality_check,
     "dq_weighted_score": dq_weighted_score,
     "schema_conformance": schema_conformance,
@@ -166,6 +200,20 @@ _REPORT = " UNION ALL ".join(
 _GOLD_ROWS = "(SELECT count(DISTINCT (category, region)) FROM sales_lines)"
 
 ORACLE = {
+    "dq_report_raw_lines": """
+        WITH c AS (
+          SELECT count(*) AS n, count(*) FILTER (WHERE o_orderkey % 15 = 0) AS e,
+                 count(*) FILTER (WHERE o_orderkey % 15 <> 0 AND o_orderkey % 10 = 1) AS r FROM orders)
+        SELECT name, CASE WHEN (name = 'Row Count') = (value > 0) THEN 'PASS' ELSE 'FAIL' END AS status,
+               CAST(value AS BIGINT) AS value
+        FROM (SELECT unnest(['Row Count', 'Empty Rows', 'Null Values', 'Duplicate Rows', 'Duplicate ID',
+                             'Data Types', 'Column Consistency']) AS name,
+                     unnest([n, e, 3 * e, greatest(e - 1, 0), 0, 0, r]) AS value FROM c)""",
+    "quality_gates": """
+        SELECT * FROM (VALUES ('whole', 'PASS', 'PASS', true, true),
+                              ('mostly empty', 'WARN', 'CHECK', false, true),
+                              ('none', 'PASS', 'FAIL', true, false))
+          AS t(name, scored, checked, by_score, by_check)""",
     "dq_duplicate_rows": _counters("SELECT duplicate_rows FROM counters"),
     "dq_duplicate_lines": """
         SELECT CAST(sum(n - 1) AS BIGINT) AS duplicate_rows FROM
