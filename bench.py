@@ -39,6 +39,10 @@ HEADLINES = (
     "contributors",
     "filtered_series",
     "question_intent",
+    "question_filters",
+    "incremental_appended",
+    "stream_quality_counts",
+    "medallion_run",
 )
 
 
