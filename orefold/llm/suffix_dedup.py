@@ -34,7 +34,10 @@ LENGTH = 100
 STRETCH = 24
 _SLICE = 2 << 20
 _TASK_ANCHORS = 600_000
-_BUCKET_ROWS = 250_000
+_BUCKET_ROWS = 100_000
+_MOST_BUCKETS = 50_000
+_SAMPLED = 4
+"""Rows sampled for each bucket; with the number of buckets it bounds what is collected."""
 _NO_ID = (1 << 63) - 1
 _MARK, _ANCHOR, _SUFFIX, _VARIED = 0, 1, 2, 3
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -300,13 +303,25 @@ def multikey_quicksort(words: np.ndarray, small: int = 512) -> np.ndarray:
     return np.concatenate(done) if done else np.zeros(0, np.int64)
 
 
+def _common_with(right: np.ndarray, bound: np.ndarray | None) -> np.ndarray:
+    """How many leading bytes each row shares with a bound; -1 without one."""
+    if bound is None:
+        return np.full(len(right), -1)
+    differs = right != bound
+    return np.where(differs.any(1), differs.argmax(1), right.shape[1])
+
+
 def compare_suffixes(
     right: np.ndarray, right_sizes: np.ndarray, left: np.ndarray, doc: np.ndarray,
-    span: np.ndarray,
+    span: np.ndarray, bounds: tuple[np.ndarray | None, np.ndarray | None],
 ) -> tuple[np.ndarray, np.ndarray]:
     """For each row and distance from window to anchor: whether the window has an earlier
     equal in the bucket, and whether it is the bucket's first but may have equals beyond
-    the boundaries. Rows are in the order of documents and places."""
+    the boundaries. Rows are in the order of documents and places.
+
+    Other buckets lie before the lower bound or from the upper bound on, so they hold a
+    window's bytes right of the anchor only if a bound begins with them.
+    """
     n, reach = len(doc), LENGTH - STRETCH + 1
     low, anchor, high, _ = _unpack(span)
     order = multikey_quicksort(right.view(">u8").astype(np.uint64))
@@ -315,14 +330,14 @@ def compare_suffixes(
     common = np.where(differs.any(1), differs.argmax(1), right.shape[1])
     sizes = right_sizes[order]
     common = np.minimum(common, np.minimum(sizes[1:], sizes[:-1]))
+    near = np.maximum(*(_common_with(right, bound) for bound in bounds))
     repeated, open_ = np.zeros((n, reach), bool), np.zeros((n, reach), bool)
     side = np.zeros(n, np.int64)
     run = np.zeros(n, np.int64)
     for distance in range(reach):
         if distance:
             _, side = np.unique(side * 256 + left[:, distance - 1], return_inverse=True)
-        runs = np.concatenate([[0], np.cumsum(common < LENGTH - distance)])
-        run[order] = runs
+        run[order] = np.concatenate([[0], np.cumsum(common < LENGTH - distance)])
         rows = np.nonzero((anchor - high <= distance) & (distance <= anchor - low))[0]
         if not len(rows):
             continue
@@ -331,29 +346,81 @@ def compare_suffixes(
         )
         origin = rows[index][inverse]
         repeated[rows, distance] = (doc[rows] != doc[origin]) | (span[rows] != span[origin])
-        at_edge = (run[rows] == 0) | (run[rows] == runs[-1])
-        open_[rows, distance] = at_edge & (rows == origin)
+        open_[rows, distance] = (near[rows] >= LENGTH - distance) & (rows == origin)
     return repeated, open_
 
 
 _FOUND = "doc bigint, version int, start bigint, stop bigint, content binary"
 
 
-def _buckets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_RIGHT, _LEFT = LENGTH + 4, LENGTH
+
+
+def _sort_keys(right: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The bytes a row is sorted by: right of the anchor, then backwards to the left."""
+    return np.concatenate([right, left], 1).view(f"S{_RIGHT + _LEFT}").ravel()
+
+
+def sample_splitters(contexts: DataFrame, count: int, buckets: int) -> np.ndarray:
+    """Bounds of the buckets, from a sample by hash of a few rows for each."""
+    if buckets < 2:
+        return np.zeros(0, f"S{_RIGHT + _LEFT}")
+    every = max(1, count // (buckets * _SAMPLED))
+    drawn = F.pmod(F.xxhash64("doc", "span"), F.lit(every)) == 0
+    sample = contexts.where(drawn).select("right", "left").limit(2 * buckets * _SAMPLED)
+    table = sample.toArrow()
+    keys = np.sort(
+        _sort_keys(
+            _matrix(table.column("right").combine_chunks(), _RIGHT)[0],
+            _matrix(table.column("left").combine_chunks(), _LEFT)[0],
+        )
+    )
+    return np.unique(keys[np.arange(1, buckets) * len(keys) // buckets]) if len(keys) else keys
+
+
+def _dealt(splitters: np.ndarray):
+    def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = _sort_keys(
+                _matrix(batch.column(0), _RIGHT)[0], _matrix(batch.column(1), _LEFT)[0]
+            )
+            bucket = np.searchsorted(splitters, keys, "right").astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(bucket), *batch.columns], ["bucket", *batch.schema.names]
+            )
+
+    return deal
+
+
+def _bound(splitters: np.ndarray, at: int) -> np.ndarray | None:
+    """The right part of a splitter; None beyond the first and the last."""
+    if not 0 <= at < len(splitters):
+        return None
+    return np.frombuffer(splitters[at : at + 1].tobytes(), np.uint8)[:_RIGHT]
+
+
+def _compared(splitters: np.ndarray):
+    def compare(table: pa.Table) -> pa.Table:
+        bucket = table.column("bucket")[0].as_py()
+        bounds = (_bound(splitters, bucket - 1), _bound(splitters, bucket))
+        return pa.Table.from_batches(list(_bucket(table.combine_chunks(), bounds)))
+
+    return compare
+
+
+def _bucket(
+    table: pa.Table, bounds: tuple[np.ndarray | None, np.ndarray | None]
+) -> Iterator[pa.RecordBatch]:
     """Repeats within one bucket, with stop set, and first windows that may have equals in
     another, with their content's digest set."""
-    held = [batch for batch in batches if batch.num_rows]
-    if not held:
-        return
-    table = pa.Table.from_batches(held).combine_chunks()
     doc = table.column("doc").to_numpy()
     span = table.column("span").to_numpy()
     order = np.lexsort((span, doc))
     doc, span = doc[order], span[order]
-    right, sizes = _matrix(table.column("right").chunk(0), LENGTH + 4)
-    left, _ = _matrix(table.column("left").chunk(0), LENGTH)
+    right, sizes = _matrix(table.column("right").chunk(0), _RIGHT)
+    left, _ = _matrix(table.column("left").chunk(0), _LEFT)
     right, sizes, left = right[order], sizes[order], left[order]
-    repeated, open_ = compare_suffixes(right, sizes, left, doc, span)
+    repeated, open_ = compare_suffixes(right, sizes, left, doc, span, bounds)
     _, anchor, _, version = _unpack(span)
     edges = np.diff(np.pad(repeated, ((0, 0), (1, 1))).astype(np.int8), axis=1)
     row, near = np.nonzero(edges == 1)
@@ -428,10 +495,12 @@ def repeated_ranges(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     count = contexts.count()
     if not count:
         return marks
-    least = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(min(least, 1 + count // 1000), 1 + count // _BUCKET_ROWS)
+    buckets = min(1 + count // _BUCKET_ROWS, _MOST_BUCKETS)
+    splitters = sample_splitters(contexts, count, buckets)
     found = materialize(
-        contexts.repartitionByRange(buckets, "right", "left").mapInArrow(_buckets, _FOUND),
+        contexts.mapInArrow(_dealt(splitters), f"bucket int, {_CONTEXT}")
+        .groupBy("bucket")
+        .applyInArrow(_compared(splitters), _FOUND),
         "suffixes",
     )
     open_ = found.where(F.col("content").isNotNull()).select("content", "doc", "version", "start")
