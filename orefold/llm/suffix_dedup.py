@@ -34,7 +34,7 @@ LENGTH = 100
 STRETCH = 24
 _SLICE = 1 << 20
 _TASK_ANCHORS = 250_000
-_BUCKET_ROWS = 25_000
+_BUCKET_ROWS = 50_000
 _MOST_BUCKETS = 50_000
 _SAMPLED = 4
 """Rows sampled for each bucket; with the number of buckets it bounds what is collected."""
