@@ -159,26 +159,16 @@ def _match(split: DataFrame, index: DataFrame) -> DataFrame:
     return hits.select(*marks.columns).union(marks)
 
 
-def contamination(
+def _verdicts(
     documents: DataFrame,
     benchmark: DataFrame,
-    doc_id: str = "doc_id",
-    text: str = "text",
+    doc_id: str,
+    text: str,
     item_id: str = "item_id",
     item_text: str = "text",
     width: int = WINDOW,
 ) -> DataFrame:
-    """Rows ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated``.
-
-    A window is ``width`` consecutive words of an item, or all words of a shorter one. A
-    document word within any occurrence of a window is hit. Words are ordered by how rare
-    they are in all documents; each window is looked up by its rarest word, must fit into
-    the document around that place, and is then compared word by word.
-
-    Null and empty texts have no words, in documents and items. Items with a null id hit
-    but are not listed. Null document ids stay null. Repeated rows each give a row. Empty
-    tables give an empty result, or no hits.
-    """
+    """The rows of :func:`contamination`, with ``version``, the hash of the row's text."""
     windows = materialize(item_windows(benchmark, item_id, item_text, width), "windows")
     vocabulary = windows.select(F.explode("window").alias("word")).distinct()
     split = _split(documents, doc_id, text)
@@ -212,6 +202,7 @@ def contamination(
     )
     return found.select(
         F.col("id").alias("doc_id"),
+        "version",
         F.col("n_words").cast("long").alias("n_words"),
         covered.cast("long").alias("n_hit"),
         F.size("ids").cast("long").alias("n_items"),
@@ -221,6 +212,30 @@ def contamination(
     ).drop("copy")
 
 
+def contamination(
+    documents: DataFrame,
+    benchmark: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    item_id: str = "item_id",
+    item_text: str = "text",
+    width: int = WINDOW,
+) -> DataFrame:
+    """Rows ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated``.
+
+    A window is ``width`` consecutive words of an item, or all words of a shorter one. A
+    document word within any occurrence of a window is hit. Words are ordered by how rare
+    they are in all documents; each window is looked up by its rarest word, must fit into
+    the document around that place, and is then compared word by word.
+
+    Null and empty texts have no words, in documents and items. Items with a null id hit
+    but are not listed. Null document ids stay null. Repeated rows each give a row. Empty
+    tables give an empty result, or no hits.
+    """
+    found = _verdicts(documents, benchmark, doc_id, text, item_id, item_text, width)
+    return found.drop("version")
+
+
 def keep_clean(
     documents: DataFrame,
     benchmark: DataFrame,
@@ -228,10 +243,12 @@ def keep_clean(
     text: str = "text",
     **columns: str,
 ) -> DataFrame:
-    """The documents, with all their columns, that hold no window of any item. If rows
-    share an id, null included, one contaminated text removes them all."""
-    found = contamination(documents, benchmark, doc_id, text, **columns)
-    bad = found.where("contaminated").select(F.col("doc_id").alias("bad")).distinct()
-    rows = packed(documents, key=F.col(f"`{doc_id}`"))
-    same = F.col("key").eqNullSafe(F.col("bad"))
-    return rows.join(bad, same, "left_anti").select("row.*")
+    """The documents, with all their columns, that hold no window of any item. Rows that
+    share an id, null included, are told apart by their texts: only the contaminated go."""
+    found = _verdicts(documents, benchmark, doc_id, text, **columns)
+    bad = found.where("contaminated").select(
+        F.col("doc_id").alias("bad"), F.col("version").alias("bad_version")
+    )
+    rows = packed(documents, key=F.col(f"`{doc_id}`"), version=F.xxhash64(F.col(f"`{text}`")))
+    same = F.col("key").eqNullSafe(F.col("bad")) & (F.col("version") == F.col("bad_version"))
+    return rows.join(bad.distinct(), same, "left_anti").select("row.*")

@@ -129,3 +129,12 @@ def test_pages(spark):
     assert texts[(2, None)]["text"] == "" and texts[(1, "u")]["n_chars"] == 0
     assert all(row["n_chars"] == len(row["text"]) for row in found)
     assert html_extract.extract(pages.where("false")).collect() == []
+
+
+def test_clean_rows_that_share_an_id_with_a_contaminated_one_stay(spark):
+    leaked = "two three four five six seven eight nine ten eleven and more"
+    given = [(None, leaked), (None, "clean without an id"), (None, None), (None, ""),
+             (1, leaked), (1, "clean under the same id"), (2, "clean by itself")]
+    docs = spark.createDataFrame(given, "doc_id bigint, text string").repartition(3)
+    found = rows(decontaminate.keep_clean(docs, edges.benchmark(spark)))
+    assert found == sorted((row for row in given if row[1] != leaked), key=repr)
