@@ -102,27 +102,35 @@ def find_anchors(
     return text, anchor - begin, low - begin, high - begin, stretch[anchor], context
 
 
-def _pack(low: np.ndarray, anchor: np.ndarray, high: np.ndarray, version: np.ndarray) -> np.ndarray:
-    """First window, distances to the anchor and the last window, and the text's version
-    in one long; longs of one document are in the order of their first windows."""
-    return (low << 30) | ((anchor - low) << 23) | ((high - low) << 16) | version
+def _pack(low: np.ndarray, anchor: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """First window and distances to the anchor and the last window in one long; longs of
+    one text are in the order of their first windows."""
+    return (low << 14) | ((anchor - low) << 7) | (high - low)
 
 
-def _unpack(span: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    low = span >> 30
-    return low, low + (span >> 23 & 127), low + (span >> 16 & 127), span & 65535
+def _unpack(span: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    low = span >> 14
+    return low, low + (span >> 7 & 127), low + (span & 127)
+
+
+def _elsewhere(
+    doc: np.ndarray, version: np.ndarray, span: np.ndarray, origin: np.ndarray
+) -> np.ndarray:
+    """Which rows stand at another place than the row at ``origin``."""
+    return (doc != doc[origin]) | (version != version[origin]) | (span != span[origin])
 
 
 def settle(
-    stretch: np.ndarray, context: np.ndarray, doc: np.ndarray, span: np.ndarray
+    stretch: np.ndarray, context: np.ndarray, doc: np.ndarray, version: np.ndarray,
+    span: np.ndarray,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For rows sorted by stretch, context, document and span: which are the first of
+    """For rows sorted by stretch, context, document, version and span: which are the first of
     their context, which stand at another place than the first, and which have a stretch
     that occurs in several contexts."""
     new_stretch = np.append(True, stretch[1:] != stretch[:-1])
     first = new_stretch | np.append(True, context[1:] != context[:-1])
     origin = np.nonzero(first)[0][np.cumsum(first) - 1]
-    repeat = (doc != doc[origin]) | (span != span[origin])
+    repeat = _elsewhere(doc, version, span, origin)
     group = np.cumsum(new_stretch) - 1
     varied = np.bincount(group, first)[group] > 1
     return first, repeat, varied
@@ -133,18 +141,20 @@ _ROW = T.StructType(
         T.StructField("stretch", T.LongType()),
         T.StructField("context", T.LongType()),
         T.StructField("doc", T.LongType()),
+        T.StructField("version", T.LongType()),
         T.StructField("span", T.LongType()),
         T.StructField("kind", T.IntegerType()),
     ]
 )
 
 
-def _rows(stretch, context, doc, span, kind) -> pa.RecordBatch:
+def _rows(stretch, context, doc, version, span, kind) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict(
         {
             "stretch": pa.array(stretch.view(np.int64)),
             "context": pa.array(context.view(np.int64)),
             "doc": pa.array(doc),
+            "version": pa.array(version),
             "span": pa.array(span),
             "kind": pa.array(kind.astype(np.int32)),
         }
@@ -155,12 +165,12 @@ def _combine(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
     """Settle what a task can by itself. Each context goes on once; repeats of it are
     settled. A stretch that the task has seen in several contexts is known to need its
     text; then only one row of it goes on, to tell the other tasks."""
-    stretch, context, doc, span = (np.concatenate(column) for column in zip(*parts))
-    if not len(stretch):
+    columns = [np.concatenate(column) for column in zip(*parts)]
+    if not len(columns[0]):
         return
-    order = np.lexsort((span, doc, context, stretch))
-    stretch, context, doc, span = stretch[order], context[order], doc[order], span[order]
-    first, repeat, varied = settle(stretch, context, doc, span)
+    order = np.lexsort(columns[::-1])
+    stretch, context, doc, version, span = (column[order] for column in columns)
+    first, repeat, varied = settle(stretch, context, doc, version, span)
     told = np.append(True, stretch[1:] != stretch[:-1])
     kind = np.full(len(stretch), -1)
     kind[first & ~varied] = _ANCHOR
@@ -169,7 +179,8 @@ def _combine(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
     settled = (kind == _MARK) | (kind == _SUFFIX)
     tell = np.nonzero(varied & told)[0]
     # Settled rows only travel along; their own hash spreads them evenly.
-    spread = np.where(settled, _mix(doc.view(np.uint64) ^ span.view(np.uint64)), stretch)
+    own = _mix(doc.view(np.uint64) ^ version.view(np.uint64)) ^ span.view(np.uint64)
+    spread = np.where(settled, _mix(own), stretch)
     used = np.nonzero(kind >= 0)[0]
     at = np.concatenate([used, tell])
     kinds = np.concatenate([kind[used], np.full(len(tell), _VARIED)])
@@ -177,7 +188,12 @@ def _combine(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
     for a in range(0, len(at), 100_000):
         part = at[a : a + 100_000]
         yield _rows(
-            keys[a : a + 100_000], context[part], doc[part], span[part], kinds[a : a + 100_000]
+            keys[a : a + 100_000],
+            context[part],
+            doc[part],
+            version[part],
+            span[part],
+            kinds[a : a + 100_000],
         )
 
 
@@ -189,9 +205,7 @@ def _anchor_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         versions = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
         found = find_anchors(*buffer_of(text_array(batch, "__text")))
         text, anchor, low, high, stretch, context = found
-        parts.append(
-            (stretch, context, ids[text], _pack(low, anchor, high, versions[text]))
-        )
+        parts.append((stretch, context, ids[text], versions[text], _pack(low, anchor, high)))
         count += len(text)
         if count >= _TASK_ANCHORS:
             yield from _combine(parts)
@@ -201,17 +215,17 @@ def _anchor_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Settle anchors that arrive sorted by stretch, context, document and span. A stretch
+    """Settle anchors that arrive sorted by stretch, context, document, version and span. A stretch
     has one row of each task at most, or one for each task and context it saw alone."""
     held: list[np.ndarray] | None = None
 
     def settled(columns: list[np.ndarray]) -> pa.RecordBatch:
-        stretch, context, doc, span, kind = columns
+        _, _, doc, version, span, kind = columns
         out = np.where((kind == _MARK) | (kind == _SUFFIX), kind, -1)
         open_ = np.nonzero(out < 0)[0]
         if len(open_):
-            s, c, d, p, k = (column[open_] for column in columns)
-            first, repeat, varied = settle(s, c, d, p)
+            s, c, d, v, p, k = (column[open_] for column in columns)
+            first, repeat, varied = settle(s, c, d, v, p)
             group = np.cumsum(np.append(True, s[1:] != s[:-1])) - 1
             varied |= (np.bincount(group, k == _VARIED) > 0)[group]
             verdict = np.where(repeat, _MARK, np.where(varied, _SUFFIX, -1))
@@ -224,6 +238,7 @@ def _meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_pydict(
             {
                 "doc": pa.array(doc[used]),
+                "version": pa.array(version[used]),
                 "span": pa.array(span[used]),
                 "kind": pa.array(out[used].astype(np.int32)),
             }
@@ -243,29 +258,31 @@ def _meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield settled(held)
 
 
-_CONTEXT = "right binary, left binary, doc bigint, span bigint"
+_CONTEXT = "right binary, left binary, doc bigint, version bigint, span bigint"
 
 
 def _contexts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Text of suffixes: from the anchor on, and, backwards, from the anchor to the left."""
     for batch in text_slices(batches, "__text", _SLICE):
-        right, left, docs, spans = [], [], [], []
-        ids = batch.column(0).to_pylist()
+        right, left, docs, texts, spans = [], [], [], [], []
+        ids, versions = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         wanted = batch.column(2).to_pylist()
         for row, value in enumerate(text_array(batch, "__text")):
             text = value.as_buffer().to_pybytes()
             span = np.unique(np.array(wanted[row], np.int64))
-            low, anchor, high, _ = _unpack(span)
+            low, anchor, high = _unpack(span)
             for a, b, c in zip(low.tolist(), anchor.tolist(), high.tolist()):
                 right.append(text[b : c + LENGTH])
                 left.append(text[a:b][::-1])
             docs.append(np.full(len(span), ids[row]))
+            texts.append(np.full(len(span), versions[row]))
             spans.append(span)
         yield pa.RecordBatch.from_pydict(
             {
                 "right": pa.array(right, pa.binary()),
                 "left": pa.array(left, pa.binary()),
                 "doc": pa.array(np.concatenate(docs)),
+                "version": pa.array(np.concatenate(texts)),
                 "span": pa.array(np.concatenate(spans)),
             }
         )
@@ -313,17 +330,17 @@ def _common_with(right: np.ndarray, bound: np.ndarray | None) -> np.ndarray:
 
 def compare_suffixes(
     right: np.ndarray, right_sizes: np.ndarray, left: np.ndarray, doc: np.ndarray,
-    span: np.ndarray, bounds: tuple[np.ndarray | None, np.ndarray | None],
+    version: np.ndarray, span: np.ndarray, bounds: tuple[np.ndarray | None, np.ndarray | None],
 ) -> tuple[np.ndarray, np.ndarray]:
     """For each row and distance from window to anchor: whether the window has an earlier
     equal in the bucket, and whether it is the bucket's first but may have equals beyond
-    the boundaries. Rows are in the order of documents and places.
+    the boundaries. Rows are in the order of documents, versions and places.
 
     Other buckets lie before the lower bound or from the upper bound on, so they hold a
     window's bytes right of the anchor only if a bound begins with them.
     """
     n, reach = len(doc), LENGTH - STRETCH + 1
-    low, anchor, high, _ = _unpack(span)
+    low, anchor, high = _unpack(span)
     order = multikey_quicksort(right.view(">u8").astype(np.uint64))
     ordered = right[order]
     differs = ordered[1:] != ordered[:-1]
@@ -345,12 +362,14 @@ def compare_suffixes(
             run[rows] * (side.max() + 1) + side[rows], return_index=True, return_inverse=True
         )
         origin = rows[index][inverse]
-        repeated[rows, distance] = (doc[rows] != doc[origin]) | (span[rows] != span[origin])
+        repeated[rows, distance] = _elsewhere(
+            doc[rows], version[rows], span[rows], index[inverse]
+        )
         open_[rows, distance] = (near[rows] >= LENGTH - distance) & (rows == origin)
     return repeated, open_
 
 
-_FOUND = "doc bigint, version int, start bigint, stop bigint, content binary"
+_FOUND = "doc bigint, version bigint, start bigint, stop bigint, content binary"
 
 
 _RIGHT, _LEFT = LENGTH + 4, LENGTH
@@ -366,7 +385,7 @@ def sample_splitters(contexts: DataFrame, count: int, buckets: int) -> np.ndarra
     if buckets < 2:
         return np.zeros(0, f"S{_RIGHT + _LEFT}")
     every = max(1, count // (buckets * _SAMPLED))
-    drawn = F.pmod(F.xxhash64("doc", "span"), F.lit(every)) == 0
+    drawn = F.pmod(F.xxhash64("doc", "version", "span"), F.lit(every)) == 0
     sample = contexts.where(drawn).select("right", "left").limit(2 * buckets * _SAMPLED)
     table = sample.toArrow()
     keys = np.sort(
@@ -415,20 +434,21 @@ def _bucket(
     another, with their content's digest set."""
     doc = table.column("doc").to_numpy()
     span = table.column("span").to_numpy()
-    order = np.lexsort((span, doc))
-    doc, span = doc[order], span[order]
+    version = table.column("version").to_numpy()
+    order = np.lexsort((span, version, doc))
+    doc, version, span = doc[order], version[order], span[order]
     right, sizes = _matrix(table.column("right").chunk(0), _RIGHT)
     left, _ = _matrix(table.column("left").chunk(0), _LEFT)
     right, sizes, left = right[order], sizes[order], left[order]
-    repeated, open_ = compare_suffixes(right, sizes, left, doc, span, bounds)
-    _, anchor, _, version = _unpack(span)
+    repeated, open_ = compare_suffixes(right, sizes, left, doc, version, span, bounds)
+    _, anchor, _ = _unpack(span)
     edges = np.diff(np.pad(repeated, ((0, 0), (1, 1))).astype(np.int8), axis=1)
     row, near = np.nonzero(edges == 1)
     _, beyond = np.nonzero(edges == -1)
     yield pa.RecordBatch.from_pydict(
         {
             "doc": pa.array(doc[row]),
-            "version": pa.array(version[row].astype(np.int32)),
+            "version": pa.array(version[row]),
             "start": pa.array(anchor[row] - beyond + 1),
             "stop": pa.array(anchor[row] - near + LENGTH),
             "content": pa.nulls(len(row), pa.binary()),
@@ -446,7 +466,7 @@ def _bucket(
         yield pa.RecordBatch.from_pydict(
             {
                 "doc": pa.array(doc[rows]),
-                "version": pa.array(version[rows].astype(np.int32)),
+                "version": pa.array(version[rows]),
                 "start": pa.array(anchor[rows] - back),
                 "stop": pa.nulls(len(rows), pa.int64()),
                 "content": pa.array(contents, pa.binary()),
@@ -457,8 +477,7 @@ def _bucket(
 def _keys(doc_id: str, text: str) -> tuple[Column, Column]:
     """The document's place in the order, and a hash that tells texts of one id apart."""
     doc = F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(_NO_ID))
-    version = F.pmod(F.xxhash64(F.col(f"`{text}`")), F.lit(65536)).cast("int")
-    return doc, version
+    return doc, F.xxhash64(F.col(f"`{text}`"))
 
 
 def repeated_ranges(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -471,22 +490,21 @@ def repeated_ranges(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     met = (
         rows.mapInArrow(_anchor_rows, _ROW)
         .repartition("stretch")
-        .sortWithinPartitions("stretch", "context", "doc", "span")
-        .mapInArrow(_meet, "doc bigint, span bigint, kind int")
+        .sortWithinPartitions("stretch", "context", "doc", "version", "span")
+        .mapInArrow(_meet, "doc bigint, version bigint, span bigint, kind int")
     )
     met = materialize(met, "anchors")
-    span_version = F.col("span").bitwiseAND(65535).cast("int")
-    low = F.shiftright("span", 30)
-    high = low + F.shiftright("span", 16).bitwiseAND(127)
+    low = F.shiftright("span", 14)
+    high = low + F.col("span").bitwiseAND(127)
     marks = met.where(F.col("kind") == _MARK).select(
         "doc",
-        span_version.alias("version"),
+        "version",
         low.alias("start"),
         (high + LENGTH).alias("stop"),
     )
     wanted = (
         met.where(F.col("kind") == _SUFFIX)
-        .groupBy("doc", span_version.alias("version"))
+        .groupBy("doc", "version")
         .agg(F.collect_list("span").alias("spans"))
     )
     # Rows that are the same document read twice give the same suffixes: one is enough.

@@ -89,6 +89,38 @@ def test_one_passage_in_every_document(spark, monkeypatch):
     assert spark_removals(df) == brute_removals(rows)
 
 
+def test_texts_of_one_id_are_told_apart_by_more_than_a_few_bits(spark):
+    """Two texts of one id whose hashes end with the same 16 bits: they share a passage
+    at the same place, and the longer one repeats itself beyond the other's end."""
+
+    def version(text):
+        return int.from_bytes(xxhash.xxh64_digest(text.encode(), 42), "big", signed=True)
+
+    passage = "a passage that both of the texts hold at the same place, " * 2
+    filler = " ".join(map(str, range(7000, 7060)))
+    ends = {}
+    for i in range(2000):
+        text = f"{i:05d} {passage} the end of {i}"
+        ends[version(text) & 65535] = text
+    pairs = (
+        (ends[end], long)
+        for i in range(2000)
+        if (end := version(long := f"{i:05d} {passage} {filler}, {filler} of {i}") & 65535) in ends
+    )
+    short, long = next(pairs)
+    assert version(short) != version(long)
+    for doc_id in (None, 7):
+        given = [(doc_id, short), (doc_id, long), (doc_id, long), (3, f"x {filler[:150]}")]
+        order = {(i is None, i or 0, version(text)): text for i, text in given}
+        want = brute_removals(order.items())
+        df = spark.createDataFrame(given, "doc_id bigint, text string").repartition(3)
+        found = [tuple(row)[1:] for row in suffix_dedup.removals(df).collect()]
+        each = [want[i is None, i or 0, version(text)] for i, text in given]
+        assert sorted(found) == sorted(each)
+        kept = [row["text"] for row in suffix_dedup.remove_repeats(df).collect()]
+        assert sorted(len(text) for text in kept) == sorted(n - cut for n, cut, *_ in each)
+
+
 def test_cut_keeps_whole_characters():
     text = "aéb".encode()
     assert suffix_dedup.cut_text(text, np.array([2]), np.array([4])) == "aé"
