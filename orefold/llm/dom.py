@@ -13,7 +13,7 @@ _VOID = frozenset(
     "area base br col embed hr img input link meta param source track wbr".split()
 )
 _HIDDEN = frozenset(
-    "script style head title noscript template iframe svg math object canvas audio video "
+    "script style title noscript template iframe svg math object canvas audio video "
     "textarea select datalist noembed noframes xmp dialog".split()
 )
 _RAW = frozenset("script style title textarea iframe noembed noframes xmp".split())
@@ -40,15 +40,18 @@ _GROUP_OF = {
 _BREAKING = frozenset(_GROUP_OF)
 _HOLDER_NAMES = "main box nav header footer aside form".split()
 _HOLDERS = frozenset(GROUP_NAMES.index(name) for name in _HOLDER_NAMES)
-#: An opening tag closes open elements of these names, not beyond the second set.
+#: An opening tag closes open elements of these names, one of each set in turn, not
+#: beyond the second set.
+_CELL, _ROWS = ("td", "th"), ("thead", "tbody", "tfoot")
 _CLOSES = {
-    "li": ("li",),
-    "dt": ("dt", "dd"),
-    "dd": ("dt", "dd"),
-    "tr": ("tr", "td", "th"),
-    "td": ("td", "th"),
-    "th": ("td", "th"),
-    "option": ("option",),
+    "li": (("li",),),
+    "dt": (("dt", "dd"),),
+    "dd": (("dt", "dd"),),
+    "tr": (_CELL, ("tr",)),
+    "td": (_CELL,),
+    "th": (_CELL,),
+    "option": (("option",),),
+    **dict.fromkeys(_ROWS, (_CELL, ("tr",), _ROWS)),
 }
 _SCOPES = frozenset("ul ol dl table td th html body div article section".split())
 _NOT_IN_P = _BREAKING - frozenset("button label option input legend".split())
@@ -83,7 +86,11 @@ _TAG = re.compile(
 _ATTRIBUTE = re.compile(
     r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I
 )
-_HIDING = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_MAY_HIDE = re.compile(r"hidden|\bstyle\b", re.I)
+_NAMED = re.compile(
+    r"([^\s\"'>/=][^\s>/=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?"
+)
+_COMMENT = re.compile(r"/\*.*?\*/", re.S)
 _WORDS = re.compile(r"[A-Z]?[a-z]+")
 _SENTENCE = re.compile(r"[.!?;:,](?=\s|$)")
 
@@ -95,8 +102,28 @@ def _attributes(source: str) -> tuple[int, bool]:
     for found in _ATTRIBUTE.finditer(source):
         for word in _WORDS.findall(found.group(found.lastindex or 0)):
             bits |= _TOKEN_BIT.get(word.lower(), 0)
-    unquoted = re.sub(r"(class|id|href|title|alt)\s*=\s*(\"[^\"]*\"|'[^']*')", "", source)
-    return bits, bool(_HIDING.search(unquoted))
+    return bits, bool(_MAY_HIDE.search(source)) and _hides(source)
+
+
+def _hides(source: str) -> bool:
+    """Whether attributes hide their element: ``hidden``, ``aria-hidden`` that is true, or
+    a style whose effective ``display`` is none or ``visibility`` is hidden. Of attributes
+    of one name the first counts."""
+    named: dict[str, str] = {}
+    for found in _NAMED.finditer(source):
+        name, value = found.group(1).lower(), found.group(found.lastindex or 1)
+        named.setdefault(name, value if found.lastindex > 1 else "")
+    if "hidden" in named or named.get("aria-hidden", "").strip().lower() == "true":
+        return True
+    styles: dict[str, tuple[bool, str]] = {}
+    for part in _COMMENT.sub("", html.unescape(named.get("style", ""))).lower().split(";"):
+        name, _, value = part.partition(":")
+        value, _, important = value.partition("!")
+        one = (important.strip() == "important", value.strip())
+        if one[1] and one[0] >= styles.get(name.strip(), one)[0]:
+            styles[name.strip()] = one
+    hidden = {"display": ("none",), "visibility": ("hidden", "collapse")}
+    return any(styles.get(name, (False, ""))[1] in values for name, values in hidden.items())
 
 
 class Page:
@@ -104,7 +131,7 @@ class Page:
 
     Parsing never fails: unclosed and stray tags are repaired as far as blocks need it,
     what looks like markup but is none is text, and scripts, styles, hidden elements and
-    comments leave nothing.
+    comments leave nothing. A hidden element ends where it would end if it were visible.
     """
 
     def __init__(self, source: str) -> None:
@@ -127,6 +154,7 @@ class Page:
         self._run: list[str] = []
         self._run_linked = 0
         self._link = -1
+        self._muted = -1  # where in _open the hidden element is; what it holds has no node
         self._parse(source)
         self._flush()
         while self._open:
@@ -166,6 +194,11 @@ class Page:
             self._run, self._run_linked = [], 0
 
     def _pop(self) -> None:
+        if self._muted >= 0:
+            self._open.pop()
+            if len(self._open) == self._muted:
+                self._muted = -1
+            return
         self._flush()
         _, at = self._open.pop()
         self.end[at] = len(self.parent)
@@ -189,7 +222,7 @@ class Page:
         while at < size:
             found = match(source, at)
             stop = found.start() if found else size
-            if stop > at and not skipped:
+            if stop > at and not skipped and self._muted < 0:
                 piece = source[at:stop]
                 if "&" in piece:
                     piece = html.unescape(piece)
@@ -215,17 +248,34 @@ class Page:
                 self._end(name)
                 continue
             bits, hidden = _attributes(rest) if rest else (0, False)
+            hidden = hidden and name not in _VOID and name != "head"
+            if name in _BREAKING and (hidden or self._muted >= 0):
+                self._imply(name)
             if name in _RAW:
                 ends = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)", re.I).search(source, at)
                 at = ends.start() if ends else size
                 skipped, skip_depth = name, 1
-            elif (name in _HIDDEN or hidden) and name not in _VOID:
-                if not rest.endswith("/"):
-                    skipped, skip_depth = name, 1
+            elif name in _HIDDEN or hidden or self._muted >= 0:
+                if rest.endswith("/") or name in _VOID:
+                    continue
+                if self._muted < 0:
                     self._run.append(" ")
+                if name in _HIDDEN:
+                    skipped, skip_depth = name, 1
+                else:
+                    if self._muted < 0:
+                        self._muted = len(self._open)
+                    self._open.append((name, -1))
             else:
                 self._start(name, bits, rest)
 
+    def _imply(self, name: str) -> None:
+        """Close what an opening tag closes."""
+        if name in _NOT_IN_P:
+            self._close(("p",), _SCOPES - {"div", "article", "section"})
+        for names in _CLOSES.get(name, ()):
+            self._close(names, frozenset("ul ol dl table".split()))
+
     def _start(self, name: str, bits: int, rest: str) -> None:
         if name == "a":
             self._link = len(self._open)
@@ -236,10 +286,7 @@ class Page:
                 self._flush()
             return
         self._flush()
-        if name in _NOT_IN_P:
-            self._close(("p",), _SCOPES - {"div", "article", "section"})
-        if name in _CLOSES:
-            self._close(_CLOSES[name], frozenset("ul ol dl table".split()))
+        self._imply(name)
         if name in ("html", "body") and any(name == tag for tag, _ in self._open):
             return
         node = self._node(_GROUP_OF[name], bits, "", 0)
@@ -249,6 +296,14 @@ class Page:
             self.marked.append((node, "data-main=1" in rest))
 
     def _end(self, name: str) -> None:
+        if self._muted >= 0 and name not in _BREAKING:
+            for i in range(len(self._open) - 1, self._muted - 1, -1):
+                if self._open[i][0] == name:
+                    while len(self._open) > i:
+                        self._pop()
+                    return
+                if self._open[i][0] in _BREAKING:
+                    break
         if name == "a":
             self._link = -1
         elif name in _BREAKING and name not in ("html", "body"):

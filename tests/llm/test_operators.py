@@ -331,6 +331,31 @@ def test_page_with_everything_around_the_text():
     ]
 
 
+@pytest.mark.parametrize(
+    ("source", "texts"),
+    [
+        ('<div style="overflow:hidden">a</div>b', "a b"),
+        ('<div aria-hidden="false" data-hidden="no" title="hidden">a</div>b', "a b"),
+        ('<div style="display:none;display:block">a</div>b', "a b"),
+        ("<div hidden>a<div>b</div>c</div>d", "d"),
+        ("<div style='Display: None !important'>a</div>b", "b"),
+        ('<div style="visibility:hidden">a</div>b', "b"),
+        ("<div aria-hidden=true>a</div>b", "b"),
+        ("<html><head><title>t</title><body><p>a<p>b", "a b"),
+        ("<html><head><title>t</title><style>x</style><p>a", "a"),
+        ("<ul><li>a<li hidden>b<li>c</ul>d", "a c d"),
+        ("<div><p hidden>a<p>b</div><div><p hidden>c</div>d", "b d"),
+        ("<table><tr><td hidden>a<td>b<tr hidden><td>c<tr><td>d</table>e", "b d e"),
+        ("<table><tbody hidden><tr><td>a<tbody><tr><td>b</table>", "b"),
+        ("<p>a <span hidden>b <b>c</b> <span>d</span> e</span> f</p>", "a f"),
+        ("<p>a <span hidden>b<p>c", "a c"),
+        ('<div hidden>a<script>"</div>"</script>b<svg><g/></svg><br>c</div>d', "d"),
+    ],
+)
+def test_only_hidden_elements_leave_nothing(source, texts):
+    assert " ".join(text for text in dom.Page(source).text if text) == texts
+
+
 def test_decoding_never_contradicts():
     page = dom.Page(PAGE)
     for seed in range(20):
