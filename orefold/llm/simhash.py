@@ -9,6 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from orefold.llm.common import packed, text_array, text_slices
 from orefold.llm.components import connected
@@ -50,8 +51,8 @@ def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(set_bits).tobytes(), "big")
 
 
-def fingerprints(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows ``doc_id``, ``fingerprint`` (a signed long with the 64 bits)."""
+def _prints(rows: DataFrame) -> DataFrame:
+    """The rows with ``fingerprint``, a signed long with the 64 bits, for ``__text``."""
 
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "__text"):
@@ -59,15 +60,22 @@ def fingerprints(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
                 fingerprint(value.as_buffer().to_pybytes())
                 for value in text_array(batch, "__text")
             ]
-            prints = np.array(found, np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_pydict(
-                {"doc_id": batch.column(0), "fingerprint": pa.array(prints)}
-            )
+            columns = dict(zip(batch.schema.names, batch.columns))
+            del columns["__text"]
+            columns["fingerprint"] = pa.array(np.array(found, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_pydict(columns)
+
+    fields = [field for field in rows.schema if field.name != "__text"]
+    return rows.mapInArrow(of, T.StructType([*fields, T.StructField("fingerprint", T.LongType())]))
 
-    rows = documents.select(
-        F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("__text")
+
+def fingerprints(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows ``doc_id``, ``fingerprint`` (a signed long with the 64 bits)."""
+    return _prints(
+        documents.select(
+            F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("__text")
+        )
     )
-    return rows.mapInArrow(of, "doc_id bigint, fingerprint bigint")
 
 
 def _tiles(distinct: DataFrame, size: int) -> DataFrame:
@@ -198,6 +206,23 @@ def _links(tiles: DataFrame, radius: int) -> DataFrame:
     )
 
 
+def _components(prints: DataFrame, radius: int, tile: int) -> DataFrame:
+    """Rows ``fingerprint``, ``root`` (one of its component) and ``component_id``, for the
+    rows ``doc_id, fingerprint``."""
+    distinct = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first"))
+    distinct = materialize(distinct, "distinct-fingerprints")
+    tiles = materialize(_tiles(distinct, tile), "tiles")
+    links = materialize(_links(tiles, radius), "links")
+    roots = connected(links)
+    named = distinct.join(
+        roots.select(F.col("node").alias("fingerprint"), "root"), "fingerprint", "left"
+    ).withColumn("root", F.coalesce("root", "fingerprint"))
+    smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    return materialize(
+        named.join(smallest, "root").select("fingerprint", "root", "component_id"), "components"
+    )
+
+
 def near_duplicates(
     documents: DataFrame,
     doc_id: str = "doc_id",
@@ -218,18 +243,7 @@ def near_duplicates(
     Repeated rows each give a row. An empty table gives an empty result.
     """
     prints = materialize(fingerprints(documents, doc_id, text), "fingerprints")
-    distinct = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first"))
-    distinct = materialize(distinct, "distinct-fingerprints")
-    tiles = materialize(_tiles(distinct, tile), "tiles")
-    links = materialize(_links(tiles, radius), "links")
-    roots = connected(links)
-    named = distinct.join(
-        roots.select(F.col("node").alias("fingerprint"), "root"), "fingerprint", "left"
-    ).withColumn("root", F.coalesce("root", "fingerprint"))
-    smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = materialize(
-        named.join(smallest, "root").select("fingerprint", "component_id"), "components"
-    )
+    named = _components(prints, radius, tile)
     return prints.join(named, "fingerprint").select(
         "doc_id",
         F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"),
@@ -240,13 +254,35 @@ def near_duplicates(
 def keep_first(
     documents: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS
 ) -> DataFrame:
-    """The documents, with all their columns, without all but the one with the smallest
-    id of each group of near duplicates. Rows with a null id are all kept."""
-    found = near_duplicates(documents, doc_id, text, radius)
-    dropped = (
-        found.where(F.col("doc_id") != F.col("component_id"))
-        .select(F.col("doc_id").alias("key"))
-        .distinct()
+    """The documents, with all their columns, of which one row of each group of near
+    duplicates stays: that with the smallest id, null last, then the smallest hash of the
+    text. Of rows that are equal in both, one stays, that with the smallest columns."""
+    version = F.xxhash64(F.col(f"`{text}`"))
+    key = F.col(f"`{doc_id}`").cast("long")
+    narrow = documents.select(
+        key.alias("doc_id"), version.alias("version"), F.col(f"`{text}`").alias("__text")
+    )
+    prints = materialize(_prints(narrow), "fingerprints")
+    named = _components(prints, radius, TILE).drop("component_id")
+    given = prints.groupBy("fingerprint", "doc_id", "version").agg(F.count("*").alias("copies"))
+    given = materialize(given, "distinct-rows")
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "version")
+    first = given.groupBy("fingerprint").agg(F.min(place).alias("first"))
+    first = named.join(first, "fingerprint").groupBy("root").agg(F.min("first").alias("first"))
+    placed = given.join(named.join(first, "root"), "fingerprint")
+    later = ~place.eqNullSafe(F.col("first"))
+    gone = materialize(
+        placed.where(later | (F.col("copies") > 1)).select(
+            F.col("doc_id").alias("gone"), F.col("version").alias("text"), later.alias("later")
+        ),
+        "later-rows",
     )
-    rows = packed(documents, key=F.col(f"`{doc_id}`").cast("long"))
-    return rows.join(dropped, "key", "left_anti").select("row.*")
+    rows = packed(documents, key=key, version=version)
+    same = F.col("key").eqNullSafe(F.col("gone")) & (F.col("version") == F.col("text"))
+    kept = rows.join(gone, same, "left_anti").select("row.*")
+    repeated = gone.where(~F.col("later"))
+    if repeated.isEmpty():
+        return kept
+    one = rows.join(repeated, same, "left_semi").groupBy("key", "version")
+    one = one.agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return kept.union(one.select("row.*"))

@@ -138,3 +138,17 @@ def test_clean_rows_that_share_an_id_with_a_contaminated_one_stay(spark):
     docs = spark.createDataFrame(given, "doc_id bigint, text string").repartition(3)
     found = rows(decontaminate.keep_clean(docs, edges.benchmark(spark)))
     assert found == sorted((row for row in given if row[1] != leaked), key=repr)
+
+
+def test_one_row_of_each_group_of_near_duplicates_stays(spark):
+    text = [" ".join(f"{topic}{i}" for i in range(40)) for topic in ("sea", "hill", "wood")]
+    text.append("a word more than once is no near copy of any text of the others")
+    given = [(1, text[0], "x"), (1, text[0], "x"), (1, text[0], "y"), (2, text[0], "x"),
+             (None, text[0], "x"), (None, text[1], "z"), (None, text[1], "x"), (3, text[2], "x"),
+             (5, text[2], "x"), (5, text[3], "x"), (None, None, "a"), (None, "", "a")]
+    docs = spark.createDataFrame(given, "doc_id bigint, text string, source string").repartition(3)
+    found = rows(simhash.keep_first(docs))
+    empty = [row for row in found if not row[1]]
+    assert len(empty) == 1 and empty[0][0] is None
+    assert [row for row in found if row[1]] == sorted(
+        [(1, text[0], "x"), (3, text[2], "x"), (5, text[3], "x"), (None, text[1], "x")], key=repr)
