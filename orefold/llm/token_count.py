@@ -107,6 +107,9 @@ def token_counts(
     score. Only the best score and its number of pieces are carried, never the pieces.
     The file is read on the driver and sent to the tasks; it does not grow with the data.
 
+    The registered vocabulary is a BPE model, whose scores are merge ranks: the counts are
+    those of a unigram model over them, not those of the file's own tokenizer.
+
     Null and empty texts have no tokens. Null ids stay null, repeated rows each give a
     row, and an empty table gives an empty result.
     """
