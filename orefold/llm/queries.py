@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from orefold.llm import (
     decontaminate,
+    divergence,
+    hard_negatives,
     host_rules,
     html_extract,
     langid,
@@ -15,8 +18,9 @@ from orefold.llm import (
     suffix_dedup,
     token_count,
     toxicity,
+    vantage,
 )
-from orefold.llm.sql import DECONTAMINATION, HOST_RULES
+from orefold.llm.sql import DECONTAMINATION, DIVERGENCE, HARD_NEGATIVES, HOST_RULES
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +81,22 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(_table(spark, sf_dir, "documents"))
 
 
+def source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each source's words lie from those of its language's other sources."""
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+def hard_negative_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives for every hundredth vector; every seventh has another label."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings").withColumn("label", label))
+
+
+def nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest rows found for every hundredth vector."""
+    return vantage.nearest_neighbours(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_html_extraction": html_extraction,
     "op2_suffix_array_dedup": suffix_array_dedup,
@@ -88,8 +108,13 @@ QUERIES = {
     "op8_toxicity": toxic_documents,
     "op9_language_id": language_id,
     "op10_token_counts": token_counts,
+    "op11_source_divergence": source_divergence,
+    "op12_hard_negatives": hard_negative_mining,
+    "op13_nearest_neighbours": nearest_neighbours,
 }
 ORACLE = {
     "op6_quality_rules": HOST_RULES,
     "op7_benchmark_decontamination": DECONTAMINATION,
+    "op11_source_divergence": DIVERGENCE,
+    "op12_hard_negatives": HARD_NEGATIVES,
 }

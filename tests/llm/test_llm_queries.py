@@ -28,7 +28,10 @@ def test_query_matches_sql(spark, name):
     assert difference(found, oracle_rows(oracle(SF_DIR), ORACLE[name])) is None
 
 
-@pytest.mark.parametrize("name", QUERIES)
+OF_PAIRS = {"op11_source_divergence", "op12_hard_negatives", "op13_nearest_neighbours"}
+
+
+@pytest.mark.parametrize("name", [name for name in QUERIES if name not in OF_PAIRS])
 def test_one_row_per_input_row(spark, name):
     found = QUERIES[name](spark, SF_DIR)
     table = "pages" if name.startswith("op1_") else "documents"
