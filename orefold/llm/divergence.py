@@ -1,6 +1,7 @@
 """Source divergence: how far each source's words lie from those of its language's others.
 
-Every language has its own vocabulary, the terms in enough of its documents. As a term is
+Terms are runs of ASCII letters and of characters beyond ASCII. Every language has its own
+vocabulary, the terms in enough of its documents. As a term is
 tagged with its language, one ``CountVectorizer`` fit is one for each language. The
 vocabulary it holds on the driver is bounded: terms beyond the bound are dealt by hash into
 shards, each with a fit of its own, and a document is then one vector for each shard. Sums
@@ -18,18 +19,20 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orefold.llm.common import buffer_of, text_array, text_slices
 from orefold.session import materialize, scratch_path
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-"""Runs of ASCII letters and characters beyond ASCII; fixed by the contract."""
 MIN_DOCUMENTS = 10
 RANKS = 10
-VOCABULARY = 1 << 20
-"""Distinct terms of a fit, about; more are dealt into shards."""
+VOCABULARY = 1 << 22
+"""Distinct terms of a fit, about; more are dealt into shards. The driver holds those of
+them that are kept, with their tags less than 100 bytes each for words of usual length."""
 MOST_TERMS = 2**31 - 1
 CELL_TERMS = 1024
 CELL_SOURCES = 256
@@ -39,18 +42,57 @@ _PARTS = 10**9
 _TAG = "\0"
 
 
+def _byte_class() -> tuple[np.ndarray, np.ndarray]:
+    """For each byte whether it belongs to a term, and the byte with A-Z lower-cased."""
+    of = np.arange(256, dtype=np.uint8)
+    upper, lower = (of >= 65) & (of <= 90), (of >= 97) & (of <= 122)
+    return upper | lower | (of >= 128), np.where(upper, of + 32, of).astype(np.uint8)
+
+
+def terms_of(texts: pa.Array, tags: pa.Array) -> pa.ListArray:
+    """The terms of each text in order, lower-cased, each with its text's tag behind a zero
+    byte. All bytes of the texts are looked at together."""
+    inside_of, lowered_of = _byte_class()
+    data, starts, _ = buffer_of(texts)
+    inside = inside_of[data]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    edges = starts[starts < len(data)]
+    begins[edges] = inside[edges]
+    first = np.flatnonzero(begins)
+    lists = np.append(np.searchsorted(first, starts), len(first)).astype(np.int32)
+    letters = lowered_of[data[inside]]
+    before = np.cumsum(inside) - inside
+    ends = np.append(before[first], len(letters)).astype(np.int64)
+    words = pa.Array.from_buffers(
+        pa.large_string(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(letters)]
+    ).cast(pa.string())
+    tag = tags.take(pa.array(np.repeat(np.arange(len(texts)), np.diff(lists))))
+    return pa.ListArray.from_arrays(
+        pa.array(lists), pc.binary_join_element_wise(words, tag, _TAG)
+    )
+
+
 def _terms(documents: DataFrame, text: str, lang: str, source: str) -> DataFrame:
     """Rows ``lang, source, terms``; a term carries its language behind a zero byte, which
     no term holds."""
-    upper, lower = (bytes(range(a, a + 26)).decode() for a in (65, 97))
-    lowered = F.translate(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")), upper, lower)
+
+    def tokenised(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, "__text"):
+            found = terms_of(text_array(batch, "__text"), batch.column(0))
+            yield pa.RecordBatch.from_pydict(
+                {"lang": batch.column(0), "source": batch.column(1), "terms": found}
+            )
+
+    def filled(name: str) -> Column:
+        return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))
+
     given = documents.select(
-        F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("")).alias("lang"),
-        F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")).alias("source"),
-        F.regexp_extract_all(lowered, F.lit(f"({TERM})"), 1).alias("terms"),
+        filled(lang).alias("lang"), filled(source).alias("source"), filled(text).alias("__text")
+    )
+    return materialize(
+        given.mapInArrow(tokenised, "lang string, source string, terms array<string>"), "terms"
     )
-    tagged = F.transform("terms", lambda term: F.concat(term, F.lit(_TAG), F.col("lang")))
-    return materialize(given.withColumn("terms", tagged), "terms")
 
 
 def _dealt(terms: DataFrame, shards: int) -> DataFrame:
@@ -60,30 +102,29 @@ def _dealt(terms: DataFrame, shards: int) -> DataFrame:
         for batch in batches:
             lists = batch.column(2)
             lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
-            flat = lists.flatten()
-            shard = flat.field("shard").to_numpy(zero_copy_only=False)
-            row = np.repeat(np.arange(batch.num_rows), lengths)
-            first = np.flatnonzero(np.diff(row * shards + shard, prepend=-1))
-            ends = pa.array(np.append(first, len(shard)).astype(np.int32))
-            of = pa.array(row[first])
+            flat = lists.flatten().dictionary_encode()
+            words = flat.dictionary.cast(pa.binary()).to_pylist()
+            of_word = np.array([xxhash.xxh64_intdigest(w) % shards for w in words], np.int64)
+            shard = of_word[flat.indices.to_numpy(zero_copy_only=False)]
+            key = np.repeat(np.arange(batch.num_rows) * shards, lengths) + shard
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            first = np.flatnonzero(np.diff(key, prepend=-1))
+            ends = pa.array(np.append(first, len(key)).astype(np.int32))
+            of = pa.array(key[first] // shards)
             yield pa.RecordBatch.from_pydict(
                 {
                     "lang": batch.column(0).take(of),
                     "source": batch.column(1).take(of),
-                    "shard": pa.array(shard[first], pa.int32()),
-                    "terms": pa.ListArray.from_arrays(ends, flat.field("term")),
+                    "shard": pa.array((key[first] % shards).astype(np.int32)),
+                    "terms": pa.ListArray.from_arrays(
+                        ends, flat.dictionary.take(flat.indices.take(pa.array(order)))
+                    ),
                 }
             )
 
-    def keyed(term: Column) -> Column:
-        return F.struct(
-            F.pmod(F.xxhash64(term), F.lit(shards)).cast("int").alias("shard"),
-            term.alias("term"),
-        )
-
-    rows = terms.select("lang", "source", F.sort_array(F.transform("terms", keyed)).alias("t"))
     path = scratch_path(terms.sparkSession, "dealt-terms")
-    dealt = rows.mapInArrow(split, "lang string, source string, shard int, terms array<string>")
+    dealt = terms.mapInArrow(split, "lang string, source string, shard int, terms array<string>")
     dealt.write.partitionBy("shard").parquet(path)
     return terms.sparkSession.read.schema(
         "lang string, source string, terms array<string>, shard int"
