@@ -39,6 +39,8 @@ CELL_SOURCES = 256
 _HELD = 1 << 21
 """Sums that a task holds before it hands them on."""
 _PARTS = 10**9
+_VOCABULARY_PARTS = 64
+_PART_BITS = 26
 _TAG = "\0"
 
 
@@ -177,8 +179,12 @@ def _vocabulary(
 
 
 def _sums(model: CountVectorizerModel, rows: DataFrame, shard: int, empty: int) -> DataFrame:
-    """Rows ``lang, source, shard, index, n``: the documents' vectors, added up exactly for
-    each group within a task."""
+    """Rows ``lang, source, shard, index, n``: the documents' vectors, added up exactly.
+
+    Tasks add up what they read and hand on sparse vectors, one for each group and part of
+    the vocabulary. These meet by group and part, in order, so that the next task holds one
+    sum at a time, whatever the size of a group.
+    """
 
     def added(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes: dict[tuple[str, str], int] = {}
@@ -191,14 +197,18 @@ def _sums(model: CountVectorizerModel, rows: DataFrame, shard: int, empty: int)
             keys[:], counts[:] = [held], [total]
 
         def flush() -> pa.RecordBatch:
-            names = list(codes)
-            of = keys[0] >> 32
+            names, vector = list(codes), keys[0] >> _PART_BITS
+            first = np.flatnonzero(np.diff(vector, prepend=-1))
+            of = pa.array(vector[first] // _VOCABULARY_PARTS)
+            ends = pa.array(np.append(first, len(vector)).astype(np.int32))
+            within = pa.array((keys[0] & ((1 << _PART_BITS) - 1)).astype(np.int32))
             return pa.RecordBatch.from_pydict(
                 {
-                    "lang": pa.array([n[0] for n in names], pa.string()).take(pa.array(of)),
-                    "source": pa.array([n[1] for n in names], pa.string()).take(pa.array(of)),
-                    "index": pa.array((keys[0] & 0xFFFFFFFF).astype(np.int32)),
-                    "n": pa.array(counts[0]),
+                    "lang": pa.array([n[0] for n in names], pa.string()).take(of),
+                    "source": pa.array([n[1] for n in names], pa.string()).take(of),
+                    "part": pa.array((vector[first] % _VOCABULARY_PARTS).astype(np.int32)),
+                    "within": pa.ListArray.from_arrays(ends, within),
+                    "counts": pa.ListArray.from_arrays(ends, pa.array(counts[0])),
                 }
             )
 
@@ -211,9 +221,13 @@ def _sums(model: CountVectorizerModel, rows: DataFrame, shard: int, empty: int)
             vectors = batch.column(2)
             indices, values = vectors.field("indices"), vectors.field("values")
             lengths = indices.value_lengths().to_numpy(zero_copy_only=False)
-            key = np.repeat(np.array(group, np.int64) << 32, lengths)
-            keys.append(key + indices.flatten().to_numpy(zero_copy_only=False))
-            counts.append(values.flatten().to_numpy(zero_copy_only=False).astype(np.int64))
+            index = indices.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            some = index != empty
+            vector = np.repeat(np.array(group, np.int64), lengths) * _VOCABULARY_PARTS
+            key = vector + index % _VOCABULARY_PARTS << _PART_BITS | index // _VOCABULARY_PARTS
+            number = values.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            keys.append(key[some])
+            counts.append(number[some])
             fresh += len(key)
             if fresh > _HELD:
                 compact()
@@ -226,12 +240,45 @@ def _sums(model: CountVectorizerModel, rows: DataFrame, shard: int, empty: int)
         if len(keys[0]):
             yield flush()
 
+    def met(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, total = None, np.zeros(0, np.int64)
+
+        def whole() -> pa.RecordBatch:
+            within = np.flatnonzero(total)
+            index = within * _VOCABULARY_PARTS + at[2]
+            return pa.RecordBatch.from_pydict(
+                {
+                    "lang": pa.array([at[0]] * len(within), pa.string()),
+                    "source": pa.array([at[1]] * len(within), pa.string()),
+                    "index": pa.array(index.astype(np.int32)),
+                    "n": pa.array(total[within]),
+                }
+            )
+
+        for batch in batches:
+            keys = zip(*(batch.column(i).to_pylist() for i in range(3)))
+            for key, within, counts in zip(keys, batch.column(3), batch.column(4)):
+                if key != at:
+                    if at is not None:
+                        yield whole()
+                    at, total = key, np.zeros(0, np.int64)
+                place = within.values.to_numpy(zero_copy_only=False)
+                if place[-1] >= len(total):
+                    total = np.append(total, np.zeros(place[-1] + 1 - len(total), np.int64))
+                total[place] += counts.values.to_numpy(zero_copy_only=False)
+        if at is not None:
+            yield whole()
+
     vectors = model.transform(_with_empty(rows)).select("lang", "source", "vector")
-    sums = vectors.mapInArrow(added, "lang string, source string, index int, n bigint")
+    key = ["lang", "source", "part"]
+    sums = vectors.mapInArrow(
+        added,
+        "lang string, source string, part int, within array<int>, counts array<bigint>",
+    )
     return (
-        sums.where(F.col("index") != empty)
-        .groupBy("lang", "source", "index")
-        .agg(F.sum("n").alias("n"))
+        sums.repartition(*key)
+        .sortWithinPartitions(*key)
+        .mapInArrow(met, "lang string, source string, index int, n bigint")
         .withColumn("shard", F.lit(shard))
     )
 
