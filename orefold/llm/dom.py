@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import html
 import re
-from functools import lru_cache
 
 import numpy as np
 
@@ -95,7 +94,9 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+")
 _SENTENCE = re.compile(r"[.!?;:,](?=\s|$)")
 
 
-@lru_cache(1 << 14)
+_MOST_KNOWN = 1 << 14
+
+
 def _attributes(source: str) -> tuple[int, bool]:
     """Token groups named in the attributes, as bits, and whether the element is hidden."""
     bits = 0
@@ -134,7 +135,11 @@ class Page:
     comments leave nothing. A hidden element ends where it would end if it were visible.
     """
 
-    def __init__(self, source: str) -> None:
+    def __init__(
+        self, source: str, known: dict[str, tuple[int, bool]] | None = None
+    ) -> None:
+        """``known`` holds what attributes were found to say; pages of a task can share it."""
+        self._known = {} if known is None else known
         self.parent: list[int] = []
         self.group: list[int] = []
         self.bits: list[int] = []
@@ -186,6 +191,14 @@ class Page:
             self._last[up] = at
         return at
 
+    def _said(self, attributes: str) -> tuple[int, bool]:
+        found = self._known.get(attributes)
+        if found is None:
+            if len(self._known) >= _MOST_KNOWN:
+                self._known.clear()
+            found = self._known[attributes] = _attributes(attributes)
+        return found
+
     def _flush(self) -> None:
         if self._run:
             text = " ".join("".join(self._run).split())
@@ -247,7 +260,7 @@ class Page:
             if closing:
                 self._end(name)
                 continue
-            bits, hidden = _attributes(rest) if rest else (0, False)
+            bits, hidden = self._said(rest) if rest else (0, False)
             hidden = hidden and name not in _VOID and name != "head"
             if name in _BREAKING and (hidden or self._muted >= 0):
                 self._imply(name)

@@ -224,8 +224,9 @@ def train(training: Training = Training()) -> Trees:
 def main_blocks(trees: Trees, sources: list[str]) -> list[tuple[list[str], int]]:
     """For each page the main blocks in page order, and the number of all blocks."""
     found = []
+    known: dict[str, tuple[int, bool]] = {}
     for at in range(0, len(sources), _BATCH):
-        pages = [Page(source) for source in sources[at : at + _BATCH]]
+        pages = [Page(source, known) for source in sources[at : at + _BATCH]]
         rows = [features(page) for page in pages]
         logits = trees.logits(np.concatenate(rows))
         bounds = np.cumsum([0] + [len(row) for row in rows])
