@@ -181,6 +181,12 @@ def contains_any(value: Column, words: list[str]) -> Column:
     return found
 
 
+_EXACT_TIMES = {
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
+
+
 def _exact_text(df: DataFrame, name: str) -> Column:
     """Text that is equal exactly where grouping finds the values equal."""
     kind, column = df.schema[name].dataType, col(name)
@@ -192,7 +198,8 @@ def _exact_text(df: DataFrame, name: str) -> Column:
     if isinstance(kind, T.BinaryType):
         return F.hex(column)
     if isinstance(kind, (T.StructType, T.ArrayType)):
-        return F.to_json(F.struct(column))
+        # Nested times with all their microseconds.
+        return F.to_json(F.struct(column), _EXACT_TIMES)
     return column.cast("string")
 
 

@@ -7,10 +7,12 @@ from collections.abc import Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from orefold.functions import values as V
 from orefold.operators.ledger import CHECKPOINT_SCHEMA, SKIPPED
 from orefold.operators.ordered import with_position
+from orefold.operators.places import after, decode_place, encode_place
 
 READY = "READY"
 CHANGED = "CHANGED_NOT_APPENDED"
@@ -42,30 +44,43 @@ def _order_columns(order: Order) -> list[Column]:
     return [V.col(key) if isinstance(key, str) else key for key in order]
 
 
-def high_water_values(df: DataFrame, order: Order, stored: str | None) -> list | None:
-    """The stored values of the last processed row, in the types of the order."""
-    if stored is None:
-        return None
-    keys = df.select(F.struct(*_named(order)).alias("keys")).schema["keys"].dataType
-    row = df.sparkSession.range(1).select(F.from_json(F.lit(stored), keys).alias("keys"))
-    return list(row.first()["keys"])
-
-
 def _named(order: Order) -> list[Column]:
     return [key.alias(f"k{i}") for i, key in enumerate(_order_columns(order))]
 
 
+def _kinds(df: DataFrame, order: Order) -> T.StructType:
+    return df.select(F.struct(*_named(order)).alias("keys")).schema["keys"].dataType
+
+
+def high_water_values(df: DataFrame, order: Order, stored: str | None) -> list | None:
+    """The stored values of the last processed row, as literals in the types of the order."""
+    return None if stored is None else decode_place(stored, _kinds(df, order))
+
+
 def beyond(order: Order, last: Sequence) -> Column:
     """Whether a row comes after the last values; a comparison that a scan can use.
 
     The order is that of the columns' types, so numbers read as text need a cast. A row
-    without a value in the order does not come after anything: the result is then not true.
+    without a value comes before all that have one; it does not come after anything.
     """
-    condition, same = F.lit(False), F.lit(True)
-    for key, value in zip(_order_columns(order), last):
-        condition = condition | (same & (key > F.lit(value)))
-        same = same & (key == F.lit(value))
-    return condition
+    return after(_order_columns(order), last)
+
+
+def row_number_sum(chosen: Column, number: Column) -> Column:
+    """The sum of the row digests' numbers over the chosen rows."""
+    return F.coalesce(F.sum(F.when(chosen, number)), F.lit(0).cast("decimal(38,0)"))
+
+
+def digest_number(df: DataFrame, names: Sequence[str]) -> Column:
+    """The first 60 bits of a row's digest as a number."""
+    first = F.substring(F.hex(V.row_digest(df, names)), 1, 15)
+    return F.conv(first, 16, 10).cast("decimal(20,0)")
+
+
+def shape_suffix(schema: T.StructType) -> Column:
+    """What names and types add to a fingerprint."""
+    shape = F.substring(F.sha2(F.lit(schema.simpleString()), 256), 1, 12)
+    return F.concat(F.lit("-"), shape)
 
 
 def source_state(
@@ -77,25 +92,30 @@ def source_state(
     before = F.lit(True)
     if last is not None:
         before = ~F.coalesce(beyond(order, last), F.lit(False))
-    digest = V.row_digest(df, df.columns)
-    number = F.conv(F.substring(F.hex(digest), 1, 15), 16, 10).cast("decimal(20,0)")
     rows = df.select(
-        number.alias("number"), before.alias("before"), F.struct(*_named(order)).alias("place")
+        digest_number(df, df.columns).alias("number"),
+        before.alias("before"),
+        F.struct(*_named(order)).alias("place"),
     )
-    shape = F.concat(F.lit("-"), F.substring(F.sha2(F.lit(df.schema.simpleString()), 256), 1, 12))
-    zero = F.lit(0).cast("decimal(20,0)")
+    shape = shape_suffix(df.schema)
 
     def content(chosen: Column) -> Column:
-        total = F.coalesce(F.sum(F.when(chosen, F.col("number"))), zero)
-        return F.concat(total.cast("string"), shape)
+        return F.concat(row_number_sum(chosen, F.col("number")).cast("string"), shape)
 
     return rows.agg(
         F.lit(source).alias("source"),
         F.count("*").alias("row_count"),
         content(F.lit(True)).alias("fingerprint"),
-        F.to_json(F.max("place")).alias("high_water"),
+        F.max("place").alias("place"),
         F.count_if("before").alias("prefix_row_count"),
         content(F.col("before")).alias("prefix_fingerprint"),
+    ).select(
+        "source",
+        "row_count",
+        "fingerprint",
+        encode_place(F.col("place"), _kinds(df, order)).alias("high_water"),
+        "prefix_row_count",
+        "prefix_fingerprint",
     )
 
 
@@ -160,8 +180,29 @@ def tail_after(df: DataFrame, sequence: str, last: object) -> DataFrame:
 
 
 def new_rows(df: DataFrame, processed: DataFrame) -> DataFrame:
-    """The rows that were not there before, counting copies."""
-    return df.exceptAll(processed.select(*V.cols(df.columns)))
+    """The rows that were not there before, counting copies.
+
+    Only digests and counts cross the network. A digest that is new brings its rows back;
+    of one that is there more often than before, as many rows as it has more.
+    """
+    names = df.columns
+    key = V.row_digest(df, names).alias("_digest")
+    rows = df.select(F.struct(*V.cols(names)).alias("_row"), key)
+    now = rows.groupBy("_digest").agg(F.count("*").alias("_now"))
+    before = (
+        processed.select(V.row_digest(processed, names).alias("_digest"))
+        .groupBy("_digest")
+        .agg(F.count("*").alias("_before"))
+    )
+    more = (
+        now.join(before, "_digest", "left")
+        .withColumn("_more", F.col("_now") - F.coalesce("_before", F.lit(0)))
+        .where("_more > 0")
+    )
+    one = rows.join(more.select("_digest", "_more"), "_digest").groupBy("_digest")
+    copies = one.agg(F.first("_row").alias("_row"), F.first("_more").alias("_more"))
+    repeated = copies.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_more"))))
+    return repeated.select("_row.*")
 
 
 def commit_checkpoints(status: DataFrame, execution_id: str, path: str) -> None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 import time
 import uuid
 from concurrent.futures import ThreadPoolExecutor
@@ -15,7 +17,9 @@ from orefold.operators import quality as Q
 from orefold.operators import validation as C
 from orefold.operators.clean import role_transform
 from orefold.operators.gold import insights
+from orefold.operators.filetree import ReadFiles, file_state, list_files, read_tree
 from orefold.operators.incremental import (
+    CHANGED,
     READY,
     Order,
     beyond,
@@ -32,7 +36,7 @@ from orefold.operators.series import trend_summary
 from orefold.operators.signals import decisions
 from orefold.plans.gold import GoldLayout, checked_analytics, time_series
 from orefold.session import materialize
-from orefold.sources.csv import RAGGED, read_with_ragged_flag
+from orefold.sources.csv import RAGGED, SOURCE_PATH, read_with_ragged_flag
 from orefold.sources.files import ingestion_audit, listed_files
 from orefold.sources.sinks import write_silver, write_table
 
@@ -145,10 +149,13 @@ def run_file(
     return run_table(spark.read.parquet(bronze), target, gates)
 
 
-def _run_name(path: str, folder: str) -> str:
-    """A file's path below the folder, as a name for its run."""
-    below = path.split(folder.rstrip("/").split(":")[-1] + "/", 1)[-1]
-    return below.removesuffix(".csv").replace("/", "__")
+def run_name(path: str, folder: str) -> str:
+    """A file's path below the folder as the name of one folder. Every path has its own:
+    what is not a letter, digit, dot or dash is written as its bytes."""
+    below = path.split(folder.rstrip("/").split(":")[-1] + "/", 1)[-1].removesuffix(".csv")
+    return re.sub(
+        r"[^A-Za-z0-9.-]", lambda found: "".join(f"_{b:02x}" for b in found[0].encode()), below
+    )
 
 
 def run_folder(
@@ -175,7 +182,7 @@ def run_folder(
         if path not in filled:
             return FileRun("EMPTY", None, "no content", started, time.time())
         try:
-            run = run_file(spark, path, f"{target}/{_run_name(path, folder)}", gates)
+            run = run_file(spark, path, f"{target}/{run_name(path, folder)}", gates)
         except Exception as error:  # noqa: BLE001 - any fault of one file is its own
             return FileRun("FAILED", None, str(error).split("\n")[0], started, time.time())
         state = "STOPPED" if run.stopped_by else "SUCCESS"
@@ -237,17 +244,78 @@ def run_incremental(
     current = source_state(raw, source, order, stored)
     status = materialize(incremental_status(current, known, force), "status")
     found = status.first()
-    if found["status"] != READY:
+    run = None
+    if found["status"] == READY:
+        batch = raw
+        if found["start_row"]:
+            batch = raw.where(beyond(order, high_water_values(raw, order, stored)))
+        run = _run_batch(batch, f"{target}/{execution_id}", gates)
+    if run is None or run.stopped_by is None:
         commit_checkpoints(status, execution_id, checkpoints)
-        return found["status"], None
-    batch = raw
-    if found["start_row"]:
-        batch = raw.where(beyond(order, high_water_values(raw, order, stored)))
-    # Written once: the later passes read the batch, not the source again.
-    bronze = f"{target}/{execution_id}/bronze"
+    return found["status"], run
+
+
+def _run_batch(batch: DataFrame, target: str, gates: Gates) -> MedallionRun:
+    """Run a batch that is written once: later passes read it, not the source again."""
+    bronze = f"{target}/bronze"
     write_table(batch, bronze)
-    run = run_table(spark.read.parquet(bronze), f"{target}/{execution_id}", gates)
-    if run.stopped_by is None:
-        commit_checkpoints(status, execution_id, checkpoints)
-    return READY, run
+    return run_table(batch.sparkSession.read.parquet(bronze), target, gates)
+
+
+def tree_path(checkpoints: str, source: str, execution_id: str) -> str:
+    """Where the fingerprint tree of a checkpoint is kept."""
+    name = hashlib.sha256(source.encode()).hexdigest()[:24]
+    return f"{checkpoints.rstrip('/')}-trees/{name}/{execution_id}"
 
+
+def run_incremental_files(
+    spark: SparkSession,
+    folder: str,
+    source: str,
+    order: Order,
+    target: str,
+    checkpoints: str,
+    execution_id: str,
+    gates: Gates = Gates(),
+    force: bool = False,
+    verify: bool = False,
+    pattern: str = "*.csv",
+    read: ReadFiles | None = None,
+) -> tuple[str, MedallionRun | None, list[str]]:
+    """Run the rows that came to a folder of equal files since its last checkpoint.
+
+    As :func:`run_incremental`, but the state of files that were processed comes from the
+    fingerprint tree kept with the checkpoint: only files that are new, or of another
+    length or time, are read. Late rows, edited rows and missing files are found as there.
+    ``verify`` reads all files again, and so notices a file that changed without another
+    length or time. ``read`` gives the rows of files with their paths; the default reads
+    CSV files of one header. Returns the status, the run, and the files that were read.
+
+    The tree is written before the checkpoint that names it, so a run that fails in
+    between leaves the old checkpoint with the old tree.
+    """
+
+    def read_csv(paths: list[str]) -> DataFrame:
+        return read_with_ragged_flag(spark, paths, with_path=True)
+
+    read = read or read_csv
+    known = read_checkpoints(spark, checkpoints).where(F.col("source") == source)
+    last = known.select("high_water", "execution_id").first()
+    stored = last["high_water"] if last else None
+    before = tree_path(checkpoints, source, last["execution_id"]) if last else None
+    tree = read_tree(spark, before) if before else read_tree(spark, f"{checkpoints}-trees/none")
+    listing = materialize(list_files(spark, folder, pattern), "listing")
+    unread = tree.limit(0) if verify or force else tree
+    state = file_state(listing, unread, read, source, order, stored)
+    status = materialize(incremental_status(state.current, known, force), "status")
+    found = status.first()
+    run = None
+    if found["status"] == READY and state.rows is not None:
+        batch = state.rows
+        if found["start_row"]:
+            batch = batch.where(beyond(order, high_water_values(batch, order, stored)))
+        run = _run_batch(batch.drop(SOURCE_PATH), f"{target}/{execution_id}", gates)
+    if found["status"] != CHANGED and (run is None or run.stopped_by is None):
+        write_table(state.leaves, tree_path(checkpoints, source, execution_id))
+        commit_checkpoints(status, execution_id, checkpoints)
+    return found["status"], run, state.read_paths

@@ -16,6 +16,7 @@ from orefold.functions import values as V
 # Quotes inside a quoted field are doubled, as in the usual CSV dialect.
 DIALECT = {"header": True, "mode": "PERMISSIVE", "encoding": "UTF-8", "escape": '"'}
 SOURCE_FILE = "_source_file"
+SOURCE_PATH = "_source_path"
 RAGGED = "_ragged"
 RECORD = "_record"
 _BYTE_ORDER_MARK = chr(0xFEFF)
@@ -26,7 +27,7 @@ def read_inferred(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.options(**DIALECT, inferSchema=True).csv(path)
 
 
-def read_strings(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+def read_strings(spark: SparkSession, path: str | Sequence[str], multi_line: bool = False) -> DataFrame:
     """Scan with every column as text; a byte order mark in the header is dropped.
 
     ``multi_line`` allows line breaks inside quotes; such files cannot be split.
@@ -82,8 +83,17 @@ def _separators(record: Column) -> Column:
     return F.length(unquoted) - F.length(F.replace(unquoted, F.lit(","), F.lit("")))
 
 
+def plain_path(path: Column) -> Column:
+    """A file's path from a scan's metadata as file listings write it."""
+    decoded = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(decoded, "^file:///", "file:/")
+
+
 def read_with_ragged_flag(
-    spark: SparkSession, path: str, columns: Sequence[str] | None = None
+    spark: SparkSession,
+    path: str | Sequence[str],
+    columns: Sequence[str] | None = None,
+    with_path: bool = False,
 ) -> DataFrame:
     """All-text scan plus a flag on rows with more fields than the header.
 
@@ -91,6 +101,7 @@ def read_with_ragged_flag(
     malformed record is too long if its last column is filled; only otherwise its
     separators are counted. Files without a header are read with the given
     ``columns``. The parser must see whole records even if few columns are wanted.
+    ``with_path`` adds each row's file by its full path.
     """
     names = list(columns or read_strings(spark, path).columns)
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, RECORD]])
@@ -101,7 +112,8 @@ def read_with_ragged_flag(
         "columnPruning": False,
     }
     scanned = spark.read.options(**options).schema(schema).csv(path)
-    return scanned.select(*V.cols(names), is_ragged(names).alias(RAGGED))
+    source = [plain_path(F.col("_metadata.file_path")).alias(SOURCE_PATH)] if with_path else []
+    return scanned.select(*V.cols(names), is_ragged(names).alias(RAGGED), *source)
 
 
 def is_ragged(names: Sequence[str]) -> Column:

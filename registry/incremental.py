@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orefold.operators import incremental as I
+from orefold.operators.filetree import file_state, list_files, read_tree, tree_changes
 from orefold.operators.ledger import checkpoint_summary, checkpoint_table
 from orefold.operators.roles import ColumnRole
 from orefold.operators.series import monthly_series
-from orefold.session import scratch_path
+from orefold.session import materialize, remove_folder, scratch_path
+from orefold.sources.csv import read_with_ragged_flag
 from orefold.sources.files import table_fingerprint
 from orefold.sources.sinks import write_table
 from orefold.streaming import feed
@@ -169,9 +173,11 @@ def stream_quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feed.latest_result(spark, path)
 
 
-def _processed(spark: SparkSession, sf_dir: str, first: DataFrame, later: DataFrame) -> DataFrame:
+def _processed(
+    spark: SparkSession, first: DataFrame, later: DataFrame, order: I.Order | None = None
+) -> DataFrame:
     """Commit the state of ``first``; the status and the new rows when ``later`` is found."""
-    path, order = scratch_path(spark, "water"), [F.col("order_id").cast("bigint")]
+    path, order = scratch_path(spark, "water"), order or [F.col("order_id").cast("bigint")]
     none = I.read_checkpoints(spark, path)
     I.commit_checkpoints(
         I.incremental_status(I.source_state(first, "orders", order), none), "EXEC_1", path
@@ -204,7 +210,7 @@ def incremental_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys up to a number were processed, then the others arrive."""
     orders, half = _keyed(spark, sf_dir), _half(spark, sf_dir)
     first = orders.where(F.col("order_id").cast("bigint") <= half)
-    return _processed(spark, sf_dir, first, orders)
+    return _processed(spark, first, orders)
 
 
 def incremental_late_row(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,7 +218,7 @@ def incremental_late_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, half = _keyed(spark, sf_dir), _half(spark, sf_dir)
     key = F.col("order_id").cast("bigint")
     first = orders.where((key <= half) & (key % 10 != 3))
-    return _processed(spark, sf_dir, first, orders)
+    return _processed(spark, first, orders)
 
 
 def incremental_edited_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,10 +228,118 @@ def incremental_edited_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = orders.where(key <= half).withColumn(
         "status", F.when(key % 10 == 3, "?").otherwise(F.col("status"))
     )
-    return _processed(spark, sf_dir, first, orders)
+    return _processed(spark, first, orders)
+
+
+def incremental_typed_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys up to a number were processed, then the others arrive, in orders of several
+    types: microseconds, zone-free microseconds, decimals, days with a key, text, bytes."""
+    orders, half = _keyed(spark, sf_dir), _half(spark, sf_dir)
+    key = F.col("order_id").cast("bigint")
+    orders = orders.withColumns(
+        {
+            "instant": F.timestamp_micros(F.lit(1_700_000_000_000_000) + key),
+            "moment": F.timestamp_micros(F.lit(1_700_000_000_000_000) + key).cast("timestamp_ntz"),
+            "exact": (key.cast("decimal(38,10)") + F.lit("0.0000000001").cast("decimal(38,10)")),
+            "day": F.date_add(F.lit("2020-01-01").cast("date"), (key / 1000).cast("int")),
+            "words": F.concat(F.lit('"é '), F.lpad("order_id", 12, "0")),
+            "bytes": F.unhex(F.lpad(F.hex(key), 16, "0")),
+        }
+    )
+    first = orders.where(key <= half)
+    kinds = {name: [name] for name in ("instant", "moment", "exact", "words", "bytes")}
+    kinds["day"] = ["day", key]
+    found = [
+        _processed(spark, first, orders, order).withColumn("kind", F.lit(kind))
+        for kind, order in kinds.items()
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
+STEPS = (
+    ("appended", "key > half and key <= 2 * half", 0),
+    ("nothing new", "false", 0),
+    ("late rows", "key <= half and key % 10 = 3", 1),
+    ("appended again", "key > 2 * half", 0),
+    ("copied rows", "key <= half and key % 10 = 4", 1),
+)
+"""What arrives in a folder of processed files, and whether it is taken away again."""
+
+
+def incremental_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of orders arrive in a folder step by step; what each step finds, from a scan
+    of the files that came with it."""
+    folder, trees = scratch_path(spark, "tree-folder"), scratch_path(spark, "trees")
+    checkpoints = scratch_path(spark, "tree-checkpoints")
+    key, half = F.col("order_id").cast("bigint"), _half(spark, sf_dir)
+    orders = _keyed(spark, sf_dir).withColumns({"key": key, "half": F.lit(half)})
+    data = orders.where((key <= half) & (key % 10 != 3)).drop("key", "half")
+    write_table(data, f"{folder}/first", format="csv")
+    found = []
+
+    def look(step: str, commit: bool) -> None:
+        known = I.read_checkpoints(spark, checkpoints)
+        last = known.first()
+        stored = last["high_water"] if last else None
+        tree = read_tree(spark, f"{trees}/{last['execution_id']}" if last else f"{trees}/none")
+        listing = list_files(spark, folder)
+        state = file_state(listing, tree, _read_paths(spark), "orders", [key], stored)
+        status = materialize(I.incremental_status(state.current, known), "status")
+        if commit and status.first()["status"] != I.CHANGED:
+            write_table(state.leaves, f"{trees}/{step}")
+            I.commit_checkpoints(status, step, checkpoints)
+        read = state.rows.count() if state.rows is not None else 0
+        found.append(
+            status.select(
+                F.lit(step).alias("step"), "status", "start_row", "rows_to_process",
+                F.lit(read).cast("bigint").alias("rows_read"),
+            )
+        )
+
+    look("first", True)
+    for step, condition, undone in STEPS:
+        arriving = orders.where(condition).drop("key", "half")
+        path = f"{folder}/{step.replace(' ', '-')}"
+        if condition != "false":
+            write_table(arriving, path, format="csv")
+        look(step, not undone)
+        if undone:
+            remove_folder(spark, path)
+    return reduce(DataFrame.union, found)
+
+
+def _read_paths(spark: SparkSession):
+    return lambda paths: read_with_ragged_flag(spark, paths, with_path=True)
+
+
+def fingerprint_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders in a folder per status; one folder changes, one goes, one comes. The states
+    of the folders and the table, with their rows."""
+    folder = scratch_path(spark, "levels")
+    orders = _keyed(spark, sf_dir)
+
+    def leaves(tree: DataFrame) -> DataFrame:
+        listing = list_files(spark, folder)
+        return file_state(listing, tree, _read_paths(spark), "orders", ["order_id"]).leaves
+
+    for status in ("F", "O", "P"):
+        write_table(orders.where(F.col("status") == status), f"{folder}/{status}", format="csv")
+    before = leaves(read_tree(spark, f"{folder}-none"))
+    grown = orders.where("status = 'F' and int(order_id) % 2 = 0")
+    write_table(grown, f"{folder}/F", format="csv", mode="append")
+    remove_folder(spark, f"{folder}/P")
+    write_table(orders.where("status = 'P'"), f"{folder}/P2", format="csv")
+    levels = tree_changes(before, leaves(before)).where("level <> 'file'")
+    return levels.select(
+        "level", F.regexp_extract("path", "([^/]*)$", 1).alias("folder"), "state",
+        "rows_before", "rows_now",
+    )
 
 
 QUERIES = {
+    "incremental_typed_places": incremental_typed_places,
+    "incremental_files": incremental_files,
+    "fingerprint_tree": fingerprint_tree,
     "incremental_status": incremental_status,
     "incremental_forced": incremental_forced,
     "checkpoint_report": checkpoint_report,
@@ -257,7 +371,42 @@ _BEYOND = """
            CAST(sum(k) FILTER (WHERE k > half) AS BIGINT) AS keys_beyond
     FROM (SELECT o_orderkey AS k FROM orders), (SELECT max(c_custkey) AS half FROM customer)"""
 
+_TAKEN = "k <= half AND k % 10 <> 3"
+_FILE_STEPS = {
+    "first": ("'READY'", "0", _TAKEN, _TAKEN),
+    "appended": ("'READY'", f"count(*) FILTER (WHERE {_TAKEN})", "k > half AND k <= 2 * half", "k > half AND k <= 2 * half"),
+    "nothing new": ("'SKIPPED_IDEMPOTENT'", f"count(*) FILTER (WHERE {_TAKEN} OR k > half AND k <= 2 * half)", "false", "false"),
+    "late rows": ("'CHANGED_NOT_APPENDED'", f"count(*) FILTER (WHERE {_TAKEN} OR k > half AND k <= 2 * half)", "false", "k <= half AND k % 10 = 3"),
+    "appended again": ("'READY'", f"count(*) FILTER (WHERE {_TAKEN} OR k > half AND k <= 2 * half)", "k > 2 * half", "k > 2 * half"),
+    "copied rows": ("'CHANGED_NOT_APPENDED'", f"count(*) FILTER (WHERE {_TAKEN} OR k > half)", "false", "k <= half AND k % 10 = 4"),
+}
+
 ORACLE = {
+    "incremental_typed_places": " UNION ALL ".join(
+        f"SELECT '{kind}' AS kind, * FROM ("
+        + _BEYOND.format("'READY'", "count(*) FILTER (WHERE k <= half)", "count(*) FILTER (WHERE k > half)")
+        + ")"
+        for kind in ("instant", "moment", "exact", "day", "words", "bytes")
+    ),
+    "incremental_files": " UNION ALL ".join(
+        f"""SELECT '{step}' AS step, {status} AS status, CAST({start} AS BIGINT) AS start_row,
+                   count(*) FILTER (WHERE {taken}) AS rows_to_process,
+                   count(*) FILTER (WHERE {read}) AS rows_read
+            FROM (SELECT o_orderkey AS k FROM orders), (SELECT max(c_custkey) AS half FROM customer)"""
+        for step, (status, start, taken, read) in _FILE_STEPS.items()
+    ),
+    "fingerprint_tree": """
+        WITH n AS (
+          SELECT count(*) FILTER (WHERE o_orderstatus = 'F') AS f,
+                 count(*) FILTER (WHERE o_orderstatus = 'F' AND o_orderkey % 2 = 0) AS even,
+                 count(*) FILTER (WHERE o_orderstatus = 'O') AS o,
+                 count(*) FILTER (WHERE o_orderstatus = 'P') AS p,
+                 count(*) FILTER (WHERE o_orderstatus IN ('F', 'O', 'P')) AS every FROM orders)
+        SELECT 'folder' AS level, 'F' AS folder, 'CHANGED' AS state, f AS rows_before, f + even AS rows_now FROM n
+        UNION ALL SELECT 'folder', 'O', 'SAME', o, o FROM n
+        UNION ALL SELECT 'folder', 'P', 'REMOVED', p, NULL FROM n
+        UNION ALL SELECT 'folder', 'P2', 'ADDED', NULL, p FROM n
+        UNION ALL SELECT 'table', '', 'CHANGED', every, every + even FROM n""",
     "incremental_status": sql(
         """SELECT source, n AS source_row_count, seen AS previous_row_count,
                   CASE source WHEN 'raw/orders.csv' THEN 'SKIPPED_IDEMPOTENT'
