@@ -6,6 +6,7 @@ import hashlib
 import re
 import time
 import uuid
+from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from datetime import datetime
@@ -36,7 +37,7 @@ from orefold.operators.series import trend_summary
 from orefold.operators.signals import decisions
 from orefold.plans.gold import GoldLayout, checked_analytics, time_series
 from orefold.session import materialize
-from orefold.sources.csv import RAGGED, SOURCE_PATH, read_with_ragged_flag
+from orefold.sources.csv import RAGGED, SOURCE_PATH, read_strings, read_with_ragged_flag
 from orefold.sources.files import ingestion_audit, listed_files
 from orefold.sources.sinks import write_silver, write_table
 
@@ -158,6 +159,56 @@ def run_name(path: str, folder: str) -> str:
     )
 
 
+def attempt_file(
+    spark: SparkSession,
+    path: str,
+    target: str,
+    gates: Gates = Gates(),
+    size: int | None = None,
+    header: Sequence[str] | None = None,
+) -> FileRun:
+    """Run one file and say how it ended; no fault of the file is raised.
+
+    The state is SUCCESS, STOPPED by a gate, EMPTY for a file without content, or FAILED
+    with the error. With a ``header``, a file of other columns fails.
+    """
+    started = time.time()
+    if size == 0:
+        return FileRun("EMPTY", None, "no content", started, time.time())
+    try:
+        if header is not None:
+            found = read_strings(spark, path).columns
+            if found != list(header):
+                raise ValueError(f"columns {found} are not {list(header)}")
+        run = run_file(spark, path, target, gates)
+    except Exception as error:  # noqa: BLE001 - any fault of one file is its own
+        return FileRun("FAILED", None, str(error).split("\n")[0], started, time.time())
+    state = "STOPPED" if run.stopped_by else "SUCCESS"
+    return FileRun(state, run, run.stopped_by, started, time.time())
+
+
+def attempt_files(
+    spark: SparkSession,
+    sizes: dict[str, int],
+    folder: str,
+    target: str,
+    gates: Gates = Gates(),
+    at_once: int = 4,
+    header: Sequence[str] | None = None,
+    prefix: str = "",
+) -> dict[str, FileRun]:
+    """Run files by themselves, several at a time, each to a folder of its own."""
+    with ThreadPoolExecutor(at_once) as pool:
+        pending = {
+            path: pool.submit(
+                attempt_file,
+                spark, path, f"{target}/{prefix}{run_name(path, folder)}", gates, size, header,
+            )
+            for path, size in sorted(sizes.items())
+        }
+        return {path: future.result() for path, future in pending.items()}
+
+
 def run_folder(
     spark: SparkSession,
     folder: str,
@@ -176,23 +227,8 @@ def run_folder(
     audit = ingestion_audit(spark, folder, "FOLDER")
     filled = {row["raw_path"] for row in audit.select("raw_path").toLocalIterator()}
     execution = uuid.uuid4().hex[:12]
-
-    def one(path: str) -> FileRun:
-        started = time.time()
-        if path not in filled:
-            return FileRun("EMPTY", None, "no content", started, time.time())
-        try:
-            run = run_file(spark, path, f"{target}/{run_name(path, folder)}", gates)
-        except Exception as error:  # noqa: BLE001 - any fault of one file is its own
-            return FileRun("FAILED", None, str(error).split("\n")[0], started, time.time())
-        state = "STOPPED" if run.stopped_by else "SUCCESS"
-        return FileRun(state, run, run.stopped_by, started, time.time())
-
-    found: dict[str, FileRun] = {}
-    with ThreadPoolExecutor(at_once) as pool:
-        pending = {path: pool.submit(one, path) for path in listed_files(spark, folder)}
-        for path, future in pending.items():
-            found[path] = future.result()
+    sizes = {path: int(path in filled) for path in listed_files(spark, folder)}
+    found = attempt_files(spark, sizes, folder, target, gates, at_once)
     if ledger:
         append_reports(_reports(spark, found, execution), ledger)
     return found

@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from orefold.functions import values as V
+from orefold.operators.filetree import list_files
 from orefold.operators.quality import type_error
 from orefold.operators.roles import ColumnRole
-from orefold.plans.medallion import Gates, run_table
+from orefold.plans.medallion import FileRun, Gates, attempt_files, run_name
 from orefold.session import remove_folder
 from orefold.sources.csv import DIALECT, RAGGED, RECORD, SOURCE_FILE, is_ragged
+from orefold.sources.files import listed_files
 from orefold.sources.sinks import write_table
 
 BatchHandler = Callable[[DataFrame, int], None]
@@ -65,10 +68,36 @@ def ignore_existing(stream: DataFrame, checkpoint: str) -> None:
     start_feed(stream, lambda batch, batch_id: None, checkpoint).awaitTermination()
 
 
+def new_file_names(
+    spark: SparkSession,
+    folder: str,
+    pattern: str = "*.csv",
+    files_per_batch: int | None = None,
+) -> DataFrame:
+    """A stream of the files themselves: path, length and time of each that arrives below
+    the folder, empty ones included. Their content is not read."""
+    options = {"pathGlobFilter": pattern, "recursiveFileLookup": True}
+    if files_per_batch:
+        options["maxFilesPerTrigger"] = files_per_batch
+    schema = "path string, modificationTime timestamp, length bigint, content binary"
+    files = spark.readStream.format("binaryFile").options(**options).schema(schema).load(folder)
+    return files.select(
+        F.regexp_replace("path", "^file:///", "file:/").alias("path"),
+        "length",
+        F.col("modificationTime").alias("modified"),
+    )
+
+
+OUTCOME_SCHEMA = (
+    "path string, state string, message string, rows bigint, target string, "
+    "started double, ended double"
+)
+
+
 def refine_new_files(
     spark: SparkSession,
     folder: str,
-    schema: T.StructType,
+    schema: T.StructType | None,
     target: str,
     checkpoint: str,
     gates: Gates = Gates(),
@@ -76,36 +105,108 @@ def refine_new_files(
     files_per_batch: int = 16,
     at_once: int = 4,
 ) -> StreamingQuery:
-    """Take every new file of a folder through bronze, silver and gold.
-
-    The files of a batch are written to bronze together, then each becomes a run of its
-    own below ``target``, several at a time. A batch that is repeated after a failure
-    overwrites its own tables. Rows with too many fields are flagged for the checks.
+    """Take every new file below a folder through bronze, silver and gold.
+
+    The stream is one of file names; each file is read by itself and becomes a run below
+    ``target`` under the name of its full path, several at a time, so files of one name in
+    several folders stay apart. How each file ended is written to the table that
+    :func:`file_outcomes` reads. A file that fails (no header, columns other than those of
+    ``schema`` where one is given, unreadable content) is set aside there with its error;
+    the batch commits and the feed goes on. :func:`retry_quarantined` takes such files up
+    again. A batch that is repeated after the driver was lost overwrites its own tables.
     """
+    header = None if schema is None else schema.names
 
     def refine(batch: DataFrame, batch_id: int) -> None:
-        run = f"{target}/run_id={batch_id}"
-        write_table(batch, f"{run}/bronze", partition_by=[SOURCE_FILE])
-        bronze = spark.read.schema(batch.schema).parquet(f"{run}/bronze")
         # As many names as the batch has files, which its size limits.
-        names = [row[0] for row in bronze.select(SOURCE_FILE).distinct().collect()]
-        with ThreadPoolExecutor(at_once) as pool:
-            runs = [
-                pool.submit(
-                    run_table,
-                    bronze.where(F.col(SOURCE_FILE) == name).drop(SOURCE_FILE),
-                    f"{run}/file={name}",
-                    gates,
-                )
-                for name in sorted(names)
-            ]
-            for one in runs:
-                one.result()
-
-    stream = new_files(spark, folder, schema, files_per_batch=files_per_batch, flag_ragged=True)
+        sizes = {row["path"]: row["length"] for row in batch.select("path", "length").collect()}
+        sizes |= dict.fromkeys(_new_empty_files(spark, folder, target), 0)
+        _refine(spark, sizes, folder, target, f"{batch_id:012d}", gates, at_once, header)
+
+    stream = new_file_names(spark, folder, files_per_batch=files_per_batch)
     return start_feed(stream, refine, checkpoint, interval)
 
 
+def _new_empty_files(spark: SparkSession, folder: str, target: str) -> list[str]:
+    """Files without content that have no outcome yet. Scans give no rows for them, so
+    they are what the listing has beside the others."""
+    filled = {row["path"] for row in list_files(spark, folder).select("path").toLocalIterator()}
+    empty = [path for path in listed_files(spark, folder) if path not in filled]
+    if not empty:
+        return []
+    known = file_outcomes(spark, target).where(F.col("path").isin(empty)).select("path")
+    return sorted({*empty} - {row["path"] for row in known.collect()})
+
+
+def _refine(
+    spark: SparkSession,
+    sizes: dict[str, int],
+    folder: str,
+    target: str,
+    run_id: str,
+    gates: Gates,
+    at_once: int,
+    header: Sequence[str] | None,
+) -> dict[str, FileRun]:
+    """Run the files of a batch and write how each ended."""
+    below = f"{target}/run_id={run_id}"
+    found = attempt_files(spark, sizes, folder, below, gates, at_once, header, prefix="file=")
+    rows = [
+        (
+            path,
+            "QUARANTINED" if run.state == "FAILED" else run.state,
+            run.message,
+            run.run.quality.get("row_count", 0) if run.run else 0,
+            f"{below}/file={run_name(path, folder)}" if run.run else None,
+            run.started,
+            run.ended,
+        )
+        for path, run in found.items()
+    ]
+    outcomes = spark.createDataFrame(rows, OUTCOME_SCHEMA).coalesce(1)
+    write_table(outcomes, f"{target}/_outcomes/run_id={run_id}")
+    return found
+
+
+def file_outcomes(spark: SparkSession, target: str) -> DataFrame:
+    """How the newest run of every file ended: SUCCESS, STOPPED, EMPTY or QUARANTINED, with
+    the error, its rows and where its tables are. No rows before the first batch."""
+    try:
+        runs = spark.read.schema(f"{OUTCOME_SCHEMA}, run_id string").parquet(f"{target}/_outcomes")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        runs = spark.createDataFrame([], f"{OUTCOME_SCHEMA}, run_id string")
+    newest = F.max_by(F.struct(*[c for c in runs.columns if c != "path"]), F.struct("ended", "run_id"))
+    latest = runs.groupBy("path").agg(newest.alias("newest"), F.count("*").alias("attempts"))
+    return latest.select("path", "newest.*", "attempts")
+
+
+def retry_quarantined(
+    spark: SparkSession,
+    folder: str,
+    schema: T.StructType | None,
+    target: str,
+    gates: Gates = Gates(),
+    at_once: int = 4,
+) -> dict[str, FileRun]:
+    """Run the files that are set aside once more, as they are now, and those that were
+    empty and no longer are. A file that is no longer there fails again."""
+    aside = file_outcomes(spark, target).where("state IN ('QUARANTINED', 'EMPTY')")
+    present = list_files(spark, folder).select("path", "length")
+    found = aside.select("path", "state").join(present, "path", "left")
+    sizes = {
+        row["path"]: -1 if row["length"] is None else row["length"]
+        for row in found.collect()
+        if row["state"] == "QUARANTINED" or row["length"]
+    }
+    if not sizes:
+        return {}
+    header = None if schema is None else schema.names
+    run_id = f"retry-{uuid.uuid4().hex[:12]}"
+    return _refine(spark, sizes, folder, target, run_id, gates, at_once, header)
+
+
 def quality_counts(df: DataFrame, columns: Sequence[ColumnRole]) -> DataFrame:
     """The counters that add up row by row, for streams and tables alike: rows, empty
     rows, missing cells, type errors and rows that do not fit. On a stream they are one

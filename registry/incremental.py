@@ -4,14 +4,20 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orefold.operators import incremental as I
 from orefold.operators.filetree import file_state, list_files, read_tree, tree_changes
-from orefold.operators.ledger import checkpoint_summary, checkpoint_table
+from orefold.operators.ledger import (
+    checkpoint_summary,
+    checkpoint_table,
+    folder_run_totals,
+    read_reports,
+)
 from orefold.operators.roles import ColumnRole
 from orefold.operators.series import monthly_series
+from orefold.plans.medallion import run_folder
 from orefold.session import materialize, remove_folder, scratch_path
 from orefold.sources.csv import read_with_ragged_flag
 from orefold.sources.files import table_fingerprint
@@ -336,7 +342,114 @@ def fingerprint_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _put(spark: SparkSession, lines: DataFrame, path: str) -> None:
+    """One text file of a stated name, made from a one-column table."""
+    made = scratch_path(spark, "one-file")
+    lines.coalesce(1).write.text(made)
+    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(hadoop)
+    system.mkdirs(target.getParent())
+    for found in system.globStatus(jvm.org.apache.hadoop.fs.Path(f"{made}/part-*")):
+        system.rename(found.getPath(), target)
+
+
+def _arrivals(spark: SparkSession, sf_dir: str) -> str:
+    """Good files, two of one name and two whose paths look alike, a blank one without a
+    header, one of other columns, and one that is empty."""
+    folder = scratch_path(spark, "arriving")
+    orders = _keyed(spark, sf_dir)
+    rows = F.concat_ws(",", "order_id", "status", F.col("amount").cast("string"))
+
+    def lines(header: str, condition: str) -> DataFrame:
+        body = orders.where(condition).select(rows.alias("value"))
+        return spark.createDataFrame([(header,)], "value string").union(body)
+
+    header = "order_id,status,amount"
+    _put(spark, lines(header, "status = 'F'"), f"{folder}/a/b.csv")
+    _put(spark, lines(header, "status = 'O' and amount < 100000"), f"{folder}/a__b.csv")
+    _put(spark, lines(header, "status = 'O' and amount >= 100000"), f"{folder}/c/b.csv")
+    _put(spark, lines(header, "status = 'P'"), f"{folder}/c/d/p.csv")
+    _put(spark, lines("order_id,other,amount", "status = 'P'"), f"{folder}/odd.csv")
+    _put(spark, spark.createDataFrame([("",)] * 3, "value string"), f"{folder}/blank.csv")
+    _put(spark, spark.createDataFrame([], "value string"), f"{folder}/empty.csv")
+    return folder
+
+
+def _below(path: str, folder: str) -> Column:
+    """A file's path below the folder."""
+    name = folder.rstrip("/").rsplit("/", 1)[-1]
+    return F.substring_index(path, f"/{name}/", -1).alias("file")
+
+
+def stream_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files arrive, bad ones among them; the feed ends normally, and a second start has
+    nothing to do. How each file ended, its rows, and the rows of its silver table."""
+    folder, target, state = _arrivals(spark, sf_dir), scratch_path(spark, "fed"), scratch_path(spark, "fed-state")
+    schema = _keyed(spark, sf_dir).schema
+    for _ in range(2):
+        feed.refine_new_files(spark, folder, schema, target, state, files_per_batch=3).awaitTermination()
+    outcomes = feed.file_outcomes(spark, target)
+    silver = spark.read.parquet(f"{target}/run_id=*/file=*/silver").select(
+        F.regexp_replace(F.col("_metadata.file_path"), "/silver/[^/]*$", "").alias("at")
+    )
+    kept = silver.groupBy(F.substring_index("at", "/file=", -1).alias("name")).agg(
+        F.count("*").alias("silver_rows")
+    )
+    return outcomes.join(
+        kept, F.substring_index("target", "/file=", -1) == F.col("name"), "left"
+    ).select(_below("path", folder), "state", "rows", "attempts", "silver_rows")
+
+
+def stream_quarantine_retried(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the files set aside one is mended, then all of them are tried again."""
+    folder, target = _arrivals(spark, sf_dir), scratch_path(spark, "retried")
+    schema = _keyed(spark, sf_dir).schema
+    feed.refine_new_files(
+        spark, folder, schema, target, scratch_path(spark, "retried-state")
+    ).awaitTermination()
+    remove_folder(spark, f"{folder}/odd.csv")
+    body = _keyed(spark, sf_dir).where("status = 'P'").select(
+        F.concat_ws(",", "order_id", "status", F.col("amount").cast("string")).alias("value")
+    )
+    mended = spark.createDataFrame([("order_id,status,amount",)], "value string").union(body)
+    _put(spark, mended, f"{folder}/odd.csv")
+    feed.retry_quarantined(spark, folder, schema, target)
+    return feed.file_outcomes(spark, target).select(
+        _below("path", folder), "state", "rows", "attempts"
+    )
+
+
+def folder_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder run over the same files: the state of each, and the totals of its ledger."""
+    folder, target, ledger = (
+        _arrivals(spark, sf_dir), scratch_path(spark, "folder-run"), scratch_path(spark, "folder-ledger"),
+    )
+    runs = run_folder(spark, folder, target, ledger=ledger)
+    rows = [
+        (path, run.state, run.run.silver if run.run else None) for path, run in runs.items()
+    ]
+    counted = [
+        spark.read.parquet(silver).agg(F.count("*").alias("silver_rows")).select(
+            F.lit(path).alias("path"), F.lit(state).alias("state"), "silver_rows"
+        )
+        if silver
+        else spark.createDataFrame([(path, state, None)], "path string, state string, silver_rows bigint")
+        for path, state, silver in rows
+    ]
+    totals = folder_run_totals(read_reports(spark, ledger)).select(
+        F.lit("failed files").alias("file"),
+        F.concat(F.col("failed_files").cast("string"), F.lit(" of "), F.col("files").cast("string")).alias("state"),
+        F.col("total_rows").cast("bigint").alias("silver_rows"),
+    )
+    each = reduce(DataFrame.union, counted)
+    return each.select(_below("path", folder), "state", "silver_rows").union(totals)
+
+
 QUERIES = {
+    "stream_quarantine": stream_quarantine,
+    "stream_quarantine_retried": stream_quarantine_retried,
+    "folder_run": folder_run,
     "incremental_typed_places": incremental_typed_places,
     "incremental_files": incremental_files,
     "fingerprint_tree": fingerprint_tree,
@@ -381,7 +494,28 @@ _FILE_STEPS = {
     "copied rows": ("'CHANGED_NOT_APPENDED'", f"count(*) FILTER (WHERE {_TAKEN} OR k > half)", "false", "k <= half AND k % 10 = 4"),
 }
 
+_ARRIVED = """
+    WITH o AS (SELECT o_orderstatus AS s, CAST(o_totalprice AS DECIMAL(18,2)) AS a FROM orders),
+    n AS (
+      SELECT 'a/b.csv' AS file, 'SUCCESS' AS state, count(*) FILTER (WHERE s = 'F') AS n FROM o
+      UNION ALL SELECT 'a__b.csv', 'SUCCESS', count(*) FILTER (WHERE s = 'O' AND a < 100000) FROM o
+      UNION ALL SELECT 'c/b.csv', 'SUCCESS', count(*) FILTER (WHERE s = 'O' AND a >= 100000) FROM o
+      UNION ALL SELECT 'c/d/p.csv', 'SUCCESS', count(*) FILTER (WHERE s = 'P') FROM o
+      UNION ALL SELECT 'odd.csv', '{odd}', count(*) FILTER (WHERE s = 'P') FROM o
+      UNION ALL SELECT 'blank.csv', '{bad}', NULL UNION ALL SELECT 'empty.csv', 'EMPTY', NULL)"""
+
 ORACLE = {
+    "stream_quarantine": _ARRIVED.format(odd="QUARANTINED", bad="QUARANTINED")
+    + """SELECT file, state, CASE WHEN state = 'SUCCESS' THEN n ELSE 0 END AS rows,
+                CAST(1 AS BIGINT) AS attempts, CASE WHEN state = 'SUCCESS' THEN n END AS silver_rows
+         FROM n""",
+    "stream_quarantine_retried": _ARRIVED.format(odd="SUCCESS", bad="QUARANTINED")
+    + """SELECT file, state, CASE WHEN state = 'SUCCESS' THEN n ELSE 0 END AS rows,
+                CAST(CASE WHEN file IN ('odd.csv', 'blank.csv') THEN 2 ELSE 1 END AS BIGINT) AS attempts
+         FROM n""",
+    "folder_run": _ARRIVED.format(odd="SUCCESS", bad="FAILED")
+    + """SELECT file, state, n AS silver_rows FROM n
+         UNION ALL SELECT 'failed files', '2 of 7', CAST(sum(n) AS BIGINT) FROM n""",
     "incremental_typed_places": " UNION ALL ".join(
         f"SELECT '{kind}' AS kind, * FROM ("
         + _BEYOND.format("'READY'", "count(*) FILTER (WHERE k <= half)", "count(*) FILTER (WHERE k > half)")
