@@ -37,8 +37,11 @@ DEFAULT_MODE = "BREAKDOWN"
 BOTTOM_WORDS = ("bottom", "lowest", "least")
 SERIES_WORDS = ("monthly", "over time", "trend")
 GROUPING_PHRASES = ("by {}", "per {}", "for each {}")
-# Values are found by their first characters, at most this many.
-PREFIX = 8
+# Values are found by one stretch of this many characters, or as a whole if shorter.
+STRETCH = 6
+# A value's stretch is chosen among those at its first places.
+_MOST_PLACES = 64
+_LONG_PIECE, _SHORT_PIECE = 1 << 16, 1 << 8
 
 
 def _first_hit(text: Column, choices: Sequence[tuple], default: object) -> Column:
@@ -86,42 +89,86 @@ def question_intent(questions: DataFrame, column: str) -> DataFrame:
     return asked.withColumn("parent_dimension", parent).drop("_q")
 
 
+def _pieces(texts: DataFrame, size: int, overlap: int) -> DataFrame:
+    """The texts in pieces of bounded size, each with the start of the next one."""
+    last = F.floor((F.length("_text") - 1) / size)
+    piece = F.substring("_text", (F.col("_at") * size + 1).cast("int"), F.lit(size + overlap))
+    numbered = texts.withColumn("_at", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    return numbered.withColumn("_text", piece).drop("_at")
+
+
+def _substrings(text: Column, size: int, most: int | None = None) -> Column:
+    """The different stretches of a size in a text, of its first ``most`` places if given."""
+    places = F.length(text) - size + 1
+    if most is not None:
+        places = F.least(places, F.lit(most))
+    found = F.transform(
+        F.sequence(F.lit(1), places), lambda at: F.substring(text, at, F.lit(size))
+    )
+    return F.when(places >= 1, F.array_distinct(found)).otherwise(
+        F.array().cast("array<string>")
+    )
+
+
+def _stretches(asked: DataFrame, sizes: Sequence[int]) -> DataFrame:
+    """Every stretch of the given sizes, once for each short piece of a text that has it.
+
+    Finding the n-th character takes n steps, so texts are cut twice, into long pieces and
+    these into short ones.
+    """
+    overlap = max(sizes) - 1
+    short = _pieces(_pieces(asked, _LONG_PIECE, overlap), _SHORT_PIECE, overlap)
+    each = F.concat(*[_substrings(F.col("_text"), size) for size in sizes])
+    return short.withColumn("_stretch", F.explode(F.array_distinct(each))).drop("_text")
+
+
 def mentioned_values(
     questions: DataFrame, key: str, column: str, values: DataFrame
 ) -> DataFrame:
     """Every dimension value that occurs anywhere inside a question's text.
 
-    ``values`` has dimension and value. At each place of the lower-cased text the next
-    characters, up to the length of a prefix, are looked up among the values' first
-    characters: an equi-join whose work grows with the text, not with text times values
-    or with the number of different lengths. What is longer than a prefix is then
-    compared in full, against the question's own text. Joins are left to the planner,
-    which knows the written lookup's size and splits stretches that are very frequent.
+    ``values`` has dimension and value. A value is looked up by one stretch of
+    ``STRETCH`` characters, the one of its own that is rarest in the texts; shorter values
+    by themselves. One aggregation counts the stretches of all texts, combined before the
+    shuffle, and a value with a stretch that occurs nowhere is out at once. Texts and
+    values then meet by the chosen stretches, as ids only, and what is longer than a
+    stretch is compared in full. The work grows with the text and with true mentions, not
+    with text times values. Joins are left to the planner, which knows the written
+    lookup's size and splits stretches that are very frequent.
     """
     lookup = values.select("dimension", "value", F.lower("value").alias("_whole")).distinct()
     lookup = lookup.filter(F.length("_whole") > 0).withColumn(
-        "_stretch", F.substring("_whole", 1, PREFIX)
+        "_id", F.monotonically_increasing_id()
     )
-    # Written once, as the values may come from a scan of a whole detail table.
+    # Written once, as the values may come from a scan of a whole detail table; the ids
+    # are those of the written rows.
     lookup = materialize(lookup, "values")
-    # As many lengths as a prefix has characters, however many values there are.
-    lengths = [row[0] for row in lookup.select(F.length("_stretch")).distinct().collect()]
-    text = F.lower(F.col(column))
-    asked = questions.select(F.col(key), text.alias("_text")).filter(F.length("_text") > 0)
-    places = asked.select(
-        key, F.posexplode(F.transform(F.sequence(F.lit(1), F.length("_text")),
-                                      lambda at: F.substring("_text", at, F.lit(PREFIX))))
-    ).select(key, F.col("col").alias("_next"))
-    sizes = F.array(*[F.lit(n) for n in sorted(lengths) or [1]])
-    stretches = (
-        places.select(key, "_next", F.explode(sizes).alias("_size"))
-        .filter(F.length("_next") >= F.col("_size"))
-        .select(key, F.substring("_next", F.lit(1), F.col("_size")).alias("_stretch"))
+    length = F.least(F.length("_whole"), F.lit(STRETCH))
+    # As many sizes as a stretch has characters, however many values there are.
+    sizes = sorted(row[0] for row in lookup.select(length).distinct().collect()) or [1]
+    asked = questions.select(F.col(key), F.lower(F.col(column)).alias("_text")).filter(
+        F.length("_text") > 0
+    )
+    # A text gives many times its size in stretches, so texts are dealt out evenly first,
+    # however few files they come from.
+    spark = questions.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spread = asked.repartition(max(parts, spark.sparkContext.defaultParallelism))
+    own = F.when(F.length("_whole") <= STRETCH, F.array("_whole")).otherwise(
+        _substrings(F.col("_whole"), STRETCH, _MOST_PLACES)
+    )
+    offered = lookup.select("_id", F.explode(own).alias("_stretch"))
+    often = _stretches(spread, sizes).groupBy("_stretch").agg(F.count("*").alias("_often"))
+    rated = offered.join(often, "_stretch", "left").select(
+        "_id", F.struct(F.coalesce("_often", F.lit(0)).alias("often"), "_stretch").alias("one")
     )
-    found = stretches.join(lookup, "_stretch").select(key, "dimension", "value", "_whole")
-    short = found.filter(F.length("_whole") <= PREFIX).select(key, "dimension", "value")
-    candidates = found.filter(F.length("_whole") > PREFIX).distinct()
-    long = candidates.join(asked, key).filter(F.contains("_text", "_whole"))
+    chosen = rated.groupBy("_id").agg(F.min("one").alias("one")).filter("one.often > 0")
+    chosen = materialize(chosen.select("_id", "one._stretch"), "chosen-stretches")
+    found = _stretches(spread, sizes).join(chosen, "_stretch").select(key, "_id").distinct()
+    whole = found.join(lookup, "_id")
+    short = whole.filter(F.length("_whole") <= STRETCH).select(key, "dimension", "value")
+    long = whole.filter(F.length("_whole") > STRETCH).join(asked, key)
+    long = long.filter(F.contains("_text", "_whole"))
     return short.union(long.select(key, "dimension", "value")).distinct()
 
 

@@ -129,7 +129,9 @@ def test_question_end_to_end(spark, read):
 
 @pytest.mark.parametrize("prefix", [1, 2, 8])
 def test_value_links_match_brute_force(spark, prefix, monkeypatch):
-    monkeypatch.setattr(N, "PREFIX", prefix)
+    monkeypatch.setattr(N, "STRETCH", prefix)
+    monkeypatch.setattr(N, "_SHORT_PIECE", 3 + prefix)
+    monkeypatch.setattr(N, "_LONG_PIECE", 17)
     rng = random.Random(3)
     texts = ["".join(rng.choice("abC ") for _ in range(rng.randrange(0, 30))) for _ in range(80)]
     names = sorted({"".join(rng.choice("ABc ") for _ in range(rng.randrange(1, 6))) for _ in range(60)})
