@@ -316,3 +316,30 @@ def test_missing_dimension_values_are_a_group(spark):
         (None, "x"): 100.0,
         ("a", None): 100.0,
     }
+
+
+@pytest.mark.parametrize("accuracy,margin", [(10_000, 2e-4), (20, 0.1), (10_000, -0.05)])
+def test_percentiles_are_exact_whatever_the_brackets(spark, monkeypatch, accuracy, margin):
+    """Narrow, wide, and wrong brackets, which the exact counts notice."""
+    from orefold.operators import ordered
+
+    monkeypatch.setattr(ordered, "_ACCURACY", accuracy)
+    monkeypatch.setattr(ordered, "_MARGIN", margin)
+    rng = random.Random(4)
+    rows = [(rng.choice("aab"), float(rng.randrange(400)), rng.choice([None, rng.random()])) for _ in range(2500)]
+    rows += [("c", 1.0, None), ("d", None, None), (None, 5.0, 2.0), (None, 7.0, 2.0)]
+    df = spark.createDataFrame(rows, "g string, v double, w double").repartition(4)
+    wanted = {"p0": 0.0, "p25": 0.25, "median": 0.5, "p95": 0.95, "p100": 1.0}
+    found = {r.g: r for r in exact_percentiles(df, ["g"], ["v", "w"], wanted).collect()}
+    assert set(found) == {"a", "b", "c", None}
+    for group, row in found.items():
+        for i, measure in ((1, "v"), (2, "w")):
+            values = sorted(r[i] for r in rows if r[0] == group and r[i] is not None)
+            for label, p in wanted.items():
+                got = row[f"{measure}_{label}"]
+                if not values:
+                    assert got is None
+                    continue
+                at = (len(values) - 1) * p
+                low, high = values[int(at)], values[min(int(at) + 1, len(values) - 1)]
+                assert got == pytest.approx(low + (high - low) * (at - int(at)), abs=1e-12)
