@@ -158,8 +158,10 @@ def _brackets(cells: DataFrame, names: Sequence[str], percentages: dict[str, flo
             "_weight": exact - F.col("_low"),
         }
     )
-    wrong = (F.col("_low") < F.col("_below") - 1) | (
-        F.col("_high") > F.col("_below") + F.col("_within")
+    wrong = (
+        (F.col("_from") > F.col("_to"))
+        | (F.col("_low") < F.col("_below") - 1)
+        | (F.col("_high") > F.col("_below") + F.col("_within"))
     )
     whole = {
         "_from": F.when(~wrong, F.col("_from")),
