@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark.errors import IllegalArgumentException
 from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,6 +40,7 @@ CELL_SOURCES = 256
 _HELD = 1 << 21
 """Sums that a task holds before it hands them on."""
 _PARTS = 10**9
+_HASHED = 16
 _VOCABULARY_PARTS = 64
 _PART_BITS = 26
 _TAG = "\0"
@@ -134,11 +136,13 @@ def _dealt(terms: DataFrame, shards: int) -> DataFrame:
 
 
 def _shards(terms: DataFrame, vocabulary: int) -> list[DataFrame]:
-    """The rows of each fit, so that a fit has about ``vocabulary`` distinct terms at most."""
-    distinct = terms.select(F.explode("terms").alias("term")).agg(
+    """The rows of each fit, so that a fit has about ``vocabulary`` distinct terms at most.
+    Their number is told from the distinct terms with one of ``_HASHED`` hashes."""
+    chosen = F.filter("terms", lambda term: F.pmod(F.xxhash64(term), F.lit(_HASHED)) == 0)
+    distinct = terms.select(F.explode(chosen).alias("term")).agg(
         F.approx_count_distinct("term", 0.02)
     )
-    shards = max(1, -(-int(distinct.first()[0]) // vocabulary))
+    shards = max(1, -(-int(distinct.first()[0]) * _HASHED // vocabulary))
     if shards == 1:
         return [terms]
     dealt = _dealt(terms, shards)
@@ -146,39 +150,34 @@ def _shards(terms: DataFrame, vocabulary: int) -> list[DataFrame]:
 
 
 def _fit(rows: DataFrame, min_documents: int) -> CountVectorizerModel | None:
-    """The vocabulary of the terms in at least so many documents of their language. The
-    empty term stands in every document, so the fit always finds one."""
-    if rows.limit(min_documents).count() < min_documents:
-        return None
+    """The vocabulary of the terms in at least so many documents of their language; none if
+    no term is, which Spark refuses as an empty vocabulary."""
     vectorizer = CountVectorizer(
         inputCol="terms", outputCol="vector", minDF=float(min_documents), vocabSize=MOST_TERMS
     )
-    return vectorizer.fit(_with_empty(rows))
-
-
-def _with_empty(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("terms", F.concat(F.array(F.lit("")), "terms"))
+    try:
+        return vectorizer.fit(rows)
+    except IllegalArgumentException as error:
+        if "vocabulary size should be > 0" not in str(error):
+            raise
+        return None
 
 
-def _vocabulary(
-    model: CountVectorizerModel, rows: DataFrame, shard: int
-) -> tuple[DataFrame, int]:
-    """Rows ``shard, index, term, lang``, read from the saved model, and the place of the
-    empty term, which is none of them."""
+def _vocabulary(model: CountVectorizerModel, rows: DataFrame, shard: int) -> DataFrame:
+    """Rows ``shard, index, term, lang``, read from the saved model."""
     path = scratch_path(rows.sparkSession, "vocabulary")
     model.write().save(path)
     saved = rows.sparkSession.read.parquet(f"{path}/data")
     listed = saved.select(F.posexplode("vocabulary").alias("index", "tagged"))
-    words = listed.where("tagged != ''").select(
+    return listed.select(
         F.lit(shard).alias("shard"),
         "index",
         F.substring_index("tagged", _TAG, 1).alias("term"),
         F.substring("tagged", F.locate(_TAG, F.col("tagged")) + 1, F.length("tagged")).alias("lang"),
     )
-    return words, listed.where("tagged = ''").first()["index"]
 
 
-def _sums(model: CountVectorizerModel, rows: DataFrame, shard: int, empty: int) -> DataFrame:
+def _sums(model: CountVectorizerModel, rows: DataFrame, shard: int) -> DataFrame:
     """Rows ``lang, source, shard, index, n``: the documents' vectors, added up exactly.
 
     Tasks add up what they read and hand on sparse vectors, one for each group and part of
@@ -222,12 +221,11 @@ def _sums(model: CountVectorizerModel, rows: DataFrame, shard: int, empty: int)
             indices, values = vectors.field("indices"), vectors.field("values")
             lengths = indices.value_lengths().to_numpy(zero_copy_only=False)
             index = indices.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            some = index != empty
             vector = np.repeat(np.array(group, np.int64), lengths) * _VOCABULARY_PARTS
             key = vector + index % _VOCABULARY_PARTS << _PART_BITS | index // _VOCABULARY_PARTS
             number = values.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            keys.append(key[some])
-            counts.append(number[some])
+            keys.append(key)
+            counts.append(number)
             fresh += len(key)
             if fresh > _HELD:
                 compact()
@@ -269,7 +267,7 @@ def _sums(model: CountVectorizerModel, rows: DataFrame, shard: int, empty: int)
         if at is not None:
             yield whole()
 
-    vectors = model.transform(_with_empty(rows)).select("lang", "source", "vector")
+    vectors = model.transform(rows).select("lang", "source", "vector")
     key = ["lang", "source", "part"]
     sums = vectors.mapInArrow(
         added,
@@ -461,9 +459,8 @@ def audit(
     for shard, rows in enumerate(_shards(terms, vocabulary)):
         model = _fit(rows, min_documents)
         if model is not None:
-            listed, empty = _vocabulary(model, rows, shard)
-            words.append(listed)
-            sums.append(materialize(_sums(model, rows, shard, empty), "group-sums"))
+            words.append(_vocabulary(model, rows, shard))
+            sums.append(materialize(_sums(model, rows, shard), "group-sums"))
     spark = terms.sparkSession
     if not sums:
         words = [spark.createDataFrame([], "shard int, index int, term string, lang string")]
