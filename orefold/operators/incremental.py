@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -10,12 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orefold.functions import values as V
+from orefold.operators.commits import commit_numbers, try_commit
 from orefold.operators.ledger import CHECKPOINT_SCHEMA, SKIPPED
 from orefold.operators.ordered import with_position
 from orefold.operators.places import after, decode_place, encode_place
 
 READY = "READY"
 CHANGED = "CHANGED_NOT_APPENDED"
+OVERTAKEN = "OVERTAKEN"
 
 
 def read_checkpoints(spark: SparkSession, path: str) -> DataFrame:
@@ -205,15 +208,21 @@ def new_rows(df: DataFrame, processed: DataFrame) -> DataFrame:
     return repeated.select("_row.*")
 
 
-def commit_checkpoints(status: DataFrame, execution_id: str, path: str) -> None:
-    """Append a checkpoint for every source that was run or skipped.
+def checkpoint_rows(
+    status: DataFrame, execution_id: str, previous: str | None = None
+) -> DataFrame:
+    """A checkpoint for every source that was run or skipped.
 
     Changed content that was not run keeps its old checkpoint, so it is reported again.
-    The highest place in the order is kept where the status has it.
+    The highest place in the order is kept where the status has it. With the time of the
+    ``previous`` checkpoint, the new one is later even if this machine's clock is behind.
     """
     known = "high_water" in status.columns
     high_water = F.col("high_water") if known else F.lit(None).cast("string")
-    committed = status.filter(F.col("status") != CHANGED).select(
+    now = F.current_timestamp()
+    if previous is not None:
+        now = F.greatest(now, F.lit(previous).cast("timestamp") + F.expr("INTERVAL '0.001' SECOND"))
+    return status.filter(F.col("status") != CHANGED).select(
         "source",
         "fingerprint",
         F.col("source_row_count").alias("processed_row_count"),
@@ -221,7 +230,58 @@ def commit_checkpoints(status: DataFrame, execution_id: str, path: str) -> None:
         F.col("start_row").alias("last_start_row"),
         F.lit(execution_id).alias("execution_id"),
         F.when(F.col("status") == READY, "SUCCESS").otherwise(F.col("status")).alias("status"),
-        F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss.SSS").alias("updated_at"),
+        F.date_format(now, "yyyy-MM-dd HH:mm:ss.SSS").alias("updated_at"),
         high_water.alias("high_water"),
     )
-    committed.write.mode("append").json(path)
+
+
+def commit_checkpoints(status: DataFrame, execution_id: str, path: str) -> None:
+    """Append the checkpoints of a table of sources, as :func:`checkpoint_rows` gives them.
+
+    Nothing keeps another run from doing the same; :func:`commit_checkpoint` does.
+    """
+    checkpoint_rows(status, execution_id).write.mode("append").json(path)
+
+
+def _commit_name(source: str) -> str:
+    return f"checkpoint-{hashlib.sha256(source.encode()).hexdigest()[:24]}"
+
+
+def checkpoint_number(spark: SparkSession, path: str, source: str) -> int:
+    """The number of a source's newest checkpoint, 0 before the first; to be taken before
+    the checkpoints are read."""
+    return max(commit_numbers(spark, path, _commit_name(source)), default=0)
+
+
+def commit_checkpoint(
+    status: DataFrame,
+    execution_id: str,
+    path: str,
+    source: str,
+    seen: int,
+    previous: str | None = None,
+) -> bool:
+    """Write the checkpoint of one source after number ``seen``.
+
+    False, and nothing written, if another run has written one since. A status that leaves
+    no checkpoint counts as written.
+    """
+    row = checkpoint_rows(status, execution_id, previous).select(F.to_json(F.struct("*"))).first()
+    spark = status.sparkSession
+    return row is None or try_commit(spark, path, _commit_name(source), seen + 1, row[0] + "\n")
+
+
+def committed_runs(spark: SparkSession, path: str, source: str) -> list[str]:
+    """The executions whose rows count, in their order: those that left a checkpoint.
+
+    Tables of other executions are of runs that failed before their checkpoint.
+    """
+    try:
+        history = spark.read.schema(CHECKPOINT_SCHEMA).json(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+    ran = history.where((F.col("source") == source) & (F.col("status") == "SUCCESS"))
+    ordered = ran.orderBy("updated_at", "execution_id").select("execution_id")
+    return [row["execution_id"] for row in ordered.collect()]

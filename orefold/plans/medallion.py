@@ -21,10 +21,12 @@ from orefold.operators.gold import insights
 from orefold.operators.filetree import ReadFiles, file_state, list_files, read_tree
 from orefold.operators.incremental import (
     CHANGED,
+    OVERTAKEN,
     READY,
     Order,
     beyond,
-    commit_checkpoints,
+    checkpoint_number,
+    commit_checkpoint,
     high_water_values,
     incremental_status,
     read_checkpoints,
@@ -36,7 +38,7 @@ from orefold.operators.profile import column_stats
 from orefold.operators.series import trend_summary
 from orefold.operators.signals import decisions
 from orefold.plans.gold import GoldLayout, checked_analytics, time_series
-from orefold.session import materialize
+from orefold.session import materialize, remove_folder
 from orefold.sources.csv import RAGGED, SOURCE_PATH, read_strings, read_with_ragged_flag
 from orefold.sources.files import ingestion_audit, listed_files
 from orefold.sources.sinks import write_silver, write_table
@@ -271,11 +273,16 @@ def run_incremental(
     taken by a filter on that place, and only if the rows up to it are still the same: a
     row that comes late, or an edited one, is reported as ``CHANGED_NOT_APPENDED``. The
     checkpoint is written after the run; a run that a gate stopped leaves none, so its
-    rows come again. Returns the incremental status and the run, if there was one.
+    rows come again. Of two runs that started from one checkpoint only the first to end
+    counts: the other deletes its tables and returns ``OVERTAKEN``. Every run needs an
+    ``execution_id`` of its own; the runs whose tables count are those that
+    :func:`~orefold.operators.incremental.committed_runs` names. Returns the incremental
+    status and the run, if there was one.
     """
     spark = raw.sparkSession
+    seen = checkpoint_number(spark, checkpoints, source)
     known = read_checkpoints(spark, checkpoints).where(F.col("source") == source)
-    last = known.select("high_water").first()
+    last = known.select("high_water", "updated_at").first()
     stored = last["high_water"] if last else None
     current = source_state(raw, source, order, stored)
     status = materialize(incremental_status(current, known, force), "status")
@@ -287,7 +294,10 @@ def run_incremental(
             batch = raw.where(beyond(order, high_water_values(raw, order, stored)))
         run = _run_batch(batch, f"{target}/{execution_id}", gates)
     if run is None or run.stopped_by is None:
-        commit_checkpoints(status, execution_id, checkpoints)
+        previous = last["updated_at"] if last else None
+        if not commit_checkpoint(status, execution_id, checkpoints, source, seen, previous):
+            remove_folder(spark, f"{target}/{execution_id}")
+            return OVERTAKEN, None
     return found["status"], run
 
 
@@ -335,8 +345,9 @@ def run_incremental_files(
         return read_with_ragged_flag(spark, paths, with_path=True)
 
     read = read or read_csv
+    seen = checkpoint_number(spark, checkpoints, source)
     known = read_checkpoints(spark, checkpoints).where(F.col("source") == source)
-    last = known.select("high_water", "execution_id").first()
+    last = known.select("high_water", "execution_id", "updated_at").first()
     stored = last["high_water"] if last else None
     before = tree_path(checkpoints, source, last["execution_id"]) if last else None
     tree = read_tree(spark, before) if before else read_tree(spark, f"{checkpoints}-trees/none")
@@ -352,6 +363,10 @@ def run_incremental_files(
             batch = batch.where(beyond(order, high_water_values(batch, order, stored)))
         run = _run_batch(batch.drop(SOURCE_PATH), f"{target}/{execution_id}", gates)
     if found["status"] != CHANGED and (run is None or run.stopped_by is None):
-        write_table(state.leaves, tree_path(checkpoints, source, execution_id))
-        commit_checkpoints(status, execution_id, checkpoints)
+        leaves, previous = tree_path(checkpoints, source, execution_id), last and last["updated_at"]
+        write_table(state.leaves, leaves)
+        if not commit_checkpoint(status, execution_id, checkpoints, source, seen, previous):
+            remove_folder(spark, f"{target}/{execution_id}")
+            remove_folder(spark, leaves)
+            return OVERTAKEN, None, state.read_paths
     return found["status"], run, state.read_paths

@@ -7,9 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orefold.functions import values as V
 from orefold.operators import incremental as I
 from orefold.operators.filetree import file_state, list_files, read_tree, tree_changes
 from orefold.operators.ledger import (
+    CHECKPOINT_SCHEMA,
     checkpoint_summary,
     checkpoint_table,
     folder_run_totals,
@@ -22,7 +24,7 @@ from orefold.session import materialize, remove_folder, scratch_path
 from orefold.sources.csv import read_with_ragged_flag
 from orefold.sources.files import table_fingerprint
 from orefold.sources.sinks import write_table
-from orefold.streaming import feed
+from orefold.streaming import feed, keyed
 from registry.views import dirty_orders, rounded, sales_lines, sales_orders, sql, table
 
 SOURCES = ("orders", "customer", "part", "supplier")
@@ -168,6 +170,58 @@ def stream_daily_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(feed.current_rows(spark, path, ["period", "event_type"]))
 
 
+def stream_current_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same days and types, kept in one table whose updates are merged as they come."""
+    events = table(spark, sf_dir, "events").select("event_type", "ts", "value")
+    daily = feed.daily_series(
+        _stream(spark, events), "ts", ["value"], ["event_type"], lateness="100 days"
+    )
+    current = keyed.KeyedTable(scratch_path(spark, "current"), ["period", "event_type"], every=2)
+    keyed.keep_table(daily, current, scratch_path(spark, "state")).awaitTermination()
+    return rounded(current.read(spark))
+
+
+def _arriving_copies(spark: SparkSession, sf_dir: str, key: str | None) -> keyed.KeyedTable:
+    """The raw orders arrive two years at a time, each time in several batches."""
+    folder, state = scratch_path(spark, "arriving"), scratch_path(spark, "state")
+    seen = keyed.copies_table(scratch_path(spark, "copies"), "800 days", every=2)
+    dirty = dirty_orders(spark, sf_dir)
+    year = F.year(V.timestamp(dirty, "order_date"))
+    span = dirty.agg(F.min(year).alias("first"), F.max(year).alias("last")).first()
+    for first in range(span["first"], span["last"] + 1, 2):
+        # Years go in pairs, and what has no date goes with the first.
+        part = F.coalesce(year, F.lit(span["first"])).between(first, first + 1)
+        write_table(dirty.where(part).repartition(4), folder, format="csv", mode="append")
+        stream = feed.new_files(spark, folder, dirty.schema, files_per_batch=2)
+        keyed.keep_copies(stream, seen, state, "order_date", key).awaitTermination()
+    return seen
+
+
+def stream_duplicate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equal rows of the raw orders, found as they arrive."""
+    return keyed.duplicate_count(spark, _arriving_copies(spark, sf_dir, None))
+
+
+def stream_duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order ids that arrive more than once, and how often."""
+    return keyed.repeated_keys(spark, _arriving_copies(spark, sf_dir, "order_id"))
+
+
+def racing_checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs of one source end after the same checkpoint, then a third follows."""
+    path, orders = scratch_path(spark, "race"), sales_orders(spark, sf_dir)
+    older = orders.where("order_id % 2 = 0")
+    outcomes = []
+    for name, rows, seen in (("first", older, 0), ("second", older, 0), ("third", orders, 1)):
+        known = I.read_checkpoints(spark, path)
+        status = I.incremental_status(I.source_state(rows, "orders", ["order_id"]), known, force=True)
+        outcomes.append((name, I.commit_checkpoint(status, name, path, "orders", seen)))
+    ran = spark.read.schema(CHECKPOINT_SCHEMA).json(path).select(
+        F.col("execution_id").alias("run"), F.col("processed_row_count").alias("order_count")
+    )
+    return spark.createDataFrame(outcomes, "run string, committed boolean").join(ran, "run", "left")
+
+
 COUNTED = [ColumnRole("order_id", "integer", "KEY"), ColumnRole("amount", "float", "MEASURE")]
 
 
@@ -447,6 +501,10 @@ def folder_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "stream_current_table": stream_current_table,
+    "stream_duplicate_rows": stream_duplicate_rows,
+    "stream_duplicate_keys": stream_duplicate_keys,
+    "racing_checkpoints": racing_checkpoints,
     "stream_quarantine": stream_quarantine,
     "stream_quarantine_retried": stream_quarantine_retried,
     "folder_run": folder_run,
@@ -609,6 +667,24 @@ ORACLE = {
         SELECT strftime(ts, '%Y-%m-%d') AS period, event_type, count(*) AS row_count,
                round(sum(value) + 1e-8, 4) AS value_sum,
                round(avg(value) + 1e-8, 4) AS value_avg FROM events GROUP BY ALL""",
+    "stream_current_table": """
+        SELECT strftime(ts, '%Y-%m-%d') AS period, event_type, count(*) AS row_count,
+               round(sum(value) + 1e-8, 4) AS value_sum,
+               round(avg(value) + 1e-8, 4) AS value_avg FROM events GROUP BY ALL""",
+    "stream_duplicate_rows": sql(
+        """SELECT (SELECT count(*) FROM dirty_orders) - count(*) AS duplicate_rows
+           FROM (SELECT DISTINCT * FROM dirty_orders)""",
+        "dirty_orders",
+    ),
+    "stream_duplicate_keys": sql(
+        """SELECT trim(order_id) AS key, count(*) AS copies FROM dirty_orders
+           WHERE order_id <> '' GROUP BY ALL HAVING count(*) > 1""",
+        "dirty_orders",
+    ),
+    "racing_checkpoints": """
+        SELECT 'first' AS run, true AS committed, count(*) AS order_count FROM orders WHERE o_orderkey % 2 = 0
+        UNION ALL SELECT 'second', false, NULL
+        UNION ALL SELECT 'third', true, count(*) FROM orders""",
     "stream_quality_counts": sql(
         """SELECT count(*) AS row_count, CAST(0 AS BIGINT) AS empty_rows,
                   CAST(sum((coalesce(category, '') = '')::INT) AS BIGINT) AS null_values,

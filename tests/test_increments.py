@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import datetime as dt
 import os
+import threading
+from concurrent.futures import ThreadPoolExecutor
 from decimal import Decimal
 
 import pytest
@@ -168,3 +170,44 @@ def test_every_path_has_its_own_run_name():
     paths = ["/in/a/b.csv", "/in/a__b.csv", "/in/a_b.csv", "/in/a_2fb.csv", "/in/a b.csv", "/in/é.csv"]
     names = [M.run_name(f"file:{path}", "/in/") for path in paths]
     assert len(set(names)) == len(paths) and not any("/" in name for name in names)
+
+
+def test_of_two_racing_runs_one_counts(spark, tmp_path, monkeypatch):
+    target, checkpoints = str(tmp_path / "out"), str(tmp_path / "checkpoints")
+    table = spark.range(40).select("id", (F.col("id") % 4).alias("kind"))
+    both, run_table = threading.Barrier(2), M.run_table
+
+    def together(*args):
+        done = run_table(*args)
+        both.wait(timeout=120)
+        return done
+
+    def run(rows, name):
+        return M.run_incremental(rows, "s", ["id"], target, checkpoints, name)[0]
+
+    monkeypatch.setattr(M, "run_table", together)
+    with ThreadPoolExecutor(2) as pool:
+        ended = dict(zip("ab", pool.map(lambda name: run(table.limit(30), name), "ab")))
+    assert sorted(ended.values()) == [I.OVERTAKEN, I.READY]
+    winner = min(ended, key=lambda name: ended[name] != I.READY)
+    assert I.committed_runs(spark, checkpoints, "s") == [winner]
+    assert os.listdir(target) == [winner]
+    monkeypatch.setattr(M, "run_table", run_table)
+    assert run(table, "c") == I.READY
+    assert I.committed_runs(spark, checkpoints, "s") == [winner, "c"]
+    silver = spark.read.parquet(*[f"{target}/{name}/silver" for name in (winner, "c")])
+    assert silver.count() == silver.select("id").distinct().count() == 40
+
+
+def test_a_clock_that_is_behind_does_not_hide_a_checkpoint(spark, tmp_path):
+    path, rows = str(tmp_path / "checkpoints"), spark.range(5)
+    status = lambda df: I.incremental_status(
+        I.source_state(df, "s", ["id"]), I.read_checkpoints(spark, path), force=True
+    )
+    assert I.commit_checkpoint(status(rows), "z", path, "s", 0, "2999-01-01 00:00:00.000")
+    previous = I.read_checkpoints(spark, path).first()["updated_at"]
+    assert previous == "2999-01-01 00:00:00.001"
+    assert not I.commit_checkpoint(status(rows), "late", path, "s", 0)
+    assert I.commit_checkpoint(status(spark.range(9)), "a", path, "s", I.checkpoint_number(spark, path, "s"), previous)
+    newest = I.read_checkpoints(spark, path).first()
+    assert (newest["execution_id"], newest["processed_row_count"]) == ("a", 9)
