@@ -77,15 +77,29 @@ def terms_of(texts: pa.Array, tags: pa.Array) -> pa.ListArray:
     )
 
 
+def _marked(found: pa.ListArray, rows: int) -> pa.ListArray:
+    """The distinct terms of a batch with one of ``_HASHED`` hashes, beside its first row."""
+    words = pc.unique(found.flatten()).cast(pa.binary()).to_pylist()
+    marked = [w for w in words if xxhash.xxh64_intdigest(w) % _HASHED == 0]
+    ends = np.full(rows + 1, len(marked), np.int32)
+    ends[0] = 0
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(marked, pa.binary()).cast(pa.string()))
+
+
 def _terms(documents: DataFrame, text: str, lang: str, source: str) -> DataFrame:
-    """Rows ``lang, source, terms``; a term carries its language behind a zero byte, which
-    no term holds."""
+    """Rows ``lang, source, terms, marked``; a term carries its language behind a zero byte,
+    which no term holds. ``marked`` tells how many distinct terms there are."""
 
     def tokenised(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "__text"):
             found = terms_of(text_array(batch, "__text"), batch.column(0))
             yield pa.RecordBatch.from_pydict(
-                {"lang": batch.column(0), "source": batch.column(1), "terms": found}
+                {
+                    "lang": batch.column(0),
+                    "source": batch.column(1),
+                    "terms": found,
+                    "marked": _marked(found, batch.num_rows),
+                }
             )
 
     def filled(name: str) -> Column:
@@ -94,9 +108,8 @@ def _terms(documents: DataFrame, text: str, lang: str, source: str) -> DataFrame
     given = documents.select(
         filled(lang).alias("lang"), filled(source).alias("source"), filled(text).alias("__text")
     )
-    return materialize(
-        given.mapInArrow(tokenised, "lang string, source string, terms array<string>"), "terms"
-    )
+    schema = "lang string, source string, terms array<string>, marked array<string>"
+    return materialize(given.mapInArrow(tokenised, schema), "terms")
 
 
 def _dealt(terms: DataFrame, shards: int) -> DataFrame:
@@ -137,11 +150,11 @@ def _dealt(terms: DataFrame, shards: int) -> DataFrame:
 
 def _shards(terms: DataFrame, vocabulary: int) -> list[DataFrame]:
     """The rows of each fit, so that a fit has about ``vocabulary`` distinct terms at most.
-    Their number is told from the distinct terms with one of ``_HASHED`` hashes."""
-    chosen = F.filter("terms", lambda term: F.pmod(F.xxhash64(term), F.lit(_HASHED)) == 0)
-    distinct = terms.select(F.explode(chosen).alias("term")).agg(
+    Their number is told from the marked terms, without reading the others."""
+    distinct = terms.select(F.explode("marked").alias("term")).agg(
         F.approx_count_distinct("term", 0.02)
     )
+    terms = terms.drop("marked")
     shards = max(1, -(-int(distinct.first()[0]) * _HASHED // vocabulary))
     if shards == 1:
         return [terms]
