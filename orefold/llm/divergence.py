@@ -41,6 +41,7 @@ _HELD = 1 << 21
 """Sums that a task holds before it hands them on."""
 _PARTS = 10**9
 _HASHED = 16
+_NUMBERS = np.random.default_rng(11).integers(1 << 32, size=256, dtype=np.uint32)
 _VOCABULARY_PARTS = 64
 _PART_BITS = 26
 _TAG = "\0"
@@ -53,9 +54,9 @@ def _byte_class() -> tuple[np.ndarray, np.ndarray]:
     return upper | lower | (of >= 128), np.where(upper, of + 32, of).astype(np.uint8)
 
 
-def terms_of(texts: pa.Array, tags: pa.Array) -> pa.ListArray:
+def terms_of(texts: pa.Array, tags: pa.Array) -> tuple[pa.ListArray, pa.Array]:
     """The terms of each text in order, lower-cased, each with its text's tag behind a zero
-    byte. All bytes of the texts are looked at together."""
+    byte; and the marked ones of them, once each. All bytes are looked at together."""
     inside_of, lowered_of = _byte_class()
     data, starts, _ = buffer_of(texts)
     inside = inside_of[data]
@@ -72,33 +73,35 @@ def terms_of(texts: pa.Array, tags: pa.Array) -> pa.ListArray:
         pa.large_string(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(letters)]
     ).cast(pa.string())
     tag = tags.take(pa.array(np.repeat(np.arange(len(texts)), np.diff(lists))))
-    return pa.ListArray.from_arrays(
-        pa.array(lists), pc.binary_join_element_wise(words, tag, _TAG)
-    )
+    tagged = pc.binary_join_element_wise(words, tag, _TAG)
+    marked = pc.unique(tagged.filter(pa.array(_marks(letters, ends[:-1]))))
+    return pa.ListArray.from_arrays(pa.array(lists), tagged), marked
 
 
-def _marked(found: pa.ListArray, rows: int) -> pa.ListArray:
-    """The distinct terms of a batch with one of ``_HASHED`` hashes, beside its first row."""
-    words = pc.unique(found.flatten()).cast(pa.binary()).to_pylist()
-    marked = [w for w in words if xxhash.xxh64_intdigest(w) % _HASHED == 0]
-    ends = np.full(rows + 1, len(marked), np.int32)
-    ends[0] = 0
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(marked, pa.binary()).cast(pa.string()))
+def _marks(letters: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Whether each word has one of ``_HASHED`` hashes, which add up numbers of its bytes."""
+    if not len(first):
+        return np.zeros(0, bool)
+    hashes = np.add.reduceat(_NUMBERS[letters], first)
+    return hashes * np.uint32(2654435769) >> np.uint32(16) & np.uint32(_HASHED - 1) == 0
 
 
 def _terms(documents: DataFrame, text: str, lang: str, source: str) -> DataFrame:
     """Rows ``lang, source, terms, marked``; a term carries its language behind a zero byte,
-    which no term holds. ``marked`` tells how many distinct terms there are."""
+    which no term holds. ``marked`` has, beside the first row of each batch, those of its
+    terms with one of ``_HASHED`` hashes; they tell how many distinct terms there are."""
 
     def tokenised(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "__text"):
-            found = terms_of(text_array(batch, "__text"), batch.column(0))
+            found, marked = terms_of(text_array(batch, "__text"), batch.column(0))
+            beside_first = np.full(batch.num_rows + 1, len(marked), np.int32)
+            beside_first[0] = 0
             yield pa.RecordBatch.from_pydict(
                 {
                     "lang": batch.column(0),
                     "source": batch.column(1),
                     "terms": found,
-                    "marked": _marked(found, batch.num_rows),
+                    "marked": pa.ListArray.from_arrays(pa.array(beside_first), marked),
                 }
             )
 
