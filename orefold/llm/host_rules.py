@@ -32,17 +32,22 @@ class HostRules:
     A document fails if it has fewer than ``min_words`` words or more than
     ``max_repeat_percent`` of them in repeated three-word windows (the base rules), or,
     for the host's record only, more than ``max_symbol_percent`` symbols per word
-    character or ``max_dup_line_percent`` repeated lines per ten words. A host is
-    rejected if its shrunk failure rate is above ``max_host_rate``.
+    character or ``max_dup_line_percent`` repeated lines per ten words.
+
+    A host is rejected if its shrunk failure rate is above ``least_host_rate`` and its
+    odds of failure are more than ``host_odds`` times those of the average host. The
+    prior is worth at most ``most_prior`` documents, so what a host needs of its own to
+    be judged by it does not depend on the size of the corpus.
     """
 
     min_words: int = 50
     max_repeat_percent: int = 50
     max_symbol_percent: int = 10
     max_dup_line_percent: int = 50
-    max_host_rate: float = 0.8
+    host_odds: float = 4.0
+    least_host_rate: float = 0.3
     least_prior: float = 2.0
-    most_prior: float = 1e6
+    most_prior: float = 50.0
 
 
 def measure(text: bytes) -> tuple[int, int, int, int, int]:
@@ -101,36 +106,35 @@ def _failed(rules: HostRules) -> tuple[Column, Column]:
 def host_verdicts(measured: DataFrame, rules: HostRules = HostRules()) -> DataFrame:
     """One row per host: documents, failures, shrunk rate, and whether it is rejected.
 
-    ``measured`` has ``__host`` and the metric columns. The prior's mean is the corpus
-    rate; its strength comes from the variance of the hosts' rates beyond what sampling
-    explains. Counts combine before the shuffle, so a host with most rows is no burden.
+    ``measured`` has ``__host`` and the metric columns. The prior is fitted over hosts,
+    each counting once: its mean is their average rate, its strength comes from the
+    variance of their rates beyond what sampling explains. Counts combine before the
+    shuffle, so a host with most rows is no burden.
     """
     _, failed = _failed(rules)
     hosts = measured.groupBy("__host").agg(
         F.count("*").alias("__docs"), F.sum(failed.cast("long")).alias("__failures")
     )
     hosts = materialize(hosts, "hosts")
-    total = hosts.agg(
-        F.sum("__docs").alias("n"), F.sum("__failures").alias("f"), F.count("*").alias("h")
+    rate = F.col("__failures") / F.col("__docs")
+    over = hosts.agg(
+        F.avg(rate).alias("rate"),
+        F.avg(rate * rate).alias("square"),
+        F.avg(1 / F.col("__docs")).alias("inverse"),
     ).first()
-    if not total["n"]:
-        mean, strength = 0.0, rules.least_prior
-    else:
-        mean = total["f"] / total["n"]
-        rate = F.col("__failures") / F.col("__docs")
-        spread = hosts.agg(
-            F.sum(F.col("__docs") * (rate - mean) * (rate - mean)).alias("s")
-        ).first()["s"]
-        between = (spread - total["h"] * mean * (1 - mean)) / total["n"]
-        strength = mean * (1 - mean) / between - 1 if between > 0 else rules.most_prior
-        strength = min(max(strength, rules.least_prior), rules.most_prior)
+    mean = over["rate"] or 0.0
+    within = mean * (1 - mean)
+    between = (over["square"] or 0.0) - mean * mean - within * (over["inverse"] or 0.0)
+    strength = within / between - 1 if between > 0 else rules.most_prior
+    strength = min(max(strength, rules.least_prior), rules.most_prior)
     shrunk = (F.col("__failures") + mean * strength) / (F.col("__docs") + strength)
+    relative = rules.host_odds * mean / (1 + (rules.host_odds - 1) * mean)
     return hosts.select(
         "__host",
         "__docs",
         "__failures",
         shrunk.alias("__host_rate"),
-        (shrunk > rules.max_host_rate).alias("__host_rejected"),
+        (shrunk > max(rules.least_host_rate, relative)).alias("__host_rejected"),
     )
 
 

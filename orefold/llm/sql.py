@@ -32,16 +32,18 @@ hosts AS (
   SELECT host, count(*) AS docs,
     sum(CASE WHEN base_failed OR noisy THEN 1 ELSE 0 END) AS failures
   FROM judged GROUP BY host),
-corpus AS (SELECT sum(failures) / sum(docs) AS m, sum(docs) AS n, count(*) AS h FROM hosts),
-spread AS (
-  SELECT m, (sum(docs * (failures / docs - m) * (failures / docs - m)) - max(h) * m * (1 - m))
-    / max(n) AS v FROM hosts, corpus GROUP BY m),
+rates AS (
+  SELECT avg(failures / docs) AS m, avg((failures / docs) * (failures / docs)) AS q,
+    avg(1 / docs) AS u FROM hosts),
+spread AS (SELECT m, q - m * m - m * (1 - m) * u AS v FROM rates),
 prior AS (
-  SELECT m, CASE WHEN v > 0 THEN least(greatest(m * (1 - m) / v - 1, 2), 1e6)
-    ELSE 1e6 END AS s FROM spread),
-verdicts AS (SELECT host, (failures + m * s) / (docs + s) AS rate FROM hosts, prior)
+  SELECT m, greatest(0.3, 4 * m / (1 + 3 * m)) AS bound,
+    CASE WHEN v > 0 THEN least(greatest(m * (1 - m) / v - 1, 2), 50) ELSE 50 END AS s
+  FROM spread),
+verdicts AS (
+  SELECT host, bound, (failures + m * s) / (docs + s) AS rate FROM hosts, prior)
 SELECT doc_id, judged.host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-  base_failed, round(rate, 6) AS host_rate, NOT base_failed AND NOT rate > 0.8 AS kept
+  base_failed, round(rate, 6) AS host_rate, NOT base_failed AND NOT rate > bound AS kept
 FROM judged JOIN verdicts ON judged.host IS NOT DISTINCT FROM verdicts.host
 """
 
