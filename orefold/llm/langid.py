@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -16,7 +15,6 @@ from orefold.llm.common import bounded_sample, remainder_of_id, text_array, text
 UNDETERMINED = "und"
 _LENGTHS = (2, 3, 4)
 _MULTIPLIER = np.uint32(2654435761)
-_LETTER = re.compile(r"[^\W\d_]")
 _SLICE = 1 << 20
 #: Bytes that stand for themselves: a-z and those of non-ASCII characters.
 _KEPT = np.array([32 if i < 128 and not 97 <= i <= 122 else i for i in range(256)], np.uint8)
@@ -36,6 +34,11 @@ class Training:
     seed: int = 7
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is a letter; digits, fractions and numerals are not."""
+    return any(map(str.isalpha, text))
+
+
 def _letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Lower-cased bytes of the texts with single breaks, and where each text starts."""
     raw = [f" {text.lower()} ".encode("utf-8", "replace") for text in texts]
@@ -197,7 +200,7 @@ def train(
         for batch in text_slices(batches, "__text", _SLICE):
             texts = text_array(batch, "__text").to_pylist()
             lines = [
-                min((x for x in text.split("\n") if _LETTER.search(x)), key=len, default="")
+                min((x for x in text.split("\n") if has_letter(x)), key=len, default="")
                 for text in texts
             ]
             labels = batch.column(1).to_pylist()
@@ -265,7 +268,7 @@ def identify(
                 found = known.probabilities(texts)
                 top = found.argmax(1)
                 for i, one in enumerate(texts):
-                    if _LETTER.search(one):
+                    if has_letter(one):
                         names[i] = known.languages[top[i]]
                         scores[i] = found[i, top[i]]
                         rejected[i] = scores[i] < known.threshold
