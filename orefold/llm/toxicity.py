@@ -148,10 +148,12 @@ def _found_in(documents: list[list[bytes]], grams: set[bytes]) -> Counter:
     """In how many documents each of the grams occurs."""
     counts: Counter = Counter()
     for document in documents:
-        seen = {
-            window[i : i + _GRAM] for window in document for i in range(len(window) - _GRAM + 1)
-        }
-        counts.update(seen & grams)
+        seen: set[bytes] = set()
+        for window in document:
+            seen |= grams.intersection(
+                [window[i : i + _GRAM] for i in range(len(window) - _GRAM + 1)]
+            )
+        counts.update(seen)
     return counts
 
 
