@@ -9,6 +9,13 @@ from pyspark.sql import functions as F
 
 from orefold.functions import values as V
 from orefold.functions.columns import QUESTION_DIMENSIONS
+from orefold.operators.stretches import (
+    LONGEST_OWN,
+    stretch_counts,
+    stretches_in,
+    window_filter,
+    window_size,
+)
 from orefold.session import materialize
 
 # Words that set the number of rows, tried in this order.
@@ -37,11 +44,12 @@ DEFAULT_MODE = "BREAKDOWN"
 BOTTOM_WORDS = ("bottom", "lowest", "least")
 SERIES_WORDS = ("monthly", "over time", "trend")
 GROUPING_PHRASES = ("by {}", "per {}", "for each {}")
-# Values are found by one stretch of this many characters, or as a whole if shorter.
+# Values of up to so many characters are linked to texts without a key, too.
 STRETCH = 6
-# A value's stretch is chosen among those at its first places.
+# A value's window is chosen among those at its first places.
 _MOST_PLACES = 64
-_LONG_PIECE, _SHORT_PIECE = 1 << 16, 1 << 8
+# Bytes of texts that are worked on, and windows that are handed on, at once.
+_LONG_PIECE, _SHORT_PIECE = 1 << 16, 1 << 15
 
 
 def _first_hit(text: Column, choices: Sequence[tuple], default: object) -> Column:
@@ -89,53 +97,19 @@ def question_intent(questions: DataFrame, column: str) -> DataFrame:
     return asked.withColumn("parent_dimension", parent).drop("_q")
 
 
-def _pieces(texts: DataFrame, size: int, overlap: int) -> DataFrame:
-    """The texts in pieces of bounded size, each with the start of the next one."""
-    last = F.floor((F.length("_text") - 1) / size)
-    piece = F.substring("_text", (F.col("_at") * size + 1).cast("int"), F.lit(size + overlap))
-    numbered = texts.withColumn("_at", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
-    return numbered.withColumn("_text", piece).drop("_at")
-
-
-def _substrings(text: Column, size: int, most: int | None = None) -> Column:
-    """The different stretches of a size in a text, of its first ``most`` places if given."""
-    places = F.length(text) - size + 1
-    if most is not None:
-        places = F.least(places, F.lit(most))
-    found = F.transform(
-        F.sequence(F.lit(1), places), lambda at: F.substring(text, at, F.lit(size))
-    )
-    return F.when(places >= 1, F.array_distinct(found)).otherwise(
-        F.array().cast("array<string>")
+def _lookups(lookup: DataFrame) -> DataFrame:
+    """The windows, as ``_stretch``, by which each value of a lookup can be found."""
+    whole = F.col("_whole").cast("binary")
+    length = F.octet_length("_whole")
+    places = F.least(length - window_size(length) + 1, F.lit(_MOST_PLACES))
+    cut = F.transform(
+        F.sequence(F.lit(1), places), lambda at: F.substring(whole, at, window_size(length))
     )
+    return lookup.select("_id", F.explode(F.array_distinct(cut)).alias("_stretch"))
 
 
-def _stretches(asked: DataFrame, sizes: Sequence[int]) -> DataFrame:
-    """Every stretch of the given sizes, once for each short piece of a text that has it.
-
-    Finding the n-th character takes n steps, so texts are cut twice, into long pieces and
-    these into short ones.
-    """
-    overlap = max(sizes) - 1
-    short = _pieces(_pieces(asked, _LONG_PIECE, overlap), _SHORT_PIECE, overlap)
-    each = F.concat(*[_substrings(F.col("_text"), size) for size in sizes])
-    return short.withColumn("_stretch", F.explode(F.array_distinct(each))).drop("_text")
-
-
-def mentioned_values(
-    questions: DataFrame, key: str, column: str, values: DataFrame
-) -> DataFrame:
-    """Every dimension value that occurs anywhere inside a question's text.
-
-    ``values`` has dimension and value. A value is looked up by one stretch of
-    ``STRETCH`` characters, the one of its own that is rarest in the texts; shorter values
-    by themselves. One aggregation counts the stretches of all texts, combined before the
-    shuffle, and a value with a stretch that occurs nowhere is out at once. Texts and
-    values then meet by the chosen stretches, as ids only, and what is longer than a
-    stretch is compared in full. The work grows with the text and with true mentions, not
-    with text times values. Joins are left to the planner, which knows the written
-    lookup's size and splits stretches that are very frequent.
-    """
+def _mentions(questions: DataFrame, key: str, column: str, values: DataFrame) -> DataFrame:
+    """The links of :func:`mentioned_values`, some of them more than once."""
     lookup = values.select("dimension", "value", F.lower("value").alias("_whole")).distinct()
     lookup = lookup.filter(F.length("_whole") > 0).withColumn(
         "_id", F.monotonically_increasing_id()
@@ -143,40 +117,62 @@ def mentioned_values(
     # Written once, as the values may come from a scan of a whole detail table; the ids
     # are those of the written rows.
     lookup = materialize(lookup, "values")
-    length = F.least(F.length("_whole"), F.lit(STRETCH))
-    # As many sizes as a stretch has characters, however many values there are.
-    sizes = sorted(row[0] for row in lookup.select(length).distinct().collect()) or [1]
+    offered = materialize(_lookups(lookup), "value-stretches")
+    # As many sizes as there are kinds of windows, however many values there are.
+    known = offered.groupBy(F.octet_length("_stretch").alias("size")).count().collect()
+    sizes = sorted(row["size"] for row in known)
     asked = questions.select(F.col(key), F.lower(F.col(column)).alias("_text")).filter(
         F.length("_text") > 0
     )
-    # A text gives many times its size in stretches, so texts are dealt out evenly first,
-    # however few files they come from.
+    # Cutting takes far longer than reading, so texts are dealt out evenly first, however
+    # few files they come from.
     spark = questions.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     spread = asked.repartition(max(parts, spark.sparkContext.defaultParallelism))
-    own = F.when(F.length("_whole") <= STRETCH, F.array("_whole")).otherwise(
-        _substrings(F.col("_whole"), STRETCH, _MOST_PLACES)
-    )
-    offered = lookup.select("_id", F.explode(own).alias("_stretch"))
-    often = _stretches(spread, sizes).groupBy("_stretch").agg(F.count("*").alias("_often"))
-    rated = offered.join(often, "_stretch", "left").select(
-        "_id", F.struct(F.coalesce("_often", F.lit(0)).alias("often"), "_stretch").alias("one")
-    )
-    chosen = rated.groupBy("_id").agg(F.min("one").alias("one")).filter("one.often > 0")
-    chosen = materialize(chosen.select("_id", "one._stretch"), "chosen-stretches")
-    found = _stretches(spread, sizes).join(chosen, "_stretch").select(key, "_id").distinct()
-    whole = found.join(lookup, "_id")
-    short = whole.filter(F.length("_whole") <= STRETCH).select(key, "dimension", "value")
-    long = whole.filter(F.length("_whole") > STRETCH).join(asked, key)
-    long = long.filter(F.contains("_text", "_whole"))
-    return short.union(long.select(key, "dimension", "value")).distinct()
+
+    own = F.octet_length("_whole") <= LONGEST_OWN
+    held, bits = window_filter(offered, "_stretch", sum(row["count"] for row in known))
+    held, pieces = spark.sparkContext.broadcast(held), (_LONG_PIECE, _SHORT_PIECE)
+    chosen = lookup.filter(own).withColumn("_stretch", F.col("_whole").cast("binary"))
+    if sizes and sizes[-1] >= LONGEST_OWN:
+        long_sizes = [size for size in sizes if size >= LONGEST_OWN]
+        often = stretch_counts(spread, "_text", long_sizes, held, bits, pieces)
+        rated = offered.join(often, "_stretch")
+        best = rated.groupBy("_id").agg(F.min_by("_stretch", F.struct("_often", "_stretch")))
+        longer = lookup.filter(~own).join(best.toDF("_id", "_stretch"), "_id")
+        chosen = chosen.unionByName(longer)
+    chosen = materialize(chosen.drop("_id"), "chosen-stretches")
+    found = stretches_in(spread, key, "_text", sizes, held, bits, pieces)
+    found = found.join(chosen, "_stretch")
+    # Of a text without a key only the shortest values are known.
+    keyed = F.col(key).isNotNull() | (F.length("_whole") <= STRETCH)
+    short = found.filter(own & keyed).select(key, "dimension", "value")
+    long = found.filter(~own).join(asked, key).filter(F.contains("_text", "_whole"))
+    return short.union(long.select(key, "dimension", "value"))
+
+
+def mentioned_values(
+    questions: DataFrame, key: str, column: str, values: DataFrame
+) -> DataFrame:
+    """Every dimension value that occurs anywhere inside a question's text.
+
+    ``values`` has dimension and value. A value of few bytes is looked up by itself, a
+    longer one by a window of its bytes, the one of its own that the fewest texts have.
+    Texts are cut into windows where they are read, and a filter of bounded size, built
+    from the windows of all values, lets pass what a value may have. Texts and values then
+    meet by the bytes of windows, and what is longer than a window is compared in full.
+    The work grows with the text and with true mentions, not with text times values. Joins
+    are left to the planner, which knows the written lookup's size and splits windows that
+    are very frequent.
+    """
+    return _mentions(questions, key, column, values).distinct()
 
 
 def question_filters(
     questions: DataFrame, key: str, column: str, values: DataFrame
 ) -> DataFrame:
     """Per question and dimension, the longest value mentioned."""
-    found = mentioned_values(questions, key, column, values)
+    found = _mentions(questions, key, column, values)
     longest = F.min(
         F.struct(
             (-F.length("value")).alias("order"), F.lower("value").alias("folded"), F.col("value")

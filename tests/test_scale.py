@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from orefold.operators import ordered
+from orefold.operators import ordered, questions
 
 
 @pytest.fixture
@@ -19,3 +19,25 @@ def test_brackets_are_counted_without_sorting_the_rows(spark, grouped):
     assert "SortAggregate" not in found._jdf.queryExecution().toString()
     counted = {r.g: (r._total, r._low) for r in found.collect()}
     assert counted == {"g0": (200, 99), "g1": (200, 99), "g2": (200, 99), None: (1, 0)}
+
+
+def test_texts_are_not_cut_into_rows(spark, monkeypatch):
+    texts = ["Wo der Fluß fließt, dort fließt die Zeit", "Zeit", "zeit, die Zeit " * 40, None, ""]
+    asked = spark.createDataFrame([*enumerate(texts), (None, "die Zeit")], "id int, q string")
+    names = ["ZEIT", "ß", "dort fließt die Zeit", "zeit, die zeit zeit, die zeit zeit,", "eit d"]
+    values = spark.createDataFrame([("d", n) for n in names], "dimension string, value string")
+    plans = []
+    real = questions.stretches_in
+
+    def seen(*args):
+        plans.append(real(*args))
+        return plans[-1]
+
+    monkeypatch.setattr(questions, "stretches_in", seen)
+    found = {tuple(r) for r in questions.mentioned_values(asked, "id", "q", values).collect()}
+    wanted = {
+        (i, "d", n) for i, t in enumerate(texts) for n in names if t and n.lower() in t.lower()
+    }
+    assert found == wanted | {(None, "d", "ZEIT")}
+    # One row for each window that a value may have, not one for each window of a text.
+    assert plans[0].count() < 20
