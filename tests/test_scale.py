@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
+from orefold.functions import values as V
 from orefold.operators import ordered, questions
+from orefold.operators.profile import column_stats
 
 
 @pytest.fixture
@@ -41,3 +44,20 @@ def test_texts_are_not_cut_into_rows(spark, monkeypatch):
     assert found == wanted | {(None, "d", "ZEIT")}
     # One row for each window that a value may have, not one for each window of a text.
     assert plans[0].count() < 20
+
+
+def test_column_names_are_not_grouped_with_the_cells(spark):
+    df = spark.createDataFrame([("a", "1"), ("a", None), ("", "2")], "`x y` string, z string")
+    stats = column_stats(df)
+    plan = stats._jdf.queryExecution().optimizedPlan().toString()
+    groupings = [line.split("]")[0] for line in plan.splitlines() if "Aggregate [" in line]
+    assert len(groupings) == 2 and not any("name#" in line for line in groupings)
+    found = {r.name: (r.type, r.row_count, r.null_count, r.cardinality) for r in stats.collect()}
+    assert found == {"x y": ("string", 3, 1, 1), "z": ("integer", 3, 1, 2)}
+
+
+def test_blank_cells_are_trimmed_at_one_end(spark):
+    cells = [None, "", " ", "\t　", "a", " a", "a ", " b"]
+    df = spark.createDataFrame([(c,) for c in cells], "c string").select(V.is_blank(F.col("c")))
+    assert "btrim" not in df._jdf.queryExecution().toString().lower()
+    assert [r[0] for r in df.collect()] == [True] * 4 + [False] * 4
