@@ -7,6 +7,11 @@ vocabulary it holds on the driver is bounded: terms beyond the bound are dealt b
 shards, each with a fit of its own, and a document is then one vector for each shard. Sums
 over terms are the same however the terms are dealt.
 
+Vectorizers look at every term of every row, so tasks first bring their documents into few
+rows: for the fit a term in as many as have it, up to the number that it asks for, and
+for the vectors a bag for each group and binary place of its counts. The vocabulary and the
+sums are those of the documents.
+
 ``Summarizer`` works with rounded means, so group sums are added up as whole numbers here,
 sparse, first within tasks. Pairs of sources are evaluated from the sparse sums: terms that
 neither source has count as a number, not as rows.
@@ -37,11 +42,21 @@ them that are kept, with their tags less than 100 bytes each for words of usual
 MOST_TERMS = 2**31 - 1
 CELL_TERMS = 1024
 CELL_SOURCES = 256
-_HELD = 1 << 21
+_HELD = 1 << 20
 """Sums that a task holds before it hands them on."""
+_COUNTED = 3 << 18
+"""Counts that a task holds before it hands them on."""
+_TERM_BYTES = 16
+"""Bytes of terms that weigh as much as a count."""
+_SLICE_BYTES = 1 << 20
+_BAG = 256
+"""Most terms of a row, so that Spark's batches of rows stay small."""
+_TERM = (1 << 32) - 1
+_ROWS = 1024
 _PARTS = 10**9
 _HASHED = 16
 _NUMBERS = np.random.default_rng(11).integers(1 << 32, size=256, dtype=np.uint32)
+_READ_TOGETHER = 4
 _VOCABULARY_PARTS = 64
 _PART_BITS = 26
 _TAG = "\0"
@@ -54,9 +69,10 @@ def _byte_class() -> tuple[np.ndarray, np.ndarray]:
     return upper | lower | (of >= 128), np.where(upper, of + 32, of).astype(np.uint8)
 
 
-def terms_of(texts: pa.Array, tags: pa.Array) -> tuple[pa.ListArray, pa.Array]:
-    """The terms of each text in order, lower-cased, each with its text's tag behind a zero
-    byte; and the marked ones of them, once each. All bytes are looked at together."""
+def terms_of(texts: pa.Array, tags: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct terms, lower-cased, each with its text's tag behind a zero byte; where
+    each text's terms start in what follows; and for each text its distinct terms, by place
+    among all, with their counts. All bytes are looked at together."""
     inside_of, lowered_of = _byte_class()
     data, starts, _ = buffer_of(texts)
     inside = inside_of[data]
@@ -64,46 +80,186 @@ def terms_of(texts: pa.Array, tags: pa.Array) -> tuple[pa.ListArray, pa.Array]:
     begins[1:] &= ~inside[:-1]
     edges = starts[starts < len(data)]
     begins[edges] = inside[edges]
+    closes = inside.copy()
+    closes[:-1] &= ~inside[1:] | begins[1:]
     first = np.flatnonzero(begins)
-    lists = np.append(np.searchsorted(first, starts), len(first)).astype(np.int32)
-    letters = lowered_of[data[inside]]
-    before = np.cumsum(inside) - inside
-    ends = np.append(before[first], len(letters)).astype(np.int64)
+    text = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(first, starts), append=len(first)))
+    ends = np.append(0, np.cumsum(np.flatnonzero(closes) + 1 - first))
     words = pa.Array.from_buffers(
-        pa.large_string(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(letters)]
-    ).cast(pa.string())
-    tag = tags.take(pa.array(np.repeat(np.arange(len(texts)), np.diff(lists))))
-    tagged = pc.binary_join_element_wise(words, tag, _TAG)
-    marked = pc.unique(tagged.filter(pa.array(_marks(letters, ends[:-1]))))
-    return pa.ListArray.from_arrays(pa.array(lists), tagged), marked
+        pa.large_string(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(lowered_of[data[inside]])]
+    ).dictionary_encode()
+    tag = tags.dictionary_encode()
+    most = max(1, len(words.dictionary))
+    key, count = np.unique(text * most + words.indices.to_numpy(), return_counts=True)
+    text, tag_of = key // most, tag.indices.to_numpy().astype(np.int64)
+    known, place = np.unique(tag_of[text] * most + key % most, return_inverse=True)
+    terms = pc.binary_join_element_wise(
+        words.dictionary.cast(pa.string()).take(pa.array(known % most)),
+        tag.dictionary.take(pa.array(known // most)),
+        _TAG,
+    )
+    return terms, np.searchsorted(text, np.arange(len(texts) + 1)), place, count
 
 
-def _marks(letters: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Whether each word has one of ``_HASHED`` hashes, which add up numbers of its bytes."""
+def _marked(terms: pa.Array) -> pa.Array:
+    """The terms with one of ``_HASHED`` hashes, which add up numbers of their bytes."""
+    letters, first, _ = buffer_of(terms)
     if not len(first):
-        return np.zeros(0, bool)
+        return terms
     hashes = np.add.reduceat(_NUMBERS[letters], first)
-    return hashes * np.uint32(2654435769) >> np.uint32(16) & np.uint32(_HASHED - 1) == 0
+    marks = hashes * np.uint32(2654435769) >> np.uint32(16) & np.uint32(_HASHED - 1) == 0
+    return terms.filter(pa.array(marks))
 
 
-def _terms(documents: DataFrame, text: str, lang: str, source: str) -> DataFrame:
-    """Rows ``lang, source, terms, marked``; a term carries its language behind a zero byte,
-    which no term holds. ``marked`` has, beside the first row of each batch, those of its
-    terms with one of ``_HASHED`` hashes; they tell how many distinct terms there are."""
+def _added_up(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, each with the sum of its counts."""
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    del order
+    fresh = np.ones(len(keys), bool)
+    np.not_equal(keys[1:], keys[:-1], out=fresh[1:])
+    first = np.flatnonzero(fresh)
+    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
-    def tokenised(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, "__text"):
-            found, marked = terms_of(text_array(batch, "__text"), batch.column(0))
-            beside_first = np.full(batch.num_rows + 1, len(marked), np.int32)
-            beside_first[0] = 0
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "lang": batch.column(0),
-                    "source": batch.column(1),
-                    "terms": found,
-                    "marked": pa.ListArray.from_arrays(pa.array(beside_first), marked),
-                }
+
+class Bags:
+    """What a vectorizer has to see of a task's documents, in few rows.
+
+    A fit asks whether enough documents have a term. So a term comes in as many rows as the
+    task has documents with it, but no more than that ``least``.
+
+    A model takes no counts, but its vectors add up. So how often a group has its terms is
+    written in binary: a bag for each place, with the terms whose count has that bit.
+
+    A row has at most ``_BAG`` terms, all different. What is held is bounded by ``held``.
+    """
+
+    def __init__(self, least: int, held: int = _COUNTED) -> None:
+        self.least, self.held = max(1, least), held
+        self._clear()
+
+    def _clear(self) -> None:
+        self.groups: dict[tuple[str, str], int] = {}
+        self.terms: list[pa.Array] = [pa.array([], pa.string())]
+        self.keys, self.counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        self.known = self.fresh = 0
+
+    def add(
+        self,
+        groups: Iterable[tuple[str, str]],
+        found: tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray],
+    ) -> Iterator[pa.RecordBatch]:
+        """Take in the terms of some texts; give rows if too much is held."""
+        terms, lists, place, count = found
+        before = len(self.groups)
+        # group 0 stands for the documents: how many have a term
+        group = [self.groups.setdefault(key, len(self.groups) + 1) for key in groups]
+        of = np.repeat(np.array(group, np.int64), np.diff(lists))
+        keys, counts = _added_up(of << 32 | place + self.known, count)
+        self.terms.append(terms)
+        self.keys += [np.arange(self.known, self.known + len(terms)), keys]
+        self.counts += [np.bincount(place, minlength=len(terms)), counts]
+        self.known += len(terms)
+        self.fresh += len(keys) + len(terms) + terms.nbytes // _TERM_BYTES
+        self.fresh += len(self.groups) - before
+        if self.fresh > self.held // 2:
+            self._compact()
+            size = len(self.keys[0]) + len(self.groups) + self.terms[0].nbytes // _TERM_BYTES
+            if size > self.held:
+                yield from self.rows()
+
+    def _compact(self) -> None:
+        words = pa.concat_arrays(self.terms).dictionary_encode()
+        self.terms = [words.dictionary]
+        keys, counts = np.concatenate(self.keys), np.concatenate(self.counts)
+        self.keys, self.counts = [], []  # held once while they are sorted
+        term = keys & _TERM
+        keys -= term
+        keys += words.indices.to_numpy()[term]
+        del term
+        keys, counts = _added_up(keys, counts)
+        self.keys, self.counts = [keys], [counts]
+        self.known, self.fresh = len(words.dictionary), 0
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        """Rows of all that is held, as ``_terms`` has them; it is then let go."""
+        self._compact()
+        keys, counts = self.keys[0], self.counts[0]
+        none, own = pa.array([], pa.string()), np.searchsorted(keys, 1 << 32)
+        names = list(self.groups)
+        lang, source = (pa.array([name[i] for name in names], pa.string()) for i in (0, 1))
+        marked = _marked(self.terms[0])
+        yield _batch(lang, source, None, _lists(len(names), none), _lists(len(names), none), None)
+        yield _batch(None, None, None, _lists(1, none), _lists(1, none), _lists(1, marked))
+        left, times = keys[:own], counts[:own]
+        for layer in range(self.least):
+            left, times = left[times > layer], times[times > layer]
+            if not len(left):
+                break
+            ends = np.append(np.arange(0, len(left), _BAG), len(left)).astype(np.int32)
+            found = pa.ListArray.from_arrays(pa.array(ends), self.terms[0].take(pa.array(left)))
+            yield _batch(None, None, None, found, _lists(len(found), none), None)
+        keys, counts = keys[own:], counts[own:]
+        for place in range(int(counts.max(initial=0)).bit_length()):
+            left = keys[counts >> place & 1 == 1]
+            group = left >> 32
+            first = np.flatnonzero((np.arange(len(left)) - np.searchsorted(group, group)) % _BAG == 0)
+            of = pa.array(group[first] - 1)
+            found = pa.ListArray.from_arrays(
+                pa.array(np.append(first, len(left)).astype(np.int32)),
+                self.terms[0].take(pa.array(left & _TERM)),
+            )
+            yield _batch(
+                lang.take(of), source.take(of), place, _lists(len(first), none), found, None
             )
+        self._clear()
+
+
+def _lists(rows: int, first: pa.Array) -> pa.ListArray:
+    """Lists of which the first has all the values."""
+    ends = np.full(rows + 1, len(first), np.int32)
+    ends[0] = 0
+    return pa.ListArray.from_arrays(pa.array(ends), first)
+
+
+def _batch(
+    lang: pa.Array | None,
+    source: pa.Array | None,
+    place: int | None,
+    terms: pa.ListArray,
+    bag: pa.ListArray,
+    marked: pa.ListArray | None,
+) -> pa.RecordBatch:
+    rows = len(terms)
+    return pa.RecordBatch.from_pydict(
+        {
+            "lang": pa.nulls(rows, pa.string()) if lang is None else lang,
+            "source": pa.nulls(rows, pa.string()) if source is None else source,
+            "place": pa.array([place] * rows, pa.int32()),
+            "terms": terms,
+            "bag": bag,
+            "marked": _lists(rows, pa.array([], pa.string())) if marked is None else marked,
+        }
+    )
+
+
+def _terms(
+    documents: DataFrame, text: str, lang: str, source: str, least: int, held: int = _COUNTED
+) -> DataFrame:
+    """Rows ``lang, source, place, terms, bag, marked``, as ``Bags`` of each task has them;
+    a term carries its language behind a zero byte, which no term holds. Every group has a
+    row without terms. ``terms`` are for the fit, of no group. A ``bag`` of a group counts
+    ``2 ** place`` times. ``marked`` are the terms with one of ``_HASHED`` hashes; they tell
+    how many distinct terms there are."""
+
+    def tokenised(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bags = Bags(least, held)
+        for batch in text_slices(batches, "__text", _SLICE_BYTES):
+            groups = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+            found = terms_of(text_array(batch, "__text"), batch.column(0))
+            yield from bags.add(groups, found)
+        yield from bags.rows()
+        pa.default_memory_pool().release_unused()
 
     def filled(name: str) -> Column:
         return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))
@@ -111,7 +267,8 @@ def _terms(documents: DataFrame, text: str, lang: str, source: str) -> DataFrame
     given = documents.select(
         filled(lang).alias("lang"), filled(source).alias("source"), filled(text).alias("__text")
     )
-    schema = "lang string, source string, terms array<string>, marked array<string>"
+    strings = "terms array<string>, bag array<string>, marked array<string>"
+    schema = f"lang string, source string, place int, {strings}"
     return materialize(given.mapInArrow(tokenised, schema), "terms")
 
 
@@ -120,7 +277,7 @@ def _dealt(terms: DataFrame, shards: int) -> DataFrame:
 
     def split(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(2)
+            lists = batch.column(3)
             lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
             flat = lists.flatten().dictionary_encode()
             words = flat.dictionary.cast(pa.binary()).to_pylist()
@@ -136,6 +293,7 @@ def _dealt(terms: DataFrame, shards: int) -> DataFrame:
                 {
                     "lang": batch.column(0).take(of),
                     "source": batch.column(1).take(of),
+                    "place": batch.column(2).take(of),
                     "shard": pa.array((key[first] % shards).astype(np.int32)),
                     "terms": pa.ListArray.from_arrays(
                         ends, flat.dictionary.take(flat.indices.take(pa.array(order)))
@@ -144,41 +302,53 @@ def _dealt(terms: DataFrame, shards: int) -> DataFrame:
             )
 
     path = scratch_path(terms.sparkSession, "dealt-terms")
-    dealt = terms.mapInArrow(split, "lang string, source string, shard int, terms array<string>")
+    columns = "lang string, source string, place int"
+    dealt = terms.mapInArrow(split, f"{columns}, shard int, terms array<string>")
     dealt.write.partitionBy("shard").parquet(path)
-    return terms.sparkSession.read.schema(
-        "lang string, source string, terms array<string>, shard int"
-    ).parquet(path)
+    return terms.sparkSession.read.schema(f"{columns}, terms array<string>, shard int").parquet(
+        path
+    )
 
 
-def _shards(terms: DataFrame, vocabulary: int) -> list[DataFrame]:
-    """The rows of each fit, so that a fit has about ``vocabulary`` distinct terms at most.
-    Their number is told from the marked terms, without reading the others."""
+def _shards(terms: DataFrame, vocabulary: int) -> list[tuple[DataFrame, DataFrame]]:
+    """The rows to fit and the bags of each fit, so that a fit has about ``vocabulary`` distinct
+    terms at most. Their number is told from the marked terms, without reading the others."""
     distinct = terms.select(F.explode("marked").alias("term")).agg(
         F.approx_count_distinct("term", 0.02)
     )
-    terms = terms.drop("marked")
     shards = max(1, -(-int(distinct.first()[0]) * _HASHED // vocabulary))
+    key, place = ["lang", "source", "place"], F.col("place")
+    rows = terms.where(place.isNull() & (F.size("terms") > 0)).select(*key, "terms")
+    bags = terms.where(place.isNotNull()).select(*key, F.col("bag").alias("terms"))
     if shards == 1:
-        return [terms]
-    dealt = _dealt(terms, shards)
-    return [dealt.where(F.col("shard") == k).drop("shard") for k in range(shards)]
+        return [(rows, bags)]
+    both = [_dealt(rows, shards), _dealt(bags, shards)]
+    return [tuple(x.where(F.col("shard") == k).drop("shard") for x in both) for k in range(shards)]
 
 
 def _fit(rows: DataFrame, min_documents: int) -> CountVectorizerModel | None:
-    """The vocabulary of the terms in at least so many documents of their language; none if
-    no term is, which Spark refuses as an empty vocabulary."""
+    """The vocabulary of the terms in at least so many rows; none if no term is, which Spark
+    refuses as an empty vocabulary. A task of the fit hands on each of its terms, so several
+    tasks of the step before are read by one."""
+    parts = rows.rdd.getNumPartitions()
+    cores = rows.sparkSession.sparkContext.defaultParallelism
     vectorizer = CountVectorizer(
         inputCol="terms", outputCol="vector", minDF=float(min_documents), vocabSize=MOST_TERMS
     )
     try:
-        return vectorizer.fit(rows)
+        return vectorizer.fit(rows.coalesce(max(2 * cores, parts // _READ_TOGETHER)))
     except IllegalArgumentException as error:
         if "vocabulary size should be > 0" not in str(error):
             raise
         return None
 
 
+def _slices(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, most):
+            yield batch.slice(at, most)
+
+
 def _vocabulary(model: CountVectorizerModel, rows: DataFrame, shard: int) -> DataFrame:
     """Rows ``shard, index, term, lang``, read from the saved model."""
     path = scratch_path(rows.sparkSession, "vocabulary")
@@ -193,8 +363,8 @@ def _vocabulary(model: CountVectorizerModel, rows: DataFrame, shard: int) -> Dat
     )
 
 
-def _sums(model: CountVectorizerModel, rows: DataFrame, shard: int) -> DataFrame:
-    """Rows ``lang, source, shard, index, n``: the documents' vectors, added up exactly.
+def _sums(model: CountVectorizerModel, bags: DataFrame, shard: int) -> DataFrame:
+    """Rows ``lang, source, shard, index, n``: the bags' vectors, added up exactly.
 
     Tasks add up what they read and hand on sparse vectors, one for each group and part of
     the vocabulary. These meet by group and part, in order, so that the next task holds one
@@ -206,9 +376,7 @@ def _sums(model: CountVectorizerModel, rows: DataFrame, shard: int) -> DataFrame
         keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
 
         def compact() -> None:
-            held, place = np.unique(np.concatenate(keys), return_inverse=True)
-            total = np.zeros(len(held), np.int64)
-            np.add.at(total, place, np.concatenate(counts))
+            held, total = _added_up(np.concatenate(keys), np.concatenate(counts))
             keys[:], counts[:] = [held], [total]
 
         def flush() -> pa.RecordBatch:
@@ -228,20 +396,21 @@ def _sums(model: CountVectorizerModel, rows: DataFrame, shard: int) -> DataFrame
             )
 
         fresh = 0
-        for batch in batches:
+        for batch in _slices(batches, _ROWS):
             group = [
                 codes.setdefault(key, len(codes))
                 for key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
             ]
-            vectors = batch.column(2)
+            place = batch.column(2).to_numpy(zero_copy_only=False)
+            vectors = batch.column(3)
             indices, values = vectors.field("indices"), vectors.field("values")
             lengths = indices.value_lengths().to_numpy(zero_copy_only=False)
             index = indices.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            vector = np.repeat(np.array(group, np.int64), lengths) * _VOCABULARY_PARTS
+            vector = np.repeat(np.array(group, np.int64) * _VOCABULARY_PARTS, lengths)
             key = vector + index % _VOCABULARY_PARTS << _PART_BITS | index // _VOCABULARY_PARTS
             number = values.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             keys.append(key)
-            counts.append(number)
+            counts.append(number << np.repeat(place, lengths))
             fresh += len(key)
             if fresh > _HELD:
                 compact()
@@ -253,6 +422,7 @@ def _sums(model: CountVectorizerModel, rows: DataFrame, shard: int) -> DataFrame
         compact()
         if len(keys[0]):
             yield flush()
+        pa.default_memory_pool().release_unused()
 
     def met(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, total = None, np.zeros(0, np.int64)
@@ -283,7 +453,7 @@ def _sums(model: CountVectorizerModel, rows: DataFrame, shard: int) -> DataFrame
         if at is not None:
             yield whole()
 
-    vectors = model.transform(rows).select("lang", "source", "vector")
+    vectors = model.transform(bags).select("lang", "source", "place", "vector")
     key = ["lang", "source", "part"]
     sums = vectors.mapInArrow(
         added,
@@ -470,13 +640,13 @@ def audit(
     like others. Whole texts are read, however long. An empty table gives an empty result.
     Other columns are ignored.
     """
-    terms = _terms(documents, text, lang, source)
+    terms = _terms(documents, text, lang, source, min_documents)
     sums, words = [], []
-    for shard, rows in enumerate(_shards(terms, vocabulary)):
+    for shard, (rows, bags) in enumerate(_shards(terms, vocabulary)):
         model = _fit(rows, min_documents)
         if model is not None:
             words.append(_vocabulary(model, rows, shard))
-            sums.append(materialize(_sums(model, rows, shard), "group-sums"))
+            sums.append(materialize(_sums(model, bags, shard), "group-sums"))
     spark = terms.sparkSession
     if not sums:
         words = [spark.createDataFrame([], "shard int, index int, term string, lang string")]
@@ -490,7 +660,8 @@ def audit(
     kept = known.groupBy("lang").agg(F.count("*").alias("kept"))
     occurring = total.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     groups = materialize(
-        terms.select("lang", "source")
+        terms.where("lang is not null")
+        .select("lang", "source")
         .distinct()
         .join(kept, "lang", "left")
         .join(occurring, ["lang", "source"], "left")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -68,6 +69,75 @@ def test_divergence_of_nothing_kept(spark):
     assert found and {(row[2], row[4]) for row in found} == {("pair", 0)}
 
 
+def test_tasks_hand_on_few_rows(spark, monkeypatch):
+    """Terms that documents share or repeat must not reach the vectorizer each time."""
+    table = [
+        (i, "alpha beta " * 300 + f"only{chr(97 + i % 26)}", "en", f"s{i % 2}") for i in range(200)
+    ]
+    written = {}
+    whole = divergence.materialize
+
+    def kept(df, label="stage"):
+        return written.setdefault(label, whole(df, label))
+
+    monkeypatch.setattr(divergence, "materialize", kept)
+    columns = "doc_id bigint, text string, lang string, source string"
+    documents = spark.createDataFrame(table, columns).coalesce(1)
+    assert rows(divergence.audit(documents, min_documents=5)) == plain_divergence(table, 5)
+    lists = [n for n, kind in written["terms"].dtypes if kind == "array<string>"]
+    strings = sum(len(x) for row in written["terms"].select(*lists).collect() for x in row)
+    assert strings < 1000
+
+
+def test_bags_have_the_counts_of_the_texts():
+    random = np.random.default_rng(4)
+    words = [f"{'xyz'[i % 3] * (1 + i // 9)}{chr(97 + i % 9)}" for i in range(600)]
+    texts = [
+        " ".join(words[int(i)] for i in random.zipf(1.3, 400) if i < 600) for _ in range(60)
+    ]
+    texts += ["", "...", words[0] * 3000, f"{words[1]} " * 5000]
+    langs = [["de", "en", ""][i % 3] for i in range(len(texts))]
+    sources = [f"s{i % 5}" for i in range(len(texts))]
+    counts, having = Counter(), Counter()
+    for text, *group in zip(texts, langs, sources):
+        found = [f"{word}\0{group[0]}" for word in re.findall("[a-z]+", text)]
+        counts.update((*group, word) for word in found)
+        having.update(set(found))
+    for held in (1, 3000, 1 << 20):
+        bags, given = divergence.Bags(4, held), []
+        for at in range(0, len(texts), 7):
+            part = slice(at, at + 7)
+            found = divergence.terms_of(pa.array(texts[part]), pa.array(langs[part]))
+            given += bags.add(zip(langs[part], sources[part]), found)
+        given += bags.rows()
+        table = pa.Table.from_batches(given).to_pylist()
+        assert all(max(len(row["terms"]), len(row["bag"])) <= 256 for row in table)
+        summed, seen = Counter(), Counter()
+        for row in table:
+            seen.update(row["terms"])
+            for word in row["bag"]:
+                summed[row["lang"], row["source"], word] += 1 << row["place"]
+        assert summed == counts
+        assert set(seen) == set(having)
+        assert all(min(seen[word], 4) == min(having[word], 4) for word in having)
+        assert {(row["lang"], row["source"]) for row in table if row["lang"] is not None} == set(
+            zip(langs, sources)
+        )
+
+
+def test_cutting_needs_little_memory():
+    texts = pa.array(["lorem ipsum dolor sit amet " * 100] * 1000)
+    tags = pa.array(["en"] * 1000)
+    divergence.terms_of(texts[:1], tags[:1])
+    tracemalloc.start()
+    try:
+        divergence.terms_of(texts, tags)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 16 * texts.nbytes
+
+
 def test_shares_beyond_64_bits():
     counts = np.array([3, 10**12, 0])
     below = np.array([2 * 10**12 + 4] * 3)
